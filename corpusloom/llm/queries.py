@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media
+from . import decontaminate, media, suffix_dedup
 from ._arrow import read_documents
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_digest(suffix_dedup.suffix_dedup(read_documents(spark, sf_dir)))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.decontaminate_digest(found)
@@ -18,7 +22,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_decontaminate, op9_media)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op9_media)}
 
 
 OP4_SQL = r"""
@@ -36,7 +40,7 @@ dw AS (
     SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k
     FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)
 ), hit AS (SELECT doc_id, item_id, dw.n, i FROM dw JOIN bw USING (n, k)),
-covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hit) GROUP BY doc_id),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY doc_id),
 items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined
     FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id
