@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, suffix_dedup
+from . import decontaminate, media, passage_dedup, suffix_dedup
 from ._arrow import read_documents
 
 
@@ -17,12 +17,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate_digest(found)
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.passage_dedup_digest(passage_dedup.passage_dedup(read_documents(spark, sf_dir)))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.read_media(media.encode_media(read_documents(spark, sf_dir))))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op9_media)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op8_passage_dedup, op9_media)}
 
 
 OP4_SQL = r"""
@@ -51,5 +55,32 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, x, n, unnest(range(1, n + 1)) AS i FROM d),
+w AS (SELECT doc_id, n, i, substr(x, 2 * i - 1, 2) AS byte, CASE WHEN i <= n - 99 THEN substr(x, 2 * i - 1, 200) END AS k FROM p),
+f AS (SELECT doc_id, n, i, byte, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM w),
+g AS (SELECT doc_id, n, i, byte, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone FROM f),
+h AS (SELECT doc_id, n, i, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+r AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+    FROM h GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i <= len(w) - 49 THEN array_to_string(w[i : i + 49], ' ') END AS k FROM p),
+f AS (SELECT doc_id, i, word, k IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY k) AS again FROM k),
+g AS (SELECT doc_id, i, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM f),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_passage_dedup": OP8_SQL}
