@@ -1,0 +1,24 @@
+"""Cutting lineage with files that the driver and all executors can read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not given:
+        given = f"file://{tempfile.mkdtemp()}"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(given)
+    return given
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from the shared folder: a lost executor loses none of it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
