@@ -10,10 +10,11 @@ exchange, and everything is one lazy plan, which Spark recomputes by itself wher
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import texts
@@ -128,10 +129,47 @@ class Batch:
         return pa.array(self.doc_id, mask=self.null)
 
 
+def _partition(label: int, n: int) -> int:
+    """Where Spark's hash partitioning puts an int: Murmur3 (x86, 32 bits) with seed 42."""
+    m = 0xFFFFFFFF
+
+    def turn(x: int, by: int) -> int:
+        return ((x << by) | (x >> (32 - by))) & m
+
+    h = 42 ^ (turn(label * 0xCC9E2D51 & m, 15) * 0x1B873593 & m)
+    h = (turn(h, 13) * 5 + 0xE6546B64) & m
+    h ^= 4
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % n
+
+
+@lru_cache(16)
+def even_labels(groups: int, partitions: int) -> tuple[int, ...]:
+    """Group numbers that Spark's hashing deals evenly: plain numbers leave some partitions empty and put many groups into others."""
+    room = [groups // partitions + (i < groups % partitions) for i in range(partitions)]
+    out, label = [], 0
+    while len(out) < groups:
+        p = _partition(label, partitions)
+        if room[p]:
+            room[p] -= 1
+            out.append(label)
+        label += 1
+    return tuple(out)
+
+
+def _evenly(number: Column, groups: int, partitions: int) -> Column:
+    """The label of a group; beyond some thousand groups, where a list of labels is no longer short, the number itself."""
+    if groups > 8192:
+        return number
+    return F.element_at(F.array(*(F.lit(x) for x in even_labels(groups, partitions))), number + 1)
+
+
 def dealt(docs: DataFrame) -> DataFrame:
     """(b, doc_id, text as bytes): two batches for each shuffle partition, so batches stay as large as partitions are set to be."""
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("b"), "doc_id", "text")
+    p = n_buckets(docs)
+    return texts(docs).select(_evenly(F.pmod(F.xxhash64("doc_id"), F.lit(2 * p)).cast("int"), 2 * p, p).alias("b"), "doc_id", "text")
 
 
 def n_buckets(docs: DataFrame) -> int:
@@ -164,7 +202,8 @@ def by_bucket(entries: DataFrame, fn: Callable) -> DataFrame:
         fn(table.column("r")[0].as_py(), [(b, k, unpack(d.as_buffer())) for b, k, d in zip(*cols, table.column("data"), strict=True)], out)
         return out.table()
 
-    return entries.groupBy("r").applyInArrow(run, PACKED)
+    p = n_buckets(entries)
+    return entries.select(_evenly(F.col("r"), p, p).alias("label"), *PACKED_ARROW.names).groupBy("label").applyInArrow(run, PACKED)
 
 
 #: The kind of the entries of copies().

@@ -58,8 +58,8 @@ class Words:
         self.begin, self.end = word_spans(raw)
         self.first = np.searchsorted(self.begin, np.append(begins, len(raw) + 1))
         self.count = np.diff(self.first)
-        ids = mix(hash_of(prefix_hashes(raw), self.begin, self.end - self.begin) ^ (self.end - self.begin).astype(np.uint64))
-        self.prefix = prefix_hashes(ids)
+        self.ids = mix(hash_of(prefix_hashes(raw), self.begin, self.end - self.begin) ^ (self.end - self.begin).astype(np.uint64))
+        self.prefix = prefix_hashes(self.ids)
 
     def starts(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, document) of each window."""

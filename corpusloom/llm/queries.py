@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, near_dedup, passage_dedup, suffix_dedup
+from . import decontaminate, media, near_dedup, passage_dedup, ppm, suffix_dedup
 from ._arrow import read_documents
 
 
@@ -21,6 +21,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read_documents(spark, sf_dir))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_score(read_documents(spark, sf_dir))
+
+
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.passage_dedup_digest(passage_dedup.passage_dedup(read_documents(spark, sf_dir)))
 
@@ -30,7 +34,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op8_passage_dedup, op9_media)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op8_passage_dedup, op9_media)}
 
 
 OP4_SQL = r"""
