@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, near_dedup, passage_dedup, ppm, suffix_dedup
+from . import decontaminate, media, near_dedup, passage_dedup, ppm, suffix_dedup, tokens
 from ._arrow import read_documents
 
 
@@ -25,6 +26,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.lm_score(read_documents(spark, sf_dir))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(tokens.tokenize(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.passage_dedup_digest(passage_dedup.passage_dedup(read_documents(spark, sf_dir)))
 
@@ -34,7 +39,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op8_passage_dedup, op9_media)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op7_token_ids, op8_passage_dedup, op9_media)}
 
 
 OP4_SQL = r"""
