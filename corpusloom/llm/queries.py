@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, near_dedup, passage_dedup, ppm, suffix_dedup, tokens
+from . import decontaminate, langid, media, near_dedup, passage_dedup, ppm, suffix_dedup, tokens, toxicity
 from ._arrow import read_documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(read_documents(spark, sf_dir))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup_digest(suffix_dedup.suffix_dedup(read_documents(spark, sf_dir)))
 
@@ -39,7 +47,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op7_token_ids, op8_passage_dedup, op9_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op7_token_ids, op8_passage_dedup, op9_media)}
 
 
 OP4_SQL = r"""
