@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, near_dedup, passage_dedup, ppm, suffix_dedup, tokens, toxicity
+from . import decontaminate, langid, media, near_dedup, passage_dedup, pieces, ppm, suffix_dedup, tokens, toxicity
 from ._arrow import read_documents
 
 
@@ -46,8 +46,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.read_media(media.encode_media(read_documents(spark, sf_dir))))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.pieces_digest(pieces.decode_pieces(pieces.encode_pieces(read_documents(spark, sf_dir), model), model))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op7_token_ids, op8_passage_dedup, op9_media)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op7_token_ids, op8_passage_dedup, op9_media, op10_pieces)}
 
 
 OP4_SQL = r"""
