@@ -33,8 +33,8 @@ from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies
 SPAN = 50
 BLOCK = SPAN // 2
 CHUNK = 2 << 20
-#: Kinds of entries: blocks of the index, probes, hits; windows, repeats.
-BLOCKS, PROBES, HITS, WINDOWS, REPEATS = 0, 1, 2, 3, 4
+#: Kinds of entries: blocks of the index and probes, hits; windows, repeats.
+PROBES, HITS, WINDOWS, REPEATS = 0, 1, 2, 3
 #: The bytes that separate words.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -102,31 +102,33 @@ def _index_and_probe(n: int):
             probes.append(np.unique(h))
             blocks.append(h[(start - words.first[doc]) % BLOCK == 0])
         if probes:
-            for kind, found in ((BLOCKS, blocks), (PROBES, probes)):
+            by_r: list[list[list[np.ndarray]]] = [[] for _ in range(n)]
+            for found in (blocks, probes):
                 h = np.unique(np.concatenate(found))
                 order, edges = buckets(h, n)
                 h = h[order]
-                for r in np.flatnonzero(np.diff(edges)).tolist():
-                    out.add(r, batch.b, kind, pack(*_narrow(np.unique(_fingers(h[edges[r] : edges[r + 1]], n)))))
+                for r in range(n):
+                    by_r[r].append(_narrow(np.unique(_fingers(h[edges[r] : edges[r + 1]], n))))
+            for r, (block, probe) in enumerate(by_r):
+                if len(probe[0]):
+                    out.add(r, batch.b, PROBES, pack(np.array([len(block)], np.uint8), *block, *probe))
         return out.table()
 
     return fn
 
 
 def _answer_probes(r: int, entries: list, out: Rows) -> None:
-    index = [_widen(x) for _, kind, x in entries if kind == BLOCKS]
-    if not index:
+    index = np.unique(np.concatenate([_widen(x[1 : 1 + int(x[0][0])]) for _, _, x in entries]))
+    if not len(index):
         return
-    index = np.unique(np.concatenate(index))
     asked = np.zeros(len(index), np.int64)
     hits = []
-    for b, kind, planes in entries:
-        if kind == PROBES:
-            probe = _widen(planes)
-            at = np.searchsorted(index, probe)
-            at[at == len(index)] = 0
-            hits.append((b, at[index[at] == probe]))
-            asked[hits[-1][1]] += 1
+    for b, _, x in entries:
+        probe = _widen(x[1 + int(x[0][0]) :])
+        at = np.searchsorted(index, probe)
+        at[at == len(index)] = 0
+        hits.append((b, at[index[at] == probe]))
+        asked[hits[-1][1]] += 1
     for b, at in hits:
         shared = index[at[asked[at] > 1]]
         if len(shared):
