@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import slices
-from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealt, hash_of, is_copy, mix, n_buckets, pack, prefix_hashes
+from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealt, distinct, hash_of, is_copy, mix, n_buckets, pack, prefix_hashes
 
 SPAN = 50
 BLOCK = SPAN // 2
@@ -99,16 +99,16 @@ def _index_and_probe(n: int):
         for _, words in _chunks(batch, is_copy(batch, given)):
             start, doc = words.starts(BLOCK)
             h = words.hashes(start, BLOCK)
-            probes.append(np.unique(h))
+            probes.append(distinct(h))
             blocks.append(h[(start - words.first[doc]) % BLOCK == 0])
         if probes:
             by_r: list[list[list[np.ndarray]]] = [[] for _ in range(n)]
             for found in (blocks, probes):
-                h = np.unique(np.concatenate(found))
+                h = distinct(np.concatenate(found))
                 order, edges = buckets(h, n)
                 h = h[order]
                 for r in range(n):
-                    by_r[r].append(_narrow(np.unique(_fingers(h[edges[r] : edges[r + 1]], n))))
+                    by_r[r].append(_narrow(distinct(_fingers(h[edges[r] : edges[r + 1]], n))))
             for r, (block, probe) in enumerate(by_r):
                 if len(probe[0]):
                     out.add(r, batch.b, PROBES, pack(np.array([len(block)], np.uint8), *block, *probe))
@@ -118,7 +118,7 @@ def _index_and_probe(n: int):
 
 
 def _answer_probes(r: int, entries: list, out: Rows) -> None:
-    index = np.unique(np.concatenate([_widen(x[1 : 1 + int(x[0][0])]) for _, _, x in entries]))
+    index = distinct(np.concatenate([_widen(x[1 : 1 + int(x[0][0])]) for _, _, x in entries]))
     if not len(index):
         return
     asked = np.zeros(len(index), np.int64)
@@ -148,13 +148,13 @@ def _candidates(batch: Batch, given: dict, n: int):
     for _, words in _chunks(batch, skip):
         start, doc = words.starts(BLOCK)
         h = words.hashes(start, BLOCK)
-        probes.append(np.unique(h))
-        blocks.append(np.unique(h[(start - words.first[doc]) % BLOCK == 0]))
+        probes.append(distinct(h))
+        blocks.append(distinct(h[(start - words.first[doc]) % BLOCK == 0]))
     local = np.zeros(0, np.uint64)
     if probes:
         # a block of one chunk that another probes, or two documents of one chunk
         h, count = np.unique(np.concatenate(probes), return_counts=True)
-        local = np.intersect1d(h[count > 1], np.unique(np.concatenate(blocks)))
+        local = np.intersect1d(h[count > 1], distinct(np.concatenate(blocks)))
     for rows, words in _chunks(batch, skip):
         start, doc = words.starts(BLOCK)
         h = words.hashes(start, BLOCK)
@@ -162,7 +162,7 @@ def _candidates(batch: Batch, given: dict, n: int):
         hit = np.isin(finger, keys) | np.isin(h, local)
         order = np.lexsort((doc, h))  # blocks of one document that another document of the chunk has
         x, y = order[:-1], order[1:]
-        more = np.unique(h[x[(h[x] == h[y]) & (doc[x] != doc[y])]])
+        more = distinct(h[x[(h[x] == h[y]) & (doc[x] != doc[y])]])
         hit |= np.isin(h, more)
         held = np.zeros(len(words.begin) + 1, np.int64)
         np.cumsum(np.bincount(start[hit], minlength=len(words.begin)), out=held[1:])
