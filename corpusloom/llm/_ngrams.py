@@ -37,6 +37,17 @@ def word_features(words: list[str], low: int, high: int, buckets: int) -> tuple[
     return owner[order], (np.concatenate(keys) % np.uint64(buckets)).astype(np.int64)[order]
 
 
+def all_features(words: list[str], low: int, high: int, buckets: int, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word's features begin, features): word_features of many words in little memory."""
+    features, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(words), at_once):
+        part = words[i : i + at_once]
+        owner, feature = word_features(part, low, high, buckets)
+        features.append(feature.astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(part)))
+    return np.cumsum(np.concatenate(counts)), np.concatenate(features)
+
+
 class Vocabulary:
     """Numbers for words, with a table row for each that `fill(words)` works out; forgets all beyond `limit` words."""
 

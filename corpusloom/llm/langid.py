@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._arrow import map_texts, texts, values
-from ._ngrams import Vocabulary, word_features, words_of
+from ._ngrams import Vocabulary, all_features, word_features, words_of
 
 LOW, HIGH = 2, 5
 BUCKETS, SIZE = 1 << 17, 16
@@ -104,8 +104,7 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     number = {w: i for i, w in enumerate(dict.fromkeys(w for x, k in zip(own, kept, strict=True) if not k for w in x))}
     if not number:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    owner, feature = word_features(list(number), LOW, HIGH, BUCKETS)
-    begin = np.searchsorted(owner, np.arange(len(number) + 1))
+    begin, feature = all_features(list(number), LOW, HIGH, BUCKETS)
     segments: list[tuple[np.ndarray, int]] = []
     for x, k, lang in zip(own, kept, y, strict=True):
         if k or not x:
@@ -127,7 +126,7 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
             at = np.repeat(begin[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             doc = np.repeat(np.repeat(np.arange(len(part)), [len(x) for x, _ in part]), many)
             # one entry for each subword of each segment
-            key, count = np.unique(feature[at] * len(part) + doc, return_counts=True)
+            key, count = np.unique(feature[at].astype(np.int64) * len(part) + doc, return_counts=True)
             feat, doc = key // len(part), key % len(part)
             share = count / np.bincount(doc, count, len(part))[doc]
             mean = np.stack([np.bincount(doc, share * embed[feat, k], len(part)) for k in range(SIZE)], axis=1)

@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import map_texts, texts, values
-from ._ngrams import Vocabulary, word_features, words_of
+from ._ngrams import Vocabulary, all_features, word_features, words_of
 
 LOW, HIGH = 3, 6
 BUCKETS = 1 << 20
 MAX_ROWS, MAX_BYTES = 3000, 256 << 20
-LEAST_RATIO, LEAST_TEXTS = 1.0, 2
+LEAST_RATIO, LEAST_TEXTS = 2.0, 4
 PENALTY, STEPS = 1e-3, 150
 THRESHOLD = 0.3
 
@@ -88,9 +88,8 @@ def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
     number = {w: i for i, w in enumerate(dict.fromkeys(w for x in own for w in x))}
     doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
     word = np.array([number[w] for x in own for w in x], np.int64)
-    owner, feature = word_features(list(number), LOW, HIGH, BUCKETS)
+    begin, feature = all_features(list(number), LOW, HIGH, BUCKETS)
     # in how many texts of each class a feature stands
-    begin = np.searchsorted(owner, np.arange(len(number) + 1))
     pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
     edges = np.searchsorted(doc, np.arange(len(own) + 1))
     for i in range(len(own)):
@@ -98,8 +97,8 @@ def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
         (pos if y[i] else neg)[held] += 1
     ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
     ratio[(pos + neg < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    keep = ratio[feature] != 0
-    owner, feature = owner[keep], feature[keep]
+    keep = np.flatnonzero(ratio[feature])
+    owner, feature = np.searchsorted(begin, keep, "right") - 1, feature[keep]
     used, column = np.unique(feature, return_inverse=True)
     scale = ratio[used][column]
     w, bias = np.zeros(len(used)), 0.0
