@@ -28,7 +28,7 @@ from ._ngrams import Vocabulary, all_features, word_features, words_of
 LOW, HIGH = 2, 5
 BUCKETS, SIZE = 1 << 17, 16
 MAX_ROWS, MAX_BYTES = 400, 64 << 20
-EPOCHS, RATE, GROUP, SEED = 3, 8.0, 128, 7
+EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 3, 300, 8.0, 128, 7
 REJECT, HIGHEST = 0.001, 0.5
 UNKNOWN = "und"
 
@@ -115,9 +115,11 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
             segments.append((ids[at : at + n], int(lang)))
             at += n
     embed, layer, bias = rng.normal(0, 1 / SIZE, (BUCKETS, SIZE)), np.zeros((SIZE, len(langs))), np.zeros(len(langs))
-    steps = EPOCHS * -(-len(segments) // GROUP)
+    each = -(-len(segments) // GROUP)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // each)) if each else 0  # few texts are gone through more often
+    steps = epochs * each
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(segments))
         for a in range(0, len(order), GROUP):
             part = [segments[i] for i in order[a : a + GROUP]]
