@@ -18,17 +18,21 @@ order of their text. An empty table gives no shards. Columns other than doc_id a
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._arrow import sliced, texts, values
+from ._exchange import hash_of, mix, prefix_hashes
 from ._shared import shared_folder
 
 END_ID = 1
@@ -54,29 +58,28 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    high = np.zeros(n, np.int64)
+    bits = np.zeros(n, np.int8)
     rest = ids.copy()
-    for s in (32, 16, 8, 4, 2, 1):
-        big = rest >> np.uint64(s) > 0
-        high[big] += s
-        rest[big] >>= np.uint64(s)
-    bits = high + (ids > 0)
+    for k in (32, 16, 8, 4, 2, 1):
+        if len(big := np.flatnonzero(rest >> np.uint64(k))):
+            bits[big] += k
+            rest[big] >>= np.uint64(k)
+    bits += ids > 0
     bits[ids == np.uint64((1 << 60) - 1)] = 61  # its word would be the escape
-    chosen = np.full(n, -1)
-    place = np.arange(n)
+    chosen = np.full(n, -1, np.int8)
+    wide = np.zeros(n + 1, np.int32)
     for selector in range(15, -1, -1):  # the last that fits holds the most
         width, count = int(WIDTHS[selector]), int(COUNTS[selector])
-        wide = np.cumsum(np.append(0, bits > width))
-        fits = place + count <= n
-        fits[fits] = wide[place[fits] + count] == wide[place[fits]]
-        chosen[fits] = selector
+        if count <= n:
+            np.cumsum(bits > width, out=wide[1:])
+            np.putmask(chosen[: n - count + 1], wide[count:] == wide[: n - count + 1], selector)
     step = np.where(chosen < 0, 1, COUNTS[chosen]).tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
         at += step[at]
     starts = np.array(starts)
-    kind = chosen[starts]
+    kind = chosen[starts].astype(np.int64)
     size = np.where(kind < 0, 2, 1)
     target = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint64)
@@ -149,36 +152,102 @@ def read_block(data: bytes, number: int) -> np.ndarray:
     return decode_words(np.frombuffer(data, "<u8", end - begin, at + 8 * (n_blocks + 1) + 8 * begin))
 
 
+#: White space that words are cut at. Other kinds stay inside words, where the tokenizer sees to them.
+CUT = np.zeros(256, bool)
+CUT[[0x20, 0x09, 0x0A, 0x0D]] = True
+#: Beside an ASCII letter or digit, these are always tokens of their own.
+POINT, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+POINT[list(b".,;:!?")] = True
+PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+
+
 class WordEncoder:
-    """Ids of texts by way of their words; at most `limit` distinct words are held."""
+    """Ids of texts by way of their words: a word's ids are worked out once and kept as arrays, for about `limit` words.
+
+    Words are known by 64-bit hashes of their bytes.
+    """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _add(self, words: list[bytes]) -> None:
+        """Words go to the tokenizer many at a time: those of letters alone with spaces between, as each ends in an id that ends a
+        word; others with a special token between; those that may hold a special token by themselves."""
+        special = max(self.special.values(), default=None)
+        mark = next((k for k, v in self.special.items() if v == special), None)
+        plain = [w.decode("utf-8", "replace") for w in words]
+        parts: list[np.ndarray | None] = [None] * len(words)
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(plain):
+            letters = unicodedata.normalize("NFC", w).lower().isalpha()
+            kinds[0 if letters else 2 if mark is None or any(k in w for k in self.special) else 1].append(i)
+        for kind, between in ((0, " "), (1, mark)):
+            for a in range(0, len(kinds[kind]), 512):
+                part = kinds[kind][a : a + 512]
+                ids = np.array(self._encode(between.join([plain[i] for i in part])), np.int32)
+                if kind:
+                    begin, end = np.append(0, np.flatnonzero(ids == special) + 1), np.append(np.flatnonzero(ids == special), len(ids))
+                else:
+                    end = np.flatnonzero(self.ends[ids]) + 1
+                    begin = np.append(0, end[:-1])
+                if len(end) != len(part):  # the tokenizer sees words otherwise than expected here
+                    kinds[2].extend(part)
+                    continue
+                for i, x, y in zip(part, begin.tolist(), end.tolist(), strict=True):
+                    parts[i] = ids[x:y]
+        for i in kinds[2]:
+            parts[i] = np.array(self._encode(plain[i]), np.int32)
+        self.ids = np.concatenate([self.ids, *parts])
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(x) for x in parts]))
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def __call__(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's number of ids), with END_ID."""
-        # ASCII white space only: within what is left, the tokenizer sees to the rest
-        words = [t.decode("utf-8", "replace").translate(_SPACES).split(" ") for t in raw]
         if len(self.known) > self.limit:
-            self.known.clear()
-        fresh = list(dict.fromkeys(w for own in words for w in own if w not in self.known))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = e.ids
-        known, flat, lengths = self.known, [], []
-        for own in words:
-            before = len(flat)
-            for w in own:
-                flat += known[w]
-            flat.append(END_ID)
-            lengths.append(len(flat) - before)
-        return np.array(flat, np.uint64), np.array(lengths, np.int64)
-
-
-_SPACES = str.maketrans("\t\n\r", "   ")
+            self._clear()
+        joined = b" ".join([*raw, b""])
+        data = np.frombuffer(joined, np.uint8)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~CUT[data]
+        apart = np.zeros(len(data) + 1, bool)
+        point, plain = POINT[data], PLAIN[data]
+        apart[1:-1] = (plain[:-1] & point[1:]) | (point[:-1] & plain[1:])
+        begin, end = np.flatnonzero(inside[1:] & (~inside[:-1] | apart)), np.flatnonzero(inside[:-1] & (~inside[1:] | apart))
+        size = end - begin
+        which, different = pd.factorize(mix(hash_of(prefix_hashes(data), begin, size) ^ size.astype(np.uint64)))
+        at = np.searchsorted(self.known, different)
+        at[at == len(self.known)] = 0
+        old = self.known[at] == different if len(self.known) else np.zeros(len(different), bool)
+        number = np.where(old, self.number[at] if len(self.known) else 0, 0)
+        if len(fresh := np.flatnonzero(~old)):
+            first = np.zeros(len(different), np.int64)
+            first[which[::-1]] = np.arange(len(which))[::-1]
+            number[fresh] = len(self.begin) - 1 + np.arange(len(fresh))
+            self._add([joined[i:j] for i, j in zip(begin[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)])
+            order = np.argsort(different[fresh])
+            new = different[fresh][order]
+            at = np.searchsorted(self.known, new)
+            self.known, self.number = np.insert(self.known, at, new), np.insert(self.number, at, number[fresh][order])
+        number = number[which]
+        many = self.begin[number + 1] - self.begin[number]
+        flat = self.ids[np.repeat(self.begin[number] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        ends = np.cumsum([len(t) + 1 for t in raw])
+        lengths = np.bincount(np.searchsorted(ends, begin, "right"), many, len(raw)).astype(np.int64)[: len(raw)]
+        return np.insert(flat, np.cumsum(lengths), END_ID).astype(np.uint64), lengths + 1
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS) -> None:
