@@ -36,7 +36,7 @@ from ._exchange import hash_of, mix, prefix_hashes
 from ._shared import shared_folder
 
 END_ID = 1
-BLOCK = 1 << 14
+BLOCK = 1 << 12
 SHARD_IDS = 1 << 20
 MAGIC = b"S8BTOKEN"
 HEAD = struct.Struct("<8sIIQQQ")
@@ -48,53 +48,65 @@ ESCAPE = (1 << 64) - 1
 NO_ID = np.iinfo(np.int64).min
 
 
-def encode_block(ids: np.ndarray) -> np.ndarray:
-    """The 64-bit words of some ids (unsigned 64-bit).
+def _largest(bits: np.ndarray, count: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """The largest of each `count` neighbouring values, from that of fewer; as long as bits, the last count - 1 have no meaning."""
+    if count not in known:
+        half = max(k for k in known if k < count)
+        rest = max(k for k in known if k <= half and k >= count - half) if half < count - half else half
+        if half + rest < count:
+            _largest(bits, half + rest, known)
+            return _largest(bits, count, known)
+        x = known[half].copy()
+        np.maximum(x[: len(x) - (count - rest)], known[rest][count - rest :], out=x[: len(x) - (count - rest)])
+        known[count] = x
+    return known[count]
 
-    How many ids each selector could take from each position is worked out for all positions at once; then only the
-    chain of words that are really used is followed, and each selector's words are put together by shifts.
+
+def encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the 64-bit words of all blocks, where each block's begin) of unsigned 64-bit ids.
+
+    How much each selector could take from each position is worked out for all positions at once; then the chains of words
+    that are really used are followed, a step for all blocks at once, and each selector's words put together by shifts.
     """
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64)
-    bits = np.zeros(n, np.int8)
-    rest = ids.copy()
-    for k in (32, 16, 8, 4, 2, 1):
-        if len(big := np.flatnonzero(rest >> np.uint64(k))):
-            bits[big] += k
-            rest[big] >>= np.uint64(k)
-    bits += ids > 0
-    bits[ids == np.uint64((1 << 60) - 1)] = 61  # its word would be the escape
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.int8)
+    bits[ids >= np.uint64((1 << 60) - 1)] = 61  # an escape, as is the word that the last of these would have
+    begins = np.arange(0, n, block)
+    ends = np.minimum(begins + block, n)
+    room = (np.repeat(ends, ends - begins) - np.arange(n)).astype(np.int32)
     chosen = np.full(n, -1, np.int8)
-    wide = np.zeros(n + 1, np.int32)
+    known = {1: bits}
     for selector in range(15, -1, -1):  # the last that fits holds the most
-        width, count = int(WIDTHS[selector]), int(COUNTS[selector])
-        if count <= n:
-            np.cumsum(bits > width, out=wide[1:])
-            np.putmask(chosen[: n - count + 1], wide[count:] == wide[: n - count + 1], selector)
-    step = np.where(chosen < 0, 1, COUNTS[chosen]).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+        count = int(COUNTS[selector])
+        if count <= min(block, n):
+            np.putmask(chosen, (_largest(bits, count, known) <= WIDTHS[selector]) & (room >= count), selector)
+    step = np.where(chosen < 0, 1, COUNTS[chosen])
+    at, found = begins, []
+    while len(at):
+        found.append(at)
+        at = at + step[at]
+        live = at < ends
+        at, ends = at[live], ends[live]
+    starts = np.sort(np.concatenate(found))
     kind = chosen[starts].astype(np.int64)
     size = np.where(kind < 0, 2, 1)
     target = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint64)
-    for selector in np.unique(kind).tolist():
+    for selector in np.flatnonzero(np.bincount(kind + 1)) - 1:
         own = np.flatnonzero(kind == selector)
         if selector < 0:
             out[target[own]], out[target[own] + 1] = np.uint64(ESCAPE), ids[starts[own]]
             continue
         width, count = int(WIDTHS[selector]), int(COUNTS[selector])
-        word = np.full(len(own), np.uint64(selector << 60))
+        word = np.full(len(own), np.uint64(int(selector) << 60))
         if width:
-            part = ids[starts[own][:, None] + np.arange(count)] << (np.arange(count) * width).astype(np.uint64)
-            word |= np.bitwise_or.reduce(part, axis=1)
+            for k in range(count):
+                word |= ids[starts[own] + k] << np.uint64(k * width)
         out[target[own]] = word
-    return out
+    return out, np.append(target, len(out))[np.searchsorted(starts, np.append(begins, n))]
 
 
 def decode_words(words: np.ndarray) -> np.ndarray:
@@ -114,19 +126,19 @@ def decode_words(words: np.ndarray) -> np.ndarray:
     out = np.zeros(int(count.sum()), np.uint64)
     out[first[plain]] = words[plain]
     coded = ~escape & ~plain
-    for s in np.unique(selector[coded]).tolist():
+    for s in np.flatnonzero(np.bincount(selector[coded], minlength=16)).tolist():
         if width := int(WIDTHS[s]):
             own = np.flatnonzero(coded & (selector == s))
-            k = np.arange(int(COUNTS[s]))
-            out[(first[own][:, None] + k).ravel()] = ((words[own][:, None] >> (k * width).astype(np.uint64)) & np.uint64((1 << width) - 1)).ravel()
+            begin, word = first[own], words[own]
+            for k in range(int(COUNTS[s])):
+                out[begin + k] = (word >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
     return out
 
 
 def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    blocks = [encode_block(ids[i : i + block]) for i in range(0, len(ids), block)]
-    offsets = np.cumsum([0] + [len(b) for b in blocks]).astype("<u8")
-    head = HEAD.pack(MAGIC, 1, block, len(doc_ids), len(ids), len(blocks))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), offsets.tobytes(), *(b.astype("<u8").tobytes() for b in blocks)])
+    words, offsets = encode_blocks(ids, block)
+    head = HEAD.pack(MAGIC, 1, block, len(doc_ids), len(ids), len(offsets) - 1)
+    return b"".join([head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
 
 
 def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,6 +232,8 @@ class WordEncoder:
         if len(self.known) > self.limit:
             self._clear()
         joined = b" ".join([*raw, b""])
+        if b"<|" not in joined:  # the tokenizer goes by lower case, but for its special tokens
+            joined = joined.lower()
         data = np.frombuffer(joined, np.uint8)
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = ~CUT[data]
