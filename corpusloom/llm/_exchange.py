@@ -50,7 +50,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
         up[0] = down[0] = 1
         _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]

@@ -1,6 +1,7 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and lossless decoding.
 
-A text is cut into units (a word with the space before it, a lone space, a line break). Over each unit lies a lattice: an
+A text is cut into units (a word with the space before it, what stands from a full stop or the like on to the next space, a
+lone space, a line break). Over each unit lies a lattice: an
 edge for every substring that is a piece of the vocabulary, and for a character that is none, an edge of its UTF-8 bytes'
 pieces. An edge weighs (1 + rank)^-sharpness, where rank is the piece's place in the vocabulary's scores. Forward filtering
 sums the weights of all ways to each position; backward sampling then draws, from the unit's end, the last piece in
@@ -16,22 +17,23 @@ table gives an empty one. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_texts, sliced, texts
+from ._arrow import sliced, slices, texts
 from ._exchange import hash_of, mix, prefix_hashes
 
 SHARPNESS = 1.0
 SEED = 20
 #: Fixed value: SentencePiece's mark for a space.
 SPACE = "▁"
+#: Units also end between an ASCII letter or digit and one of these.
+POINT, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+POINT[list(b".,;:!?\"')]}*%&#$")] = True
+LETTER[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 
 
 class Pieces:
@@ -67,6 +69,10 @@ class Pieces:
             self.maybe[self.low(mix(hash_of(prefix, begin[size >= n], n) ^ np.uint64(n)))] = True
         by = np.argsort(h)
         self.hash, self.id = h[by], np.array([i for i, _ in plain])[by]
+        low, count = np.unique(self.low(self.hash), return_counts=True)
+        self.slot = np.zeros(self.BITS + 1, np.int32)  # where a hash with these lowest bits would be; len(hash): ask for it
+        self.slot[self.low(self.hash)] = np.arange(len(self.hash))
+        self.slot[low[count > 1]] = len(self.hash)
         self.size = np.array([len(x) for x in self.raw])
         self.pool = np.frombuffer(b"".join(self.raw), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
@@ -77,8 +83,10 @@ class Pieces:
         return (h & np.uint64(self.BITS)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hash, h)
-        at[at == len(self.hash)] = 0
+        """The pieces' ids; -1: none."""
+        at = self.slot[self.low(h)]
+        if len(shared := np.flatnonzero(at == len(self.hash))):
+            at[shared] = np.minimum(np.searchsorted(self.hash, h[shared]), len(self.hash) - 1)
         return np.where(self.hash[at] == h, self.id[at], -1)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -89,8 +97,8 @@ class Pieces:
 class Lattices:
     """The filtered lattices of units met so far: nodes are positions in units, edges lead back from each."""
 
-    def __init__(self, pieces: Pieces, limit: int = 350_000):
-        self.pieces, self.limit, self.salt = pieces, limit, 0
+    def __init__(self, pieces: Pieces, limit: int = 100_000, at_once: int = 1 << 17):
+        self.pieces, self.limit, self.at_once, self.salt = pieces, limit, at_once, 0
         self._clear()
 
     def _clear(self) -> None:
@@ -121,14 +129,29 @@ class Lattices:
             first[which[::-1]] = np.arange(len(which))[::-1]
             where = first[fresh]
             n = size[where]
-            self._add(raw[np.repeat(begin[where] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
+            made = []
+            for a, b in slices(n, self.at_once):
+                own = n[a:b]
+                made.append(self._filtered(raw[np.repeat(begin[where[a:b]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own))
+            self._add(made)
             self.known, self.number = np.append(self.known, different[fresh]), np.append(self.number, number[fresh])
             order = np.argsort(self.known)
             self.known, self.number = self.known[order], self.number[order]
         return number[which]
 
-    def _add(self, raw: np.ndarray, n_bytes: np.ndarray) -> None:
-        """raw: the new units' bytes, end to end."""
+    def _add(self, made: list[tuple[np.ndarray, ...]]) -> None:
+        grown: list[list[np.ndarray]] = [[self.first], [self.last], [self.edge[:-1]], [self.share], [self.source], [self.ids], [self.id_begin]]
+        nodes, edges, ids = len(self.edge) - 1, len(self.source), len(self.ids)
+        for first, last, edge, share, source, own_ids, many in made:
+            new = first + nodes, last + nodes, edge[:-1] + edges, share, source + nodes, own_ids, ids + np.cumsum(many)
+            nodes, edges, ids = nodes + len(edge) - 1, edges + len(source), ids + len(own_ids)
+            for old, x in zip(grown, new, strict=True):
+                old.append(x.astype(old[0].dtype))
+        grown[2].append(np.array([edges], np.int32))
+        self.first, self.last, self.edge, self.share, self.source, self.ids, self.id_begin = (np.concatenate(x) for x in grown)
+
+    def _filtered(self, raw: np.ndarray, n_bytes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of new units, whose bytes stand end to end: first and last nodes, where nodes' edges begin, edges' cumulative probabilities and sources, ids, ids of each edge."""
         p = self.pieces
         # a space is the mark; the mark itself is a character that no piece holds
         real = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
@@ -195,13 +218,7 @@ class Lattices:
             more = own + 1 < last
             own, last = own[more] + 1, last[more]
             score[own] += score[own - 1]
-        base, edges = len(self.edge) - 1, len(self.source)
-        self.first, self.last = np.append(self.first, base + node0), np.append(self.last, base + node0 + size)
-        self.share = np.append(self.share, score.astype(np.float32))
-        self.source = np.append(self.source, (base + source).astype(np.int32))
-        self.edge = np.append(self.edge[:-1], (edges + edge).astype(np.int32))
-        self.ids = np.append(self.ids, ids.astype(np.int32))
-        self.id_begin = np.append(self.id_begin, (self.id_begin[-1] + np.cumsum(many)).astype(np.int32))
+        return node0, node0 + size, edge, score, source, ids, many
 
     def sample(self, number: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in order, each unit's number of ids); key: a random 64-bit number for each unit."""
@@ -247,6 +264,7 @@ class Sampler:
         opens = (data == 0x20) | (data == 0x0A)
         opens[1:] |= data[:-1] == 0x0A
         opens[begins[size > 0]] = True
+        opens[1:] |= LETTER[data[:-1]] & POINT[data[1:]]
         begin = np.flatnonzero(opens)
         length = np.diff(np.append(begin, len(data)))
         first = np.searchsorted(begin, np.append(begins, len(data)))
@@ -266,7 +284,7 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, sharpness: floa
 
     def run(batches):
         sampler = Sampler(model, seed, sharpness)
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1 << 20):
             raw = batch.column("text").to_pylist()
             keys = batch.column("doc_id").fill_null(0).to_numpy()
             ids, edges = sampler(keys, [x or b"" for x in raw])
@@ -292,17 +310,5 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def pieces_digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit numbers), text_sha256 (of the decoded text)."""
-
-    def fn(batch):
-        lists = batch.column("ids")
-        edges = np.asarray(lists.offsets)
-        raw = np.asarray(lists.values, "<u4") if len(lists.values) else np.zeros(0, "<u4")
-        rows = [None if n else raw[i:j] for n, i, j in zip(lists.is_null().to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return {
-            "doc_id": batch.column("doc_id"), "n_ids": [None if x is None else len(x) for x in rows],
-            "ids_crc32": [None if x is None else zlib.crc32(x) for x in rows],
-            "text_sha256": [None if x is None else hashlib.sha256(x).hexdigest() for x in batch.column("text").to_pylist()],
-        }
-
-    return map_texts(decoded.withColumn("text", F.col("text").cast("binary")), fn, "doc_id long, n_ids long, ids_crc32 long, text_sha256 string")
+    """doc_id, n_ids, ids_hash (xxhash64 of the ids), text_sha256 (of the decoded text)."""
+    return decoded.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_ids"), F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), F.sha2("text", 256).alias("text_sha256"))
