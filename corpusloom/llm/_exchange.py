@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import texts
+from ._arrow import let_go, texts
 
 #: A packed entry: to bucket r, of or for batch b.
 PACKED = "r int, b int, kind int, data binary"
@@ -50,7 +50,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n // (1 << 18)) * (1 << 18)  # in steps: lengths vary a little
         up, down = np.full(size, BASE), np.full(size, BASE_INVERSE)
         up[0] = down[0] = 1
         _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
@@ -194,7 +194,10 @@ def by_batch(docs: DataFrame, side: DataFrame, fn: Callable, schema: str) -> Dat
         given: dict[int, list[list[np.ndarray]]] = {}
         for kind, data in zip(right.column("kind").to_pylist(), right.column("data"), strict=True):
             given.setdefault(kind, []).append(unpack(data.as_buffer()))
-        return fn(Batch(left), given)
+        out = fn(Batch(left), given)
+        del given, left, right
+        let_go()
+        return out
 
     return docs.groupBy("b").cogroup(side.groupBy("b")).applyInArrow(run, schema)
 
@@ -206,7 +209,10 @@ def by_bucket(entries: DataFrame, fn: Callable) -> DataFrame:
         out = Rows()
         cols = (table.column(k).to_pylist() for k in ("b", "kind"))
         fn(table.column("r")[0].as_py(), [(b, k, unpack(d.as_buffer())) for b, k, d in zip(*cols, table.column("data"), strict=True)], out)
-        return out.table()
+        made = out.table()
+        del out, table, cols
+        let_go()
+        return made
 
     p = n_buckets(entries)
     return entries.select(_evenly(F.col("r"), p, p).alias("label"), *PACKED_ARROW.names).groupBy("label").applyInArrow(run, PACKED)

@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._arrow import map_texts, texts, values
+from ._arrow import let_go, map_texts, sliced, texts, values
 from ._ngrams import Vocabulary, all_features, word_features, words_of
 
 LOW, HIGH = 2, 5
 BUCKETS, SIZE = 1 << 17, 16
 MAX_ROWS, MAX_BYTES = 400, 64 << 20
 EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 3, 300, 8.0, 128, 7
-REJECT, HIGHEST = 0.001, 0.5
+REJECT, HIGHEST = 0.001, 0.35
 UNKNOWN = "und"
 
 
@@ -171,11 +171,11 @@ def keep_identified(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from ._arrow import sliced
-
         predict = model.value.predictor()
         for batch in sliced(batches):
             raw = [(x or "").encode("utf-8", "replace") for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([not r for r in predict(raw)[2]], pa.bool_()))
+        del predict
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)

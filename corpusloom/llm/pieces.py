@@ -17,13 +17,15 @@ table gives an empty one. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import sliced, slices, texts
+from ._arrow import let_go, sliced, slices, texts
 from ._exchange import hash_of, mix, prefix_hashes
 
 SHARPNESS = 1.0
@@ -94,6 +96,12 @@ class Pieces:
         return self.pool[np.repeat(self.begin[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
 
 
+@lru_cache(4)
+def vocabulary(path: str, sharpness: float = SHARPNESS) -> Pieces:
+    """A worker's own, read once."""
+    return Pieces(path, sharpness)
+
+
 class Lattices:
     """The filtered lattices of units met so far: nodes are positions in units, edges lead back from each."""
 
@@ -250,7 +258,7 @@ class Lattices:
 
 class Sampler:
     def __init__(self, path: str, seed: int = SEED, sharpness: float = SHARPNESS):
-        self.pieces = Pieces(path, sharpness)
+        self.pieces = vocabulary(path, sharpness)
         self.lattices, self.seed = Lattices(self.pieces), seed
 
     def __call__(self, keys: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -290,6 +298,9 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, sharpness: floa
             ids, edges = sampler(keys, [x or b"" for x in raw])
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([x is None for x in raw], pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+            del raw, ids, lists
+        del sampler
+        let_go()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -298,13 +309,15 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, ids, text."""
 
     def run(batches):
-        pieces = Pieces(model)
+        pieces = vocabulary(model)
         for batch in batches:
             lists = batch.column("ids")
             flat = np.asarray(lists.values.fill_null(0) if lists.values.null_count else lists.values, np.int64)
             edges, null = np.asarray(lists.offsets), lists.is_null().to_pylist()
             out = [None if n else pieces.decode(flat[a:b]).decode("utf-8", "replace") for n, a, b in zip(null, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+            del lists, flat, out
+        let_go()
 
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
 

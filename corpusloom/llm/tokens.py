@@ -23,6 +23,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._arrow import sliced, texts, values
+from ._arrow import let_go, sliced, texts, values
 from ._exchange import hash_of, mix, prefix_hashes
 from ._shared import shared_folder
 
@@ -194,35 +195,40 @@ class WordEncoder:
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _add(self, words: list[bytes]) -> None:
-        """Words go to the tokenizer many at a time: those of letters alone with spaces between, as each ends in an id that ends a
-        word; others with a special token between; those that may hold a special token by themselves."""
+    def _add(self, words: list[bytes]) -> list[int]:
+        """The order in which words were added. They go to the tokenizer many at a time: those of letters alone with spaces
+        between, as each ends in an id that ends a word; others with a special token between; those that may hold one by themselves."""
         special = max(self.special.values(), default=None)
         mark = next((k for k, v in self.special.items() if v == special), None)
         plain = [w.decode("utf-8", "replace") for w in words]
-        parts: list[np.ndarray | None] = [None] * len(words)
         kinds: tuple[list[int], ...] = ([], [], [])
         for i, w in enumerate(plain):
-            letters = unicodedata.normalize("NFC", w).lower().isalpha()
+            letters = w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())
             kinds[0 if letters else 2 if mark is None or any(k in w for k in self.special) else 1].append(i)
+        order, ids, sizes = [], [], []
         for kind, between in ((0, " "), (1, mark)):
             for a in range(0, len(kinds[kind]), 512):
                 part = kinds[kind][a : a + 512]
-                ids = np.array(self._encode(between.join([plain[i] for i in part])), np.int32)
+                own = np.array(self._encode(between.join([plain[i] for i in part])), np.int32)
                 if kind:
-                    begin, end = np.append(0, np.flatnonzero(ids == special) + 1), np.append(np.flatnonzero(ids == special), len(ids))
+                    stop = own == special
+                    size = np.diff(np.flatnonzero(np.concatenate([[True], stop, [True]]))) - 1
+                    own = own[~stop]
                 else:
-                    end = np.flatnonzero(self.ends[ids]) + 1
-                    begin = np.append(0, end[:-1])
-                if len(end) != len(part):  # the tokenizer sees words otherwise than expected here
+                    size = np.diff(np.append(0, np.flatnonzero(self.ends[own]) + 1))
+                if len(size) != len(part) or size.sum() != len(own):  # the tokenizer sees words otherwise than expected here
                     kinds[2].extend(part)
                     continue
-                for i, x, y in zip(part, begin.tolist(), end.tolist(), strict=True):
-                    parts[i] = ids[x:y]
+                order += part
+                ids.append(own)
+                sizes.append(size)
         for i in kinds[2]:
-            parts[i] = np.array(self._encode(plain[i]), np.int32)
-        self.ids = np.concatenate([self.ids, *parts])
-        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(x) for x in parts]))
+            order.append(i)
+            ids.append(np.array(self._encode(plain[i]), np.int32))
+            sizes.append(np.array([len(ids[-1])]))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes)))
+        return order
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -250,8 +256,9 @@ class WordEncoder:
         if len(fresh := np.flatnonzero(~old)):
             first = np.zeros(len(different), np.int64)
             first[which[::-1]] = np.arange(len(which))[::-1]
-            number[fresh] = len(self.begin) - 1 + np.arange(len(fresh))
-            self._add([joined[i:j] for i, j in zip(begin[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)])
+            base = len(self.begin) - 1
+            added = self._add([joined[i:j] for i, j in zip(begin[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)])
+            number[fresh[added]] = base + np.arange(len(fresh))
             order = np.argsort(different[fresh])
             new = different[fresh][order]
             at = np.searchsorted(self.known, new)
@@ -264,12 +271,18 @@ class WordEncoder:
         return np.insert(flat, np.cumsum(lengths), END_ID).astype(np.uint64), lengths + 1
 
 
+@lru_cache(2)
+def _encoder(path: str) -> WordEncoder:
+    """A worker's own: words stay known from task to task."""
+    return WordEncoder(path)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS) -> None:
     """Writes (part, number, n_tokens, data) rows: shards in order of (part, number)."""
     from pyspark import TaskContext
 
     def run(batches):
-        encode, number = WordEncoder(tokenizer), 0
+        encode, number = _encoder(tokenizer), 0
         part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -285,9 +298,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int =
             size += len(ids)
             if size >= shard_ids:
                 yield shard()
-                held, size, number = [], 0, number + 1
+                held.clear()
+                size, number = 0, number + 1
         if held:
             yield shard()
+        held.clear()
+        let_go()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
