@@ -9,7 +9,8 @@ Calibration, on training texts kept out of the descent: one temperature that mak
 log-loss), then the confidence below which a text is rejected: what at most REJECT of these texts, and of their first
 20 words alone, fall under, and never over HIGHEST.
 
-Trained on at most MAX_ROWS texts a language, those with the least hash of their doc_id, and at most MAX_BYTES of text.
+Trained on at most MAX_ROWS texts a language, those with the least hash of their doc_id, of at most MAX_TEXT bytes each
+and MAX_BYTES together.
 Null languages are not learned. Null texts and texts without a letter are `und` with score 0 and rejected; so is all if
 nothing can be learned. Ties go to the language that sorts first. Repeated rows give repeated results, an empty table
 an empty one. Only the text is an input of a prediction.
@@ -27,7 +28,7 @@ from ._ngrams import Vocabulary, all_features, word_features, words_of
 
 LOW, HIGH = 2, 5
 BUCKETS, SIZE = 1 << 17, 16
-MAX_ROWS, MAX_BYTES = 400, 64 << 20
+MAX_ROWS, MAX_BYTES, MAX_TEXT = 400, 64 << 20, 256 << 10
 EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 3, 300, 8.0, 128, 7
 REJECT, HIGHEST = 0.001, 0.35
 UNKNOWN = "und"
@@ -42,12 +43,12 @@ def sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]
     """(lang, text), the same number of each language at most. First the ids alone are ranked, with a limit inside each partition."""
     rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    # a salt spreads a frequent language; each of its 16 parts keeps max_rows
-    part = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(16))).withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= max_rows)
+    # a salt spreads a frequent language; each of its 64 parts keeps max_rows
+    part = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= max_rows)
     chosen = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= max_rows).select("doc_id", "lang")
     ids = chosen.collect()  # max_rows a language
     known = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string") if ids else chosen
-    found = sorted((r["lang"], r["doc_id"], bytes(r["text"] or b"")) for r in texts(docs).join(F.broadcast(known), "doc_id").select("lang", "doc_id", "text").collect())
+    found = sorted((r["lang"], r["doc_id"], bytes(r["text"] or b"")) for r in texts(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT).join(F.broadcast(known), "doc_id").select("lang", "doc_id", "text").collect())
     out, size = [], 0
     for lang, _, text in found:
         if size + len(text) <= MAX_BYTES:
