@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm import decontaminate, langid, near_dedup, passage_dedup, pieces
-from corpusloom.llm._shared import shared_folder
+from corpusloom.sources.shared import shared_folder
 
 PIECES = "piece_bpe_32k.model"
 

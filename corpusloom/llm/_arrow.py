@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator handles at once in Python.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def let_go() -> None:

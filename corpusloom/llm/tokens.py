@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from ._arrow import let_go, sliced, texts, values
 from ._exchange import hash_of, mix, prefix_hashes
-from ._shared import shared_folder
+from ..sources.shared import shared_folder
 
 END_ID = 1
 BLOCK = 1 << 12
