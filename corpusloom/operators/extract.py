@@ -24,6 +24,11 @@ from ..functions.urls import resolve
 NO_TITLE = "Okänd"
 REMOVED = {"script", "style", "nav", "footer", "aside", "iframe", "svg", "button", "form"}
 NOISE = re.compile(r"cookie|banner|menu|nav|sidebar|footer|share|social", re.I)
+PUBLISHED = {"property": re.compile(r"article:published_time|og:pubdate", re.I), "name": re.compile(r"pubdate|date", re.I)}
+MODIFIED = {"property": re.compile(r"article:modified_time|og:updated_time", re.I), "name": re.compile(r"last-modified|revised", re.I), "itemprop": {"dateModified"}}
+CHANGED_CLASS = re.compile("update|modify", re.I)
+KEYWORDS, DESCRIPTION, AUTHORS, KIND = re.compile("keywords", re.I), re.compile("description", re.I), {"author", "DC.creator"}, {"og:type"}
+COMPLETE = ("http://", "https://", "mailto:", "#", "javascript:")
 HEADINGS = {"h1", "h2", "h3", "h4"}
 LISTS = {"ul", "ol"}
 LEAST_PARAGRAPH = 6
@@ -138,12 +143,10 @@ def _inline(element: Node) -> str:
 
 def _dates(top: Node, metas: list[Node]) -> tuple[str, str, str]:
     """(published, modified, visible text if one is still wanting)."""
-    pub = _content(_meta(metas, "property", re.compile(r"article:published_time|og:pubdate", re.I)) or _meta(metas, "name", re.compile(r"pubdate|date", re.I))).strip()
-    tag = _meta(metas, "property", re.compile(r"article:modified_time|og:updated_time", re.I)) or _meta(metas, "name", re.compile(r"last-modified|revised", re.I)) or _meta(metas, "itemprop", {"dateModified"})
-    mod = _content(tag).strip()
+    pub, mod = (_content(next((m for k, v in places.items() if (m := _meta(metas, k, v))), None)).strip() for places in (PUBLISHED, MODIFIED))
     if not mod:
         times = [n for n in top.walk() if n.tag == "time"]
-        tag = next((t for t in times if t.attrs.get("itemprop") == "dateModified"), None) or next((t for t in times if re.search("update|modify", t.attrs.get("class", ""), re.I)), None)
+        tag = next((t for t in times if t.attrs.get("itemprop") == "dateModified"), None) or next((t for t in times if CHANGED_CLASS.search(t.attrs.get("class", ""))), None)
         if tag:
             mod = tag.attrs.get("datetime", tag.text())
     for script in top.walk() if not (pub and mod) else ():
@@ -205,23 +208,23 @@ def parse_page(html: str, url: str) -> dict:
     if title and len(title.children) != 1:
         return {"error": "title without text"}
     metas = [n for n in elements if n.tag == "meta"]
-    words = _content(_meta(metas, "name", re.compile("keywords", re.I)))
+    words = _content(_meta(metas, "name", KEYWORDS))
     root = next((n for n in elements if n.tag == "html"), None)
     pub, mod, visible = _dates(top, metas)
     anchors = [n for n in elements if n.tag == "a" and "href" in n.attrs]
     out = {
         "title": title.children[0].strip() if title else NO_TITLE,
         "keywords": [w.strip() for w in words.split(",")] if words else [],
-        "description": _content(_meta(metas, "name", re.compile("description", re.I))).strip(),
-        "author": _content(_meta(metas, "name", {"author", "DC.creator"})),
+        "description": _content(_meta(metas, "name", DESCRIPTION)).strip(),
+        "author": _content(_meta(metas, "name", AUTHORS)),
         "published": pub, "modified": mod, "visible": visible,
         "language": root.attrs.get("lang", "") if root else "",
-        "og_type": _content(_meta(metas, "property", {"og:type"})),
+        "og_type": _content(_meta(metas, "property", KIND)),
         "links": [a.attrs["href"].strip() for a in anchors], "error": None,
     }
     for a in anchors:
         href = a.attrs["href"]
-        if href and not href.startswith(("http://", "https://", "mailto:", "#", "javascript:")):
+        if href and not href.startswith(COMPLETE):
             a.attrs["href"] = urljoin(url, href)
     return out | {"sections": _sections(top)}
 
