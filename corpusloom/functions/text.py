@@ -36,20 +36,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
-def _section_chunks(heading: Column, text: Column, max_words: int, overlap: int) -> Column:
-    body = strip(text)
-    own = words(body)
+def bound(value: Column, fn) -> Column:
+    """fn(value), where value is worked out once, however often fn uses it: inside a lambda, a plain expression is evaluated anew for each element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _windows(heading: Column, own: Column, max_words: int, overlap: int) -> Column:
     step = max_words - overlap
-    windows = F.transform(
+    return F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(own) - overlap) / step).cast("int") - 1)),
         lambda k: F.struct(
             F.when(k == 0, heading).otherwise(F.concat(heading, F.lit(" (del "), (k + 1).cast("string"), F.lit(")"))).alias("heading"),
             F.array_join(F.slice(own, k * step + 1, max_words), " ").alias("content"),
         ),
     )
+
+
+def _section_chunks(heading: Column, text: Column, max_words: int, overlap: int) -> Column:
     none = F.array().cast("array<struct<heading:string,content:string>>")
-    whole = F.array(F.struct(heading.alias("heading"), body.alias("content")))
-    return F.when(F.coalesce(body, F.lit("")) == "", none).when(F.size(own) <= max_words, whole).otherwise(windows)
+
+    def cut(body: Column) -> Column:
+        whole = F.array(F.struct(heading.alias("heading"), body.alias("content")))
+        return F.when(body == "", none).otherwise(bound(F.split(body, SPACE + "+"), lambda own: F.when(F.size(own) <= max_words, whole).otherwise(_windows(heading, own, max_words, overlap))))
+
+    return bound(F.coalesce(strip(text), F.lit("")), cut)
 
 
 def semantic_chunks(sections: Column, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> Column:
@@ -58,7 +68,8 @@ def semantic_chunks(sections: Column, max_words: int = MAX_WORDS, overlap: int =
     if not 0 < overlap < max_words:
         raise ValueError("the overlap must be over 0 and under the window")
     flat = F.flatten(F.transform(sections, lambda s: _section_chunks(F.coalesce(s["heading"], F.lit(DEFAULT_HEADING)), s["text"], max_words, overlap)))
-    return F.transform(flat, lambda c, i: F.struct(c["heading"].alias("heading"), c["content"].alias("content"), (i + 1).alias("chunk_index"), F.size(flat).alias("total_chunks")))
+    number = lambda f: F.transform(f, lambda c, i: F.struct(c["heading"].alias("heading"), c["content"].alias("content"), (i + 1).alias("chunk_index"), F.size(f).alias("total_chunks")))
+    return bound(flat, number)
 
 
 def text_chunks(text: Column, heading: Column | None = None, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> Column:

@@ -23,10 +23,11 @@ START, SITEMAP, LINK = 1, 5, 15
 
 #: White space as Python sees it: Unicode's, and the four information separators.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, SPACE + r"+\z|\A" + SPACE.removeprefix("(?U)") + "+", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def _clean(url: Column) -> Column:
