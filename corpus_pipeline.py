@@ -54,7 +54,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text (decoded from the ids), ids, n_ids."""
     model = public_tokenizers.path(PIECES)
-    return pieces.decode_pieces(pieces.encode_pieces(docs, model), model).select("doc_id", "text", "ids", F.size("ids").alias("n_ids"))
+    return pieces.encode_pieces(docs, model, decoded=True).select("doc_id", "text", "ids", F.size("ids").alias("n_ids"))
 
 
 STAGES = [

@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+#: Tables that are made anew when they are needed.
+REMAKEABLE: list[list] = []
+
+
 def let_go() -> None:
-    """Gives freed memory back to the system: idle Python workers otherwise keep what their last task needed."""
+    """Gives memory back to the system: idle Python workers otherwise keep what their last task needed."""
+    for table in REMAKEABLE:
+        table.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)

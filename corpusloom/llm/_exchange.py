@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import let_go, texts
+from ._arrow import REMAKEABLE, let_go, texts
 
 #: A packed entry: to bucket r, of or for batch b.
 PACKED = "r int, b int, kind int, data binary"
@@ -45,6 +45,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: list[np.ndarray] = []
+REMAKEABLE.append(_POWERS)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

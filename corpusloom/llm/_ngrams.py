@@ -51,7 +51,7 @@ def all_features(words: list[str], low: int, high: int, buckets: int, at_once: i
 class Vocabulary:
     """Numbers for words, with a table row for each that `fill(words)` works out; forgets all beyond `limit` words."""
 
-    def __init__(self, fill, width: int, limit: int = 300_000):
+    def __init__(self, fill, width: int, limit: int = 150_000):
         self.fill, self.width, self.limit = fill, width, limit
         self.number: dict[str, int] = {}
         self.table = np.zeros((0, width))

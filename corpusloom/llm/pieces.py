@@ -287,8 +287,8 @@ class Sampler:
             self.lattices.collided()  # two units with one hash: with another one, they differ
 
 
-def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
-    """doc_id, ids (array<int>): one row per row of docs."""
+def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, sharpness: float = SHARPNESS, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>): one row per row of docs. decoded: and text, decoded from the ids in the same pass."""
 
     def run(batches):
         sampler = Sampler(model, seed, sharpness)
@@ -297,12 +297,15 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, sharpness: floa
             keys = batch.column("doc_id").fill_null(0).to_numpy()
             ids, edges = sampler(keys, [x or b"" for x in raw])
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([x is None for x in raw], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
-            del raw, ids, lists
+            cols = {"doc_id": batch.column("doc_id"), "ids": lists}
+            if decoded:
+                cols["text"] = pa.array([None if x is None else sampler.pieces.decode(ids[a:b]).decode() for x, a, b in zip(raw, edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_pydict(cols)
+            del raw, ids, lists, cols
         del sampler
         let_go()
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:

@@ -48,7 +48,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.pieces_digest(pieces.decode_pieces(pieces.encode_pieces(read_documents(spark, sf_dir), model), model))
+    return pieces.pieces_digest(pieces.encode_pieces(read_documents(spark, sf_dir), model, decoded=True))
 
 
 def queries() -> dict:

@@ -35,6 +35,7 @@ OPERATORS = {
     "passages": lambda d, t: passage_dedup.passage_dedup(d),
     "media": lambda d, t: media.media_digest(media.read_media(media.encode_media(d))),
     "pieces": lambda d, t: pieces.decode_pieces(pieces.encode_pieces(d, MODEL), MODEL),
+    "pieces_at_once": lambda d, t: pieces.encode_pieces(d, MODEL, decoded=True),
 }
 
 
@@ -81,6 +82,7 @@ def test_defined_results(spark):
     assert ids[3] == ids[4] == (1, (1).to_bytes(4, "little"))
     texts = by_id(OPERATORS["pieces"](docs, t).collect(), "text", "ids")
     assert texts[3] == (None, None) and texts[4] == ("", []) and all(texts[r[0]][0] == r[1] for r in ROWS if r[0] in texts)
+    assert texts == by_id(OPERATORS["pieces_at_once"](docs, t).collect(), "text", "ids")
     pictures = by_id(OPERATORS["media"](docs, t).collect(), "n_bytes", "payload_bytes", "feature")
     assert pictures[3] == pictures[4] and pictures[4][:2] == (0, 64) and pictures[1] == pictures[2]
 
