@@ -186,7 +186,7 @@ def _similar(batches):
         n = len(data) // 12
         return np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
 
-    for batch in batches:
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         ok = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             (i, n), (j, m) = bag(x), bag(y)
