@@ -197,7 +197,7 @@ def _answer(shared, order: int):
                 some = count > 0
                 answer = log_probabilities(key, key[some], count[some], *shared.value, order)
             else:
-                answer = count
+                answer = count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count
                 out.add(r, -1, DISTINCT, pack(np.array([(count > 0).sum()], np.int64)))
             at = 0
             for b, x in own:
