@@ -11,9 +11,13 @@ exactly their weighted Jaccard similarity. Processes are followed in rounds, for
 only while its next point can still be earlier than the document's latest component.
 
 Bands of 4 of the 64 components are sorted by (band's hash, sketch of the next components) over a range partitioning, so
-a bucket that holds a third of all documents is spread over many tasks. In a bucket each document is paired with the
-first one, and, unless both agree well with that, with its neighbours in sketch order: pairs grow with the documents,
-not with their square. Pairs are checked on the bags themselves. Equal texts are put together beforehand and count as one.
+a bucket that holds a third of all documents is spread over many tasks. First each document of a bucket is paired with the
+first one, and, unless both agree well with that, with its neighbours in sketch order, and the pairs are checked on the
+bags themselves. A bucket whose documents are then in one component has nothing more to tell. In every other one, all
+documents outside its largest component are compared with all of the bucket, on the bags and block by block; in large
+buckets the document with most links is tried with all others before that, which joins the copies of one original. So each
+pair that shares a band is compared, or its documents are known to be in one class. What is left for blocks can grow with
+the square of a bucket of documents that are alike but under 0.8. Equal texts are put together beforehand and count as one.
 The chance that a single pair at 0.8 shares no band is 0.0002; one at 0.9 shares one but for 4e-8.
 
 Texts without words (null, empty) and rows without doc_id are in no group: their class is their own doc_id. Rows with one
@@ -41,6 +45,8 @@ BANDS = PARTS // ROWS
 SKETCH, LEAST, SURE = 32, 16, 28
 #: Neighbours in sketch order.
 NEAR = 4
+#: Documents and bytes of bags in a block; rounds that try a large bucket's document with most links first.
+BLOCK, BLOCK_BYTES, HUBS = 1024, 8 << 20, 3
 #: The similarity as a fraction, so that the check is in whole numbers.
 OVER, UNDER = 4, 5
 
@@ -128,11 +134,15 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(ids)], ["key", "sketch", "id"])
 
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _pairs(batches):
-    """Candidate pairs of a partition that is sorted by key and sketch; what a bucket leaves for the next batch is its first document and its last few."""
+    """First pairs (null, a, b) of a partition that is sorted by key and sketch, and the members (key, a, null) of buckets.
+
+    What a bucket leaves for the next batch is its first document and its last few. All rows are members but those whose
+    bucket is seen to have no other: a bucket that goes on in another batch or partition is whole.
+    """
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -161,14 +171,18 @@ def _pairs(batches):
         held = key[keep], ids[keep], sketch[keep]
         a, b = np.concatenate(a), np.concatenate(b)
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], schema=PAIRS)
+        same = np.concatenate([[True], key[1:] == key[:-1], [True]])
+        member = np.flatnonzero((same[1:] | same[:-1] | (key == key[0]) | (key == key[-1])) & (np.arange(n) >= skip))
+        yield pa.RecordBatch.from_arrays([pa.nulls(found.shape[1], pa.int64()), pa.array(found[0]), pa.array(found[1])], schema=PAIRS)
+        yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(ids[member]), pa.nulls(len(member), pa.int64())], schema=PAIRS)
 
 
-def candidate_pairs(distinct: DataFrame) -> DataFrame:
-    """Pairs a < b of the doc_ids of (doc_id, sig) that share a band and look alike."""
+def buckets(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, sig): first pairs a < b of doc_ids that share a band and look alike; (key, id) of the buckets of more than one document."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = distinct.select("doc_id", "sig").mapInArrow(_bands, "key long, sketch binary, id long")
-    return rows.repartitionByRange(n, "key", "sketch").sortWithinPartitions("key", "sketch", "id").mapInArrow(_pairs, "a long, b long").distinct()
+    both = written(rows.repartitionByRange(n, "key", "sketch").sortWithinPartitions("key", "sketch", "id").mapInArrow(_pairs, "key long, a long, b long"))
+    return both.where("key IS NULL").select("a", "b").distinct(), both.where("key IS NOT NULL").select("key", F.col("a").alias("id")).distinct()
 
 
 def _bag_rows(docs: DataFrame) -> DataFrame:
@@ -205,14 +219,153 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
 
+def _items(data: bytes) -> np.ndarray:
+    """A bag as a set: an item for each occurrence of a shingle, so the sizes of sets are those of bags."""
+    n = len(data) // 12
+    item, count = np.frombuffer(data, np.uint64, n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    item = np.repeat(item, count)
+    return np.where(level > 0, mix(item ^ mix(level.astype(np.uint64))), item)
+
+
+def _alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """left x right: are the sets as similar as asked?"""
+    size = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    row = [np.repeat(np.arange(len(n)), n) for n in size]
+    shared = np.intersect1d(*flat)
+    least = np.zeros((len(left), len(right)), np.int64)
+    if len(shared):
+        at = [np.minimum(np.searchsorted(shared, x), len(shared) - 1) for x in flat]
+        ok = [shared[a] == x for a, x in zip(at, flat, strict=True)]
+        at, row = [a[k] for a, k in zip(at, ok, strict=True)], [r[k] for r, k in zip(row, ok, strict=True)]
+        for begin in range(0, len(shared), 2048):
+            width = min(2048, len(shared) - begin)
+            parts = []
+            for n, a, r in zip(size, at, row, strict=True):
+                mine = (a >= begin) & (a < begin + width)
+                part = np.zeros((len(n), width), np.float32)  # sums of at most 2048 ones are exact
+                part[r[mine], a[mine] - begin] = 1
+                parts.append(part)
+            least += (parts[0] @ parts[1].T).astype(np.int64)
+    return (UNDER * least >= OVER * (size[0][:, None] + size[1][None, :] - least)) & (least > 0)
+
+
+def _block_links(rows: list[dict]):
+    """Links between the sides of a block pair, or inside a block of one side: a forest of those that join two components."""
+    sides = [[r for r in rows if r["side"] == k] for k in (0, 1)]
+    left, right = sides[0], sides[1] or sides[0]
+    if not left:
+        return
+    class_of = [np.array([r["class"] for r in side], np.int64) for side in (left, right)]
+    other = class_of[0][:, None] != class_of[1][None, :]
+    use = np.flatnonzero(other.any(axis=1)), np.flatnonzero(other.any(axis=0))
+    if not len(use[0]):
+        return
+    items = [_items(left[i]["bag"]) for i in use[0]]
+    more = items if right is left else [_items(right[i]["bag"]) for i in use[1]]
+    ok = _alike(items, more) & other[np.ix_(*use)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up] if up in root else up
+            x = up
+        return x
+
+    for i in np.flatnonzero(ok.any(axis=1)):
+        a = left[use[0][i]]
+        # one link to each class is enough
+        for j in use[1][ok[i]][np.unique(class_of[1][use[1][ok[i]]], return_index=True)[1]]:
+            x, y = find(a["class"]), find(right[j]["class"])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield a["doc_id"], right[j]["doc_id"]
+
+
+def _blocks(batches):
+    """Links of partitions that are sorted by key, i and j."""
+    at, rows = None, []
+
+    def out():
+        found = list(_block_links(rows))
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        for r in batch.to_pylist():
+            if (here := (r["key"], r["i"], r["j"])) != at:
+                if rows:
+                    yield out()
+                at, rows = here, []
+            rows.append(r)
+    if rows:
+        yield out()
+
+
+def _unsettled(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of more than one component: (key, id, class) and (key, main, total, most), the largest component and the numbers of documents. Of equal buckets one."""
+    named = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
+    each = named.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("hash"))
+    some = each.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("hash").alias("hash"))
+    some = written(some.where("classes > 1").groupBy("total", "low", "high", "hash").agg(F.min(F.struct("key", "main", "most")).alias("m")).select("m.key", "m.main", "total", "m.most"))
+    return written(named.join(some.select("key"), "key")), some
+
+
+def _hub_pairs(named: DataFrame, large: DataFrame, links: DataFrame) -> DataFrame:
+    """Each large bucket's document with most links, with those of its bucket that are in other components."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    inside = named.join(large.select("key"), "key")
+    hub = inside.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "class"), F.struct("n", "id")).alias("hub"))
+    return inside.join(hub, "key").where("class <> hub.class").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def _exhaustive(docs: DataFrame, named: DataFrame, some: DataFrame) -> DataFrame:
+    """Links of all pairs of a bucket that aren't in one component: documents outside the largest, by blocks, with each other and with the largest."""
+    bag = written(_bag_rows(texts(docs).join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")).select("doc_id", "bag", F.length("bag").cast("long").alias("size")))
+    rows = named.join(some.select("key", "main"), "key").withColumn("rest", F.col("class") != F.col("main")).join(bag.select(F.col("doc_id").alias("id"), "size"), "id")
+    blocks = lambda rest: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(rest, 1)) / BLOCK, F.sum(F.when(rest, F.col("size"))) / BLOCK_BYTES))).cast("long")
+    number = rows.groupBy("key").agg(blocks(F.col("rest")).alias("r"), blocks(~F.col("rest")).alias("m"))
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m")))
+    # j is a block of the rest under r, and one of the largest component from there on; side 0 is block i
+    placed = rows.select("key", "id", "class", "rest").distinct().join(number, "key").withColumn("k", mine)
+    first = F.transform(F.sequence("k", F.col("r") + F.col("m") - 1), lambda j: F.struct(F.col("k").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    second = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k")), lambda i: F.struct(i.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side")))
+    against = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r") - 1), lambda i: F.struct(i.alias("i"), (F.col("r") + F.col("k")).alias("j"), F.lit(1).alias("side")))
+    at = F.when(F.col("rest"), F.concat(first, F.filter(second, lambda x: x["i"] < x["j"]))).otherwise(against)
+    pairs = placed.select("key", F.col("id").alias("doc_id"), "class", F.explode(at).alias("at")).select("key", "doc_id", "class", "at.*").join(bag.select("doc_id", "bag"), "doc_id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("key", "i", "j", "side", "doc_id", "class", "bag").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_blocks, "a long, b long")
+
+
+def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(node, component) of the links between the doc_ids of (doc_id, sig) that share a band."""
+    pairs, members = buckets(distinct)
+    linked = written(verified(docs, pairs))
+    found = components(linked)
+    edges = lambda new: found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new)
+    named, some = _unsettled(members, found)
+    for _ in range(HUBS):
+        large = some.where(F.col("total") - F.col("most") > BLOCK)
+        if large.isEmpty():
+            break
+        new = written(verified(docs, _hub_pairs(named, large, linked)))
+        if new.isEmpty():
+            break
+        linked, found = linked.unionAll(new), components(edges(new))
+        named, some = _unsettled(members, found)
+    if some.isEmpty():
+        return found
+    new = written(_exhaustive(docs, named, some))
+    return found if new.isEmpty() else components(edges(new))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text_id (the least doc_id with this very text), class_id (the least of all that links lead to): one row per row of docs."""
     salts = 16
     sig = written(signatures(docs))
     some = sig.where("key IS NOT NULL AND doc_id IS NOT NULL")
     least = written(some.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("n")).select("key", "m.doc_id", "m.sig", "n"))
-    pairs = written(candidate_pairs(least))
-    found = components(verified(docs, pairs))
+    found = links(docs, least)
     # only texts with copies, and only texts with links, have anything to tell; hot keys are salted
     salted = F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt")
     copied = least.where("n > 1").select("key", F.col("doc_id").alias("text_id"), salted)

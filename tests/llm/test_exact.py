@@ -105,6 +105,32 @@ def test_large_group_of_near_copies(spark):
     assert {r["class_id"] for r in got.collect()} == {0}
 
 
+def star(n: int, seed: int = 5) -> list[tuple[int, str]]:
+    """An original, the last one, and n copies at 0.85 to it, most pairs of which are under 0.8."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        own = [f"a{i}", *words[1:]]
+        for k, at in enumerate(rng.sample(range(1, 32), 3)):
+            own[at * 6] = f"b{i}x{k}"
+        out.append((i, " ".join(own)))
+    return [*out, (n, " ".join(words))]
+
+
+@pytest.mark.parametrize(("n", "block", "hubs"), [(1000, near_dedup.BLOCK, near_dedup.HUBS), (150, 30, 0), (150, 30, 3)])
+def test_copies_of_one_original(spark, n, block, hubs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "HUBS", hubs)
+    own = star(n)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    if n < 200:
+        assert got == near_dedup.brute_force(own)
+    # by definition: each copy is linked with the original
+    assert all(set(near_dedup.brute_force([x, own[-1]]).values()) == {x[0]} for x in own)
+    assert set(got.values()) == {0}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     seen, true = [], []
