@@ -131,6 +131,15 @@ def test_copies_of_one_original(spark, n, block, hubs, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_pipeline_keeps_one_of_a_large_group(spark):
+    import corpus_pipeline
+
+    own = star(150) + [(1000 + i, t.replace("w", "v").replace("a", "c").replace("b", "d")) for i, t in star(150, 6)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(own, "doc_id long, text string"), "")
+    first = near_dedup.brute_force(own)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(first.values())) == [0, 1000]
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(2)
     seen, true = [], []
