@@ -9,8 +9,8 @@ Calibration, on training texts kept out of the descent: one temperature that mak
 log-loss), then the confidence below which a text is rejected: what at most REJECT of these texts, and of their first
 20 words alone, fall under, and never over HIGHEST.
 
-Trained on at most MAX_ROWS texts a language, those with the least hash of their doc_id, of at most MAX_TEXT bytes each
-and MAX_BYTES together.
+Trained on at most MAX_ROWS texts a language, those with the least hash of their doc_id, on the first MAX_TEXT bytes of each,
+and MAX_BYTES together: each language has an equal share of them, filled in order of the hashes.
 Null languages are not learned. Null texts and texts without a letter are `und` with score 0 and rejected; so is all if
 nothing can be learned. Ties go to the language that sorts first. Repeated rows give repeated results, an empty table
 an empty one. Only the text is an input of a prediction.
@@ -45,16 +45,24 @@ def sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]
     order = F.xxhash64("doc_id"), F.col("doc_id")
     # a salt spreads a frequent language; each of its 64 parts keeps max_rows
     part = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= max_rows)
-    chosen = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= max_rows).select("doc_id", "lang")
+    chosen = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= max_rows).select("doc_id", "lang", "n")
     ids = chosen.collect()  # max_rows a language
-    known = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string") if ids else chosen
-    found = sorted((r["lang"], r["doc_id"], bytes(r["text"] or b"")) for r in texts(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT).join(F.broadcast(known), "doc_id").select("lang", "doc_id", "text").collect())
-    out, size = [], 0
-    for lang, _, text in found:
-        if size + len(text) <= MAX_BYTES:
-            out.append((lang, text))
-            size += len(text)
-    return out
+    known = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string, n int") if ids else chosen
+    begun = texts(docs).withColumn("text", F.substring("text", 1, MAX_TEXT)).join(F.broadcast(known), "doc_id")
+    return shared_out([(r["lang"], r["n"], r["doc_id"], bytes(r["text"] or b"")) for r in begun.select("lang", "n", "doc_id", "text").collect()])
+
+
+def shared_out(found: list[tuple[str, int, int, bytes]], max_bytes: int = MAX_BYTES) -> list[tuple[str, bytes]]:
+    """(lang, text) of (lang, rank, doc_id, text), in order of lang and doc_id: the first by rank, as far as each language's equal share goes."""
+    share = max_bytes // max(1, len({x[0] for x in found}))
+    size: dict[str, int] = {}
+    kept = []
+    for lang, _, doc, text in sorted(found):
+        left = share - size.get(lang, 0)
+        if left > 0:
+            kept.append((lang, doc, text[:left]))
+            size[lang] = size.get(lang, 0) + len(text)
+    return [(lang, text) for lang, _, text in sorted(kept)]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

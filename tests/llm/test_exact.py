@@ -362,3 +362,14 @@ def test_even_labels(spark):
     labels = _exchange.even_labels(14, 7)
     rows = spark.createDataFrame([(x,) for x in labels], "b int").repartition(7, "b").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert len(rows) == 7 and {r["count"] for r in rows} == {2}
+
+
+def test_every_language_has_a_share_of_the_sample(spark):
+    found = [(f"l{k:02d}", n, 100 * k + n, b"x" * 50) for k in range(40) for n in range(1, 11)]
+    got = langid.shared_out(found, 4000)
+    assert {x for x, _ in got} == {f"l{k:02d}" for k in range(40)}
+    assert sum(len(t) for _, t in got) == 4000
+    df = spark.createDataFrame([(i, "kort text", "sv") for i in range(20)] + [(100 + i, "lang text " * 30_000, "zz") for i in range(6)], "doc_id long, text string, lang string")
+    some = langid.sample(df)
+    assert {x for x, _ in some} == {"sv", "zz"}
+    assert max(len(t) for _, t in some) == langid.MAX_TEXT
