@@ -6,6 +6,8 @@ a run can be repeated. The first time a URL is found fixes its score and depth.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +57,12 @@ def expand(links: DataFrame, max_depth: int = 0, domain: Column | None = None) -
     return candidates(rows.select(F.col("target").alias("url"), "seq", F.col("depth").alias("_d")), LINK, F.col("_d") + 1, domain)
 
 
-def crawl(spark, pages: DataFrame, start: list[str], sitemap: DataFrame | None = None, max_pages: int = 0, max_depth: int = 0, max_rounds: int = 50, checkpoint=None) -> DataFrame:
+def crawl(spark, pages: DataFrame, start: list[str], sitemap: DataFrame | None = None, max_pages: int = 0, max_depth: int = 0, max_rounds: int = 0, checkpoint=None) -> DataFrame:
     """The pages that a crawl of captured pages (url, links: array<struct<href,target>>) visits: url, depth, score, round.
 
     A round takes all of the frontier that is captured, in order of score up to max_pages, and expands it. State is a
-    table of URLs; each round is written by `checkpoint` (DataFrame -> DataFrame), so plans stay short.
+    table of URLs; each round is written by `checkpoint` (DataFrame -> DataFrame), so plans stay short. Rounds go on until
+    nothing is left (max_rounds 0), or raise if there is more after max_rounds.
     """
     checkpoint = checkpoint or written
     known = pages.select(normalize_url(F.col("url")).alias("url"), "links")
@@ -71,7 +74,7 @@ def crawl(spark, pages: DataFrame, start: list[str], sitemap: DataFrame | None =
         front = first_wins(front.unionByName(more))
     seen, visited, taken = checkpoint(front), None, 0
     front = seen
-    for number in range(max_rounds):
+    for number in itertools.count():
         here = front.join(known, "url")
         if max_pages:
             here = here.orderBy("score", "seq", "depth", "url").limit(max_pages - taken)
@@ -79,6 +82,8 @@ def crawl(spark, pages: DataFrame, start: list[str], sitemap: DataFrame | None =
         count = here.count()
         if not count:
             break
+        if max_rounds and number >= max_rounds:
+            raise RuntimeError(f"no end after {max_rounds} rounds")
         taken += count
         got = here.select("url", "depth", "score", "round")
         visited = got if visited is None else visited.unionByName(got)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import zlib
 
 import pandas as pd
@@ -51,18 +52,21 @@ def child_locations(xml: Column) -> Column:
     return _locations(xml, "sitemap")
 
 
-def sitemap_pages(files: DataFrame, start: DataFrame, max_rounds: int = 20) -> DataFrame:
+def sitemap_pages(files: DataFrame, start: DataFrame, max_rounds: int = 0) -> DataFrame:
     """(sitemap, position, url) of all sitemaps that lead on from start (url); files: captured (url, body binary).
 
     A round for each level; a sitemap that was met before isn't followed again, so loops end.
+    Rounds go on until nothing is left (max_rounds 0), or raise if there is more after max_rounds.
     """
     xml = written(files.select("url", sitemap_xml(F.col("url"), F.col("body")).alias("xml")))
     front = start.select("url").distinct()
     seen, out = front, None
-    for _ in range(max_rounds):
+    for number in itertools.count():
         here = written(xml.join(front, "url"))
         if here.isEmpty():
             break
+        if max_rounds and number >= max_rounds:
+            raise RuntimeError(f"no end after {max_rounds} rounds")
         pages = here.select(F.col("url").alias("sitemap"), F.posexplode(page_locations(F.col("xml"))).alias("position", "url"))
         out = pages if out is None else out.unionByName(pages)
         front = written(here.select(F.explode(child_locations(F.col("xml"))).alias("url")).distinct().join(seen, "url", "left_anti"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import frontier, incremental, route, schedule, stats
@@ -22,6 +23,11 @@ def test_crawl_limits_and_sitemap(spark):
     assert [r["url"].removeprefix("https://a.se") for r in few.orderBy("round").collect()] == ["/", "/om-oss"]
 
 
+def test_crawl_does_not_stop_silently(spark):
+    with pytest.raises(RuntimeError):
+        frontier.crawl(spark, site(spark), ["https://a.se/"], max_rounds=2)
+
+
 def test_first_and_last(spark):
     rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, None)], "url string, seq long, v string")
     assert {tuple(r) for r in frontier.first_wins(rows).collect()} == {("a", 1, "y"), ("b", 1, None)}

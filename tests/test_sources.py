@@ -79,3 +79,10 @@ def test_many_sites(spark):
     run = run_sites(pages, sites, spark.createDataFrame([], CACHE), F.lit("nu"))
     assert {(r["site"], r["visited"]) for r in run.stats.collect()} == {("A", 1), ("B", 1)}
     assert {r["site"]: "a@b.se" in r["plain_text"] for r in run.records.collect()} == {"A": False, "B": True}
+
+
+def test_deep_sitemaps(spark):
+    xml = lambda i: f"<x><sitemap><loc>https://a.se/{i + 1}.xml</loc></sitemap><url><loc>https://a.se/p{i}</loc></url></x>".encode()
+    files = spark.createDataFrame([(f"https://a.se/{i}.xml", xml(i)) for i in range(22)], "url string, body binary")
+    got = sitemap.sitemap_pages(files, spark.createDataFrame([("https://a.se/0.xml",)], "url string"))
+    assert {r["url"] for r in got.collect()} == {f"https://a.se/p{i}" for i in range(22)}
