@@ -35,12 +35,20 @@ def _clean(url: Column) -> Column:
 
 
 def parts(url: Column) -> dict[str, Column]:
-    """scheme (lower case), authority, path (without params), query: '' where there is none."""
+    """scheme (lower case), authority, path (without params), whole (with params), query: '' where there is none."""
     clean = _clean(url)
     shape = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
     scheme, authority, path, query = (F.regexp_extract(clean, shape, i) for i in range(1, 5))
     plain = F.regexp_replace(path, r"(?s);[^/]*\z", "")
-    return {"scheme": F.lower(scheme), "authority": authority, "path": plain, "query": query}
+    return {"scheme": F.lower(scheme), "authority": authority, "path": plain, "whole": path, "query": query}
+
+
+def parts_struct(url: Column) -> Column:
+    return F.struct(*(c.alias(k) for k, c in parts(url).items()))
+
+
+def _fields(p: Column) -> dict[str, Column]:
+    return {k: p[k] for k in ("scheme", "authority", "path", "whole", "query")}
 
 
 def well_formed(authority: Column) -> Column:
@@ -66,11 +74,14 @@ def normal_query(query: Column, ignored: list[str] = TRACKING) -> Column:
     return F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
-def normalize_url(url: Column, ignored: list[str] = TRACKING) -> Column:
+def normalize_url(url: Column, ignored: list[str] = TRACKING, of: Column | None = None) -> Column:
     """One spelling for each page: lower-case scheme (http if none) and authority, no index file, closing slashes,
-    tracking parameters, params or fragment; sorted parameters. What can't be parsed is only stripped."""
+    tracking parameters, params or fragment; sorted parameters. What can't be parsed is only stripped.
+
+    of: the stripped URL's parts_struct, where it is a column already.
+    """
     bare = strip(url)
-    p = parts(bare)
+    p = parts(bare) if of is None else _fields(of)
     path = F.regexp_replace(F.when(p["path"] == "", "/").otherwise(p["path"]), r"(?i)/index\.(?:html|htm|php)\z", "/")
     path = F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/+\z", ""))
     query = normal_query(p["query"], ignored)
@@ -103,14 +114,17 @@ def keywords_pass(url: Column, exclude: Column, require: Column) -> Column:
     return ~rejected & ((F.size(needed) == 0) | F.exists(needed, lambda k: F.contains(low, k)))
 
 
-def is_valid_url(url: Column, domain: Column | None = None, exclude: Column | None = None, require: Column | None = None) -> Column:
-    """Whether a crawl of `domain` may take the URL, as it was found; domain None: of any. Null is not valid."""
-    p = parts(url)
+def is_valid_url(url: Column, domain: Column | None = None, exclude: Column | None = None, require: Column | None = None, of: Column | None = None) -> Column:
+    """Whether a crawl of `domain` may take the URL, as it was found; domain None, or null: of any. Null is not valid.
+
+    of: the URL's parts_struct, where it is a column already.
+    """
+    p = parts(url) if of is None else _fields(of)
     path = F.lower(p["path"])
     ok = (F.length(url) <= MAX_URL) & p["scheme"].isin("http", "https") & well_formed(p["authority"]) & ~extension(path).isin(DENIED_EXTENSIONS)
     ok = ok & ~(_any(path, MEDIA_FOLDERS) & _any(path, PICTURE_EXTENSIONS))
     if domain is not None:
-        ok = ok & (domain_core(p["authority"]) == F.replace(domain, F.lit("www."), F.lit("")))
+        ok = ok & F.coalesce(domain_core(p["authority"]) == F.replace(domain, F.lit("www."), F.lit("")), domain.isNull())
     if exclude is not None or require is not None:
         none = F.array().cast("array<string>")
         ok = ok & keywords_pass(url, none if exclude is None else exclude, none if require is None else require)
@@ -127,36 +141,47 @@ def frontier_score(url: Column, base: Column | int = LINK, depth: Column | int =
 def _without_dots(path: Column) -> Column:
     """RFC 3986, 5.2.4, over the segments; a closing dot segment leaves a closing slash."""
     segments = F.split(path, "/")
-    empty = F.array().cast("array<string>")
     folded = F.aggregate(
-        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))),
-        empty,
+        segments,
+        F.array().cast("array<string>"),
         lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
     )
-    tail = F.when(F.element_at(segments, -1).isin(".", ".."), F.when(F.size(folded) > 0, "/").otherwise("")).otherwise("")
-    return F.concat(F.lit("/"), F.array_join(folded, "/"), tail)
+    closed = F.array_join(F.concat(folded, F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+    return F.regexp_replace(closed, r"\A(?!/)", "/")
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """href as seen from base (RFC 3986, 5.2, for bases with an authority)."""
-    b = parts(base)
+def reference_struct(href: Column, scheme: Column) -> Column:
+    """What a reference, as seen from a base of that scheme, consists of: own (a scheme other than the base's), clean (without
+    the base's scheme), path (with an authority, if there is one) and rest (query and fragment, without empty ones)."""
+    clean = _clean(href)
+    own = F.lower(F.regexp_extract(clean, r"\A([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    bare = F.when(own == scheme, F.regexp_replace(clean, r"\A[A-Za-z][A-Za-z0-9+.\-]*:", "")).otherwise(clean)
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"(?s)\A[^?#]*(.*)\z", 1), r"\A\?(?=#|\z)", ""), r"#\z", "")
+    return F.struct(((own != "") & (own != scheme)).alias("own"), F.regexp_extract(bare, r"(?s)\A([^?#]*)", 1).alias("path"), rest.alias("rest"))
+
+
+def resolve_parts(base: Column, href: Column, b: Column, r: Column) -> Column:
+    """href as seen from base, of which b is the parts_struct and r the reference_struct."""
     root = F.concat(b["scheme"], F.lit("://"), b["authority"])
-    path_only = F.regexp_extract(_clean(href), r"(?s)\A([^?#]*)", 1)
-    rest = F.regexp_extract(_clean(href), r"(?s)\A[^?#]*(.*)\z", 1)
-    # an empty query or fragment isn't kept
-    rest = F.regexp_replace(F.regexp_replace(rest, r"\A\?(?=#|\z)", ""), r"#\z", "")
     folder = F.regexp_extract(F.when(b["path"] == "", "/").otherwise(b["path"]), r"(?s)\A(.*/)[^/]*\z", 1)
-    same = F.concat(root, b["path"], F.when(rest.startswith("?"), rest).otherwise(F.concat(F.when(b["query"] == "", "").otherwise(F.concat(F.lit("?"), b["query"])), rest)))
+    # between a base and a relative path, empty segments don't count
+    merged = F.regexp_replace(F.concat(folder, r["path"]), "/{2,}", "/")
+    same = F.concat(root, b["whole"], F.when(r["rest"].startswith("?"), r["rest"]).otherwise(F.concat(F.when(b["query"] == "", "").otherwise(F.concat(F.lit("?"), b["query"])), r["rest"])))
     return (
         F.when(F.coalesce(href, F.lit("")) == "", base)
-        .when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), _clean(href))
-        .when(href.startswith("//"), F.concat(b["scheme"], F.lit(":"), _clean(href)))
-        .when(path_only == "", same)
-        .when(path_only.startswith("/"), F.concat(root, _without_dots(path_only), rest))
-        .otherwise(F.concat(root, _without_dots(F.concat(folder, path_only)), rest))
+        .when(r["own"], href)
+        .when(r["path"].startswith("//"), F.concat(b["scheme"], F.lit(":"), r["path"], r["rest"]))
+        .when(r["path"] == "", same)
+        .otherwise(F.concat(root, _without_dots(F.when(r["path"].startswith("/"), r["path"]).otherwise(merged)), r["rest"]))
     )
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """href as seen from base (RFC 3986, 5.2, for bases with an authority), as one expression; see operators.extract.with_targets for many."""
+    b = parts_struct(base)
+    return resolve_parts(base, href, b, reference_struct(href, b["scheme"]))
+
+
 def is_followed(href: Column) -> Column:
     """Anchors, scripts and mail addresses aren't links to pages."""
     return ~href.rlike(r"\A(?:#|javascript:|mailto:)")

@@ -4,12 +4,15 @@ A single Arrow pass parses each page once and gives what both the record and the
 plain text and chunks are then Catalyst expressions over it. Pages are parsed with the standard library: elements that HTML
 lets stay open (p, li, td, tr, dt, dd, option) are closed where the next one opens; comments are dropped. A page that can't
 be parsed, or whose title element holds no text of its own, gets `error` and nothing else: the job goes on.
+
+What a page's text is, an extractor can say: a function of (html, url) that gives Markdown (see maintext). Where it gives
+none, or fails, or there is no extractor, the text is the page's headings, paragraphs, lists and tables in sections.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import page_dates
-from ..functions.text import PII, clean_pii, plain_text, semantic_chunks
-from ..functions.urls import resolve
+from ..functions.text import PII, absolute_markdown_links, clean_pii, markdown_sections, plain_text, semantic_chunks
+from ..functions.urls import parts_struct, reference_struct, resolve_parts
+from .settle import settled
 
 #: Fixed values.
 NO_TITLE = "Okänd"
@@ -41,7 +45,7 @@ BLOCKS = set("address article aside blockquote div dl fieldset footer form h1 h2
 SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 PARSED = (
     "struct<title:string,keywords:array<string>,description:string,author:string,published:string,modified:string,visible:string,"
-    "language:string,og_type:string,sections:array<struct<heading:string,text:string>>,links:array<string>,error:string>"
+    "language:string,og_type:string,sections:array<struct<heading:string,text:string>>,markdown:string,links:array<string>,error:string>"
 )
 
 
@@ -195,7 +199,15 @@ def _sections(top: Node) -> list[dict[str, str]]:
     return out
 
 
-def parse_page(html: str, url: str) -> dict:
+def extracted(extractor: Callable[[str, str], str | None] | None, html: str, url: str) -> str | None:
+    """What the extractor gives; None where it gives nothing or fails."""
+    try:
+        return (extractor(html, url) if extractor else None) or None
+    except Exception:  # an extractor of another kind is no reason to lose a page
+        return None
+
+
+def parse_page(html: str, url: str, extractor: Callable[[str, str], str | None] | None = None) -> dict:
     """The fields of PARSED. Links inside sections are as seen from url."""
     from urllib.parse import urljoin
 
@@ -226,10 +238,11 @@ def parse_page(html: str, url: str) -> dict:
         href = a.attrs["href"]
         if href and not href.startswith(COMPLETE):
             a.attrs["href"] = urljoin(url, href)
-    return out | {"sections": _sections(top)}
+    markdown = extracted(extractor, html, url)
+    return out | {"markdown": markdown, "sections": [] if markdown else _sections(top)}
 
 
-def parse_pages(pages: DataFrame, *keep: str, html: str = "html", url: str = "url") -> DataFrame:
+def parse_pages(pages: DataFrame, *keep: str, html: str = "html", url: str = "url", extractor: Callable[[str, str], str | None] | None = None) -> DataFrame:
     """The named columns of pages, url, and `page`, a PARSED struct (null where html is null)."""
     from pyspark.sql.types import StructType
 
@@ -241,7 +254,7 @@ def parse_pages(pages: DataFrame, *keep: str, html: str = "html", url: str = "ur
         if html is None:
             return None
         try:
-            return parse_page(html, url or "")
+            return parse_page(html, url or "", extractor)
         except Exception as e:  # whatever a page holds, the others go on
             return {"error": f"{type(e).__name__}: {e}"[:200]}
 
@@ -271,15 +284,23 @@ def page_records(parsed: DataFrame, crawled_at: Column, pii: list[str] | dict[st
         pub.alias("published_date"), mod.alias("modified_date"), some(p("language")).alias("language"), some(p("og_type")).alias("og_type"),
         some(clean_pii(p("description"), pii)).alias("description"),
         F.coalesce(F.transform(p("keywords"), lambda k: clean_pii(k, pii)), F.expr("cast(array() as array<string>)")).alias("keywords"),
-        sections.alias("sections"), p("error").alias("error"),
+        sections.alias("sections"), F.nullif(p("markdown"), F.lit("")).alias("_markdown"), p("error").alias("error"),
     )
-    return record.withColumns({"plain_text": plain_text(F.col("sections")), "chunks": semantic_chunks(F.col("sections"))})
+    own = settled(record, _text=F.when(F.col("_markdown").isNotNull(), absolute_markdown_links(clean_pii(F.col("_markdown"), pii), F.col("url"))))
+    own = own.withColumn("sections", F.when(F.col("_text").isNotNull(), markdown_sections(F.col("_text"))).otherwise(F.col("sections")))
+    return own.withColumns({"plain_text": F.coalesce("_text", plain_text(F.col("sections"))), "chunks": semantic_chunks(F.col("sections"))}).drop("_markdown", "_text")
+
+
+def with_targets(links: DataFrame, base: str = "url", href: str = "href") -> DataFrame:
+    """links and `target`: href as seen from base. What both consist of is worked out once."""
+    known = settled(links, _b=parts_struct(F.col(base)))
+    known = settled(known, _r=reference_struct(F.col(href), F.col("_b.scheme")))
+    return settled(known, target=resolve_parts(F.col(base), F.col(href), F.col("_b"), F.col("_r"))).drop("_b", "_r")
 
 
 def page_links(parsed: DataFrame, *keep: str) -> DataFrame:
     """(the named columns, url, position, href, target): one row for each link, in document order."""
-    each = parsed.select(*keep, "url", F.posexplode("page.links").alias("position", "href"))
-    return each.select(*keep, "url", "position", "href", resolve(F.col("url"), F.col("href")).alias("target"))
+    return with_targets(parsed.select(*keep, "url", F.posexplode("page.links").alias("position", "href")))
 
 
 def quick_links(html: Column) -> Column:

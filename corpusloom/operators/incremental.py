@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .frontier import last_wins
 from .route import save_gate
+from .settle import placed
 
 CACHE = ["url", "content_hash", "title", "crawled_at", "content_length"]
 
@@ -19,10 +20,11 @@ def cache_rows(records: DataFrame, text: str = "plain_text", content_hash: Colum
     return records.select("url", h.alias("content_hash"), "title", "crawled_at", F.length(text).cast("long").alias("content_length"))
 
 
-def with_status(rows: DataFrame, cache: DataFrame, incremental: bool = True, force: bool = False) -> DataFrame:
-    """rows (url, content_hash, ...) and `status`: new, changed or unchanged. force: nothing counts as unchanged."""
+def with_status(rows: DataFrame, cache: DataFrame, incremental: Column | bool = True, force: bool = False) -> DataFrame:
+    """rows (url, content_hash, ...) and `status`: new, changed or unchanged. Not incremental, or force: nothing counts as unchanged."""
+    wanted = incremental if isinstance(incremental, Column) else F.lit(incremental)
     known = cache.select("url", F.col("content_hash").alias("_cached"))
-    same = F.col("_cached").eqNullSafe(F.col("content_hash")) & F.col("_cached").isNotNull() & F.lit(incremental and not force)
+    same = F.col("_cached").eqNullSafe(F.col("content_hash")) & F.col("_cached").isNotNull() & wanted & F.lit(not force)
     status = F.when(F.col("_cached").isNull(), "new").when(same, "unchanged").otherwise("changed")
     return rows.join(known, "url", "left").withColumn("status", status).drop("_cached")
 
@@ -39,6 +41,11 @@ def to_save(rows: DataFrame, save_format: Column | str = ".md", text: str = "pla
     return rows.where((F.col("status") != "unchanged") & save_gate(F.col(text), save_format))
 
 
+def ordered_cache(cache: DataFrame) -> DataFrame:
+    """All of the cache, newest first, with `place` from 1 on; of rows alike in time the one whose URL sorts first."""
+    return placed(cache.select(CACHE), F.desc("crawled_at"), "url")
+
+
 def index_rows(cache: DataFrame, save_format: str = ".md") -> DataFrame:
     """The index: URL, Titel, Hämtad_Datum, Filnamn, newest first."""
     from ..functions.urls import page_file_name

@@ -60,5 +60,10 @@ def status_label(failed: Column, expired: Column, unchanged: Column, rendered: C
     )
 
 
+def table_title(title: Column) -> Column:
+    """A title as a table can show it: without null characters, and with words where there is none."""
+    return F.when(F.coalesce(title, F.lit("")) == "", "Ingen titel").otherwise(F.replace(title, F.lit("\x00"), F.lit("")))
+
+
 def short_error(message: Column) -> Column:
     return F.substring(message, 1, SHORT_ERROR)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import text as T
 from .functions import urls as U
 from .functions.dates import page_dates
-from .operators import extract, frontier, incremental, route, schedule, stats
-from .plans.runs import run_site
-from .sources import config, robots, sinks, sitemap
+from .operators import extract, frontier, incremental, maintext, route, schedule, stats
+from .operators.settle import settled
+from .plans.runs import run_site, run_sites
+from .sources import config, responses, robots, sinks, sitemap
 
 #: When pages count as fetched.
 FETCHED = "2026-01-01T00:00:00"
@@ -76,12 +76,16 @@ def _quick(spark, d):
     return each.where(U.is_followed(F.col("href")))
 
 
+def _targets(spark, d):
+    return extract.with_targets(_quick(spark, d))
+
+
 def links_extracted(spark, d):
     return _quick(spark, d).select("page_id", _long(F.col("position")).alias("position"), "href")
 
 
 def links_resolved(spark, d):
-    return _quick(spark, d).select("page_id", _long(F.col("position")).alias("position"), U.resolve(F.col("url"), F.col("href")).alias("target"))
+    return _targets(spark, d).select("page_id", _long(F.col("position")).alias("position"), "target")
 
 
 def links_parsed(spark, d):
@@ -91,18 +95,43 @@ def links_parsed(spark, d):
 
 
 def _known(spark, d):
-    return _pages(spark, d).select(U.normalize_url(F.col("url")).alias("url"))
+    return frontier.normalized(_pages(spark, d).select("url"))
 
 
 def links_new(spark, d):
-    found = _quick(spark, d).select(U.normalize_url(U.resolve(F.col("url"), F.col("href"))).alias("url")).distinct()
+    found = frontier.normalized(_targets(spark, d).select(F.col("target").alias("url"))).distinct()
     return frontier.unseen(found, _known(spark, d))
 
 
+def _graph(spark, d):
+    """Links between all pages: page k leads to pages 2k + 1 and 2k + 2, by the URLs as they are, and to an anchor."""
+    pages = _pages(spark, d).select("page_id", "url")
+    child = pages.select(F.col("page_id").alias("child"), F.col("url").alias("target"))
+    each = pages.select("page_id", "url", F.explode(F.array(*(F.col("page_id") * 2 + k for k in (1, 2)))).alias("child")).join(child, "child")
+    made = each.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("child"), F.col("target")))).alias("found"))  # two at most
+    links = F.transform("found", lambda x: F.struct(x["target"].alias("href"), x["target"].alias("target")))
+    anchor = F.array(F.struct(F.lit("#top").alias("href"), F.concat("url", F.lit("#top")).alias("target")))
+    return pages.join(made, "page_id", "left").select("page_id", "url", F.concat(anchor, F.coalesce(links, F.expr("cast(array() as array<struct<href:string,target:string>>)"))).alias("links"))
+
+
+def crawl_visits(spark, d):
+    """A crawl of all pages from the first one on, of any domain but without some words and under a robots.txt, round by round."""
+    graph = _graph(spark, d)
+    start = graph.where("page_id = 0").select("url").first()["url"]
+    seen = frontier.crawl(spark, graph.select("url", "links"), [start], strict_domain=False, exclude=["/de/1", "spam"], robots_txt="User-agent: *\nDisallow: /es/2\n")
+    return seen.select("url", "depth", "score", "round")
+
+
+def expand_gate(spark, d):
+    """Links of pages at depths of 0 to 2, where 2 is the limit."""
+    links = _targets(spark, d).select((F.col("page_id") % 3).cast("int").alias("depth"), (F.col("page_id") * 100000 + F.col("position")).alias("seq"), "href", "target")
+    return frontier.expand(links, 2).select("url", "depth", "score")
+
+
 def frontier_expand(spark, d):
     """Seeds at depth 0 and what they link to at depth 1, each URL once."""
     seeds = _entries(spark, d).select("url", "depth")
-    links = _quick(spark, d).select(F.lit(0).alias("depth"), (F.col("page_id") * 100000 + F.col("position")).alias("seq"), "href", U.resolve(F.col("url"), F.col("href")).alias("target"))
+    links = _targets(spark, d).select(F.lit(0).alias("depth"), (F.col("page_id") * 100000 + F.col("position")).alias("seq"), "href", "target")
     found = frontier.expand(links).select("url", "depth")
     return seeds.unionByName(found).groupBy("url").agg(F.min("depth").alias("depth"))
 
@@ -124,18 +153,53 @@ def page_title_parsed(spark, d):
 
 def page_sections(spark, d):
     records = extract.page_records(extract.parse_pages(_pages(spark, d), "page_id"), F.lit(FETCHED))
-    return records.select("page_id", F.posexplode("sections").alias("position", "s")).select("page_id", "position", "s.heading", "s.text")
+    return records.select("page_id", F.posexplode("sections").alias("position", "s")).select("page_id", _long(F.col("position")).alias("position"), "s.heading", "s.text")
 
 
 def page_record(spark, d):
     records = extract.page_records(extract.parse_pages(_pages(spark, d), "page_id"), F.lit(FETCHED))
-    return records.select("page_id", "title", "url", "author", "published_date", "modified_date", "language", "og_type", "description", F.size("keywords").alias("n_keywords"), F.size("chunks").alias("n_chunks"), F.length("plain_text").alias("n_chars"))
+    n = {"n_keywords": F.size("keywords"), "n_chunks": F.size("chunks"), "n_chars": F.length("plain_text")}
+    return records.select(
+        "page_id", "title", "url", "author", "published_date", "modified_date", "language", "og_type", "description", *(_long(c).alias(k) for k, c in n.items()), F.sha2("plain_text", 256).alias("text_sha256")
+    )
+
+
+def page_main_text(spark, d):
+    """Pages whose text is what the main-content extractor finds."""
+    records = extract.page_records(extract.parse_pages(_pages(spark, d), "page_id", extractor=maintext.main_text), F.lit(FETCHED))
+    return records.select("page_id", "plain_text", _long(F.size("sections")).alias("n_sections"))
+
+
+NO_CACHE = "url string, content_hash string, title string, crawled_at string, content_length long"
 
 
 def run_pages(spark, d):
     """A whole run over the pages with an empty cache: what would be saved."""
-    cache = spark.createDataFrame([], "url string, content_hash string, title string, crawled_at string, content_length long")
-    return run_site(_pages(spark, d), cache, F.lit(FETCHED)).saved
+    return run_site(_pages(spark, d), spark.createDataFrame([], NO_CACHE), F.lit(FETCHED)).saved
+
+
+#: name, start_url, strict_domain, exclude_keywords, respect_robots, save_format
+SITES = [("mobil", "https://m.site.example/", False, ["/de/"], False, ".txt"), ("fr", "https://fr.example/", False, None, True, "Ingen text"), ("rest", "https://rest.example/", False, None, True, ".md"), ("ingen", "https://x.example/", True, None, True, ".md")]
+
+
+def _run_sites(spark, d):
+    """Pages dealt to sites of different settings: mobile hosts, French ones, and the rest, each twice over: also to a strict site that none belongs to."""
+    given = spark.createDataFrame(SITES, "name string, start_url string, strict_domain boolean, exclude_keywords array<string>, respect_robots boolean, save_format string")
+    types = dict(x.strip().split(" ") for x in config.SCHEMA.split(", "))
+    given = given.withColumns({k: F.lit(True) for k in T.PII})
+    sites = config.with_defaults(given.select("*", *(F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in given.columns)))
+    site = F.when(F.col("url").rlike("://m\\."), "mobil").when(F.contains("url", F.lit("/fr/")), "fr").otherwise("rest")
+    pages = _pages(spark, d).select("url", "html", F.explode(F.array(site, F.lit("ingen"))).alias("site"))
+    rules = spark.createDataFrame([("rest", "User-agent: *\nDisallow: /en/1\n"), ("mobil", "User-agent: *\nDisallow: /\n")], "site string, robots_txt string")
+    return run_sites(pages, sites, spark.createDataFrame([], NO_CACHE), F.lit(FETCHED), rules)
+
+
+def sites_stats(spark, d):
+    return _run_sites(spark, d).stats.select("site", "visited", "unchanged", "failed", "documents", "saved")
+
+
+def sites_saved(spark, d):
+    return _run_sites(spark, d).saved.select("file_name", F.sha2("payload", 256).alias("payload_sha256"))
 
 
 def js_render_needed(spark, d):
@@ -161,8 +225,16 @@ def pii_ip(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(T.clean_pii(F.col("text"), ["remove_ip"]), 256).alias("masked"))
 
 
+def pii_pnr(spark, d):
+    return _docs(spark, d).select("doc_id", F.sha2(T.clean_pii(F.col("text"), ["remove_pnr"]), 256).alias("masked"))
+
+
+def pii_phone(spark, d):
+    return _docs(spark, d).select("doc_id", F.sha2(T.clean_pii(F.col("text"), ["remove_phone"]), 256).alias("masked"))
+
+
 def pii_masked(spark, d):
-    return _docs(spark, d).select("doc_id", T.clean_pii(F.col("text"), ["remove_email", "remove_ip"]).alias("masked"))
+    return _docs(spark, d).select("doc_id", T.clean_pii(F.col("text")).alias("masked"))
 
 
 def _chunks(spark, d):
@@ -174,7 +246,11 @@ def chunks(spark, d):
 
 
 def chunk_stats(spark, d):
-    return _chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("c.content")).alias("n_chars"), _long(F.max(F.size(T.words(F.col("c.content"))))).alias("most_words"))
+    """A document's chunks are an array: nothing is shuffled."""
+    own = settled(_docs(spark, d).select("doc_id", "text"), c=T.text_chunks(F.col("text"))).where(F.size("c") > 0)
+    sizes = settled(own.select("doc_id", "c"), n=F.transform("c", lambda c: F.struct(F.length(c["content"]).alias("chars"), F.size(T.words(c["content"])).alias("words"))))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
+    return sizes.select("doc_id", _long(F.size("c")).alias("n_chunks"), total.alias("n_chars"), _long(F.array_max("n.words")).alias("most_words"))
 
 
 def chunk_headings(spark, d):
@@ -182,8 +258,8 @@ def chunk_headings(spark, d):
 
 
 def masked_chunks(spark, d):
-    """Flagship: documents without personal data, hashed and chunked."""
-    clean = _docs(spark, d).select("doc_id", T.clean_pii(F.col("text"), ["remove_email", "remove_ip"]).alias("text"))
+    """Flagship: documents without personal data of any kind, hashed and chunked."""
+    clean = settled(_docs(spark, d).select("doc_id", "text"), text=T.clean_pii(F.col("text")))
     return clean.select("doc_id", T.clean_hash(F.col("text")).alias("content_hash"), F.explode(T.text_chunks(F.col("text"))).alias("c")).select("doc_id", "content_hash", _long(F.col("c.chunk_index")).alias("chunk_index"), F.col("c.heading").alias("heading"), F.col("c.content").alias("content"))
 
 
@@ -200,20 +276,31 @@ def _at(c):
 
 
 def _cache(spark, d):
-    """Documents as pages: an old cache of the even ones, every tenth of them with another hash."""
-    docs = _docs(spark, d).select(F.concat(F.lit("https://site.example/doc/"), F.col("doc_id").cast("string")).alias("url"), "doc_id", T.clean_hash(F.col("text")).alias("content_hash"), F.col("source").alias("title"), _at(F.col("doc_id")).alias("crawled_at"), _long(F.length("text")).alias("content_length"))
-    old = docs.where("doc_id % 2 = 0").withColumn("content_hash", F.when(F.col("doc_id") % 10 == 0, F.lit("0" * 64)).otherwise(F.col("content_hash"))).withColumn("crawled_at", _at(F.lit(-1)))
+    """Documents as pages, and an old cache of them all: some under another address, some with another hash, some from later than now."""
+    base = F.lit("https://site.example/")
+    docs = _docs(spark, d).select(
+        F.concat(base, F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "doc_id", T.clean_hash(F.col("text")).alias("content_hash"), F.col("source").alias("title"),
+        _at(F.col("doc_id")).alias("crawled_at"), _long(F.length("text")).alias("content_length"), "lang",
+    )
+    old = docs.withColumns(
+        {
+            "url": F.when(F.col("lang") == "en", F.col("url")).otherwise(F.concat(base, F.lit("arkiv/"), F.col("doc_id").cast("string"))),
+            "content_hash": F.when(F.col("content_length") % 10 == 0, F.lit("0" * 64)).otherwise(F.col("content_hash")),
+            "crawled_at": F.when(F.col("title") == "src1", _at(F.col("doc_id") + 10)).otherwise(_at(F.lit(-1))),
+        }
+    )
     return docs, old
 
 
 def cache_upsert(spark, d):
     docs, old = _cache(spark, d)
-    return incremental.upsert(old, docs.where("doc_id % 3 = 0"))
+    return incremental.upsert(old, docs)
 
 
 def cache_scan(spark, d):
-    docs, _ = _cache(spark, d)
-    return docs.select("url", "title", "crawled_at", "content_hash").withColumn("rank", _long(F.row_number().over(Window.partitionBy("title").orderBy(F.desc("crawled_at"), "url"))))
+    """All of the cache in order of time."""
+    docs, old = _cache(spark, d)
+    return incremental.ordered_cache(incremental.upsert(old, docs)).select("url", "title", "crawled_at", "content_hash", "place")
 
 
 def incremental_status(spark, d):
@@ -223,7 +310,7 @@ def incremental_status(spark, d):
 
 def index_csv(spark, d):
     docs, _ = _cache(spark, d)
-    return incremental.index_rows(docs, ".md").select(F.col("URL").alias("page"), F.col("Titel").alias("titel"), F.col("Filnamn").alias("filnamn"))
+    return incremental.index_rows(docs, ".md").select(F.col("URL").alias("page"), F.col("Titel").alias("titel"), F.col("Hämtad_Datum").alias("fetched"), F.col("Filnamn").alias("filnamn"))
 
 
 def crawl_stats(spark, d):
@@ -299,14 +386,79 @@ def sink_md(spark, d):
 PII_TEXTS = ["19900101-1234 och 900161+1234", "ring 070-123 45 67 nu", "+46 (0)8 123 45 67", "0046 70 1234567", "inget 123", "9913311234", "12345678901234567890"]
 
 
-def pii_pnr(spark, d):
+def pii_texts(spark, d):
+    """Cases that the tables don't have."""
     rows = spark.createDataFrame(list(enumerate(PII_TEXTS)), "id long, t string")
-    return rows.select("id", T.clean_pii(F.col("t"), ["remove_pnr"]).alias("masked"))
+    return rows.select("id", T.clean_pii(F.col("t"), ["remove_pnr"]).alias("pnr"), T.clean_pii(F.col("t"), ["remove_phone"]).alias("phone"))
 
 
-def pii_phone(spark, d):
-    rows = spark.createDataFrame(list(enumerate(PII_TEXTS)), "id long, t string")
-    return rows.select("id", T.clean_pii(F.col("t"), ["remove_phone"]).alias("masked"))
+METADATA = [
+    (1, '<html lang="sv"><head><title> T1 </title><meta name="Keywords" content="a, b,,c"><meta name="DESCRIPTION" content=" d "><meta name="author" content="A"><meta property="og:type" content="article">'
+        '<meta property="article:published_time" content="2020-01-01"><meta itemprop="dateModified" content="2020-02-02"></head></html>'),
+    (2, '<title>T2</title><meta name="DC.creator" content="B"><meta name="pubdate" content="2019"><p>x</p><time class="last-update" datetime="2021-03-04">mars</time>'),
+    (3, '<title>T3</title><script type="application/ld+json">{"datePublished": "2018-05-06", "dateModified" : "2018-07-08"}</script>'),
+    (4, '<title>T4</title><p>Senast uppdaterad: 3 maj 2021</p>'),
+    (5, '<title>T5</title><p>Publicerad 2019-02-03</p><time itemprop="dateModified">i dag</time>'),
+    (6, '<p>utan titel</p>'),
+    (7, '<title></title><p>tom titel</p>'),
+    (8, '<title>skriv till a@b.se</title><meta name="keywords" content="x@y.se">'),
+]
+
+
+def page_metadata(spark, d):
+    pages = spark.createDataFrame([(i, f"https://a.se/{i}", h) for i, h in METADATA], "id long, url string, html string")
+    records = extract.page_records(extract.parse_pages(pages, "id"), F.lit(FETCHED))
+    return records.select("id", "title", F.array_join("keywords", "|").alias("keywords"), "description", "author", "published_date", "modified_date", "language", "og_type", F.col("error").isNotNull().alias("failed"))
+
+
+SECTIONS = [
+    (1, '<title>t</title><p>foto</p><p>inledning har</p><h2>Lista</h2><ul><li>ett <a href="/x">lank</a></li><li>tva<ul><li>inre</li></ul></li></ul><h5>ej rubrik</h5>'),
+    (2, '<title>t</title><h1>Tabell</h1><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><div class="cookie-bar"><p>bort med detta</p></div>'),
+    (3, '<title>t</title><h1>R</h1><nav><p>meny meny</p></nav><p>text med <b>fet</b> och <a href="y?z=1">mer</a></p><form><p>formular</p></form>'),
+]
+
+
+def page_shapes(spark, d):
+    """Sections of pages of other shapes than the tables have."""
+    pages = spark.createDataFrame([(i, "https://a.se/d/s", h) for i, h in SECTIONS], "id long, url string, html string")
+    records = extract.page_records(extract.parse_pages(pages, "id"), F.lit(FETCHED))
+    return records.select("id", F.posexplode("sections").alias("position", "s")).select("id", _long(F.col("position")).alias("position"), "s.heading", "s.text")
+
+
+CAPTURED = [
+    (1, "https://a.se/sida", "text/html; charset=utf-8", 200, None, "x" * 1200, None, 1), (2, "https://a.se/kort", "text/html", 200, None, "kort", "<html>ritad</html>", 2), (3, "https://a.se/kort2", "text/html", 200, None, "kort", None, 3),
+    (4, "https://a.se/f/a.pdf", "application/pdf", 200, 'attachment; filename="Bil aga.PDF"', "P1", None, 5), (5, "https://a.se/f/a.pdf", "application/pdf", 200, None, "P2", None, 4), (6, "https://a.se/f/b.doc", "application/msword", 404, None, "D", None, 6),
+    (7, "https://a.se/bild", "image/png", 200, None, "B", None, 7), (8, "https://a.se/okand", "x/y", 200, None, "", None, 8), (9, "https://a.se/klar", "application/vnd.ms-excel", 200, None, "K", None, 9),
+]
+
+
+def _captured(spark):
+    rows = spark.createDataFrame(CAPTURED, "id long, url string, content_type string, status int, disposition string, body string, rendered_html string, fetched_at long")
+    return rows.withColumn("body", F.col("body").cast("binary"))
+
+
+def responses_routed(spark, d):
+    return responses.routed(_captured(spark), True).select("id", "route", "rendered", F.length("html").cast("long").alias("n_html"))
+
+
+def responses_documents(spark, d):
+    got = responses.documents(_captured(spark), spark.createDataFrame([("https://a.se/klar",)], "url string"))
+    return got.select("url", "file_name", F.col("body").cast("string").alias("body"))
+
+
+def table_titles(spark, d):
+    rows = spark.createDataFrame([(1, "a\x00b"), (2, ""), (3, None), (4, "Titel")], "id long, title string")
+    return rows.select("id", route.table_title(F.col("title")).alias("title"))
+
+
+def keyword_lists(spark, d):
+    rows = spark.createDataFrame([(1, " Spam, ,PILLER ,å b"), (2, ""), (3, None)], "id long, typed string")
+    return rows.select("id", F.array_join(config.keyword_list(F.col("typed")), "|").alias("words"))
+
+
+def json_files(spark, d):
+    rows = spark.createDataFrame([("T \"x\"", ["a", "b\\"], [("H", "rad 1\nrad 2", 1, 1)]), ("tom", [], [])], "title string, keywords array<string>, chunks array<struct<heading:string,content:string,chunk_index:int,total_chunks:int>>")
+    return rows.select(sinks.pretty_json_payload(["title", "keywords", "chunks"]).alias("payload"))
 
 
 def md_sections(spark, d):
@@ -354,6 +506,13 @@ def sitemap_urls(spark, d):
     return found.where(U.is_valid_url(F.col("url"), F.lit("a.se"))).select("sitemap", _long(F.col("position")).alias("position"), "url")
 
 
+def sitemap_accepted(spark, d):
+    """All pages' URLs as those of two sitemaps: how many a crawl takes over from each."""
+    pages = _pages(spark, d).select(F.when(F.contains("url", F.lit("/en/")), "b").otherwise("a").alias("sitemap"), F.col("page_id").alias("position"), "url")
+    seen = frontier.normalized(_pages(spark, d).where(F.contains("url", F.lit("/fr/"))).select("url"))
+    return sitemap.accepted_counts(pages, exclude=F.array(F.lit("/de/")), seen=seen)
+
+
 def site_settings(spark, d):
     rows = spark.createDataFrame([("Min Sajt Å", "https://WWW.a.se/x", ["SPAM"])], "name string, start_url string, exclude_keywords array<string>")
     full = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (x.strip().split(" ") for x in config.SCHEMA.split(", ")) if c not in rows.columns))
@@ -362,8 +521,9 @@ def site_settings(spark, d):
 
 def queries() -> dict:
     names = """url_normalize url_distinct url_valid url_keywords frontier_score frontier_topk frontier_dedup links_extracted links_resolved links_parsed links_new
-        frontier_expand page_title page_lang page_title_parsed page_sections page_record run_pages js_render_needed session_expired content_hash pii_email pii_ip pii_masked chunks
-        chunk_stats chunk_headings masked_chunks slug_filename cache_upsert cache_scan incremental_status index_csv crawl_stats crawl_rate summary_lines eta rate_limit_schedule
-        delay_resolution backoff_schedule content_route status_label save_gate sink_json sink_md pii_pnr pii_phone md_sections md_links page_date_cascade doc_filename robots_allow
-        robots_sitemaps sitemap_urls site_settings""".split()
+        frontier_expand expand_gate crawl_visits page_title page_lang page_title_parsed page_sections page_record page_main_text page_metadata page_shapes run_pages sites_stats
+        sites_saved js_render_needed session_expired content_hash pii_email pii_pnr pii_phone pii_ip pii_masked pii_texts chunks chunk_stats chunk_headings masked_chunks slug_filename
+        cache_upsert cache_scan incremental_status index_csv crawl_stats crawl_rate summary_lines eta rate_limit_schedule delay_resolution backoff_schedule content_route status_label
+        save_gate sink_json sink_md json_files responses_routed responses_documents table_titles keyword_lists md_sections md_links page_date_cascade doc_filename robots_allow
+        robots_sitemaps sitemap_urls sitemap_accepted site_settings""".split()
     return {n: globals()[n] for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import slugify
+from ..functions.urls import slugify, strip
 
 SCHEMA = (
     "name string, start_url string, output_dir string, delay double, max_pages int, max_depth int, save_format string, headless_mode string, use_hybrid boolean, "
@@ -19,6 +19,12 @@ DEFAULTS = {
 }
 
 
+def keyword_list(text: Column) -> Column:
+    """array<string> of words with commas between, as one types them: trimmed, in lower case, without empty ones."""
+    words = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda w: F.lower(strip(w)))
+    return F.filter(words, lambda w: w != "")
+
+
 def with_defaults(sites: DataFrame) -> DataFrame:
     """All keys, keywords in lower case, the domain of start_url, and an output folder made of the name."""
     none = F.array().cast("array<string>")

@@ -33,10 +33,11 @@ def routed(responses: DataFrame, download_documents: bool = False, hybrid: bool
     )
 
 
-def documents(responses: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """(url, file_name, body): fetched documents, each URL once, without those already downloaded (url)."""
+def documents(responses: DataFrame, done: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(the columns of by, url, file_name, body): fetched documents, each URL once, without those already downloaded (the columns of by, url)."""
+    key = [*by, "url"]
     got = responses.where((content_route(F.col("content_type"), True) == "document") & (F.col("status") == 200))
-    first = got.groupBy("url").agg(F.min_by(F.struct("disposition", "body"), "fetched_at").alias("r"))
+    first = got.groupBy(*key).agg(F.min_by(F.struct("disposition", "body"), F.struct("fetched_at", "disposition", "body")).alias("r"))
     if done is not None:
-        first = first.join(done.select("url"), "url", "left_anti")
-    return first.select("url", document_file_name(F.col("url"), F.col("r.disposition")).alias("file_name"), F.col("r.body").alias("body"))
+        first = first.join(done.select(*key), key, "left_anti")
+    return first.select(*key, document_file_name(F.col("url"), F.col("r.disposition")).alias("file_name"), F.col("r.body").alias("body"))

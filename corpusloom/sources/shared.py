@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of our own only where that is unset, as in tests."""
+    """What spark.checkpoint.dir names; a folder of our own only where that is unset and all runs on one machine, as in tests."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp()}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder

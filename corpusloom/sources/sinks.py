@@ -18,15 +18,43 @@ def json_payload(fields: list[str] = JSON_FIELDS) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "pretty": "false"})
 
 
+def _indented(depth: int, lines: list[Column] | Column, opening: str, closing: str) -> Column:
+    """A JSON array or object over several lines; lines: its parts, or a column with an array of them."""
+    parts = lines if isinstance(lines, Column) else F.array(*lines)
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    return F.when(F.size(parts) == 0, opening + closing).otherwise(F.concat(F.lit(opening + inner), F.array_join(parts, "," + inner), F.lit(outer + closing)))
+
+
+def _json_string(x: Column) -> Column:
+    """Quoted, or null."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"(?s)\A\[(.*)\]\z", 1), F.lit("null"))
+
+
+def pretty_json_payload(fields: list[str] = JSON_FIELDS) -> Column:
+    """The same over lines, indented by two. keywords: array<string>; chunks: array of chunks; the rest: strings."""
+
+    def chunk(c: Column) -> Column:
+        own = [(k, _json_string(c[k]) if k in ("heading", "content") else c[k].cast("string")) for k in ("heading", "content", "chunk_index", "total_chunks")]
+        return _indented(2, [F.concat(F.lit(f'"{k}": '), v) for k, v in own], "{", "}")
+
+    def value(name: str) -> Column:
+        if name in ("keywords", "chunks"):
+            return _indented(1, F.transform(name, _json_string if name == "keywords" else chunk), "[", "]")
+        return _json_string(F.col(name).cast("string"))
+
+    return _indented(0, [F.concat(F.lit(f'"{k}": '), value(k)) for k in fields], "{", "}")
+
+
 def markdown_payload(title: Column, url: Column, text: Column) -> Column:
     """The body of Markdown and text files alike."""
     return F.concat(F.lit("# "), title, F.lit("\nKälla: "), url, F.lit("\n\n"), text)
 
 
-def payloads(saved: DataFrame, save_format: str = ".md") -> DataFrame:
+def payloads(saved: DataFrame, save_format: Column | str = ".md") -> DataFrame:
     """(file_name, payload) of records that are to be saved (see incremental.to_save), which have content_hash."""
-    body = json_payload() if save_format == ".json" else markdown_payload(F.col("title"), F.col("url"), F.col("plain_text"))
-    return saved.select(page_file_name(F.col("url"), F.col("content_hash"), save_format).alias("file_name"), body.alias("payload"))
+    form = save_format if isinstance(save_format, Column) else F.lit(save_format)
+    body = F.when(form == ".json", pretty_json_payload()).otherwise(markdown_payload(F.col("title"), F.col("url"), F.col("plain_text")))
+    return saved.select(page_file_name(F.col("url"), F.col("content_hash"), form).alias("file_name"), body.alias("payload"))
 
 
 def write_payloads(rows: DataFrame, folder: str) -> None:
@@ -35,7 +63,8 @@ def write_payloads(rows: DataFrame, folder: str) -> None:
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
-    """One file for each row, under its name, in a folder that all executors mount; a file appears whole or not at all."""
+    """One file for each row, under its name, in a folder that all executors mount (a path of the operating system, not an
+    object store: see write_payloads for those); a file appears whole or not at all."""
 
     def put(batches):
         import os

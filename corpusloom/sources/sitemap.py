@@ -72,3 +72,15 @@ def sitemap_pages(files: DataFrame, start: DataFrame, max_rounds: int = 0) -> Da
         front = written(here.select(F.explode(child_locations(F.col("xml"))).alias("url")).distinct().join(seen, "url", "left_anti"))
         seen = seen.unionByName(front)
     return out if out is not None else files.sparkSession.createDataFrame([], "sitemap string, position int, url string")
+
+
+def accepted_counts(pages: DataFrame, domain: Column | None = None, exclude: Column | None = None, require: Column | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """(sitemap, n): how many URLs of (sitemap, position, url) a crawl takes over: valid, not seen (url, normalised) before, each
+    once, for the sitemap that sorts first."""
+    from ..operators.frontier import accepted, first_wins, normalized
+
+    kept = normalized(accepted(pages.select("sitemap", "position", "url"), domain, exclude, require))
+    own = first_wins(kept.select("url", F.struct("sitemap", "position").alias("seq")))
+    if seen is not None:
+        own = own.join(seen.select("url"), "url", "left_anti")
+    return own.groupBy(F.col("seq.sitemap").alias("sitemap")).agg(F.count("*").alias("n"))

@@ -1,4 +1,8 @@
-"""Pages that keep arriving: each URL once, records, and the cache kept up to date batch by batch."""
+"""Pages that keep arriving: records, and the cache kept up to date batch by batch.
+
+A cache folder holds one part for each micro-batch, with what that batch brought. A batch that is run again after a failure
+writes the same part anew. Reading takes the latest row of each URL; `compact` puts the parts into one.
+"""
 
 from __future__ import annotations
 
@@ -6,41 +10,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.urls import is_valid_url, normalize_url
 from ..operators.extract import page_records, parse_pages
-from ..operators.incremental import CACHE, cache_rows, upsert
-from ..sources.sinks import write_cache
+from ..operators.frontier import accepted, last_wins, normalized
+from ..operators.incremental import CACHE, cache_rows
+
+STORED = "url string, content_hash string, title string, crawled_at string, content_length long, batch long"
 
 
 def arriving_pages(spark: SparkSession, folder: str, schema: str = "page_id long, url string, html string", files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """Valid pages with normalised URLs, the first of each: the state is the set of URLs."""
-    return pages.where(is_valid_url(F.col("url"))).withColumn("url", normalize_url(F.col("url"))).dropDuplicates(["url"])
+def valid_pages(pages: DataFrame) -> DataFrame:
+    """Pages that may be taken, with normalised URLs; every version of each."""
+    return normalized(accepted(pages))
+
+
+def batch_rows(pages: DataFrame, crawled_at: Column) -> DataFrame:
+    """The cache's rows of one batch, a row for each URL; of versions alike in time, the one with the larger hash."""
+    rows = cache_rows(page_records(parse_pages(valid_pages(pages)), crawled_at).where("error IS NULL")).withColumn("crawled_at", F.col("crawled_at").cast("string"))
+    return last_wins(rows.withColumn("_order", F.struct("crawled_at", "content_hash")), "url", "_order").select(CACHE)
 
 
 def start(pages: DataFrame, cache_folder: str, checkpoint: str, crawled_at: Column | None = None) -> StreamingQuery:
-    """Upserts the cache with each micro-batch: a new version is written and then named in `current`; a batch that is run again
-    after a failure gives the same cache, as its rows win over equal ones."""
+    """Writes each micro-batch's part of the cache."""
     at = F.current_timestamp() if crawled_at is None else crawled_at
-    spark = pages.sparkSession
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = cache_rows(page_records(parse_pages(batch), at).where("error IS NULL"))
-        old = current_cache(spark, cache_folder)
-        path = write_cache(upsert(old, rows) if old is not None else rows.select(CACHE), cache_folder)
-        spark.createDataFrame([(number, path)], "batch long, path string").coalesce(1).write.mode("append").json(f"{cache_folder}/current")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch_rows(batch, at).write.mode("overwrite").parquet(f"{cache_folder}/batch={number}")
+
+    return pages.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return distinct_pages(pages).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def current_cache(spark: SparkSession, cache_folder: str) -> DataFrame:
+    """The latest row of each URL: by time, then by batch."""
+    rows = spark.read.schema(STORED).parquet(cache_folder)
+    return last_wins(rows.withColumn("_order", F.struct("crawled_at", "batch", "content_hash")), "url", "_order").select(CACHE)
 
-def current_cache(spark: SparkSession, cache_folder: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
 
-    try:
-        row = spark.read.schema("batch long, path string").json(f"{cache_folder}/current").orderBy(F.desc("batch"), F.desc("path")).first()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(row["path"]) if row else None
+def compact(spark: SparkSession, cache_folder: str, into: str) -> None:
+    """The current cache as the one part of a new folder, as of the latest batch: later parts can be written beside it."""
+    latest = spark.read.schema(STORED).parquet(cache_folder).agg(F.max("batch")).first()[0]
+    if latest is not None:
+        current_cache(spark, cache_folder).write.mode("overwrite").parquet(f"{into}/batch={latest}")

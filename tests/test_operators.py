@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import frontier, incremental, route, schedule, stats
+from corpusloom.operators import frontier, incremental, route, schedule, settle, stats
 
 
 def site(spark):
@@ -23,6 +23,39 @@ def test_crawl_limits_and_sitemap(spark):
     assert [r["url"].removeprefix("https://a.se") for r in few.orderBy("round").collect()] == ["/", "/om-oss"]
 
 
+def test_crawl_keeps_to_its_site_words_and_robots(spark):
+    links = {"https://a.se/": ["https://b.se/", "https://www.a.se/ok", "/spam/1", "/privat/x", "/utan"], "https://b.se/": [], "https://www.a.se/ok": ["/djup"], "https://a.se/spam/1": [], "https://a.se/privat/x": [], "https://a.se/utan": []}
+    full = lambda h: h if h.startswith("https") else f"https://a.se{h}"
+    pages = spark.createDataFrame([(u, [(h, full(h)) for h in own]) for u, own in links.items()], "url string, links array<struct<href:string,target:string>>")
+    seen = lambda **k: {r["url"].removeprefix("https://") for r in frontier.crawl(spark, pages, ["https://a.se/"], **k).collect()}
+    everywhere = {"a.se/", "b.se/", "www.a.se/ok", "a.se/spam/1", "a.se/privat/x", "a.se/utan"}
+    assert seen(strict_domain=False) == everywhere and seen() == everywhere - {"b.se/"}
+    assert seen(exclude=["spam"], robots_txt="User-agent: *\nDisallow: /privat") == {"a.se/", "www.a.se/ok", "a.se/utan"}
+    assert seen(require=["ok"]) == {"a.se/", "www.a.se/ok"}
+
+
+def test_crawl_takes_links_of_equal_score_as_they_were_met(spark):
+    order = [f"/p{(7 * i) % 20:02d}" for i in range(20)]
+    rows = [("https://a.se/", [(h, f"https://a.se{h}") for h in order])] + [(f"https://a.se{h}", []) for h in sorted(order)]
+    got = frontier.crawl(spark, spark.createDataFrame(rows, "url string, links array<struct<href:string,target:string>>"), ["https://a.se/"], max_pages=9)
+    assert [r["url"].removeprefix("https://a.se") for r in got.orderBy("round", "place").collect()] == ["/", *order[:8]]
+
+
+def test_places(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), (F.col("id") % 5).alias("y")).repartition(7)
+    got = settle.placed(rows, F.desc("y"), "x").collect()
+    assert [r["place"] for r in sorted(got, key=lambda r: (-r["y"], r["x"]))] == list(range(1, 1001))
+
+
+def test_plans_stay_short(spark, sf):
+    """URL logic is worked out once: a filter over what links lead to doesn't repeat it."""
+    from corpusloom import queries
+
+    for f in (queries.links_new, queries.frontier_expand, queries.links_resolved):
+        plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert len(plan) < 60_000 and plan.count("regexp_extract") < 60, (f.__name__, len(plan), plan.count("regexp_extract"))
+
+
 def test_crawl_does_not_stop_silently(spark):
     with pytest.raises(RuntimeError):
         frontier.crawl(spark, site(spark), ["https://a.se/"], max_rounds=2)
@@ -56,6 +89,20 @@ def test_schedule_golden(spark):
     assert got == {1: 0, 2: 500_000, 3: 1_000_000, 4: 5_000_000, 5: 0}
 
 
+def test_schedule_over_slots(spark):
+    """A domain's requests in many slots, against the recurrence."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(40_000_000), i) for i in range(400)]
+    want, last = {}, {}
+    for d, at, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        want[i] = last[d] = max(at, last.get(d, -(10**18)) + 150_000)
+    df = spark.createDataFrame(rows, "domain string, arrive_us long, id long")
+    for slot in (1, 7, 3600):
+        assert {r["id"]: r["start_us"] for r in schedule.schedule(df, F.lit(0.15), slot_s=slot).collect()} == want
+
+
 def test_schedule_keeps_distance(spark):
     import random
 

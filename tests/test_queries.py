@@ -45,3 +45,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("missing", ["corpusloom.llm", "corpusloom.llm.queries", "xxhash", "corpus_pipeline"])
+def test_entry_without_modules(missing, monkeypatch):
+    """Whatever of the subpackage or of what it needs is missing, the engine's queries stay."""
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("corpusloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)  # importing it raises
+    assert set(engine.queries()) <= set(e.queries()) and set(oracles.ORACLES) <= set(e.oracle_sql())
+    assert "pipeline" not in e.queries() and (missing == "corpus_pipeline") == any(k.startswith("op1_") for k in e.queries())

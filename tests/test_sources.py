@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.plans.runs import run_site, run_sites
@@ -81,6 +82,59 @@ def test_many_sites(spark):
     assert {r["site"]: "a@b.se" in r["plain_text"] for r in run.records.collect()} == {"A": False, "B": True}
 
 
+def settings(spark, rows, schema):
+    given = spark.createDataFrame(rows, schema)
+    types = dict(x.strip().split(" ") for x in config.SCHEMA.split(", "))
+    return config.with_defaults(given.select("*", *(F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in given.columns)))
+
+
+def test_each_site_has_its_own_settings(spark):
+    sites = settings(
+        spark, [("A", "https://a.se/", False, False, ".json", False, "headless", True), ("B", "https://b.se/", True, True, ".txt", True, "login_then_headless", False)],
+        "name string, start_url string, strict_domain boolean, respect_robots boolean, save_format string, incremental boolean, headless_mode string, download_docs boolean",
+    )
+    text = "ord " * 30
+    login = "<html><title>in</title><input type='password' name=\"password\"></html>"
+    pages = spark.createDataFrame(
+        [("A", "https://a.se/1", page("T", text)), ("A", "https://x.se/privat", page("T", text)), ("A", "https://a.se/in", login), ("B", "https://b.se/1", page("T", text)), ("B", "https://x.se/1", page("T", text)), ("B", "https://b.se/privat", page("T", text)), ("B", "https://b.se/in", login)],
+        "site string, url string, html string",
+    )
+    robots_txt = spark.createDataFrame([("A", "User-agent: *\nDisallow: /privat"), ("B", "User-agent: *\nDisallow: /privat")], "site string, robots_txt string")
+    captured = spark.createDataFrame([(s, f"https://{s}.se/d.pdf", 200, "application/pdf", None, b"P", 1) for s in "AB"], "site string, url string, status int, content_type string, disposition string, body binary, fetched_at long")
+    first = run_sites(pages, sites, spark.createDataFrame([], CACHE), F.lit("2026-01-01"), robots_txt, captured).keep()
+    assert {(r["site"], r["url"].removeprefix("https://"), r["status"]) for r in first.records.collect()} == {
+        ("A", "a.se/1", "new"), ("A", "x.se/privat", "new"), ("A", "a.se/in", "new"), ("B", "b.se/1", "new"), ("B", "b.se/in", "expired"),
+    }
+    saved = {r["file_name"].rpartition(".")[2]: r["payload"] for r in first.saved.collect()}
+    assert set(saved) == {"json", "txt"} and json.loads(saved["json"])["url"].startswith("https://") and saved["txt"].startswith("# T\nKälla: https://b.se/1")
+    assert [(r["site"], r["url"]) for r in first.documents.collect()] == [("A", "https://A.se/d.pdf")]
+    again = run_sites(pages, sites, first.cache, F.lit("2026-01-02"), robots_txt)
+    assert {(r["site"], r["saved"], r["unchanged"]) for r in again.stats.collect()} == {("A", 3, 0), ("B", 0, 1)}
+    first.release()
+
+
+def test_pretty_json(spark):
+    rows = [("T", ["a", 'b"\\'], [("H", "x\ny\tå", 1, 2), ("I", "", 2, 2)]), (None, [], [])]
+    schema = "title string, keywords array<string>, chunks array<struct<heading:string,content:string,chunk_index:int,total_chunks:int>>"
+    got = spark.createDataFrame(rows, schema).select(sinks.pretty_json_payload(["title", "keywords", "chunks"]).alias("p")).collect()
+    keys = ("heading", "content", "chunk_index", "total_chunks")
+    want = [{"title": t, "keywords": k, "chunks": [dict(zip(keys, c, strict=True)) for c in own]} for t, k, own in rows]
+    assert [r["p"] for r in got] == [json.dumps(w, ensure_ascii=False, indent=2) for w in want]
+
+
+def test_no_folder_of_its_own_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusloom.sources.shared import shared_folder
+
+    context = lambda master: SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context("spark://host:7077")))
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context("local-cluster[2,1,1024]")))
+    assert shared_folder(SimpleNamespace(sparkContext=context("local[4]"))).startswith("file://")
+
+
 def test_deep_sitemaps(spark):
     xml = lambda i: f"<x><sitemap><loc>https://a.se/{i + 1}.xml</loc></sitemap><url><loc>https://a.se/p{i}</loc></url></x>".encode()
     files = spark.createDataFrame([(f"https://a.se/{i}.xml", xml(i)) for i in range(22)], "url string, body binary")

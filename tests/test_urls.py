@@ -54,10 +54,12 @@ def test_parts_agree_with_the_standard_library(spark):
 
 def test_resolve_agrees_with_the_standard_library(spark):
     bases = ["https://a.se/d/e/f?x=1#y", "http://a.se", "https://a.se/d/", "https://a.se/d;p/e"]
-    hrefs = ["g", "./g", "../g", "../../../g", "/g/../h", "?y=2", "#s", "", "//b.se/x", "https://c.se/", "g/", "..", ".", "/.", "g?y/../x", "a/./b/../c", "mailto:x@y", "g#s/../x", "/å ä"]
+    bases += ["https://a.se/a//b/", "https://a.se//x/y", "https://a.se/d;p", "https://a.se/d/e?q"]
+    hrefs = ["HTTPS://O.se/./x?#", "https:g/../h", "https:", "HTTP://b.se", "../c", "a//b", "/a//../b", "/..//x", "x//", "//O.se/a/../b?", "ftp://x/./y", "?", "#", ";p", "g;x=1/./y"]
+    hrefs += ["g", "./g", "../g", "../../../g", "/g/../h", "?y=2", "#s", "", "//b.se/x", "https://c.se/", "g/", "..", ".", "/.", "g?y/../x", "a/./b/../c", "mailto:x@y", "g#s/../x", "/å ä"]
     pairs = [(b, h) for b in bases for h in hrefs]
     got = column(spark, pairs, U.resolve, "b", "h")
-    assert {p: g for p, g in zip(pairs, got, strict=True) if g != urljoin(*p)} == {}
+    assert {p: (g, urljoin(*p)) for p, g in zip(pairs, got, strict=True) if g != urljoin(*p)} == {}
 
 
 def test_what_a_crawl_may_take(spark):
