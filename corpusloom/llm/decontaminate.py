@@ -7,26 +7,31 @@ the search may move on without missing a window), buckets by the hash of a windo
 what passes all three is compared byte by byte. Many texts are searched at once, one cursor for each piece of text, so
 that a step of all cursors is a few numpy calls.
 
-Benchmarks are small, but that isn't taken for granted: their windows are read in blocks of at most BLOCK_WINDOWS, each
-block is sent to the executors by itself and searched for in all documents, and the hits of a document are united.
+Benchmarks are small, but that isn't taken for granted: their windows are cut into blocks of at most BLOCK_WINDOWS, each of
+which goes to the executors by itself. A task goes through its documents once; where there are several blocks, it holds
+some MB of documents at a time and one block's tables, and searches block after block. No document is shuffled.
 
 Null and empty texts have no words: no hits, and never contaminated. A null item_id or an item without words is left
-out. Two items with the same windows both count. Repeated document rows give repeated results, unless the benchmark
-takes more than one block: then rows are joined on (doc_id, text), and equal rows still count one by one. An empty
-benchmark hits nothing. Other columns are not read.
+out. Two items with the same windows both count. Repeated document rows give repeated results. An empty benchmark hits
+nothing. Other columns are not read by `decontaminate`, and stay as they were in `keep_clean`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_texts, texts, values
+from ._arrow import let_go, sliced, texts, values
 
 SPAN = 8
 #: Windows in one block: about 16 MB of patterns, 60 MB of tables in a worker.
 BLOCK_WINDOWS = 200_000
+#: Bytes of documents that a task holds while it searches several blocks.
+HELD_BYTES = 32 << 20
 #: A-Z become a-z; what isn't a digit, a letter or beyond ASCII becomes a space.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -124,8 +129,6 @@ def _blocks(benchmark: DataFrame, span: int, block_windows: int):
     """(patterns, the items of each) a block at a time; the driver holds one block."""
 
     def cut(batches):
-        import pyarrow as pa
-
         for batch in batches:
             rows = [(w, i) for i, t in zip(batch.column("item").to_pylist(), values(batch), strict=True) for w in dict.fromkeys(windows_of(plain_words(t), span))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["w", "item"])
@@ -142,63 +145,87 @@ def _blocks(benchmark: DataFrame, span: int, block_windows: int):
         yield block
 
 
-def _search(docs: DataFrame, block: dict[bytes, set[str]]) -> DataFrame:
-    """One row per row of docs: doc_id, text, hits (word ranges: first word, words), items."""
-    shared = docs.sparkSession.sparkContext.broadcast(([*block], [sorted(x) for x in block.values()]))
-
-    def prepare():
-        patterns, items = shared.value
-        return WuManber(patterns), items, [p.count(b" ") - 1 for p in patterns]
-
-    def fn(batch, own):
-        finder, items, n_words = own
-        raw, begins, ends, counts, at = [], [], [], [], 0
-        for text in values(batch):
-            words = plain_words(text)
-            line = b" %s " % b" ".join(words) if words else b""
-            raw.append(line)
-            counts.append(len(words))
-            begins.append(at)
-            at += len(line)
-            ends.append(at)
-        joined, begins, ends = b"".join(raw), np.array(begins, np.int64), np.array(ends, np.int64)
+class _Block:
+    """The search for one block's windows in whole texts."""
+
+    def __init__(self, patterns: list[bytes], items: list[list[str]]):
+        self.finder, self.items, self.n_words = WuManber(patterns), items, [p.count(b" ") - 1 for p in patterns]
+
+    def hits(self, lines: list[bytes]) -> Iterator[tuple[int, int, int, list[str]]]:
+        """(text, first word, words, items) of each occurrence in the texts' lines of plain words."""
+        size = np.array([len(x) for x in lines], np.int64)
+        begins, joined = np.cumsum(size) - size, b"".join(lines)
+        found = self.finder.search(joined, begins, begins + size) if len(lines) else []
+        if not found:
+            return
         spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        found = finder.search(joined, begins, ends) if len(begins) else []
         starts = np.array([x[0] for x in found], np.int64)
         owner = np.searchsorted(begins, starts, "right") - 1  # the last of those that begin alike: texts before it are empty
-        word = np.searchsorted(spaces, starts) - np.searchsorted(spaces, begins[owner]) if len(starts) else starts
-        who, hit = [set() for _ in raw], [[] for _ in raw]
+        word = np.searchsorted(spaces, starts) - np.searchsorted(spaces, begins[owner])
         for (_, p), d, w in zip(found, owner.tolist(), word.tolist(), strict=True):
-            who[d].update(items[p])
-            hit[d].append({"first": w, "words": n_words[p]})
-        return {"doc_id": batch.column("doc_id"), "n_words": counts, "hits": hit, "items": [sorted(x) for x in who], "text": batch.column("text")}
+            yield d, w, self.n_words[p], self.items[p]
+
+
+def _opened(shared) -> _Block:
+    """A block's tables; what a worker read for them isn't kept."""
+    block = _Block(*shared.value)
+    shared.__dict__.pop("_value", None)
+    return block
+
+
+def _searcher(docs: DataFrame, benchmark: DataFrame, span: int, block_windows: int):
+    """A function for tasks: (batch, its texts' numbers of words, hits and items) of all batches, a few MB at a time."""
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(([*block], [sorted(x) for x in block.values()])) for block in _blocks(benchmark, span, block_windows)]
 
-    return map_texts(texts(docs), fn, "doc_id long, n_words long, hits array<struct<first:long,words:long>>, items array<string>, text binary", prepare)
+    def found(batches):
+        only = _opened(shared[0]) if len(shared) == 1 else None
+        for batch in sliced(batches, HELD_BYTES) if len(shared) > 1 else sliced(batches):
+            raw = batch.column("text").to_pylist()
+            words = [plain_words(x.encode("utf-8", "replace") if isinstance(x, str) else x or b"") for x in raw]
+            lines = [b" %s " % b" ".join(w) if w else b"" for w in words]
+            who, hit = [set() for _ in raw], [[] for _ in raw]
+            for one in [only] if only else shared:
+                for d, first, n, items in (only or _opened(one)).hits(lines):
+                    who[d].update(items)
+                    hit[d].append((first, n))
+            yield batch, [len(w) for w in words], hit, [sorted(x) for x in who]
+        del only
+        let_go()
+
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_windows: int = BLOCK_WINDOWS, min_items: int = 2) -> DataFrame:
-    """doc_id, text (bytes), n_words, hits, items, n_hit, n_items, contaminated: one row per row of docs."""
-    parts = [_search(docs, block) for block in _blocks(benchmark, span, block_windows)] or [_search(docs, {})]
-    whole = parts[0]
-    if len(parts) > 1:
-        empty = F.expr("CAST(array() AS array<struct<first:long,words:long>>)"), F.expr("CAST(array() AS array<string>)")
-        key = F.struct("doc_id", "text")
-        both = parts[0].select("*", F.lit(1).alias("one"))
-        for part in parts[1:]:
-            both = both.unionByName(part.where(F.size("items") > 0).select("*", F.lit(0).alias("one")))
-        merged = both.groupBy(key.alias("key")).agg(
-            F.sum("one").alias("copies"), F.max("n_words").alias("n_words"),
-            F.coalesce(F.array_distinct(F.flatten(F.collect_list("hits"))), empty[0]).alias("hits"), F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))), empty[1]).alias("items"),
-        )
-        whole = merged.select("key.*", "n_words", "hits", "items", F.explode(F.expr("array_repeat(0, int(copies))")).alias("one")).drop("one")
+    """doc_id, text (bytes), n_words, hits (word ranges: first word, words), items, n_hit, n_items, contaminated: one row per row of docs."""
+    search = _searcher(docs, benchmark, span, block_windows)
+    hits = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
+
+    def run(batches):
+        for batch, n_words, hit, items in search(batches):
+            ranges = pa.array([[{"first": f, "words": n} for f, n in sorted(set(x))] for x in hit], hits)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), ranges, pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hits", "items"])
+
+    whole = texts(docs).mapInArrow(run, "doc_id long, text binary, n_words long, hits array<struct<first:long,words:long>>, items array<string>")
     marks = F.aggregate(
-        F.array_sort("hits"),
+        "hits",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), h["first"] + h["words"] - F.greatest(s["end"], h["first"]))).alias("n"), F.greatest(s["end"], h["first"] + h["words"]).alias("end")),
     )
     return whole.select("doc_id", "text", "n_words", "hits", "items", marks["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), (F.size("items") >= min_items).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_windows: int = BLOCK_WINDOWS, min_items: int = 1) -> DataFrame:
+    """The rows of docs that hold windows of fewer than min_items items, all columns as they were, in the same pass."""
+    search = _searcher(docs, benchmark, span, block_windows)
+
+    def run(batches):
+        for batch, _, _, items in search(batches):
+            yield batch.filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def decontaminate_digest(found: DataFrame) -> DataFrame:
     joined = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "contaminated")
