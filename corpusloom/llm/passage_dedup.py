@@ -201,8 +201,8 @@ def _answer_windows(r: int, entries: list, out: Rows) -> None:
             out.add(r, b, REPEATS, pack(own[later]))
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept binary"
-RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+RESULT = "doc_id long, n_words long, n_removed long, kept binary, text_sha256 string"
+RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text_sha256", pa.string())])
 
 
 def _apply(n: int, keep_space: bool):
@@ -249,13 +249,13 @@ def _apply(n: int, keep_space: bool):
                     pieces.append(text[at : begin[a]])
                     at = int(begin[b]) if b < len(begin) else len(text)
                 kept.append(b"".join([*pieces, text[at:]]))
-        return pa.Table.from_arrays([batch.ids(), pa.array(count), pa.array(removed), pa.array(kept, pa.binary())], schema=RESULT_ARROW)
+        return pa.Table.from_arrays([batch.ids(), pa.array(count), pa.array(removed), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in batch.texts])], schema=RESULT_ARROW)
 
     return fn
 
 
 def passage_dedup(docs: DataFrame, keep_space: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept text: one row per row of docs.
+    """doc_id, n_words, n_removed, the kept text, and text_sha256 (of the whole text): one row per row of docs.
 
     kept: the words joined by one space; with keep_space the text as it was, without the removed words.
     """
