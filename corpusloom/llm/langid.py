@@ -6,14 +6,23 @@ of whole training texts of 1 to 60 words, so short texts are no surprise. As the
 table of logits a subword, and a worker adds up each word's once.
 
 Calibration, on training texts kept out of the descent: one temperature that makes the probabilities fit (least
-log-loss), then the confidence below which a text is rejected: what at most REJECT of these texts, and of their first
-20 words alone, fall under, and never over HIGHEST.
-
-Trained on at most MAX_ROWS texts a language, those with the least hash of their doc_id, on the first MAX_TEXT bytes of each,
-and MAX_BYTES together: each language has an equal share of them, filled in order of the hashes.
-Null languages are not learned. Null texts and texts without a letter are `und` with score 0 and rejected; so is all if
-nothing can be learned. Ties go to the language that sorts first. Repeated rows give repeated results, an empty table
-an empty one. Only the text is an input of a prediction.
+log-loss), then two bounds, each for texts of as many different words (of 1, 2, 4 ... LENGTHS; between them by the logarithm):
+
+* The confidence that only REJECT of known texts of that length, or of a shorter one, fall under.
+* The familiarity: a softmax is as sure of a strange text as of its own, so words are also held against how often their
+  subwords stand in each language (mean logarithm of the share, of the best language, over the text's different words).
+  Strange texts for calibration are each language's own texts held against all other languages alone, and texts whose
+  words' letters are shuffled. The bound is half way between what REJECT of known texts fall under and what all but
+  REJECT_STRANGE of the strange ones stay under; where these overlap, the former alone.
+
+A text is rejected if it falls under either.
+
+Trained on at most MAX_ROWS texts a language, those with the least hash of their doc_id (of rows with one doc_id the text
+that sorts first), on the first MAX_TEXT bytes of each, and MAX_BYTES together: each language has an equal share of them,
+filled in order of the hashes.
+Null languages and rows without doc_id are not learned. Null texts and texts without a letter are `und` with score 0 and
+rejected; so is all if nothing can be learned. Ties go to the language that sorts first. Repeated rows give repeated
+results, an empty table an empty one. Only the text is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -21,48 +30,31 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._arrow import let_go, map_texts, sliced, texts, values
-from ._ngrams import Vocabulary, all_features, word_features, words_of
+from ._ngrams import Vocabulary, all_features, chosen_ids, chosen_texts, word_features, words_of
 
 LOW, HIGH = 2, 5
 BUCKETS, SIZE = 1 << 17, 16
 MAX_ROWS, MAX_BYTES, MAX_TEXT = 400, 64 << 20, 256 << 10
 EPOCHS, LEAST_STEPS, RATE, GROUP, SEED = 3, 300, 8.0, 128, 7
-REJECT, HIGHEST = 0.001, 0.35
+REJECT, REJECT_STRANGE = 0.001, 0.02
+#: Different words of the texts that bounds are calibrated for, and at most so many texts of each length from a calibration text.
+LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+PIECES_OF_A_TEXT = 4
 UNKNOWN = "und"
 
 
 def in_training(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
-    """False for the held-out part; a null doc_id is learned from."""
+    """False for the held-out part; true for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts != part, F.lit(True))
 
 
 def sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
-    """(lang, text), the same number of each language at most. First the ids alone are ranked, with a limit inside each partition."""
-    rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    # a salt spreads a frequent language; each of its 64 parts keeps max_rows
-    part = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= max_rows)
-    chosen = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= max_rows).select("doc_id", "lang", "n")
-    ids = chosen.collect()  # max_rows a language
-    known = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string, n int") if ids else chosen
-    begun = texts(docs).withColumn("text", F.substring("text", 1, MAX_TEXT)).join(F.broadcast(known), "doc_id")
-    return shared_out([(r["lang"], r["n"], r["doc_id"], bytes(r["text"] or b"")) for r in begun.select("lang", "n", "doc_id", "text").collect()])
-
-
-def shared_out(found: list[tuple[str, int, int, bytes]], max_bytes: int = MAX_BYTES) -> list[tuple[str, bytes]]:
-    """(lang, text) of (lang, rank, doc_id, text), in order of lang and doc_id: the first by rank, as far as each language's equal share goes."""
-    share = max_bytes // max(1, len({x[0] for x in found}))
-    size: dict[str, int] = {}
-    kept = []
-    for lang, _, doc, text in sorted(found):
-        left = share - size.get(lang, 0)
-        if left > 0:
-            kept.append((lang, doc, text[:left]))
-            size[lang] = size.get(lang, 0) + len(text)
-    return [(lang, text) for lang, _, text in sorted(kept)]
+    """(lang, text), the same number of each language at most, in order of lang and doc_id."""
+    rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("class"))
+    ids = chosen_ids(rows, max_rows, 3)
+    return [(lang, text) for lang, _, text in chosen_texts(docs, ids, "string", MAX_TEXT, MAX_BYTES)]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -71,36 +63,92 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray):
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, known: np.ndarray | None = None):
+        """table, known: a row for each bucket, of logits and of familiarities, with a column for each language."""
         self.langs, self.table, self.bias = langs, table, bias
-        self.temperature, self.reject = 1.0, 0.0
+        self.known = np.zeros_like(table) if known is None else known
+        self.temperature = 1.0
+        self.sure, self.familiar = np.full(len(LENGTHS), -np.inf), np.full(len(LENGTHS), -np.inf)
 
     def word_rows(self, words: list[str]) -> np.ndarray:
-        """A row a word: the sums of its subwords' logits, and their number."""
+        """A row a word: the sums of its subwords' logits, their number, and the means of its familiarities (0 without a letter)."""
         owner, feature = word_features(words, LOW, HIGH, BUCKETS)
-        cols = [np.bincount(owner, self.table[feature, k], len(words)) for k in range(len(self.langs))]
-        return np.stack([*cols, np.bincount(owner, minlength=len(words))], axis=1)
+        n = np.bincount(owner, minlength=len(words))
+        sums = [np.bincount(owner, t[feature, k], len(words)) for t in (self.table, self.known) for k in range(len(self.langs))]
+        letters = np.array([any(c.isalpha() for c in w) for w in words], bool)
+        return np.stack([*sums[: len(self.langs)], n, *(np.where(letters, x / np.maximum(n, 1), 0) for x in sums[len(self.langs) :]), letters], axis=1)
 
-    def logits(self, vocabulary: Vocabulary, own: list[list[str]]) -> np.ndarray:
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary(self.word_rows, 2 * len(self.langs) + 2)
+
+    def judged(self, vocabulary: Vocabulary, own: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits, familiarities, number of different words with letters) of texts."""
+        k = len(self.langs)
         numbers = vocabulary.look_up(own)
-        sums = np.array([vocabulary.table[x].sum(axis=0) if x else np.zeros(vocabulary.width) for x in numbers]).reshape(len(own), vocabulary.width)
-        return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias
+        table = vocabulary.table
+        sums, means, count = np.zeros((len(own), k + 1)), np.zeros((len(own), k)), np.zeros(len(own))
+        for i, x in enumerate(numbers):
+            if x:
+                word, many = np.unique(np.array(x), return_counts=True)
+                rows = table[word]
+                sums[i] = many @ rows[:, : k + 1]
+                own_sum = rows[:, k + 1 :].sum(axis=0)
+                count[i], means[i] = own_sum[-1], own_sum[:-1] / max(own_sum[-1], 1)
+        return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias, means, count
+
+    def bounds(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, x = np.log2(np.maximum(count, 1)), np.log2(LENGTHS)
+        return np.interp(at, x, self.sure), np.interp(at, x, self.familiar)
 
     def predictor(self):
-        vocabulary = Vocabulary(self.word_rows, len(self.langs) + 1)
+        vocabulary = self.vocabulary()
 
         def predict(raw: list[bytes]) -> tuple[list[str], list[float], list[bool]]:
             own = [words_of(t) for t in raw]
-            letters = [any(any(c.isalpha() for c in w) for w in x) for x in own]
             if not self.langs or not raw:
                 return [UNKNOWN] * len(raw), [0.0] * len(raw), [True] * len(raw)
-            p = softmax(self.logits(vocabulary, own) / self.temperature)
-            best, top = p.argmax(axis=1), p.max(axis=1)
-            return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, top, 0.0).tolist(), [not ok or t < self.reject for t, ok in zip(top.tolist(), letters, strict=True)]
+            z, means, count = self.judged(vocabulary, own)
+            p = softmax(z / self.temperature)
+            best, top, letters = p.argmax(axis=1), p.max(axis=1), count > 0
+            sure, familiar = self.bounds(count)
+            rejected = ~letters | (top < sure) | (means.max(axis=1) < familiar)
+            return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, top, 0.0).tolist(), rejected.tolist()
 
         return predict
 
 
+def _shuffled(word: str, rng: np.random.Generator) -> str:
+    return "".join(word[i] for i in rng.permutation(len(word)))
+
+
+def _calibrate(model: Model, texts_: list[list[str]], truth: np.ndarray, rng: np.random.Generator) -> None:
+    """Temperature and bounds, from words of texts that weren't learned from."""
+    vocabulary, k = model.vocabulary(), len(model.langs)
+    z, _, _ = model.judged(vocabulary, texts_ + [x[:20] for x in texts_])
+    both = np.concatenate([truth, truth])
+    heats = np.geomspace(0.05, 5, 60)
+    model.temperature = float(min(heats, key=lambda h: -np.log(np.maximum(softmax(z / h)[np.arange(len(both)), both], 1e-300)).sum()))
+    other = ~np.eye(k, dtype=bool)
+    for j, n in enumerate(LENGTHS):
+        parts, lang = [], []
+        for x, y in zip(texts_, truth, strict=True):
+            words = list(dict.fromkeys(w for w in x if any(c.isalpha() for c in w)))
+            starts = range(0, len(words) - n + 1, max(n, (len(words) - n + 1) // PIECES_OF_A_TEXT))
+            parts += [words[i : i + n] for i in starts]
+            lang += [y] * len(starts)
+        if not parts:
+            # no text is that long: bounds of shorter ones hold on
+            model.sure[j:], model.familiar[j:] = (model.sure[j - 1], model.familiar[j - 1]) if j else (0.0, -np.inf)
+            break
+        z, means, _ = model.judged(vocabulary, parts)
+        model.sure[j] = np.quantile(softmax(z / model.temperature).max(axis=1), REJECT, method="lower")
+        _, noise, _ = model.judged(vocabulary, [[_shuffled(w, rng) for w in x] for x in parts])
+        strange = [noise.max(axis=1)] + ([np.where(other[np.array(lang)], means, -np.inf).max(axis=1)] if k > 1 else [])
+        low, high = np.quantile(means.max(axis=1), REJECT, method="lower"), max(np.quantile(x, 1 - REJECT_STRANGE) for x in strange)
+        model.familiar[j] = (low + high) / 2 if high < low else low
+    model.sure = np.minimum.accumulate(model.sure)  # a longer text needs no more
+
+
 def fit(rows: list[tuple[str, bytes]]) -> Model:
     langs = sorted({lang for lang, _ in rows})
     rng = np.random.default_rng(SEED)
@@ -150,14 +198,19 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
             edges = np.flatnonzero(np.append(True, feat[1:] != feat[:-1]))
             embed[feat[edges]] -= rate * len(part) * np.add.reduceat(share[:, None] * back[doc], edges, axis=0)
             step += 1
-    model = Model(langs, (embed @ layer).astype(np.float32), bias)
+    # how familiar a subword is: the logarithm of its share in each language's training words
+    seen = np.ones((BUCKETS, len(langs)))
+    for x, k, lang in zip(own, kept, y, strict=True):
+        if not k and x:
+            word = np.array([number[w] for w in x])
+            many = begin[word + 1] - begin[word]
+            at = np.repeat(begin[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            seen[:, lang] += np.bincount(feature[at], minlength=BUCKETS)
+    known = np.log2(seen / seen.sum(axis=0))
+    model = Model(langs, (embed @ layer).astype(np.float32), bias, known.astype(np.float32))
     test = [i for i in np.flatnonzero(kept) if own[i]]
     if test:
-        z = model.logits(Vocabulary(model.word_rows, len(langs) + 1), [own[i] for i in test] + [own[i][:20] for i in test])
-        truth = np.concatenate([y[test], y[test]])
-        heats = np.geomspace(0.05, 5, 60)
-        model.temperature = float(min(heats, key=lambda h: -np.log(np.maximum(softmax(z / h)[np.arange(len(truth)), truth], 1e-300)).sum()))
-        model.reject = float(min(np.quantile(softmax(z / model.temperature).max(axis=1), REJECT, method="lower"), HIGHEST))
+        _calibrate(model, [own[i] for i in test], y[test], rng)
     return model
 
 

@@ -8,9 +8,9 @@ then moved from the sample's share of toxic texts to the share of all labelled o
 
 A text's logit is a sum over its distinct words, so a worker works out each word's part once.
 
-Fitted on at most MAX_ROWS labelled texts of each class, chosen by hashes of their doc_ids, of at most MAX_TEXT bytes
-each and MAX_BYTES together; labels are counted over all. Null labels and labels of unknown documents are left out, of
-repeated labels the largest counts. Null and empty texts get the intercept's score. Without texts of both classes the score is the share of toxic labels.
+Fitted on at most MAX_ROWS labelled texts of each class, chosen by hashes of their doc_ids, on the first MAX_TEXT bytes of
+each and MAX_BYTES together, half for each class. Null labels are left out, of repeated labels the largest counts; labels
+of unknown documents have no text to learn from, but count in the share of toxic ones. Null and empty texts get the intercept's score. Without texts of both classes the score is the share of toxic labels.
 Repeated rows give repeated results, an empty table an empty one. Columns other than doc_id and text aren't inputs.
 """
 
@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import map_texts, texts, values
-from ._ngrams import Vocabulary, all_features, word_features, words_of
+from ._ngrams import Vocabulary, all_features, chosen_ids, chosen_texts, word_features, words_of
 
 LOW, HIGH = 3, 6
 BUCKETS = 1 << 20
-MAX_ROWS, MAX_BYTES, MAX_TEXT = 3000, 256 << 20, 256 << 10
+MAX_ROWS, MAX_BYTES, MAX_TEXT = 3000, 64 << 20, 256 << 10
 LEAST_RATIO, LEAST_TEXTS = 2.0, 4
 PENALTY, STEPS = 1e-3, 150
 THRESHOLD = 0.3
@@ -40,26 +40,10 @@ def in_training(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[tuple[bytes, int]], float]:
     """(text, label) of the fitted rows, and the share of label 1 of all labelled rows."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(in_training(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
-    counts = dict(known.groupBy("label").count().collect())
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(in_training(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("class"))
+    counts = dict(known.groupBy("class").count().collect())
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
-    chosen = None
-    for label in (0, 1):
-        # about as many as are wanted, by hash, before any are ranked: else each partition would rank that many
-        part = min(1.0, (1.3 * max_rows + 100) / max(counts.get(label, 0), 1))
-        near = known.where((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20))))
-        own = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-        chosen = own if chosen is None else chosen.unionAll(own)
-    rows, size = [], 0
-    joined = texts(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT).join(F.broadcast(chosen), "doc_id")  # at most 2 * max_rows ids
-    for row in joined.select("doc_id", "text", "label").collect():
-        rows.append((row["doc_id"], bytes(row["text"] or b""), row["label"]))
-    out = []
-    for _, text, label in sorted(rows):
-        if size + len(text) <= MAX_BYTES:
-            out.append((text, label))
-            size += len(text)
-    return out, share
+    return [(text, label) for label, _, text in chosen_texts(docs, chosen_ids(known, max_rows, 5), "int", MAX_TEXT, MAX_BYTES)], share
 
 
 class Model:

@@ -87,20 +87,51 @@ def test_defined_results(spark):
     assert pictures[3] == pictures[4] and pictures[4][:2] == (0, 64) and pictures[1] == pictures[2]
 
 
-def test_stages(spark, tmp_path):
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("tables"))
     docs = spark.createDataFrame(ROWS, SCHEMA)
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    tables(spark, docs)["benchmark"].write.parquet(f"{tmp_path}/benchmark.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.dtypes == docs.dtypes
-        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
-    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
-    assert sorted((r["doc_id"] for r in near if r["doc_id"]), key=str) == sorted([1, 3, 4, 5, 6, 7, 8, 9, 10, 11], key=str)
-    assert sum(r["doc_id"] is None for r in near) == 2
-    cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, docs.where("doc_id <> 7"), str(tmp_path)).collect()}
-    assert cut[12] == ("slut", 4) and cut[2] == ("", 0) and cut[1] == (WORDS, 1) and cut[3] == (None, None)
-    clean = {r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()}
-    assert clean == {None, 3, 4, 5, 6, 7, 8, 9, 10, 11}
-    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs.write.parquet(f"{d}/documents.parquet")
+    tables(spark, docs)["benchmark"].write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stage(spark, folder, stage):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    out = stage(spark, docs, folder)
+    assert stage is corpus_pipeline.token_ids or out.dtypes == docs.dtypes
+    assert stage(spark, docs.limit(0), folder).collect() == []
+    # clashing names
+    more = crowded(spark).withColumns({c: F.lit(1) for c in ("_doc_id", "_later", "_n", "_row", "_text_key", "n_removed", "text_sha256", "n_words", "items")})
+    assert sorted(((r["doc_id"], r["text"]) for r in stage(spark, more, folder).collect()), key=str) == sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_stages(spark, folder):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    near = corpus_pipeline.near_duplicates(spark, docs, folder).collect()
+    assert sorted((r["doc_id"] for r in near if r["doc_id"]), key=str) == sorted([1, 3, 4, 5, 6, 7, 7, 8, 9, 10, 11], key=str)
+    assert sum(r["doc_id"] is None for r in near) == 2 and {r["text"] for r in near if r["doc_id"] == 7} == {"dubbel rad " * 30, "annan text"}
+    cut = sorted((tuple(r) for r in corpus_pipeline.repeated_passages(spark, docs, folder).collect()), key=str)
+    want = {12: ("slut", 4), 2: ("", 0), 1: ("", 0)}  # the row without an id comes first
+    assert cut == sorted(((d, *(want.get(d, (t, n))[:1]), lang, source, want.get(d, (t, n))[1]) for d, t, lang, source, n in ROWS), key=str)
+    clean = [r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, docs, folder).collect()]
+    assert sorted(clean, key=str) == sorted([None, 3, 4, 5, 7, 7, 7, 8, 9, 10, 11], key=str)
+    last = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in last} <= {r[0] for r in ROWS} and all(r["n_ids"] == len(r["ids"]) for r in last)
+
+
+def test_one_window_of_one_item_is_enough(spark, tmp_path):
+    """A document with one window of 8 benchmark words goes, all others stay: also one with 7 of them."""
+    item = "ett tva tre fyra fem sex sju atta nio tio elva"
+    rows = [(1, f"fore {' '.join(item.split()[2:10])} efter"), (2, f"fore {' '.join(item.split()[2:9])} efter"), (3, "rent"), (4, None), (None, "utan id")]
+    spark.createDataFrame([(1, item), (2, "nagot helt annat an det")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.without_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 3, 4, None], key=str)
+
+
+def test_rows_with_one_id_keep_their_own_texts(spark, tmp_path):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, f"a {shared} b"), (7, f"c {shared} d"), (7, f"{shared} e"), (7, "z z"), (7, f"{shared} e")]
+    out = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0)), str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, f"a {shared} b"), (7, "c d"), (7, "e"), (7, "z z"), (7, "e")])

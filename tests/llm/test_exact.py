@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import _exchange, components, decontaminate, langid, media, near_dedup, passage_dedup, pieces, ppm, suffix_dedup, tokens, toxicity
+from corpusloom.llm import _exchange, _ngrams, components, decontaminate, langid, media, near_dedup, passage_dedup, pieces, ppm, suffix_dedup, tokens, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -365,11 +365,37 @@ def test_even_labels(spark):
 
 
 def test_every_language_has_a_share_of_the_sample(spark):
-    found = [(f"l{k:02d}", n, 100 * k + n, b"x" * 50) for k in range(40) for n in range(1, 11)]
-    got = langid.shared_out(found, 4000)
-    assert {x for x, _ in got} == {f"l{k:02d}" for k in range(40)}
-    assert sum(len(t) for _, t in got) == 4000
-    df = spark.createDataFrame([(i, "kort text", "sv") for i in range(20)] + [(100 + i, "lang text " * 30_000, "zz") for i in range(6)], "doc_id long, text string, lang string")
+    rows = [(i, "kort text", "sv") for i in range(20)] + [(100 + i, "lang text " * 30_000, "zz") for i in range(6)] + [(7, "b", "sv"), (7, "a", "sv")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     some = langid.sample(df)
-    assert {x for x, _ in some} == {"sv", "zz"}
+    assert {x for x, _ in some} == {"sv", "zz"} and sum(t == b"a" for _, t in some) <= 1
     assert max(len(t) for _, t in some) == langid.MAX_TEXT
+    ids = [(d, lang) for d, _, lang in rows[:26]]
+    held = _ngrams.chosen_texts(df, ids, "string", 100, 400)
+    assert {k: sum(len(t) for x, _, t in held if x == k) for k in ("sv", "zz")} == {"sv": 20 * 9 - 8, "zz": 200}  # doc 7 has "a"
+    many = spark.createDataFrame([(i, k) for i in range(3000) for k in ("x", "y") if k == "x" or i % 7 == 0] + [(5, "x")] * 50, "doc_id long, class string")
+    chosen = _ngrams.chosen_ids(many, 100, 3)
+    assert len(chosen) == len(set(chosen)) == 200 and sum(k == "x" for _, k in chosen) == 100
+
+
+STRANGE = {
+    "fi": "suomen kieli on uralilaisten kielten ryhmään kuuluva kieli jota puhutaan pääosin täällä ja sitä käytetään myös muualla",
+    "ru": "русский язык является одним из самых распространенных языков мира и официальным языком нескольких государств",
+    "zh": "中文是世界上 使用人数最多的 语言之一 它有很长 的历史 许多人 学习它 每天都有 很多人用",
+    "la": "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
+    "pl": "język polski jest jednym z języków słowiańskich używanym głównie w kraju oraz na całym świecie przez wielu ludzi",
+    "tr": "türkçe başta olmak üzere geniş bir coğrafyada konuşulan bir dildir ve çok eski bir geçmişi vardır her yerde",
+}
+
+
+def test_strange_texts_are_rejected_and_known_ones_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("lang", "text", F.crc32(F.col("doc_id").cast("string")).alias("n")).collect()
+    predict = langid.fit(sorted((r["lang"], r["text"].encode()) for r in rows if r["n"] % 3 != 1)).predictor()
+    rng = random.Random(11)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(rng.randrange(6, 80))) for _ in range(100)]
+    strange = [" ".join(w[i : i + n]) for t in STRANGE.values() for w in [t.split()] for n in (8, len(w)) for i in range(0, len(w) - n + 1, 4)]
+    for texts in (strange, noise):
+        assert np.mean(predict([t.encode() for t in texts])[2]) >= 0.9
+    held = [r["text"] for r in rows if r["n"] % 3 == 1]
+    assert np.mean(predict([t.encode() for t in held])[2]) <= 0.01
