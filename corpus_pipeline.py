@@ -3,8 +3,10 @@
 A stage takes (spark, docs, sf_dir), works on all rows of docs, and returns rows with the columns of documents (the last
 one: doc_id, text, ids, n_ids). run() writes each stage's rows as Parquet into the shared folder and reads them back.
 
-Rows without doc_id are kept: they are in no group of duplicates, and lose no passage, as nothing tells which of two
-comes first. Null texts are rejected by the first stage. An empty table gives empty tables.
+Rows without doc_id are kept by the second and third stage: they are in no group of duplicates, and lose no passage, as
+nothing tells which of two comes first. Rows with one doc_id are versions of one document: near_duplicates keeps each
+different text of a document that stays once, and no stage takes one version's text for another's. Null texts and texts
+without a letter are rejected by the first stage. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -14,10 +16,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm import decontaminate, langid, near_dedup, passage_dedup, pieces
-from corpusloom.sources.shared import shared_folder
+from corpusloom.sources.shared import shared_folder, written
 
 PIECES = "piece_bpe_32k.model"
 
@@ -27,28 +28,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """doc_id, and row: all columns in one, so no name of theirs clashes with another."""
+    return docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the least doc_id; of rows with one doc_id the one whose text sorts first."""
-    later = near_dedup.near_dedup(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
-    number = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    return kept.withColumn("_number", number).where("_number = 1 OR doc_id IS NULL").drop("_number")
+    """One document of each class: the one with the least doc_id. Of its rows, each different text once (the row that sorts first)."""
+    classes = near_dedup.near_dedup(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("class_id")).alias("later"), F.count("*").alias("n"))
+    odd = written(classes.where("later OR n > 1"))
+    kept = whole(docs).join(odd, "doc_id", "left").where("later IS NULL OR NOT later")
+    order = F.struct(*(F.col(f"row.{c}").cast("string") for c in docs.columns if c not in ("doc_id", "text")))
+    several = kept.where("n > 1").groupBy("doc_id", "row.text").agg(F.min_by("row", order).alias("row"))
+    return kept.where("n IS NULL OR n = 1").select("row.*").unionAll(several.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier document has; n_chars follows the text."""
-    cut = passage_dedup.passage_dedup(docs, keep_space=True).where("n_removed > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("kept").cast("string").alias("_kept"))
-    both = docs.join(cut, "doc_id", "left")
-    new = {"text": F.coalesce("_kept", "text"), "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return both.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    cut = passage_dedup.passage_dedup(docs, keep_space=True).where("n_removed > 0 AND doc_id IS NOT NULL")
+    cut = cut.select("doc_id", "text_sha256", F.col("kept").cast("string").alias("kept")).dropDuplicates(["doc_id", "text_sha256"])
+    # the hash tells rows with one doc_id apart
+    both = whole(docs).withColumn("text_sha256", F.sha2(F.col("row.text").cast("binary"), 256)).join(cut, ["doc_id", "text_sha256"], "left")
+    new = {"text": F.coalesce("kept", "row.text"), "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return both.select(*(new[c].alias(c) if c in new else F.col(f"row.{c}") for c in docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold windows of two or more benchmark items."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = found.where("contaminated").select(F.sha2("text", 256).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
-    return keyed.join(leaked, "_key", "left_anti").select(docs.columns)
+    """Without the documents that hold a window of any benchmark item."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
