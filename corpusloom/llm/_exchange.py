@@ -5,12 +5,18 @@ whole documents, dealt by doc_id) first makes its own fingerprints distinct, so
 share costs one entry a batch, not one a document. Entries travel as packed numpy arrays in binary columns, dealt to
 buckets by fingerprint; a bucket answers to the batches that asked. Documents are dealt once: all steps read the same
 exchange, and everything is one lazy plan, which Spark recomputes by itself where an executor is lost.
+
+How many batches and buckets there are follows the bytes of the texts, so a worker holds some tens of MB of documents at a
+time. As each batch sends a row to each bucket, their number grows only with the root beyond some TB: at 100 TB a batch has
+0.5 GB. Rows without doc_id are dealt by their texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +118,7 @@ class Rows:
 
 
 class Batch:
-    """The documents of one batch in ascending order of doc_id (null first; equal ids by text): bytes end to end."""
+    """The documents of one batch in ascending order of doc_id (equal ids by text): bytes end to end. Rows without doc_id have one of their own (see dealt)."""
 
     def __init__(self, table: pa.Table):
         import pyarrow.compute as pc
@@ -120,9 +126,8 @@ class Batch:
         self.b = table.column("b")[0].as_py()
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
         table = table.take(order)
-        self.table = table
-        self.null = table.column("doc_id").is_null().to_numpy()
-        self.doc_id = table.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.int64)
+        self.null = table.column("no_id").to_numpy().astype(bool)
+        self.doc_id = table.column("doc_id").to_numpy().astype(np.int64)
         self.texts = [x or b"" for x in table.column("text").to_pylist()]
         self.size = np.array([len(x) for x in self.texts], np.int64)
         self.again = np.zeros(len(self.texts), np.int64)  # which of the rows with this doc_id
@@ -173,14 +178,31 @@ def _evenly(number: Column, groups: int, partitions: int) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in even_labels(groups, partitions))), number + 1)
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """(b, doc_id, text as bytes): two batches for each shuffle partition, so batches stay as large as partitions are set to be."""
-    p = n_buckets(docs)
-    return texts(docs).select(_evenly(F.pmod(F.xxhash64("doc_id"), F.lit(2 * p)).cast("int"), 2 * p, p).alias("b"), "doc_id", "text")
+#: Bytes of documents for each bucket, and the least for each pair of a batch and a bucket.
+GROUP_BYTES, PAIR_BYTES = 64 << 20, 4096
+
+
+class Deal(NamedTuple):
+    """How rows are dealt: Spark's partitions, batches of documents, buckets of fingerprints."""
+
+    partitions: int
+    batches: int
+    buckets: int
+
+
+def dealing(docs: DataFrame) -> Deal:
+    """Two batches and a bucket for each shuffle partition, more if they would be large."""
+    p = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(texts(docs).agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0).cast("long"))).first()[0])
+    n = max(p, min(-(-size // GROUP_BYTES), isqrt(size // (2 * PAIR_BYTES))))
+    return Deal(p, 2 * n, n)
 
 
-def n_buckets(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def dealt(docs: DataFrame, deal: Deal) -> DataFrame:
+    """(b, doc_id, text as bytes, no_id). Rows without doc_id get the least ones there are, by a hash of their text: they come before all others."""
+    own = F.lit(-(1 << 63)).cast("long") + F.pmod(F.xxhash64("text"), F.lit(1 << 62).cast("long"))
+    rows = texts(docs).select(F.coalesce("doc_id", own).alias("doc_id"), "text", F.col("doc_id").isNull().cast("int").alias("no_id"))
+    return rows.select(_evenly(F.pmod(F.xxhash64("doc_id"), F.lit(deal.batches)).cast("int"), deal.batches, deal.partitions).alias("b"), "doc_id", "text", "no_id")
 
 
 def by_batch(docs: DataFrame, side: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -203,7 +225,7 @@ def by_batch(docs: DataFrame, side: DataFrame, fn: Callable, schema: str) -> Dat
     return docs.groupBy("b").cogroup(side.groupBy("b")).applyInArrow(run, schema)
 
 
-def by_bucket(entries: DataFrame, fn: Callable) -> DataFrame:
+def by_bucket(entries: DataFrame, fn: Callable, deal: Deal) -> DataFrame:
     """fn(r, [(b, kind, arrays)], Rows) for each bucket; PACKED rows out."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -215,8 +237,7 @@ def by_bucket(entries: DataFrame, fn: Callable) -> DataFrame:
         let_go()
         return made
 
-    p = n_buckets(entries)
-    return entries.select(_evenly(F.col("r"), p, p).alias("label"), *PACKED_ARROW.names).groupBy("label").applyInArrow(run, PACKED)
+    return entries.select(_evenly(F.col("r"), deal.buckets, deal.partitions).alias("label"), *PACKED_ARROW.names).groupBy("label").applyInArrow(run, PACKED)
 
 
 #: The kind of the entries of copies().
@@ -230,7 +251,7 @@ def copies(docs: DataFrame, batches: DataFrame) -> DataFrame:
     by doc_id, so that the many rows of one text aren't joined in one task.
     """
     salts = 16
-    keyed = batches.where("text IS NOT NULL AND doc_id IS NOT NULL").select("b", "doc_id", F.sha2("text", 256).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)).alias("salt"))
+    keyed = batches.where("text IS NOT NULL").select("b", "doc_id", F.sha2("text", 256).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)).alias("salt"))
     first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
     later = keyed.join(first, ["h", "salt"]).where("doc_id > first").select("b", "doc_id")
 

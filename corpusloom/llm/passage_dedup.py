@@ -1,19 +1,22 @@
 """Repeated passages: runs of 50 or more words that an earlier document has too, by fixed-block anchors.
 
 A window is SPAN consecutive words of one document. A word goes if a window covers it whose words also start in a
-document with a smaller doc_id (a null id is the smallest; rows with one doc_id are one document here, and don't remove
-each other's words).
+document with a smaller doc_id (rows with one doc_id are one document here, and don't remove each other's words; rows
+without doc_id count as earliest, in the order of a hash of their texts, equal ones as one document).
 
 1. Index. Each document is cut into blocks of BLOCK = SPAN / 2 words that don't overlap: whatever window another
    document shares with it holds one of these blocks whole.
 2. Probe. Every rolling window of BLOCK words, of every document, is looked up in the index. Probes travel as sorted
    32-bit fingerprints by bucket (the bucket holds the rest of the hash), distinct in their batch; a bucket answers each
    batch with the blocks that another batch probes too. Repeats inside a batch are found there.
-3. Extend. A hit is extended to whole windows around it: for all windows that hold a hit block, batches send the hash
-   and their least doc_id; a bucket answers with those that start in a smaller document elsewhere. Consecutive windows
-   are one maximal repeat; where two batches share no window, nothing is removed.
-
-Hashes are 64-bit polynomial hashes of word hashes. Words are runs of bytes other than space and \\t\\n\\v\\f\\r, unchanged.
+3. Extend. A hit is grown to both sides, word by word, to every window around it: for all windows that hold a hit block,
+   batches send the fingerprint and their least doc_id; a bucket answers with those that start in a smaller document
+   elsewhere. Consecutive windows are one maximal repeat; where two batches share no window, nothing is removed. (Growing
+   pairs of occurrences against each other would give the same, at the cost of a pair for each two documents that share a
+   passage.)
+
+Blocks are looked up by 64-bit polynomial hashes of word hashes; a false hit only costs a candidate. Windows are compared by
+96 bits: that hash, and 32 bits of one over independent word hashes. Words are runs of bytes other than space and \\t\\n\\v\\f\\r, unchanged.
 Null and empty texts have no words; a text of under SPAN words keeps all. Whole copies of an earlier text of SPAN words
 or more lose all words. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import slices
-from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealt, distinct, hash_of, is_copy, mix, n_buckets, pack, prefix_hashes
+from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealing, dealt, distinct, hash_of, is_copy, mix, pack, prefix_hashes
 
 SPAN = 50
 BLOCK = SPAN // 2
@@ -60,6 +63,7 @@ class Words:
         self.count = np.diff(self.first)
         self.ids = mix(hash_of(prefix_hashes(raw), self.begin, self.end - self.begin) ^ (self.end - self.begin).astype(np.uint64))
         self.prefix = prefix_hashes(self.ids)
+        self.second: np.ndarray | None = None
 
     def starts(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, document) of each window."""
@@ -70,6 +74,12 @@ class Words:
     def hashes(self, start: np.ndarray, span: int) -> np.ndarray:
         return mix(hash_of(self.prefix, start, span) ^ np.uint64(span))
 
+    def checks(self, start: np.ndarray, span: int) -> np.ndarray:
+        """32 bits more, over other hashes of the words."""
+        if self.second is None:
+            self.second = prefix_hashes(mix(self.ids + np.uint64(0xA0761D6478BD642F)))
+        return (mix(hash_of(self.second, start, span)) >> np.uint64(32)).astype(np.uint32)
+
 
 def _chunks(batch: Batch, skip: np.ndarray):
     rows = np.flatnonzero(~skip & (batch.size >= 2 * SPAN - 1))
@@ -140,7 +150,7 @@ def _hits(given: dict) -> dict[int, np.ndarray]:
 
 
 def _candidates(batch: Batch, given: dict, n: int):
-    """(rows, words, start, doc, hash) of the windows that hold a hit block, a chunk at a time."""
+    """(rows, words, start, doc, hash, check) of the windows that hold a hit block, a chunk at a time."""
     skip = is_copy(batch, given)
     answered = _hits(given)
     keys = np.sort(np.concatenate([(f.astype(np.uint64) << np.uint64(32)) | np.uint64(r) for r, f in answered.items()])) if answered else np.zeros(0, np.uint64)
@@ -169,36 +179,62 @@ def _candidates(batch: Batch, given: dict, n: int):
         start, doc = words.starts(SPAN)
         whole = held[start + SPAN - BLOCK + 1] > held[start]
         start, doc = start[whole], doc[whole]
-        yield rows, words, start, doc, words.hashes(start, SPAN)
+        yield rows, words, start, doc, words.hashes(start, SPAN), words.checks(start, SPAN)
+
+
+def _first_of_each(h: np.ndarray, check: np.ndarray, *last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by fingerprint and then by `last`, whether an element of it is the first of its fingerprint)."""
+    order = np.lexsort((*last[::-1], check, h))
+    x, y = order[:-1], order[1:]
+    return order, np.append(True, (h[x] != h[y]) | (check[x] != check[y])) if len(order) else np.zeros(0, bool)
+
+
+def _places(h: np.ndarray, check: np.ndarray, known: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where each fingerprint is among those that are known, distinct and in order; -1: it isn't."""
+    low, high = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+    at = np.full(len(h), -1)
+    while (open_ := np.flatnonzero((at < 0) & (low < high))).size:
+        same = checks[low[open_]] == check[open_]
+        at[open_[same]] = low[open_[same]]
+        low[open_] += 1
+    return at
+
+
+def _firsts(batch: Batch, found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, check, least doc_id) of a batch's distinct windows, in order."""
+    rows, h, check = (np.concatenate(x) for x in zip(*((rows[doc], h, check) for rows, _, _, doc, h, check in found), strict=True))
+    ids = batch.doc_id[rows]
+    order, fresh = _first_of_each(h, check, ids)
+    return h[order[fresh]], check[order[fresh]], ids[order[fresh]]
 
 
 def _ship_windows(n: int):
     def fn(batch: Batch, given: dict) -> pa.Table:
-        out, found = Rows(), [(h, rows[doc]) for rows, _, _, doc, h in _candidates(batch, given, n)]
+        out, found = Rows(), [(rows, None, None, doc, h, check) for rows, _, _, doc, h, check in _candidates(batch, given, n)]
         if found:
-            h, first = np.unique(np.concatenate([x[0] for x in found]), return_index=True)
-            row = np.concatenate([x[1] for x in found])[first]
+            h, check, doc_id = _firsts(batch, found)
             order, edges = buckets(h, n)
-            h, row = h[order], row[order]
             for r in np.flatnonzero(np.diff(edges)).tolist():
-                ids, which = np.unique(batch.doc_id[row[edges[r] : edges[r + 1]]], return_inverse=True)
-                out.add(r, batch.b, WINDOWS, pack(h[edges[r] : edges[r + 1]], ids, which.astype(np.uint32)))
+                own = order[edges[r] : edges[r + 1]]
+                ids, which = np.unique(doc_id[own], return_inverse=True)
+                out.add(r, batch.b, WINDOWS, pack(h[own], check[own], ids, which.astype(np.uint32)))
         return out.table()
 
     return fn
 
 
 def _answer_windows(r: int, entries: list, out: Rows) -> None:
-    h, where = np.unique(np.concatenate([x[2][0] for x in entries]), return_inverse=True)
-    least = np.full(len(h), np.iinfo(np.int64).max)
-    doc = np.concatenate([ids[which] for _, _, (_, ids, which) in entries])
-    np.minimum.at(least, where, doc)
+    h, check = (np.concatenate([x[2][i] for x in entries]) for i in (0, 1))
+    doc = np.concatenate([ids[which] for _, _, (_, _, ids, which) in entries])
+    order, fresh = _first_of_each(h, check, doc)
+    later = np.zeros(len(h), bool)
+    later[order] = doc[order] > doc[order[np.flatnonzero(fresh)]][np.cumsum(fresh) - 1]
     at = 0
-    for b, _, (own, _, _) in entries:
-        later = doc[at : at + len(own)] > least[where[at : at + len(own)]]
+    for b, _, (own, own_check, _, _) in entries:
+        mine = later[at : at + len(own)]
         at += len(own)
-        if later.any():
-            out.add(r, b, REPEATS, pack(own[later]))
+        if mine.any():
+            out.add(r, b, REPEATS, pack(own[mine], own_check[mine]))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, text_sha256 string"
@@ -209,18 +245,16 @@ def _apply(n: int, keep_space: bool):
     def fn(batch: Batch, given: dict) -> pa.Table:
         skip = is_copy(batch, given)
         answers = given.get(REPEATS, ())
-        later = np.sort(np.concatenate([x[0] for x in answers])) if answers else np.zeros(0, np.uint64)
-        # hits were answered by bucket; of this batch's own windows the first document is known here
-        firsts: list[tuple[np.ndarray, np.ndarray]] = []
+        later = [np.concatenate(x) for x in zip(*answers, strict=True)] if answers else [np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
+        order, _ = _first_of_each(*later)
+        later = [x[order] for x in later]
         gone: dict[int, np.ndarray] = {}
-        parts = [(rows, words.first, start, doc, h) for rows, words, start, doc, h in _candidates(batch, given, n)]
-        if parts:
-            h, first = np.unique(np.concatenate([x[4] for x in parts]), return_index=True)
-            row = np.concatenate([x[0][x[3]] for x in parts])[first]
-            firsts.append((h, batch.doc_id[row]))
-        for rows, word0, start, doc, own in parts:
-            h, least = firsts[0]
-            repeat = np.isin(own, later) | (batch.doc_id[rows[doc]] > least[np.searchsorted(h, own)])
+        parts = [(rows, words.first, start, doc, h, check) for rows, words, start, doc, h, check in _candidates(batch, given, n)]
+        # of this batch's own windows the first document is known here
+        firsts = _firsts(batch, parts) if parts else None
+        for rows, word0, start, doc, h, check in parts:
+            least = firsts[2][_places(h, check, *firsts[:2])]
+            repeat = (_places(h, check, *later) >= 0) | (batch.doc_id[rows[doc]] > least)
             edge = np.zeros(word0[-1] + 1, np.int64)
             np.add.at(edge, start[repeat], 1)
             np.add.at(edge, start[repeat] + SPAN, -1)
@@ -259,10 +293,11 @@ def passage_dedup(docs: DataFrame, keep_space: bool = False) -> DataFrame:
 
     kept: the words joined by one space; with keep_space the text as it was, without the removed words.
     """
-    n, batches = n_buckets(docs), dealt(docs)
+    deal = dealing(docs)
+    n, batches = deal.buckets, dealt(docs, deal)
     same = copies(docs, batches)
-    hits = by_bucket(by_batch(batches, same, _index_and_probe(n), PACKED), _answer_probes).unionAll(same)
-    found = by_bucket(by_batch(batches, hits, _ship_windows(n), PACKED), _answer_windows)
+    hits = by_bucket(by_batch(batches, same, _index_and_probe(n), PACKED), _answer_probes, deal).unionAll(same)
+    found = by_bucket(by_batch(batches, hits, _ship_windows(n), PACKED), _answer_windows, deal)
     return by_batch(batches, found.unionAll(hits), _apply(n, keep_space), RESULT)
 
 

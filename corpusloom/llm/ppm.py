@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import map_texts, sliced, slices, texts, values
-from ._exchange import PACKED, Batch, Rows, by_batch, by_bucket, dealt, mix, n_buckets, pack
+from ._exchange import PACKED, Batch, Rows, by_batch, by_bucket, dealing, dealt, mix, pack
 from ..sources.shared import written
 from .passage_dedup import Words
 
@@ -236,11 +236,12 @@ def _score(n: int, order: int, learned, tokens: int, rows: int, vocabulary: int)
 
 def lm_score(docs: DataFrame, order: int = ORDER, learned=lambda d: not held_out(d)) -> DataFrame:
     """RESULT, one row per row of docs. learned: whether a doc_id's text is learned from."""
-    n, batches = n_buckets(docs), dealt(docs)
+    deal = dealing(docs)
+    n, batches = deal.buckets, dealt(docs, deal)
     code, count, tokens, rows = _pair_counts(docs, learned)
     shared = docs.sparkSession.sparkContext.broadcast((code, count))  # at most 257 x 257 entries
     none = batches.select(F.lit(0).alias("r"), "b", F.lit(0).alias("kind"), F.lit(b"").alias("data")).limit(0)
-    answers = written(by_bucket(by_batch(batches, none, _ask(n, order, learned), PACKED), _answer(shared, order)))
+    answers = written(by_bucket(by_batch(batches, none, _ask(n, order, learned), PACKED), _answer(shared, order), deal))
     distinct = sum(int.from_bytes(bytes(x["data"])[-8:], "little") for x in answers.where(F.col("kind") == DISTINCT).select("data").collect())  # one row a bucket
     return by_batch(batches, answers.where("b >= 0"), _score(n, order, learned, tokens, rows, distinct + (rows > 0)), RESULT)
 

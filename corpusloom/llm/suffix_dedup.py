@@ -1,7 +1,8 @@
 """Exact repeats of 100-byte strings, over all documents, by sorting suffixes.
 
 A window of SPAN bytes is a repeat if the same bytes also start earlier (smaller doc_id, or same document and earlier
-start; among rows with one doc_id, the smaller text counts as earlier, null ids as earliest). Every byte under a repeat goes.
+start; among rows with one doc_id, the smaller text counts as earlier; rows without doc_id count as earliest, in the order
+of a hash of their texts). Every byte under a repeat goes.
 
 1. Anchors. Each window chooses, of the SPAN - GRAM + 1 grams in it, the one whose hash is least: equal windows choose
    the same one at the same offset. Neighbouring windows mostly choose alike, so about one position in 32 is an anchor.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._arrow import slices
-from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealt, hash_of, is_copy, mix, n_buckets, pack, prefix_hashes
+from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealing, dealt, hash_of, is_copy, mix, pack, prefix_hashes
 
 SPAN = 100
 GRAM = 37
@@ -339,11 +340,12 @@ def _apply(batch: Batch, given: dict) -> pa.Table:
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes: one row per row of docs."""
-    n, batches = n_buckets(docs), dealt(docs)
+    deal = dealing(docs)
+    n, batches = deal.buckets, dealt(docs, deal)
     same = copies(docs, batches)
-    grams = by_bucket(by_batch(batches, same, _count_grams(n), PACKED), _repeated_grams)
+    grams = by_bucket(by_batch(batches, same, _count_grams(n), PACKED), _repeated_grams, deal)
     runs = by_batch(batches, grams.unionAll(same), _ship_runs(n), PACKED)
-    found = by_bucket(runs, _sort_bucket)
+    found = by_bucket(runs, _sort_bucket, deal)
     return by_batch(batches, found.unionAll(same), _apply, RESULT)
 
 

@@ -358,6 +358,45 @@ def test_held_out_languages(spark, docs):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_rows_without_ids_are_spread_and_come_first(spark):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(60)]
+    texts = [" ".join([f"x{i}", *words, *rng.choices(words, k=70)]) for i in range(40)]
+    own = [(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts)] + [(None, "kort"), (None, None), (-5, texts[3] + " slut")]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    deal = _exchange.dealing(df)
+    dealt = _exchange.dealt(df, deal).where("no_id = 1").groupBy("b").count().collect()
+    assert len(dealt) == deal.batches and max(r["count"] for r in dealt) < 20
+    for operator, brute, keys in ((suffix_dedup.suffix_dedup, suffix_dedup.brute_force, ("n_bytes", "n_removed")), (passage_dedup.passage_dedup, passage_dedup.brute_force, ("n_words", "n_removed"))):
+        got = operator(df).collect()
+        assert sum(r["doc_id"] is None for r in got) == 42
+        # by definition, with ids for those without one: the least, in the order of a hash of the text
+        h = {r["text"]: r["h"] for r in df.where("doc_id IS NULL").select("text", F.pmod(F.xxhash64(F.col("text").cast("binary")), F.lit(1 << 62)).alias("h")).collect()}
+        want = brute([(-(1 << 63) + h[t] if d is None else d, (t or "").encode()) for d, t in own])
+        assert sorted(tuple(r[k] for k in keys) for r in got) == sorted(w[:2] for w in want.values())
+        assert {r["doc_id"]: tuple(r[k] for k in keys) for r in got if r["doc_id"] is not None} == {d: w[:2] for d, w in want.items() if d > -1000}
+
+
+def test_batches_follow_the_bytes(spark, docs, monkeypatch):
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert _exchange.dealing(docs) == (p, 2 * p, p)
+    monkeypatch.setattr(_exchange, "GROUP_BYTES", 10_000)
+    monkeypatch.setattr(_exchange, "PAIR_BYTES", 10)
+    deal = _exchange.dealing(docs)
+    assert deal.partitions == p and deal.batches == 2 * deal.buckets > 40
+    rows = [(r["doc_id"], r["text"].encode()) for r in docs.collect()]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in passage_dedup.passage_dedup_digest(passage_dedup.passage_dedup(docs)).collect()}
+    assert got == passage_dedup.brute_force(rows)
+
+
+def test_fingerprints_of_two_parts():
+    h, check = np.array([5, 5, 7, 5, 7], np.uint64), np.array([2, 1, 3, 2, 4], np.uint32)
+    order, fresh = passage_dedup._first_of_each(h, check, np.array([9, 8, 7, 6, 5]))
+    assert order.tolist() == [1, 3, 0, 2, 4] and fresh.tolist() == [True, True, False, True, True]
+    known, checks = h[order[fresh]], check[order[fresh]]
+    assert passage_dedup._places(np.array([5, 5, 7, 7, 6], np.uint64), np.array([1, 2, 4, 9, 1], np.uint32), known, checks).tolist() == [0, 1, 3, -1, -1]
+
+
 def test_even_labels(spark):
     labels = _exchange.even_labels(14, 7)
     rows = spark.createDataFrame([(x,) for x in labels], "b int").repartition(7, "b").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
