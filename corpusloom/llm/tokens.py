@@ -8,8 +8,9 @@ BLOCK ids are coded by themselves, so that any can be decoded alone, and all wor
 
 Documents are sorted by doc_id over a range partitioning; a partition writes shards of about SHARD_IDS ids. Shards are kept
 as binary rows of a table in the shared folder (Spark's writer commits them, so a retried task leaves no half file), and
-`read_shards` decodes them. Where a document's ids start is the sum over all shards before it: one row a shard goes to a
-window in shard order.
+`read_shards` decodes them. Where a document's ids start is the sum over all shards before it: a shard's row says how many
+ids its part has before it, and the sums of the parts, a row for each partition, are all that is put in order and sent
+to everyone.
 
 The text's words are encoded once in each task and then looked up: the tokenizer drops white space and never merges over
 it. Null and empty texts have no ids but END_ID. Null doc_ids come first. Rows with one doc_id each keep their ids, in
@@ -278,19 +279,19 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = SHARD_IDS) -> None:
-    """Writes (part, number, n_tokens, data) rows: shards in order of (part, number)."""
+    """Writes (part, number, before, n_tokens, data) rows: shards in order of (part, number); before: the part's ids in earlier ones."""
     from pyspark import TaskContext
 
     def run(batches):
         encode, number = _encoder(tokenizer), 0
         part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        size = before = 0
 
         def shard():
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             data = encode_shard(*cols)
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([len(cols[2])]), pa.array([data], pa.binary())], ["part", "number", "n_tokens", "data"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (part, number, before, len(cols[2]))), pa.array([data], pa.binary())], ["part", "number", "before", "n_tokens", "data"])
 
         for batch in sliced(batches):
             ids, lengths = encode(values(batch))
@@ -299,7 +300,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int =
             if size >= shard_ids:
                 yield shard()
                 held.clear()
-                size, number = 0, number + 1
+                before, size, number = before + size, 0, number + 1
         if held:
             yield shard()
         held.clear()
@@ -307,17 +308,15 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int =
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, "part long, number long, n_tokens long, data binary").write.mode("overwrite").parquet(folder)
+    rows.mapInArrow(run, "part long, number long, before long, n_tokens long, data binary").write.mode("overwrite").parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian, 32 bits each) of all documents."""
     shards = spark.read.parquet(folder)
-    # one row a shard, without its ids; a running sum in order of parts and numbers
+    # a row for each partition that wrote
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
-    starts = shards.select("part", "number", inside.alias("inside"), "n_tokens").join(F.broadcast(before), "part").select("part", "number", (F.col("before") + F.col("inside")).alias("first"))
+    earlier = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("earlier"))
 
     def run(batches):
         for batch in batches:
@@ -328,8 +327,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 cols = [pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(first + ends - lengths), pa.array(lengths), pa.array([raw[i:j] for i, j in zip([0, *ends_l[:-1]], ends_l, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids"])
 
-    joined = shards.select("part", "number", "data").join(F.broadcast(starts), ["part", "number"])
-    return joined.select("data", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    joined = shards.select("part", "before", "data").join(F.broadcast(earlier), "part")
+    return joined.select("data", (F.col("earlier") + F.col("before")).alias("first")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:

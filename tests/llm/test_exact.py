@@ -227,12 +227,17 @@ def test_simple_8b():
 ODD = ["<|endoftext|>a b", "á ́b", "it's. don't 3.5,a! é.b —.a a.— a'.b", "\x1c\x1d \x85 q", "ÉG 가 ΑΣ Σ İstanbul", "a\x0bb\x0cc", "", " ", "ﬁx ǅ ʼn ẞ क़a", "ABC!! <|ENDOFTEXT|>"]
 
 
-def test_token_ids(spark, rows):
+@pytest.mark.parametrize("shard_ids", [tokens.SHARD_IDS, 300])
+def test_token_ids(spark, rows, shard_ids, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     own = [*rows, *((1000 + i, t) for i, t in enumerate(ODD))]
-    got = {r["doc_id"]: tuple(r)[1:] for r in tokens.token_digest(tokens.tokenize(spark.createDataFrame(own, "doc_id long, text string"), path)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5 if shard_ids == 300 else 10_000)
+    tokens.write_shards(spark.createDataFrame(own, "doc_id long, text string"), path, str(tmp_path / "shards"), shard_ids)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["doc_id"]: tuple(r)[1:] for r in tokens.token_digest(tokens.read_shards(spark, str(tmp_path / "shards"))).collect()}
+    assert (spark.read.parquet(str(tmp_path / "shards")).count() > 20) == (shard_ids == 300)
     real, at = Tokenizer.from_file(path), 0
     for d, t in sorted(own):
         ids = [*real.encode(t, add_special_tokens=False).ids, 1]
