@@ -1,9 +1,10 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling, and lossless decoding.
 
-A text is cut into units (a word with the space before it, what stands from a full stop or the like on to the next space, a
-lone space, a line break). Over each unit lies a lattice: an
-edge for every substring that is a piece of the vocabulary, and for a character that is none, an edge of its UTF-8 bytes'
-pieces. An edge weighs (1 + rank)^-sharpness, where rank is the piece's place in the vocabulary's scores. Forward filtering
+A text is cut into units where no piece of the vocabulary goes across: before spaces, around line breaks, and between an
+ASCII letter or digit and a full stop or the like. (That none does is tested when the vocabulary is read; kinds of places
+where one does aren't cut at.) Units of over LONG bytes are cut further, wherever none of their own edges goes across.
+Over each unit lies a lattice: an edge for every substring that is a piece of the vocabulary, and for a character that is
+none, an edge of its UTF-8 bytes' pieces. So the ways through a text's units are all ways through the text's one lattice. An edge weighs (1 + rank)^-sharpness, where rank is the piece's place in the vocabulary's scores. Forward filtering
 sums the weights of all ways to each position; backward sampling then draws, from the unit's end, the last piece in
 proportion to the ways that end in it, and goes on from where that begins: a segmentation is drawn exactly as often as the
 product of its weights says. Lattices of distinct units are filtered together, position by position, and kept for the next
@@ -32,6 +33,8 @@ SHARPNESS = 1.0
 SEED = 20
 #: Fixed value: SentencePiece's mark for a space.
 SPACE = "▁"
+#: Units of more bytes are cut where no edge goes across.
+LONG = 192
 #: Units also end between an ASCII letter or digit and one of these.
 POINT, LETTER = np.zeros(256, bool), np.zeros(256, bool)
 POINT[list(b".,;:!?\"')]}*%&#$")] = True
@@ -78,6 +81,13 @@ class Pieces:
         self.size = np.array([len(x) for x in self.raw])
         self.pool = np.frombuffer(b"".join(self.raw), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
+        # kinds of places that a piece goes across aren't cut at
+        self.point, self.space, self.line = POINT.copy(), True, True
+        for i, _ in plain:
+            own = np.frombuffer(self.raw[i], np.uint8)
+            self.point[own[1:][LETTER[own[:-1]]]] = False
+            self.space &= not ((own[1:] == 0x20) & (own[:-1] != 0x20)).any()
+            self.line &= len(own) == 1 or not (own == 0x0A).any()
 
     BITS = (1 << 20) - 1
 
@@ -158,16 +168,27 @@ class Lattices:
         grown[2].append(np.array([edges], np.int32))
         self.first, self.last, self.edge, self.share, self.source, self.ids, self.id_begin = (np.concatenate(x) for x in grown)
 
-    def _filtered(self, raw: np.ndarray, n_bytes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of new units, whose bytes stand end to end: first and last nodes, where nodes' edges begin, edges' cumulative probabilities and sources, ids, ids of each edge."""
+    def joints(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where in the units raw[begin:][:size] no edge goes across: byte positions of characters that begin there."""
+        out = []
+        for a, b in slices(size, self.at_once):
+            where = np.repeat(begin[a:b] - (np.cumsum(size[a:b]) - size[a:b]), size[a:b]) + np.arange(int(size[a:b].sum()))
+            own = raw[where]
+            symbols, _, _, starts, lengths, _ = self._edges(own, size[a:b])
+            across = np.zeros(len(symbols) + 1, np.int64)
+            np.add.at(across, np.concatenate([s + 1 for s in starts]), 1)
+            np.add.at(across, np.concatenate([s + n for s, n in zip(starts, lengths, strict=True)]), -1)
+            out.append(where[np.flatnonzero((own & 0xC0) != 0x80)[np.cumsum(across)[: len(symbols)] == 0]])
+        return np.concatenate(out)
+
+    def _edges(self, raw: np.ndarray, n_bytes: np.ndarray):
+        """Of units, whose bytes stand end to end: (symbols, characters, units' numbers of characters, beginnings of edges, their lengths, their pieces), the last three by length."""
         p = self.pieces
         # a space is the mark; the mark itself is a character that no piece holds
         real = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
         symbols = np.where(real == 0x2581, 0xE000, np.where(real == 0x20, 0x2581, real)).astype(np.uint64)
         size = np.add.reduceat((raw & 0xC0) != 0x80, np.cumsum(n_bytes) - n_bytes, dtype=np.int64)
-        begin = np.cumsum(size) - size
-        unit = np.repeat(np.arange(len(size)), size)
-        end = (begin + size)[unit]
+        end = np.repeat(np.cumsum(size), size)
         prefix = prefix_hashes(symbols)
         starts, lengths, found = [], [], []
         mark_own = (symbols == 0xE000) & (real == 0x2581)
@@ -184,6 +205,14 @@ class Lattices:
             starts.append(at[ok])
             lengths.append(np.full(int(ok.sum()), n))
             found.append(piece[ok])
+        return symbols, real, size, starts, lengths, found
+
+    def _filtered(self, raw: np.ndarray, n_bytes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of new units, whose bytes stand end to end: first and last nodes, where nodes' edges begin, edges' cumulative probabilities and sources, ids, ids of each edge."""
+        p = self.pieces
+        symbols, real, size, starts, lengths, found = self._edges(raw, n_bytes)
+        begin = np.cumsum(size) - size
+        unit = np.repeat(np.arange(len(size)), size)
         single = np.zeros(len(symbols), bool)
         single[starts[0]] = True
         other = np.flatnonzero(~single)  # by bytes
@@ -269,12 +298,18 @@ class Sampler:
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(raw) + 1, np.int64)
         begins = np.cumsum(size) - size
-        opens = (data == 0x20) | (data == 0x0A)
-        opens[1:] |= data[:-1] == 0x0A
+        space, line = (data == 0x20) & self.pieces.space, (data == 0x0A) & self.pieces.line
+        opens = space | line
+        opens[1:] &= ~(space[:-1] & space[1:])  # a run of spaces and what follows it are one unit
+        opens[1:] |= line[:-1]
+        opens[1:] |= LETTER[data[:-1]] & self.pieces.point[data[1:]]
         opens[begins[size > 0]] = True
-        opens[1:] |= LETTER[data[:-1]] & POINT[data[1:]]
         begin = np.flatnonzero(opens)
         length = np.diff(np.append(begin, len(data)))
+        if len(long := np.flatnonzero(length > LONG)):
+            opens[self.lattices.joints(data, begin[long], length[long])] = True
+            begin = np.flatnonzero(opens)
+            length = np.diff(np.append(begin, len(data)))
         first = np.searchsorted(begin, np.append(begins, len(data)))
         doc = np.repeat(np.arange(len(raw)), np.diff(first))
         place = np.arange(len(begin)) - first[doc]
@@ -325,6 +360,62 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def brute_force(rows: list[tuple[int | None, str | None]], model: str, seed: int = SEED, sharpness: float = SHARPNESS) -> list[tuple[int | None, list[int] | None]]:
+    """(doc_id, ids), from the definition: one text and one position at a time, with the same random numbers."""
+    import math
+
+    p, whole = vocabulary(model, sharpness), (1 << 64) - 1
+    known = {raw.decode(): i for i, raw in enumerate(p.raw) if raw and i not in set(p.byte.tolist())}
+
+    def mixed(x: int) -> int:
+        return int(mix(np.array([x & whole], np.uint64))[0])
+
+    def edges(text: str, end: int) -> list[tuple[int, list[int]]]:
+        """(beginning, ids) of the edges that end there, shortest first."""
+        out = [(b, [known[text[b:end]]]) for b in range(end - 1, max(0, end - p.longest) - 1, -1) if text[b:end] in known and SPACE not in text[b:end]]
+        return out if out and out[0][0] == end - 1 else [*out, (end - 1, [int(p.byte[x]) for x in text[end - 1].encode()])]
+
+    def units(text: str) -> list[str]:
+        cuts = [0]
+        for i in range(1, len(text)):
+            a, b = text[i - 1], text[i]
+            point = a.isascii() and LETTER[ord(a)] and b.isascii() and p.point[ord(b)]
+            if (b == " " and a != " ") or "\n" in (a, b) or point:
+                cuts.append(i)
+        out = []
+        for unit in (text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)):
+            inner = {i for end in range(1, len(unit) + 1) for b, _ in edges(unit, end) for i in range(b + 1, end)} if len(unit.encode()) > LONG else set(range(1, len(unit)))
+            joints = [0, *(i for i in range(1, len(unit)) if i not in inner), len(unit)]
+            out += [unit[i:j] for i, j in zip(joints[:-1], joints[1:], strict=True)]
+        return out
+
+    out = []
+    for doc, text in rows:
+        ids: list[int] = []
+        row = mixed((0 if doc is None else doc) + seed * 0xD1342543DE82EF95)
+        for place, unit in enumerate(units(text) if text else []):
+            key = mixed(row ^ mixed(place + 1))
+            ways, ranked = [0.0], [[]]
+            for end in range(1, len(unit) + 1):
+                own = [(ways[b] + sum(p.weight[i] for i in found), b, found) for b, found in edges(unit, end)]
+                top = max(z for z, _, _ in own)
+                ways.append(top + math.log(sum(math.exp(z - top) for z, _, _ in own)))
+                ranked.append(sorted(((math.exp(z - ways[end]), b, found) for z, b, found in own), key=lambda x: -x[0]))
+            at, step, drawn = len(unit), 0, []
+            while at:
+                u, total, pick = (mixed(key + step * 0x9E3779B97F4A7C15) >> 11) * 2.0**-53, 0.0, ranked[at][-1]
+                for x in ranked[at]:
+                    total += x[0]
+                    if u < total:
+                        pick = x
+                        break
+                at, step = pick[1], step + 1
+                drawn[:0] = pick[2]
+            ids += drawn
+        out.append((doc, None if text is None else ids))
+    return out
+
+
 def pieces_digest(decoded: DataFrame) -> DataFrame:
     """doc_id, n_ids, ids_hash (xxhash64 of the ids), text_sha256 (of the decoded text)."""
     return decoded.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_ids"), F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), F.sha2("text", 256).alias("text_sha256"))

@@ -301,6 +301,45 @@ def test_segmentations_are_drawn_as_they_weigh(sampler):
     assert set(seen) <= set(all_ways) and max(abs(seen[k] / n - np.exp(w - total)) for k, w in all_ways.items()) < 0.01
 
 
+def test_units_leave_out_no_way(sampler):
+    """Samples of texts that are cut into units, against all ways through their whole lattices."""
+    from collections import Counter
+
+    p = sampler.pieces
+    by_raw = {raw: i for i, raw in enumerate(p.raw) if raw and i not in set(p.byte.tolist())}
+
+    def ways(x):
+        return [((), 0.0)] if not x else [((i, *rest), p.weight[i] + w) for n in range(1, len(x) + 1) if (i := by_raw.get(x[:n])) for rest, w in ways(x[n:])]
+
+    n = 30_000
+    for text in (b"of   it", b"a,  b", b"an.\"x"):
+        all_ways = dict(ways(text))
+        ids, edges = sampler(np.arange(n), [text] * n)
+        seen = Counter(tuple(ids[i:j].tolist()) for i, j in zip(edges[:-1], edges[1:], strict=True))
+        total = np.logaddexp.reduce(list(all_ways.values()))
+        assert set(seen) <= set(all_ways) and max(abs(seen[k] / n - np.exp(w - total)) for k, w in all_ways.items()) < 0.012
+
+
+def test_pieces_against_brute_force(spark, rows):
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600))
+    own = [*rows[:40], *((5000 + i, t) for i, t in enumerate(ODD)), (6000, long), (6001, "x" * 400), (6002, " " * 300 + "slut  \n\n  ny"), (6003, "中文是世界上" * 60), (6004, None), (None, "utan id")]
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    got = pieces.encode_pieces(spark.createDataFrame(own, "doc_id long, text string"), model, decoded=True).collect()
+    assert all(r["text"] == t for r, (_, t) in zip(sorted(got, key=lambda r: str(r["doc_id"])), sorted(own, key=lambda x: str(x[0])), strict=True))
+    assert {r["doc_id"]: r["ids"] for r in got} == dict(pieces.brute_force(own, model))
+
+
+def test_long_units_are_quick(sampler):
+    import time
+
+    rng = random.Random(14)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)).encode()
+    began = time.process_time()
+    ids, _ = sampler(np.array([1]), [text])
+    assert sampler.pieces.decode(ids) == text and time.process_time() - began < 10
+
+
 def test_samples_follow_the_row_alone(sampler):
     other = pieces.Sampler(public_tokenizers.path("piece_bpe_32k.model"))
     other(np.array([5]), [b"annat innehall fore"])
