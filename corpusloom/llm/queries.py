@@ -96,6 +96,23 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM d LEFT JOIN r USING (doc_id)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY text) ELSE doc_id END AS text_id FROM d),
+u AS (SELECT doc_id, w FROM t WHERE doc_id = text_id AND len(w) > 0),
+s AS (
+    SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM u))
+    GROUP BY doc_id, k
+),
+z AS (SELECT doc_id, sum(n) AS size FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS low FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 5 * low >= 4 * (x.size + y.size - low)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, root) AS (SELECT doc_id, doc_id FROM u UNION SELECT links.b, r.root FROM r JOIN links ON r.node = links.a AND r.root < links.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT t.doc_id, text_id, coalesce(root, text_id) AS class_id FROM t LEFT JOIN c ON node = text_id
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
@@ -109,4 +126,4 @@ FROM d LEFT JOIN r USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_passage_dedup": OP8_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_near_dedup": OP5_SQL, "op8_passage_dedup": OP8_SQL}

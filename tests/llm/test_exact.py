@@ -179,8 +179,45 @@ def test_lm_score(spark, rows):
     got = {r["doc_id"]: tuple(r)[1:] for r in ppm.lm_score(spark.createDataFrame(own, "doc_id long, text string")).collect()}
     for d, want in ppm.brute_force([(d, t.encode()) for d, t in own]).items():
         assert got[d][:4] == want[:4] and got[d][4:] == pytest.approx(want[4:], abs=1e-6)
-    adaptive = {r["doc_id"]: r["score"] for r in ppm.adaptive_score(spark.createDataFrame(own[:3], "doc_id long, text string")).collect()}
-    assert all(x < 0 for x in adaptive.values())
+
+
+def test_adaptive_score(spark):
+    """Against the chain of probabilities of one symbol after another; what repeats gets cheaper."""
+    rng = random.Random(15)
+    own = [(0, "ab " * 40), (1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120))), (2, ""), (3, None)]
+    got = {r["doc_id"]: r["score"] for r in ppm.adaptive_score(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    for d, t in own:
+        trie, total, context = ppm.Trie(), 0.0, (32,) * ppm.ORDER
+        for s in [*ppm.plain((t or "").encode()), ppm.END]:
+            chances = [10 ** trie.log10(context, x) for x in range(ppm.SYMBOLS)]
+            assert abs(sum(chances) - 1) < 1e-9
+            total += np.log10(chances[s])
+            trie.learn(context, s)
+            context = (s, *context)[: ppm.ORDER]
+        assert got[d] == pytest.approx(total)
+    assert got[2] == got[3] == pytest.approx(-np.log10(ppm.SYMBOLS)) and got[0] > got[1] / 3
+
+
+def test_base_columns_against_sql(spark, sf):
+    """What of op6 can be said in SQL, over the whole table."""
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
+    docs["held"] = [ppm.held_out(d) for d in docs["doc_id"]]
+    con = duckdb.connect()
+    con.register("d", docs)
+    want = con.execute(r"""
+        WITH w AS (SELECT doc_id, held, list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [' ']) AS ws FROM d),
+        t AS (SELECT doc_id, held, unnest(ws) AS token FROM w),
+        c AS (SELECT token, count(*) AS c FROM t WHERE NOT held GROUP BY token),
+        n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+        SELECT doc_id, any_value(held), count(*), count(c), any_value(n)::BIGINT, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) FROM t LEFT JOIN c USING (token), n GROUP BY doc_id""").fetchall()
+    got = {r["doc_id"]: tuple(r)[1:6] for r in queries.op6_lm_score(spark, sf).collect()}
+    assert len(got) == len(want)
+    for d, *rest in want:
+        assert got[d][:4] == tuple(rest[:4]) and got[d][4] == pytest.approx(rest[4], rel=1e-9)
 
 
 def brute_hits(text, windows):
@@ -279,6 +316,55 @@ def test_picture_hashes():
     assert (a ^ b).bit_count() < (a ^ c).bit_count()
 
 
+def plain_picture(png: bytes) -> tuple[bytes, str]:
+    """(payload, feature) of a picture, from the definitions: one sample and one cosine term at a time."""
+    import math
+    import struct
+
+    at, idat, width, height = 8, b"", 0, 0
+    while at < len(png):
+        n, kind = struct.unpack(">I4s", png[at : at + 8])
+        body = png[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == struct.unpack(">I", png[at + 8 + n : at + 12 + n])[0]
+        if kind == b"IHDR":
+            width, height = struct.unpack(">II", body[:8])
+        idat += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, rows = zlib.decompress(idat), []
+    for y in range(height):
+        line = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        out = []
+        for x in range(width):
+            left, above = out[x - 1] if x else 0, rows[y - 1][x] if y else 0
+            out.append((line[x + 1] + (0, left, above)[line[0]]) % 256)
+        rows.append(out)
+    cut = lambda n: [(i * n // 32, max(i * n // 32 + 1, (i + 1) * n // 32)) for i in range(32)]
+    small = [[sum(sum(r[c:d]) for r in rows[a:b]) / (b - a) / (d - c) for c, d in cut(width)] for a, b in cut(height)]
+    cos = [[math.cos(math.pi * k * (2 * n + 1) / 64) for n in range(32)] for k in range(8)]
+    half = [[sum(cos[k][y] * small[y][x] for y in range(32)) for x in range(32)] for k in range(8)]
+    terms = [round(sum(half[k][x] * cos[m][x] for x in range(32)), 6) for k in range(8) for m in range(8)]
+    middle = sorted(terms[1:])[31]
+    bits = "".join("1" if t > middle else "0" for t in terms)
+    return bytes(x for r in rows for x in r), f"{int(bits, 2):016x}"
+
+
+def test_media_against_brute_force(spark, sf):
+    """All columns over the whole table; pictures by a decoder and a cosine transform of its own."""
+    from corpusloom.llm import queries
+
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    pictures = {r["doc_id"]: bytes(r["media"]) for r in media.encode_media(own).collect()}
+    got = {r["doc_id"]: r for r in queries.op9_media(spark, sf).collect()}
+    assert len(got) == own.count()
+    for r in own.select("doc_id", "text").collect():
+        text, row, png = (r["text"] or "").encode(), got[r["doc_id"]], pictures[r["doc_id"]]
+        payload = text + b"\0" * (64 - len(text) % 64 if len(text) % 64 or not text else 0)
+        seen, feature = plain_picture(png)
+        assert seen == payload and row["feature"] == feature
+        assert (row["n_bytes"], row["payload_bytes"], row["tail_crc32"], row["media_bytes"]) == (len(text), len(payload), zlib.crc32(payload[-64:]), len(png))
+        assert (row["payload_sha256"], row["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(png).hexdigest())
+
+
 @pytest.fixture(scope="module")
 def sampler():
     return pieces.Sampler(public_tokenizers.path("piece_bpe_32k.model"))
