@@ -183,19 +183,40 @@ GROUP_BYTES, PAIR_BYTES = 64 << 20, 4096
 
 
 class Deal(NamedTuple):
-    """How rows are dealt: Spark's partitions, batches of documents, buckets of fingerprints."""
+    """How rows are dealt: Spark's partitions, batches of documents, buckets of fingerprints; and how many rows there are."""
 
     partitions: int
     batches: int
     buckets: int
+    rows: int
 
 
 def dealing(docs: DataFrame) -> Deal:
     """Two batches and a bucket for each shuffle partition, more if they would be large."""
     p = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(texts(docs).agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0).cast("long"))).first()[0])
+    rows, size = texts(docs).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0).cast("long"))).first()
     n = max(p, min(-(-size // GROUP_BYTES), isqrt(size // (2 * PAIR_BYTES))))
-    return Deal(p, 2 * n, n)
+    return Deal(p, 2 * n, n, rows)
+
+
+#: At most so many keys, and none with fewer rows, are joined by broadcast.
+MOST_HOT, LEAST_HOT = 50_000, 1000
+
+
+def told(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows left joined with table on a binary key. table has a row for each key and n, the number of rows with it; total: of all rows.
+
+    Keys with over total / MOST_HOT rows, which are at most MOST_HOT, are broadcast; their rows, and those without a key, go
+    to the join of the others under keys of their own, so no key's rows meet in one task. rows has doc_id.
+    """
+    bound = max(LEAST_HOT, total // MOST_HOT)
+    own = [c for c in table.columns if c not in (key, "n")]
+    hot = table.where(F.col("n") > bound).select(key, F.struct(*own).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    spread = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.concat(F.lit(b"hot"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    cold = table.where(F.col("n") <= bound).select(F.col(key).alias("_key"), F.struct(*own).alias("_cold"))
+    found = F.coalesce("_hot", "_cold")
+    return marked.withColumn("_key", spread).join(cold, "_key", "left").select(*rows.columns, *(found[c].alias(c) for c in own))
 
 
 def dealt(docs: DataFrame, deal: Deal) -> DataFrame:
@@ -244,16 +265,14 @@ def by_bucket(entries: DataFrame, fn: Callable, deal: Deal) -> DataFrame:
 COPIES = 9
 
 
-def copies(docs: DataFrame, batches: DataFrame) -> DataFrame:
+def copies(batches: DataFrame, deal: Deal) -> DataFrame:
     """PACKED entries for batches: the doc_ids of rows whose whole text a row with a smaller doc_id has too.
 
-    Counted by text hash with partial sums; of groups of two or more only (hash, least id) goes back, to rows salted
-    by doc_id, so that the many rows of one text aren't joined in one task.
+    Counted by text hash with partial sums; of groups of two or more only (hash, least id) goes back.
     """
-    salts = 16
-    keyed = batches.where("text IS NOT NULL").select("b", "doc_id", F.sha2("text", 256).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)).alias("salt"))
-    first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
-    later = keyed.join(first, ["h", "salt"]).where("doc_id > first").select("b", "doc_id")
+    keyed = batches.where("text IS NOT NULL").select("b", "doc_id", F.unhex(F.sha2("text", 256)).alias("h"))
+    first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("h", "first", "n")
+    later = told(keyed, first, "h", deal.rows).where("doc_id > first").select("b", "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
         out = Rows()

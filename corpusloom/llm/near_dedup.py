@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import map_texts, texts, values
-from ._exchange import hash_of, mix
+from ._exchange import hash_of, mix, told
 from ..sources.shared import written
 from .components import components
 from .passage_dedup import Words
@@ -361,20 +361,14 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text_id (the least doc_id with this very text), class_id (the least of all that links lead to): one row per row of docs."""
-    salts = 16
     sig = written(signatures(docs))
     some = sig.where("key IS NOT NULL AND doc_id IS NOT NULL")
     least = written(some.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("n")).select("key", "m.doc_id", "m.sig", "n"))
-    found = links(docs, least)
-    # only texts with copies, and only texts with links, have anything to tell; hot keys are salted
-    salted = F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt")
-    copied = least.where("n > 1").select("key", F.col("doc_id").alias("text_id"), salted)
-    named = sig.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).join(copied, ["key", "salt"], "left").select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"))
-    linked = found.select(F.col("node").alias("text_id"), F.col("component").alias("class_id"), salted)
-    return (
-        named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(linked, ["text_id", "salt"], "left")
-        .select("doc_id", "text_id", F.coalesce("class_id", "text_id").alias("class_id"))
-    )
+    found = links(docs, least).select(F.col("node").alias("text_id"), F.col("component").alias("class_id"))
+    # a row for each text; only texts with copies, and only texts with links, have anything to tell
+    classes = least.select("key", F.col("doc_id").alias("text_id"), "n").join(found, "text_id", "left").where("n > 1 OR class_id IS NOT NULL")
+    named = told(sig.select("doc_id", "key"), written(classes.select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), "n")), "key", sig.count())
+    return named.select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def brute_force(rows: list[tuple[int, str]]) -> dict[int, int]:

@@ -295,7 +295,7 @@ def passage_dedup(docs: DataFrame, keep_space: bool = False) -> DataFrame:
     """
     deal = dealing(docs)
     n, batches = deal.buckets, dealt(docs, deal)
-    same = copies(docs, batches)
+    same = copies(batches, deal)
     hits = by_bucket(by_batch(batches, same, _index_and_probe(n), PACKED), _answer_probes, deal).unionAll(same)
     found = by_bucket(by_batch(batches, hits, _ship_windows(n), PACKED), _answer_windows, deal)
     return by_batch(batches, found.unionAll(hits), _apply(n, keep_space), RESULT)

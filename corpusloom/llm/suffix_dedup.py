@@ -342,7 +342,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes: one row per row of docs."""
     deal = dealing(docs)
     n, batches = deal.buckets, dealt(docs, deal)
-    same = copies(docs, batches)
+    same = copies(batches, deal)
     grams = by_bucket(by_batch(batches, same, _count_grams(n), PACKED), _repeated_grams, deal)
     runs = by_batch(batches, grams.unionAll(same), _ship_runs(n), PACKED)
     found = by_bucket(runs, _sort_bucket, deal)

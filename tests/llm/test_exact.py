@@ -509,7 +509,7 @@ def test_rows_without_ids_are_spread_and_come_first(spark):
 
 def test_batches_follow_the_bytes(spark, docs, monkeypatch):
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert _exchange.dealing(docs) == (p, 2 * p, p)
+    assert _exchange.dealing(docs) == (p, 2 * p, p, docs.count())
     monkeypatch.setattr(_exchange, "GROUP_BYTES", 10_000)
     monkeypatch.setattr(_exchange, "PAIR_BYTES", 10)
     deal = _exchange.dealing(docs)
@@ -568,3 +568,15 @@ def test_strange_texts_are_rejected_and_known_ones_kept(spark):
         assert np.mean(predict([t.encode() for t in texts])[2]) >= 0.9
     held = [r["text"] for r in rows if r["n"] % 3 == 1]
     assert np.mean(predict([t.encode() for t in held])[2]) <= 0.01
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """Rows of frequent keys, of rare ones, of unknown ones and of none are told what the table says, and are dealt evenly."""
+    monkeypatch.setattr(_exchange, "LEAST_HOT", 50)
+    monkeypatch.setattr(_exchange, "MOST_HOT", 10)
+    names = [None, b"hot", b"rare", b"unknown"]
+    own = [(i, names[1] if i % 3 else names[i % 4]) for i in range(3000)]
+    rows = spark.createDataFrame(own, "doc_id long, key binary")
+    table = spark.createDataFrame([(b"hot", 7, 2000), (b"rare", 8, 20)], "key binary, v long, n long")
+    both = _exchange.told(rows, table, "key", len(own))
+    assert sorted((r["doc_id"], r["v"]) for r in both.collect()) == sorted((i, {b"hot": 7, b"rare": 8}.get(k)) for i, k in own)
