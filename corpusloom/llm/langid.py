@@ -227,16 +227,19 @@ def language_id(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs whose text isn't rejected, all columns as they were, in the same pass."""
+    """The rows of docs whose text isn't rejected, in the same pass. A lang that is null becomes the predicted one; all else stays as it was."""
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, max_rows)))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         predict = model.value.predictor()
         for batch in sliced(batches):
-            raw = [(x or "").encode("utf-8", "replace") for x in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([not r for r in predict(raw)[2]], pa.bool_()))
+            lang, _, rejected = predict([(x or "").encode("utf-8", "replace") for x in batch.column("text").to_pylist()])
+            at = batch.schema.get_field_index("lang")
+            batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(batch.column("lang"), pa.array(lang, batch.schema.field(at).type)))
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
         del predict
         let_go()
 

@@ -144,34 +144,40 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return map_texts(texts(docs), fn, "doc_id long, media binary")
 
 
-def read_media(pictures: DataFrame) -> DataFrame:
-    """The payload and the feature of each picture (doc_id, media). A null or broken picture gives nulls beside `error`."""
+def _digest(samples: np.ndarray, size: int | None, media: bytes) -> dict:
+    payload = samples.tobytes()
+    return {
+        "n_bytes": len(payload) if size is None else size, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
+        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": picture_hash(samples),
+    }
+
+
+def _whole(samples: np.ndarray, size: int | None, media: bytes) -> dict:
+    return {"n_bytes": samples.size if size is None else size, "payload": samples.tobytes(), "feature": picture_hash(samples), "media": media}
+
 
+def _read(pictures: DataFrame, tell, columns: dict[str, str]) -> DataFrame:
     def fn(batch):
-        out = {k: [] for k in ("n_bytes", "payload", "feature", "media", "error")}
+        out: dict[str, list] = {k: [] for k in (*columns, "error")}
         for media in batch.column("text").to_pylist():
             try:
-                samples, size = decode_png(media or b"")
-                row = {"n_bytes": samples.size if size is None else size, "payload": samples.tobytes(), "feature": picture_hash(samples), "error": None}
+                row = tell(*decode_png(media or b""), media or b"") | {"error": None}
             except (BadPicture, struct.error, zlib.error) as e:
-                row = {"n_bytes": None, "payload": None, "feature": None, "error": f"{type(e).__name__}: {e}"}
-            for k, v in row.items():
-                out[k].append(v)
-            out["media"].append(media)
+                row = {"media": media, "error": f"{type(e).__name__}: {e}"}
+            for k, own in out.items():
+                own.append(row.get(k))
         return {"doc_id": batch.column("doc_id")} | out
 
-    rows = pictures.select("doc_id", F.col("media").alias("text"))
-    return map_texts(rows, fn, "doc_id long, n_bytes long, payload binary, feature string, media binary, error string")
+    schema = ", ".join(f"{k} {v}" for k, v in ({"doc_id": "long"} | columns | {"error": "string"}).items())
+    return map_texts(pictures.select("doc_id", F.col("media").alias("text")), fn, schema)
 
 
-def media_digest(read: DataFrame) -> DataFrame:
-    def fn(batch):
-        payload, media = ([x or b"" for x in batch.column(k).to_pylist()] for k in ("text", "media"))
-        return {
-            "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "feature": batch.column("feature"),
-            "payload_bytes": [len(x) for x in payload], "payload_sha256": [hashlib.sha256(x).hexdigest() for x in payload], "tail_crc32": [zlib.crc32(x[-64:]) for x in payload],
-            "media_bytes": [len(x) for x in media], "media_sha256": [hashlib.sha256(x).hexdigest() for x in media],
-        }
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_texts(read.withColumnRenamed("payload", "text"), fn, schema)
+def read_media(pictures: DataFrame) -> DataFrame:
+    """The payload and the feature of each picture (doc_id, media). A null or broken picture gives nulls beside `error`."""
+    return _read(pictures, _whole, {"n_bytes": "long", "payload": "binary", "feature": "string", "media": "binary"})
+
+
+def media_digest(pictures: DataFrame) -> DataFrame:
+    """Sizes, checksums and the feature of what is read back from each picture (doc_id, media); nulls where it is broken."""
+    columns = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return _read(pictures, _digest, columns).drop("error")

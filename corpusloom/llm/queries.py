@@ -43,7 +43,7 @@ def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digest(media.read_media(media.encode_media(read_documents(spark, sf_dir))))
+    return media.media_digest(media.encode_media(read_documents(spark, sf_dir)))
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ OPERATORS = {
     "ppm": lambda d, t: ppm.lm_score(d),
     "tokens": lambda d, t: tokens.tokenize(d, public_tokenizers.path("word_bpe_49k.json")),
     "passages": lambda d, t: passage_dedup.passage_dedup(d),
-    "media": lambda d, t: media.media_digest(media.read_media(media.encode_media(d))),
+    "media": lambda d, t: media.media_digest(media.encode_media(d)),
     "pieces": lambda d, t: pieces.decode_pieces(pieces.encode_pieces(d, MODEL), MODEL),
     "pieces_at_once": lambda d, t: pieces.encode_pieces(d, MODEL, decoded=True),
 }
@@ -121,6 +121,12 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in last} <= {r[0] for r in ROWS} and all(r["n_ids"] == len(r["ids"]) for r in last)
 
 
+def test_identified_documents_get_a_language(spark):
+    rows = [(i, f"{a} {a}{b} {b} {a}" * 20, k if i % 5 else None) for i in range(60) for a, b, k in [("ab", "ba", "x") if i % 2 else ("öå", "ål", "y")]]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert {r["doc_id"]: r["lang"] for r in got} == {i: "x" if i % 2 else "y" for i, _, _ in rows}
+
+
 def test_one_window_of_one_item_is_enough(spark, tmp_path):
     """A document with one window of 8 benchmark words goes, all others stay: also one with 7 of them."""
     item = "ett tva tre fyra fem sex sju atta nio tio elva"

@@ -348,6 +348,16 @@ def plain_picture(png: bytes) -> tuple[bytes, str]:
     return bytes(x for r in rows for x in r), f"{int(bits, 2):016x}"
 
 
+def test_broken_pictures(spark):
+    good = media.encode_png(media.padded(b"hej"), 3)
+    rows = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-20])), (3, None), (4, bytearray(b"x"))], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in media.read_media(rows).collect()}
+    assert bytes(got[1]["payload"]) == media.padded(b"hej") and got[1]["n_bytes"] == 3 and got[1]["error"] is None
+    assert all(got[k]["payload"] is None and got[k]["feature"] is None and got[k]["error"] for k in (2, 3, 4))
+    told = {r["doc_id"]: r["payload_sha256"] for r in media.media_digest(rows).collect()}
+    assert told == {1: hashlib.sha256(media.padded(b"hej")).hexdigest(), 2: None, 3: None, 4: None}
+
+
 def test_media_against_brute_force(spark, sf):
     """All columns over the whole table; pictures by a decoder and a cosine transform of its own."""
     from corpusloom.llm import queries
