@@ -10,6 +10,7 @@ DROPPED_TYPES = ["image/", "video/", "audio/", "font/", "zip", "octet-stream"]
 DOCUMENT_TYPES = ["application/pdf", "application/vnd", "application/msword"]
 TEXT_TYPES = ["text", "html", "json", "xml"]
 SESSION_INDICATORS = ['name="password"', 'action="login"', 'id="loginform"', 'type="password"', "cas/login", "adfs/ls", "saml", "inloggning krävs", "du måste logga in"]
+NO_HEAD = [403, 405]
 LEAST_HTML = 1000
 NO_TEXT = ["Ingen text", "No text"]
 LEAST_TEXT = 50
@@ -35,6 +36,11 @@ def content_route(content_type: Column, download_documents: Column | bool = Fals
     )
 
 
+def probed_type(status: Column, content_type: Column) -> Column:
+    """What a HEAD request tells: the type in lower case ('' if none is named); null where HEAD isn't allowed."""
+    return F.when(~status.isin(NO_HEAD), F.lower(F.coalesce(content_type, F.lit(""))))
+
+
 def js_render_needed(html: Column) -> Column:
     return F.coalesce((F.length(html) < LEAST_HTML) | F.contains(F.lower(html), F.lit("enable javascript")), F.lit(False))
 

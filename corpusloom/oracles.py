@@ -186,6 +186,9 @@ ORACLES = {
     "sites_saved": f"WITH {RUN}, {SITE} SELECT {FILE} || CASE site WHEN 'mobil' THEN '.txt' ELSE '.md' END AS file_name, sha256({PAYLOAD.replace('|| plain_text', '|| plain_text')}) AS payload_sha256 FROM ruled WHERE site <> 'fr' AND length(plain_text) > 50",
     "responses_routed": _values("id, route, rendered, n_html", "(1::BIGINT, 'page', false, 1200::BIGINT)", "(2, 'page', true, 18)", "(3, 'page', false, 4)", "(4, 'document', false, NULL)", "(5, 'document', false, NULL)", "(6, 'document', false, NULL)", "(7, 'drop', false, NULL)", "(8, 'empty', false, NULL)", "(9, 'document', false, NULL)"),
     "responses_documents": "SELECT url, 'a_' || left(md5(url), 6) || '.pdf' AS file_name, 'P2' AS body FROM (VALUES ('https://a.se/f/a.pdf')) v(url)",
+    "head_probes": _values("id, content_type", "(1::BIGINT, 'text/html')", "(2, NULL)", "(3, NULL)", "(4, '')", "(5, 'image/png')"),
+    "cookie_headers": _values("id, header", "(1::BIGINT, 'a=1; b=x=y')", "(2, '')"),
+    "newest_events": "SELECT ts, event_id, event_type FROM events ORDER BY ts DESC, event_id, event_type LIMIT 100",
     "table_titles": _values("id, title", "(1::BIGINT, 'ab')", "(2, 'Ingen titel')", "(3, 'Ingen titel')", "(4, 'Titel')"),
     "keyword_lists": _values("id, words", "(1::BIGINT, 'spam|piller|å b')", "(2, '')", "(3, '')"),
     "json_files": _values(

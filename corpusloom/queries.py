@@ -11,7 +11,7 @@ from .functions.dates import page_dates
 from .operators import extract, frontier, incremental, maintext, route, schedule, stats
 from .operators.settle import settled
 from .plans.runs import run_site, run_sites
-from .sources import config, responses, robots, sinks, sitemap
+from .sources import config, report, responses, robots, sinks, sitemap
 
 #: When pages count as fetched.
 FETCHED = "2026-01-01T00:00:00"
@@ -446,6 +446,21 @@ def responses_documents(spark, d):
     return got.select("url", "file_name", F.col("body").cast("string").alias("body"))
 
 
+def head_probes(spark, d):
+    rows = spark.createDataFrame([(1, 200, "Text/HTML"), (2, 403, "text/html"), (3, 405, None), (4, 200, None), (5, 404, "image/PNG")], "id long, status int, content_type string")
+    return rows.select("id", route.probed_type(F.col("status"), F.col("content_type")).alias("content_type"))
+
+
+def cookie_headers(spark, d):
+    rows = spark.createDataFrame([(1, [("a", "1"), ("b", "x=y")]), (2, [])], "id long, cookies array<struct<name:string,value:string>>")
+    return rows.select("id", report.cookie_header(F.col("cookies")).alias("header"))
+
+
+def newest_events(spark, d):
+    """What a table of the newest hundred shows."""
+    return report.newest(spark.read.parquet(f"{d}/events.parquet").select("ts", "event_id", "event_type"), "ts")
+
+
 def table_titles(spark, d):
     rows = spark.createDataFrame([(1, "a\x00b"), (2, ""), (3, None), (4, "Titel")], "id long, title string")
     return rows.select("id", route.table_title(F.col("title")).alias("title"))
@@ -524,6 +539,6 @@ def queries() -> dict:
         frontier_expand expand_gate crawl_visits page_title page_lang page_title_parsed page_sections page_record page_main_text page_metadata page_shapes run_pages sites_stats
         sites_saved js_render_needed session_expired content_hash pii_email pii_pnr pii_phone pii_ip pii_masked pii_texts chunks chunk_stats chunk_headings masked_chunks slug_filename
         cache_upsert cache_scan incremental_status index_csv crawl_stats crawl_rate summary_lines eta rate_limit_schedule delay_resolution backoff_schedule content_route status_label
-        save_gate sink_json sink_md json_files responses_routed responses_documents table_titles keyword_lists md_sections md_links page_date_cascade doc_filename robots_allow
+        save_gate sink_json sink_md json_files responses_routed responses_documents head_probes cookie_headers newest_events table_titles keyword_lists md_sections md_links page_date_cascade doc_filename robots_allow
         robots_sitemaps sitemap_urls sitemap_accepted site_settings""".split()
     return {n: globals()[n] for n in names}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.plans.runs import run_site, run_sites
-from corpusloom.sources import config, responses, robots, sinks, sitemap
+from corpusloom.sources import config, report, responses, robots, sinks, sitemap
 
 CACHE = "url string, content_hash string, title string, crawled_at string, content_length long"
 
@@ -135,6 +135,34 @@ def test_no_folder_of_its_own_on_a_cluster(monkeypatch):
     assert shared_folder(SimpleNamespace(sparkContext=context("local[4]"))).startswith("file://")
 
 
+def test_reports(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    stats = spark.createDataFrame([("b", 3, 1), ("a", 2, 0)], "site string, visited long, failed long")
+    text = report.summary(stats)
+    assert report.post(f"http://127.0.0.1:{server.server_port}/x", text) and got == [{"text": " - a: 2 besökta, 0 fel.\n - b: 3 besökta, 1 fel."}]
+    server.server_close()
+    assert not report.post("http://127.0.0.1:9/x", text, 1) and not report.post("ingen adress", text)
+    log = report.run_log(str(tmp_path), "en")
+    log.info("klart")
+    assert report.run_log(str(tmp_path), "en") is log and len(log.handlers) == 1
+    assert (tmp_path / "logs" / "en.log").read_text().strip().endswith("INFO klart")
+
+
 def test_deep_sitemaps(spark):
     xml = lambda i: f"<x><sitemap><loc>https://a.se/{i + 1}.xml</loc></sitemap><url><loc>https://a.se/p{i}</loc></url></x>".encode()
     files = spark.createDataFrame([(f"https://a.se/{i}.xml", xml(i)) for i in range(22)], "url string, body binary")
