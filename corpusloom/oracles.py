@@ -229,6 +229,13 @@ ORACLES = {
     "rate_limit_schedule": """WITH RECURSIVE r AS (SELECT event_id AS id, user_id, epoch_us(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
         s AS (SELECT id, user_id, a, k, a AS start_us FROM r WHERE k = 1 UNION ALL SELECT r.id, r.user_id, r.a, r.k, greatest(r.a, s.start_us + 600000000) FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)
         SELECT id, start_us, start_us - a AS wait_us FROM s""",
+    "eta_events": """WITH e AS (SELECT event_id, event_id % 50 AS visited, value * 40 AS seconds, CASE WHEN (event_id % 3) * 30 > 0 THEN least(user_id % 40, (event_id % 3) * 30 - event_id % 50) ELSE user_id % 40 END AS left_ FROM events),
+        s AS (SELECT *, CASE WHEN visited > 0 THEN seconds / visited * left_ END AS s FROM e)
+        SELECT event_id, CASE WHEN visited <= 2 THEN 'Beräknar...' WHEN left_ <= 0 THEN 'Klar snart' WHEN s > 3600 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ' || CAST(floor((s - floor(s / 3600) * 3600) / 60) AS BIGINT) || 'm'
+            WHEN s > 60 THEN CAST(floor(s / 60) AS BIGINT) || 'm ' || CAST(floor(s - floor(s / 60) * 60) AS BIGINT) || 's' ELSE CAST(floor(s) AS BIGINT) || 's' END AS eta FROM s""",
+    "delay_events": "SELECT event_id, CASE WHEN user_id % 3 = 2 THEN 1.0::DOUBLE ELSE greatest(value / 1000, 0.1::DOUBLE) END AS delay FROM events",
+    "route_events": """SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'page' WHEN 5 THEN 'page' WHEN 10 THEN 'page' WHEN 2 THEN d WHEN 3 THEN d WHEN 7 THEN 'empty' WHEN 8 THEN 'empty' ELSE 'drop' END AS route
+        FROM (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'document' ELSE 'skip_document' END AS d FROM events)""",
     "delay_resolution": _values("id, delay", "(1::BIGINT, 0.5::DOUBLE)", "(2, 0.1)", "(3, 1.0)", "(4, 10.0)", "(5, 0.5)"),
     "backoff_schedule": _values("attempts, seconds", "(0::BIGINT, '')", "(1, '1')", "(2, '1,2')", "(3, '1,2,4')", "(4, '1,2,4,8')"),
     "content_route": _values(
@@ -248,6 +255,7 @@ ORACLES = {
     "page_date_cascade": _values("id, published, modified", "(1::BIGINT, '2020-01-01', '3 maj 2021')", "(2, '', '4 juni 2020')", "(3, '2019-02-03', '')", "(4, '', '2018-01-02')", "(5, '', 'x')"),
     "doc_filename": """SELECT id, stem || '_' || left(md5(url), 6) || ending AS file_name FROM (VALUES (1::BIGINT, 'https://a.se/f/Rapport%20två.PDF', 'rapport-tva', '.pdf'), (2, 'https://a.se/f/x', 'a-fil', '.docx'), (3, 'https://a.se/', 'dokument', '.pdf')) v(id, url, stem, ending)""",
     "robots_allow": _values("id, allowed", "(1::BIGINT, false)", "(2, true)", "(3, true)", "(4, true)"),
+    "robots_pages": f"WITH {PARTS} SELECT page_id, starts_with(path, '/en/12') OR NOT (starts_with(path, '/en/1') OR starts_with(path, '/de/4') OR starts_with(path, '/fr/7')) AS allowed FROM u",
     "robots_sitemaps": _values("site, sitemap, crawl_delay", "('a', 'https://a.se/s1.xml', 7::INTEGER)", "('a', 'https://a.se/s2.xml', 7)"),
     "sitemap_urls": _values("sitemap, position, url", "('https://a.se/1.xml.gz', 0::BIGINT, 'https://a.se/p?x=1&y=2')"),
     "site_settings": _values("name, domain, output_dir, delay, incremental, exclude", "('Min Sajt Å', 'www.a.se', 'server_data/min-sajt-a', 0.5::DOUBLE, true, 'spam')"),

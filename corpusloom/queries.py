@@ -348,6 +348,27 @@ def backoff_schedule(spark, d):
     return spark.range(0, 5).select(F.col("id").alias("attempts"), F.array_join(F.transform(schedule.backoff_seconds(F.col("id").cast("int")), lambda x: x.cast("int").cast("string")), ",").alias("seconds"))
 
 
+def _events(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+def eta_events(spark, d):
+    """Each event as a crawl at some moment."""
+    visited, waiting, most = F.col("event_id") % 50, F.col("user_id") % 40, (F.col("event_id") % 3) * 30
+    return _events(spark, d).select("event_id", stats.eta(visited, F.col("value") * 40, waiting, most).alias("eta"))
+
+
+def delay_events(spark, d):
+    robots_delay = F.when(F.col("user_id") % 3 > 0, (F.col("user_id") % 3 - 1).cast("int"))
+    return _events(spark, d).select("event_id", schedule.effective_delay(F.col("value") / 1000, robots_delay).alias("delay"))
+
+
+def route_events(spark, d):
+    """Each event as a response of some type; every second site wants documents."""
+    kind = F.element_at(F.array(*(F.lit(t) for t in TYPES)), (F.pmod("event_id", F.lit(len(TYPES))) + 1).cast("int"))
+    return _events(spark, d).select("event_id", route.content_route(kind, F.col("user_id") % 2 == 0).alias("route"))
+
+
 # --- routing and sinks ---
 
 TYPES = ["text/html; charset=utf-8", "IMAGE/png", "application/pdf", "application/vnd.ms-excel", "application/zip", "application/json", "application/octet-stream", "application/x-unknown", None, "font/woff2", "application/xml"]
@@ -506,6 +527,13 @@ def robots_allow(spark, d):
     return robots.allowed(urls, files).select("id", "allowed")
 
 
+def robots_pages(spark, d):
+    """All pages under one robots.txt: the first rule that fits decides."""
+    text = "User-agent: *\nAllow: /en/12\nDisallow: /en/1\nDisallow: /de/4\nDisallow: /fr/7\nAllow: /fr\n"
+    files = spark.createDataFrame([("alla", text)], "site string, robots_txt string")
+    return robots.allowed(_pages(spark, d).select("page_id", "url", F.lit("alla").alias("site")), files).select("page_id", "allowed")
+
+
 def robots_sitemaps(spark, d):
     files = spark.createDataFrame([("a", ROBOTS)], "site string, robots_txt string")
     return files.select("site", F.explode(robots.sitemap_urls(F.col("robots_txt"))).alias("sitemap"), robots.policy(F.col("robots_txt"))["crawl_delay"].alias("crawl_delay"))
@@ -538,7 +566,7 @@ def queries() -> dict:
     names = """url_normalize url_distinct url_valid url_keywords frontier_score frontier_topk frontier_dedup links_extracted links_resolved links_parsed links_new
         frontier_expand expand_gate crawl_visits page_title page_lang page_title_parsed page_sections page_record page_main_text page_metadata page_shapes run_pages sites_stats
         sites_saved js_render_needed session_expired content_hash pii_email pii_pnr pii_phone pii_ip pii_masked pii_texts chunks chunk_stats chunk_headings masked_chunks slug_filename
-        cache_upsert cache_scan incremental_status index_csv crawl_stats crawl_rate summary_lines eta rate_limit_schedule delay_resolution backoff_schedule content_route status_label
-        save_gate sink_json sink_md json_files responses_routed responses_documents head_probes cookie_headers newest_events table_titles keyword_lists md_sections md_links page_date_cascade doc_filename robots_allow
+        cache_upsert cache_scan incremental_status index_csv crawl_stats crawl_rate summary_lines eta eta_events rate_limit_schedule delay_resolution delay_events route_events backoff_schedule content_route status_label
+        save_gate sink_json sink_md json_files responses_routed responses_documents head_probes cookie_headers newest_events table_titles keyword_lists md_sections md_links page_date_cascade doc_filename robots_allow robots_pages
         robots_sitemaps sitemap_urls sitemap_accepted site_settings""".split()
     return {n: globals()[n] for n in names}
