@@ -74,7 +74,9 @@ def map_texts(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
         own, kind = (prepare(),) if prepare else (), to_arrow_schema(target)
         for piece in sliced(batches):
             made = fn(piece, *own)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in kind], schema=kind)
+            yield pa.RecordBatch.from_arrays(
+                [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in kind], schema=kind
+            )
             del made
         del own
         let_go()

@@ -213,7 +213,9 @@ def told(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     own = [c for c in table.columns if c not in (key, "n")]
     hot = table.where(F.col("n") > bound).select(key, F.struct(*own).alias("_hot"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    spread = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.concat(F.lit(b"hot"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    spread = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(
+        F.concat(F.lit(b"hot"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    )
     cold = table.where(F.col("n") <= bound).select(F.col(key).alias("_key"), F.struct(*own).alias("_cold"))
     found = F.coalesce("_hot", "_cold")
     return marked.withColumn("_key", spread).join(cold, "_key", "left").select(*rows.columns, *(found[c].alias(c) for c in own))
@@ -223,7 +225,10 @@ def dealt(docs: DataFrame, deal: Deal) -> DataFrame:
     """(b, doc_id, text as bytes, no_id). Rows without doc_id get the least ones there are, by a hash of their text: they come before all others."""
     own = F.lit(-(1 << 63)).cast("long") + F.pmod(F.xxhash64("text"), F.lit(1 << 62).cast("long"))
     rows = texts(docs).select(F.coalesce("doc_id", own).alias("doc_id"), "text", F.col("doc_id").isNull().cast("int").alias("no_id"))
-    return rows.select(_evenly(F.pmod(F.xxhash64("doc_id"), F.lit(deal.batches)).cast("int"), deal.batches, deal.partitions).alias("b"), "doc_id", "text", "no_id")
+    return rows.select(
+        _evenly(F.pmod(F.xxhash64("doc_id"), F.lit(deal.batches)).cast("int"), deal.batches, deal.partitions).alias("b"),
+        "doc_id", "text", "no_id"
+    )
 
 
 def by_batch(docs: DataFrame, side: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -258,7 +263,9 @@ def by_bucket(entries: DataFrame, fn: Callable, deal: Deal) -> DataFrame:
         let_go()
         return made
 
-    return entries.select(_evenly(F.col("r"), deal.buckets, deal.partitions).alias("label"), *PACKED_ARROW.names).groupBy("label").applyInArrow(run, PACKED)
+    return entries.select(
+        _evenly(F.col("r"), deal.buckets, deal.partitions).alias("label"), *PACKED_ARROW.names
+    ).groupBy("label").applyInArrow(run, PACKED)
 
 
 #: The kind of the entries of copies().
@@ -271,7 +278,9 @@ def copies(batches: DataFrame, deal: Deal) -> DataFrame:
     Counted by text hash with partial sums; of groups of two or more only (hash, least id) goes back.
     """
     keyed = batches.where("text IS NOT NULL").select("b", "doc_id", F.unhex(F.sha2("text", 256)).alias("h"))
-    first = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("h", "first", "n")
+    first = keyed.groupBy("h").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")
+    ).where("first < last").select("h", "first", "n")
     later = told(keyed, first, "h", deal.rows).where("doc_id > first").select("b", "doc_id")
 
     def run(table: pa.Table) -> pa.Table:

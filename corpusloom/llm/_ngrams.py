@@ -81,7 +81,10 @@ def chosen_ids(rows: DataFrame, max_rows: int, seed: int) -> list[tuple[int, obj
     Classes are counted first, so that only ids with hashes under a bound, about 1.3 * max_rows + 100 a class, come to the driver.
     """
     counts = rows.groupBy("class").agg(F.count("*").alias("n"))
-    bound = counts.select("class", F.least(F.lit(HASHES), F.ceil(F.lit(HASHES) * (1.3 * max_rows + 100) / F.col("n"))).cast("long").alias("bound"))
+    bound = counts.select(
+        "class",
+        F.least(F.lit(HASHES), F.ceil(F.lit(HASHES) * (1.3 * max_rows + 100) / F.col("n"))).cast("long").alias("bound")
+    )
     near = rows.join(F.broadcast(bound), "class").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASHES)) < F.col("bound"))  # a row a class
     held: dict[object, list[tuple[int, int]]] = {}
     for r in near.select("class", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASHES)).alias("hash"), "doc_id").distinct().collect():
@@ -89,7 +92,9 @@ def chosen_ids(rows: DataFrame, max_rows: int, seed: int) -> list[tuple[int, obj
     return [(doc, k) for k, own in held.items() for _, doc in sorted(own)[:max_rows]]
 
 
-def chosen_texts(docs: DataFrame, ids: list[tuple[int, object]], kind: str, max_text: int, max_bytes: int) -> list[tuple[object, int, bytes]]:
+def chosen_texts(
+    docs: DataFrame, ids: list[tuple[int, object]], kind: str, max_text: int, max_bytes: int
+) -> list[tuple[object, int, bytes]]:
     """(class, doc_id, text) in order, of (doc_id, class) in order of preference: the first max_text bytes of texts.
 
     Each class has an equal share of max_bytes, and has its texts as far as that goes: the last is cut. Of rows with one
@@ -102,5 +107,7 @@ def chosen_texts(docs: DataFrame, ids: list[tuple[int, object]], kind: str, max_
     begun = texts(docs).withColumn("text", F.coalesce(F.substring("text", 1, max_text), F.lit(b""))).join(F.broadcast(known), "doc_id")  # max_rows a class
     one = begun.groupBy("class", "place", "doc_id").agg(F.min("text").alias("text"))
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("class").orderBy("place")) - F.octet_length("text")  # max_rows rows
-    cut = one.withColumn("left", (F.lit(share) - before).cast("int")).where("left > 0").select("class", "doc_id", F.expr("substring(text, 1, left)").alias("text"))
+    cut = one.withColumn("left", (F.lit(share) - before).cast("int")).where("left > 0").select(
+        "class", "doc_id", F.expr("substring(text, 1, left)").alias("text")
+    )
     return sorted((r["class"], r["doc_id"], bytes(r["text"])) for r in cut.collect())

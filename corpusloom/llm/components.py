@@ -46,13 +46,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         spread = turned.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        spread = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        spread = edges.join(least, "a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        ).unionAll(least.select("a", F.col("m").alias("b")))
     return spread.where("a <> b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component): the least node of each node's component, for the nodes of edges (a, b)."""
-    ends = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    ends = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
+        F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")
+    )
     now = written(ends.mapInArrow(_contract, "a long, b long").distinct())
     state = None
     for _ in range(max_rounds):
@@ -60,6 +64,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         # where nothing changes any more, each edge leads to the least node
         after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if after == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
+                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            )
         state = after
     raise RuntimeError(f"no end after {max_rounds} rounds")

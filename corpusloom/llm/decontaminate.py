@@ -130,10 +130,19 @@ def _blocks(benchmark: DataFrame, span: int, block_windows: int):
 
     def cut(batches):
         for batch in batches:
-            rows = [(w, i) for i, t in zip(batch.column("item").to_pylist(), values(batch), strict=True) for w in dict.fromkeys(windows_of(plain_words(t), span))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["w", "item"])
-
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+            rows = [
+                (w, i) for i, t in zip(
+                    batch.column("item").to_pylist(), values(batch), strict=True
+                ) for w in dict.fromkeys(windows_of(plain_words(t), span))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())],
+                ["w", "item"]
+            )
+
+    items = benchmark.where("item_id IS NOT NULL").select(
+        F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")
+    )
     block: dict[bytes, set[str]] = {}
     for row in items.mapInArrow(cut, "w binary, item string").orderBy("w").toLocalIterator():
         w = bytes(row["w"])
@@ -196,7 +205,9 @@ def _searcher(docs: DataFrame, benchmark: DataFrame, span: int, block_windows: i
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_windows: int = BLOCK_WINDOWS, min_items: int = 2) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_windows: int = BLOCK_WINDOWS, min_items: int = 2
+) -> DataFrame:
     """doc_id, text (bytes), n_words, hits (word ranges: first word, words), items, n_hit, n_items, contaminated: one row per row of docs."""
     search = _searcher(docs, benchmark, span, block_windows)
     hits = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
@@ -204,18 +215,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block
     def run(batches):
         for batch, n_words, hit, items in search(batches):
             ranges = pa.array([[{"first": f, "words": n} for f, n in sorted(set(x))] for x in hit], hits)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), ranges, pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hits", "items"])
-
-    whole = texts(docs).mapInArrow(run, "doc_id long, text binary, n_words long, hits array<struct<first:long,words:long>>, items array<string>")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), ranges,
+                    pa.array(items, pa.list_(pa.string()))
+                ],
+                ["doc_id", "text", "n_words", "hits", "items"]
+            )
+
+    whole = texts(docs).mapInArrow(
+        run, "doc_id long, text binary, n_words long, hits array<struct<first:long,words:long>>, items array<string>"
+    )
     marks = F.aggregate(
         "hits",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), h["first"] + h["words"] - F.greatest(s["end"], h["first"]))).alias("n"), F.greatest(s["end"], h["first"] + h["words"]).alias("end")),
+        lambda s, h: F.struct(
+            (s["n"] + F.greatest(F.lit(0).cast("long"), h["first"] + h["words"] - F.greatest(s["end"], h["first"]))).alias("n"),
+            F.greatest(s["end"], h["first"] + h["words"]).alias("end")
+        ),
+    )
+    return whole.select(
+        "doc_id", "text", "n_words", "hits", "items", marks["n"].alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), (F.size("items") >= min_items).alias("contaminated")
     )
-    return whole.select("doc_id", "text", "n_words", "hits", "items", marks["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), (F.size("items") >= min_items).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_windows: int = BLOCK_WINDOWS, min_items: int = 1) -> DataFrame:
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, span: int = SPAN, block_windows: int = BLOCK_WINDOWS, min_items: int = 1
+) -> DataFrame:
     """The rows of docs that hold windows of fewer than min_items items, all columns as they were, in the same pass."""
     search = _searcher(docs, benchmark, span, block_windows)
 

@@ -52,7 +52,9 @@ def in_training(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
 
 def sample(docs: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[str, bytes]]:
     """(lang, text), the same number of each language at most, in order of lang and doc_id."""
-    rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("class"))
+    rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(in_training(F.col("doc_id"))).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("class")
+    )
     ids = chosen_ids(rows, max_rows, 3)
     return [(lang, text) for lang, _, text in chosen_texts(docs, ids, "string", MAX_TEXT, MAX_BYTES)]
 
@@ -76,7 +78,10 @@ class Model:
         n = np.bincount(owner, minlength=len(words))
         sums = [np.bincount(owner, t[feature, k], len(words)) for t in (self.table, self.known) for k in range(len(self.langs))]
         letters = np.array([any(c.isalpha() for c in w) for w in words], bool)
-        return np.stack([*sums[: len(self.langs)], n, *(np.where(letters, x / np.maximum(n, 1), 0) for x in sums[len(self.langs) :]), letters], axis=1)
+        return np.stack(
+            [*sums[: len(self.langs)], n, *(np.where(letters, x / np.maximum(n, 1), 0) for x in sums[len(self.langs) :]), letters],
+            axis=1
+        )
 
     def vocabulary(self) -> Vocabulary:
         return Vocabulary(self.word_rows, 2 * len(self.langs) + 2)
@@ -112,7 +117,9 @@ class Model:
             best, top, letters = p.argmax(axis=1), p.max(axis=1), count > 0
             sure, familiar = self.bounds(count)
             rejected = ~letters | (top < sure) | (means.max(axis=1) < familiar)
-            return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, top, 0.0).tolist(), rejected.tolist()
+            return [
+                self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)
+            ], np.where(letters, top, 0.0).tolist(), rejected.tolist()
 
         return predict
 
@@ -238,7 +245,10 @@ def keep_identified(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         for batch in sliced(batches):
             lang, _, rejected = predict([(x or "").encode("utf-8", "replace") for x in batch.column("text").to_pylist()])
             at = batch.schema.get_field_index("lang")
-            batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(batch.column("lang"), pa.array(lang, batch.schema.field(at).type)))
+            batch = batch.set_column(
+                at, batch.schema.field(at),
+                pc.coalesce(batch.column("lang"), pa.array(lang, batch.schema.field(at).type))
+            )
             yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
         del predict
         let_go()

@@ -153,7 +153,10 @@ def _digest(samples: np.ndarray, size: int | None, media: bytes) -> dict:
 
 
 def _whole(samples: np.ndarray, size: int | None, media: bytes) -> dict:
-    return {"n_bytes": samples.size if size is None else size, "payload": samples.tobytes(), "feature": picture_hash(samples), "media": media}
+    return {
+        "n_bytes": samples.size if size is None else size, "payload": samples.tobytes(),
+        "feature": picture_hash(samples), "media": media
+    }
 
 
 def _read(pictures: DataFrame, tell, columns: dict[str, str]) -> DataFrame:
@@ -179,5 +182,8 @@ def read_media(pictures: DataFrame) -> DataFrame:
 
 def media_digest(pictures: DataFrame) -> DataFrame:
     """Sizes, checksums and the feature of what is read back from each picture (doc_id, media); nulls where it is broken."""
-    columns = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    columns = {
+        "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long",
+        "media_bytes": "long", "media_sha256": "string", "feature": "string"
+    }
     return _read(pictures, _digest, columns).drop("error")

@@ -131,7 +131,10 @@ def _bands(batches):
             for i in range(ROWS):
                 key = mix(key ^ sig[:, band * ROWS + i])
             sketch = np.ascontiguousarray(low[:, (band + 1) * ROWS : (band + 1) * ROWS + SKETCH])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(ids)], ["key", "sketch", "id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(ids)],
+                ["key", "sketch", "id"]
+            )
 
 
 PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -154,7 +157,9 @@ def _pairs(batches):
             key, ids, sketch = (np.concatenate(x) for x in zip(held, (key, ids, sketch), strict=True))
             skip = len(held[0])
         n = len(key)
-        begin = np.searchsorted(key, key) if (key[1:] >= key[:-1]).all() else np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(n), 0))
+        begin = np.searchsorted(key, key) if (key[1:] >= key[:-1]).all() else np.maximum.accumulate(
+            np.where(np.append(True, key[1:] != key[:-1]), np.arange(n), 0)
+        )
         agree = (sketch == sketch[begin]).sum(axis=1)
         mine = np.flatnonzero((begin < np.arange(n)) & (np.arange(n) >= skip) & (agree >= LEAST))
         a, b = [ids[begin[mine]]], [ids[mine]]
@@ -181,7 +186,9 @@ def buckets(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, sig): first pairs a < b of doc_ids that share a band and look alike; (key, id) of the buckets of more than one document."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = distinct.select("doc_id", "sig").mapInArrow(_bands, "key long, sketch binary, id long")
-    both = written(rows.repartitionByRange(n, "key", "sketch").sortWithinPartitions("key", "sketch", "id").mapInArrow(_pairs, "key long, a long, b long"))
+    both = written(
+        rows.repartitionByRange(n, "key", "sketch").sortWithinPartitions("key", "sketch", "id").mapInArrow(_pairs, "key long, a long, b long")
+    )
     return both.where("key IS NULL").select("a", "b").distinct(), both.where("key IS NOT NULL").select("key", F.col("a").alias("id")).distinct()
 
 
@@ -190,7 +197,14 @@ def _bag_rows(docs: DataFrame) -> DataFrame:
         raw = values(batch)
         doc, item, count = bags(raw)
         edges = np.searchsorted(doc, np.arange(len(raw) + 1))
-        return {"doc_id": batch.column("doc_id"), "bag": [item[i:j].tobytes() + count[i:j].astype("<u4").tobytes() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}
+        return {
+            "doc_id": batch.column("doc_id"),
+            "bag": [
+                item[i:j].tobytes() + count[i:j].astype("<u4").tobytes() for i, j in zip(
+                    edges[:-1].tolist(), edges[1:].tolist(), strict=True
+                )
+            ]
+        }
 
     return map_texts(docs, fn, "doc_id long, bag binary")
 
@@ -215,7 +229,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose bags are as similar as asked."""
     needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     bag = _bag_rows(texts(docs).join(needed, "doc_id", "left_semi"))
-    both = pairs.join(bag.select(F.col("doc_id").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("doc_id").alias("b"), F.col("bag").alias("y")), "b")
+    both = pairs.join(
+        bag.select(F.col("doc_id").alias("a"), F.col("bag").alias("x")), "a"
+    ).join(bag.select(F.col("doc_id").alias("b"), F.col("bag").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
 
@@ -289,7 +305,9 @@ def _blocks(batches):
 
     def out():
         found = list(_block_links(rows))
-        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"]
+        )
 
     for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         for r in batch.to_pylist():
@@ -304,10 +322,23 @@ def _blocks(batches):
 
 def _unsettled(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Buckets of more than one component: (key, id, class) and (key, main, total, most), the largest component and the numbers of documents. Of equal buckets one."""
-    named = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
-    each = named.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("hash"))
-    some = each.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("hash").alias("hash"))
-    some = written(some.where("classes > 1").groupBy("total", "low", "high", "hash").agg(F.min(F.struct("key", "main", "most")).alias("m")).select("m.key", "m.main", "total", "m.most"))
+    named = members.join(
+        found.select(F.col("node").alias("id"), "component"), "id", "left"
+    ).select("key", "id", F.coalesce("component", "id").alias("class"))
+    each = named.groupBy("key", "class").agg(
+        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
+        F.bit_xor(F.xxhash64("id")).alias("hash")
+    )
+    some = each.groupBy("key").agg(
+        F.count("*").alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"),
+        F.sum("n").alias("total"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.bit_xor("hash").alias("hash")
+    )
+    some = written(
+        some.where("classes > 1").groupBy("total", "low", "high", "hash").agg(
+            F.min(F.struct("key", "main", "most")).alias("m")
+        ).select("m.key", "m.main", "total", "m.most")
+    )
     return written(named.join(some.select("key"), "key")), some
 
 
@@ -316,25 +347,48 @@ def _hub_pairs(named: DataFrame, large: DataFrame, links: DataFrame) -> DataFram
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     inside = named.join(large.select("key"), "key")
     hub = inside.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "class"), F.struct("n", "id")).alias("hub"))
-    return inside.join(hub, "key").where("class <> hub.class").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    return inside.join(hub, "key").where("class <> hub.class").select(
+        F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")
+    ).distinct()
 
 
 def _exhaustive(docs: DataFrame, named: DataFrame, some: DataFrame) -> DataFrame:
     """Links of all pairs of a bucket that aren't in one component: documents outside the largest, by blocks, with each other and with the largest."""
-    bag = written(_bag_rows(texts(docs).join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")).select("doc_id", "bag", F.length("bag").cast("long").alias("size")))
-    rows = named.join(some.select("key", "main"), "key").withColumn("rest", F.col("class") != F.col("main")).join(bag.select(F.col("doc_id").alias("id"), "size"), "id")
-    blocks = lambda rest: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(F.when(rest, 1)) / BLOCK, F.sum(F.when(rest, F.col("size"))) / BLOCK_BYTES))).cast("long")
+    bag = written(
+        _bag_rows(
+            texts(docs).join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        ).select("doc_id", "bag", F.length("bag").cast("long").alias("size"))
+    )
+    rows = named.join(some.select("key", "main"), "key").withColumn("rest", F.col("class") != F.col("main")).join(
+        bag.select(F.col("doc_id").alias("id"), "size"), "id"
+    )
+    blocks = lambda rest: F.greatest(
+        F.lit(1), F.ceil(F.greatest(F.sum(F.when(rest, 1)) / BLOCK, F.sum(F.when(rest, F.col("size"))) / BLOCK_BYTES))
+    ).cast("long")
     number = rows.groupBy("key").agg(blocks(F.col("rest")).alias("r"), blocks(~F.col("rest")).alias("m"))
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m")))
     # j is a block of the rest under r, and one of the largest component from there on; side 0 is block i
     placed = rows.select("key", "id", "class", "rest").distinct().join(number, "key").withColumn("k", mine)
-    first = F.transform(F.sequence("k", F.col("r") + F.col("m") - 1), lambda j: F.struct(F.col("k").alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    second = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k")), lambda i: F.struct(i.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side")))
-    against = F.transform(F.sequence(F.lit(0).cast("long"), F.col("r") - 1), lambda i: F.struct(i.alias("i"), (F.col("r") + F.col("k")).alias("j"), F.lit(1).alias("side")))
+    first = F.transform(
+        F.sequence("k", F.col("r") + F.col("m") - 1),
+        lambda j: F.struct(F.col("k").alias("i"), j.alias("j"), F.lit(0).alias("side"))
+    )
+    second = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("k")),
+        lambda i: F.struct(i.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"))
+    )
+    against = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("r") - 1),
+        lambda i: F.struct(i.alias("i"), (F.col("r") + F.col("k")).alias("j"), F.lit(1).alias("side"))
+    )
     at = F.when(F.col("rest"), F.concat(first, F.filter(second, lambda x: x["i"] < x["j"]))).otherwise(against)
-    pairs = placed.select("key", F.col("id").alias("doc_id"), "class", F.explode(at).alias("at")).select("key", "doc_id", "class", "at.*").join(bag.select("doc_id", "bag"), "doc_id")
+    pairs = placed.select(
+        "key", F.col("id").alias("doc_id"), "class", F.explode(at).alias("at")
+    ).select("key", "doc_id", "class", "at.*").join(bag.select("doc_id", "bag"), "doc_id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("key", "i", "j", "side", "doc_id", "class", "bag").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_blocks, "a long, b long")
+    return pairs.select(
+        "key", "i", "j", "side", "doc_id", "class", "bag"
+    ).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_blocks, "a long, b long")
 
 
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -363,11 +417,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text_id (the least doc_id with this very text), class_id (the least of all that links lead to): one row per row of docs."""
     sig = written(signatures(docs))
     some = sig.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    least = written(some.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("n")).select("key", "m.doc_id", "m.sig", "n"))
+    least = written(
+        some.groupBy("key").agg(
+            F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("n")
+        ).select("key", "m.doc_id", "m.sig", "n")
+    )
     found = links(docs, least).select(F.col("node").alias("text_id"), F.col("component").alias("class_id"))
     # a row for each text; only texts with copies, and only texts with links, have anything to tell
-    classes = least.select("key", F.col("doc_id").alias("text_id"), "n").join(found, "text_id", "left").where("n > 1 OR class_id IS NOT NULL")
-    named = told(sig.select("doc_id", "key"), written(classes.select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), "n")), "key", sig.count())
+    classes = least.select(
+        "key", F.col("doc_id").alias("text_id"), "n"
+    ).join(found, "text_id", "left").where("n > 1 OR class_id IS NOT NULL")
+    named = told(
+        sig.select("doc_id", "key"),
+        written(classes.select("key", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), "n")), "key",
+        sig.count()
+    )
     return named.select("doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -153,7 +153,9 @@ def _candidates(batch: Batch, given: dict, n: int):
     """(rows, words, start, doc, hash, check) of the windows that hold a hit block, a chunk at a time."""
     skip = is_copy(batch, given)
     answered = _hits(given)
-    keys = np.sort(np.concatenate([(f.astype(np.uint64) << np.uint64(32)) | np.uint64(r) for r, f in answered.items()])) if answered else np.zeros(0, np.uint64)
+    keys = np.sort(
+        np.concatenate([(f.astype(np.uint64) << np.uint64(32)) | np.uint64(r) for r, f in answered.items()])
+    ) if answered else np.zeros(0, np.uint64)
     blocks, probes = [], []
     for _, words in _chunks(batch, skip):
         start, doc = words.starts(BLOCK)
@@ -238,7 +240,9 @@ def _answer_windows(r: int, entries: list, out: Rows) -> None:
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, text_sha256 string"
-RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text_sha256", pa.string())])
+RESULT_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("text_sha256", pa.string())]
+)
 
 
 def _apply(n: int, keep_space: bool):
@@ -283,7 +287,13 @@ def _apply(n: int, keep_space: bool):
                     pieces.append(text[at : begin[a]])
                     at = int(begin[b]) if b < len(begin) else len(text)
                 kept.append(b"".join([*pieces, text[at:]]))
-        return pa.Table.from_arrays([batch.ids(), pa.array(count), pa.array(removed), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in batch.texts])], schema=RESULT_ARROW)
+        return pa.Table.from_arrays(
+            [
+                batch.ids(), pa.array(count), pa.array(removed), pa.array(kept, pa.binary()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in batch.texts])
+            ],
+            schema=RESULT_ARROW
+        )
 
     return fn
 

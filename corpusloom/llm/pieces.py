@@ -4,7 +4,10 @@ A text is cut into units where no piece of the vocabulary goes across: before sp
 ASCII letter or digit and a full stop or the like. (That none does is tested when the vocabulary is read; kinds of places
 where one does aren't cut at.) Units of over LONG bytes are cut further, wherever none of their own edges goes across.
 Over each unit lies a lattice: an edge for every substring that is a piece of the vocabulary, and for a character that is
-none, an edge of its UTF-8 bytes' pieces. So the ways through a text's units are all ways through the text's one lattice. An edge weighs (1 + rank)^-sharpness, where rank is the piece's place in the vocabulary's scores. Forward filtering
+none, an edge of its UTF-8 bytes' pieces. So the ways through a text's units are all ways through
+the text's one lattice.
+
+An edge weighs (1 + rank)^-sharpness, where rank is the piece's place in the vocabulary's scores. Forward filtering
 sums the weights of all ways to each position; backward sampling then draws, from the unit's end, the last piece in
 proportion to the ways that end in it, and goes on from where that begins: a segmentation is drawn exactly as often as the
 product of its weights says. Lattices of distinct units are filtered together, position by position, and kept for the next
@@ -150,7 +153,9 @@ class Lattices:
             made = []
             for a, b in slices(n, self.at_once):
                 own = n[a:b]
-                made.append(self._filtered(raw[np.repeat(begin[where[a:b]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own))
+                made.append(
+                    self._filtered(raw[np.repeat(begin[where[a:b]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))], own)
+                )
             self._add(made)
             self.known, self.number = np.append(self.known, different[fresh]), np.append(self.number, number[fresh])
             order = np.argsort(self.known)
@@ -158,7 +163,9 @@ class Lattices:
         return number[which]
 
     def _add(self, made: list[tuple[np.ndarray, ...]]) -> None:
-        grown: list[list[np.ndarray]] = [[self.first], [self.last], [self.edge[:-1]], [self.share], [self.source], [self.ids], [self.id_begin]]
+        grown: list[list[np.ndarray]] = [
+            [self.first], [self.last], [self.edge[:-1]], [self.share], [self.source], [self.ids], [self.id_begin]
+        ]
         nodes, edges, ids = len(self.edge) - 1, len(self.source), len(self.ids)
         for first, last, edge, share, source, own_ids, many in made:
             new = first + nodes, last + nodes, edge[:-1] + edges, share, source + nodes, own_ids, ids + np.cumsum(many)
@@ -331,10 +338,16 @@ def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, sharpness: floa
             raw = batch.column("text").to_pylist()
             keys = batch.column("doc_id").fill_null(0).to_numpy()
             ids, edges = sampler(keys, [x or b"" for x in raw])
-            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([x is None for x in raw], pa.bool_()))
+            lists = pa.ListArray.from_arrays(
+                pa.array(edges, pa.int32()), pa.array(ids, pa.int32()),
+                mask=pa.array([x is None for x in raw], pa.bool_())
+            )
             cols = {"doc_id": batch.column("doc_id"), "ids": lists}
             if decoded:
-                cols["text"] = pa.array([None if x is None else sampler.pieces.decode(ids[a:b]).decode() for x, a, b in zip(raw, edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
+                cols["text"] = pa.array(
+                    [None if x is None else sampler.pieces.decode(ids[a:b]).decode() for x, a, b in zip(raw, edges[:-1].tolist(), edges[1:].tolist(), strict=True)],
+                    pa.string()
+                )
             yield pa.RecordBatch.from_pydict(cols)
             del raw, ids, lists, cols
         del sampler
@@ -360,7 +373,9 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def brute_force(rows: list[tuple[int | None, str | None]], model: str, seed: int = SEED, sharpness: float = SHARPNESS) -> list[tuple[int | None, list[int] | None]]:
+def brute_force(
+    rows: list[tuple[int | None, str | None]], model: str, seed: int = SEED, sharpness: float = SHARPNESS
+) -> list[tuple[int | None, list[int] | None]]:
     """(doc_id, ids), from the definition: one text and one position at a time, with the same random numbers."""
     import math
 
@@ -384,7 +399,9 @@ def brute_force(rows: list[tuple[int | None, str | None]], model: str, seed: int
                 cuts.append(i)
         out = []
         for unit in (text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)):
-            inner = {i for end in range(1, len(unit) + 1) for b, _ in edges(unit, end) for i in range(b + 1, end)} if len(unit.encode()) > LONG else set(range(1, len(unit)))
+            inner = {
+                i for end in range(1, len(unit) + 1) for b, _ in edges(unit, end) for i in range(b + 1, end)
+            } if len(unit.encode()) > LONG else set(range(1, len(unit)))
             joints = [0, *(i for i in range(1, len(unit)) if i not in inner), len(unit)]
             out += [unit[i:j] for i, j in zip(joints[:-1], joints[1:], strict=True)]
         return out
@@ -418,4 +435,7 @@ def brute_force(rows: list[tuple[int | None, str | None]], model: str, seed: int
 
 def pieces_digest(decoded: DataFrame) -> DataFrame:
     """doc_id, n_ids, ids_hash (xxhash64 of the ids), text_sha256 (of the decoded text)."""
-    return decoded.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_ids"), F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), F.sha2("text", 256).alias("text_sha256"))
+    return decoded.select(
+        "doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_ids"),
+        F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), F.sha2("text", 256).alias("text_sha256")
+    )

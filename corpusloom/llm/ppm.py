@@ -96,10 +96,15 @@ def _mask(k: int) -> int:
     return (1 << (BITS * k)) - 1
 
 
-def log_probabilities(code: np.ndarray, seen: np.ndarray, count: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, order: int = ORDER) -> np.ndarray:
+def log_probabilities(
+    code: np.ndarray, seen: np.ndarray, count: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray,
+    order: int = ORDER
+) -> np.ndarray:
     """log10 of each gram's probability. seen, count: all grams of the model with these grams' two latest context symbols;
     pairs, pair_counts: all its grams of one context symbol."""
-    levels = [_Level(pairs & _mask(1), pair_counts), _Level(pairs, pair_counts)] + [_Level(seen & _mask(k + 1), count) for k in range(2, order + 1)]
+    levels = [
+        _Level(pairs & _mask(1), pair_counts), _Level(pairs, pair_counts)
+    ] + [_Level(seen & _mask(k + 1), count) for k in range(2, order + 1)]
     for k in range(1, order + 1):
         own = levels[k]
         own.gone = np.bincount(own.of, levels[k - 1].counts(own.code & _mask(k)), len(own.node)).astype(np.int64)
@@ -115,7 +120,10 @@ def log_probabilities(code: np.ndarray, seen: np.ndarray, count: np.ndarray, pai
             total, distinct = own.total[at] - gone[todo], own.distinct[at] - less[todo]
             n = np.where(known, own.counts(c & _mask(k + 1)), 0)
             every = np.maximum(total + distinct, 1)
-            out[todo] += np.where(n > 0, np.log10(np.maximum(n, 1) / every), np.where(known & (distinct > 0), np.log10(np.maximum(distinct, 1) / every), 0.0))
+            out[todo] += np.where(
+                n > 0, np.log10(np.maximum(n, 1) / every),
+                np.where(known & (distinct > 0), np.log10(np.maximum(distinct, 1) / every), 0.0)
+            )
             gone[todo] = np.where(known, own.gone[at], gone[todo])
             less[todo] = np.where(known, own.distinct[at], less[todo])
             todo = todo[n == 0]
@@ -137,7 +145,9 @@ def _pair_counts(docs: DataFrame, learned) -> tuple[np.ndarray, np.ndarray, int,
                 tokens += sum(x.count(b" ") + 2 if x else 1 for x in own)
                 rows += len(own)
         code = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(code, [-1, -2])), pa.array(np.append(table[code], [tokens, rows]))], ["code", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(code, [-1, -2])), pa.array(np.append(table[code], [tokens, rows]))], ["code", "n"]
+        )
 
     got = dict(texts(docs).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect())
     tokens, rows = got.pop(-1, 0), got.pop(-2, 0)
@@ -228,7 +238,10 @@ def _score(n: int, order: int, learned, tokens: int, rows: int, vocabulary: int)
         count = words + 1
         base = base + math.log10(rows + 1) - count * math.log10(tokens + vocabulary + 1)
         train = [learned(None if null else d) for d, null in zip(batch.doc_id.tolist(), batch.null.tolist(), strict=True)]
-        cols = [batch.ids(), pa.array([not x for x in train]), pa.array(count), pa.array(known + (rows > 0)), pa.array(np.full(len(batch), tokens)), pa.array(base), pa.array(score)]
+        cols = [
+            batch.ids(), pa.array([not x for x in train]), pa.array(count), pa.array(known + (rows > 0)),
+            pa.array(np.full(len(batch), tokens)), pa.array(base), pa.array(score)
+        ]
         return pa.Table.from_arrays(cols, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return fn
@@ -242,7 +255,9 @@ def lm_score(docs: DataFrame, order: int = ORDER, learned=lambda d: not held_out
     shared = docs.sparkSession.sparkContext.broadcast((code, count))  # at most 257 x 257 entries
     none = batches.select(F.lit(0).alias("r"), "b", F.lit(0).alias("kind"), F.lit(b"").alias("data")).limit(0)
     answers = written(by_bucket(by_batch(batches, none, _ask(n, order, learned), PACKED), _answer(shared, order), deal))
-    distinct = sum(int.from_bytes(bytes(x["data"])[-8:], "little") for x in answers.where(F.col("kind") == DISTINCT).select("data").collect())  # one row a bucket
+    distinct = sum(  # one row a bucket
+        int.from_bytes(bytes(x["data"])[-8:], "little") for x in answers.where(F.col("kind") == DISTINCT).select("data").collect()
+    )
     return by_batch(batches, answers.where("b >= 0"), _score(n, order, learned, tokens, rows, distinct + (rows > 0)), RESULT)
 
 
@@ -283,7 +298,11 @@ class Trie:
 
 def adaptive_score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, score: log10 of the probability that each text has under a model that learns along it alone."""
-    return map_texts(texts(docs), lambda batch: {"doc_id": batch.column("doc_id"), "score": [Trie(order).run(t, learn=True) for t in values(batch)]}, "doc_id long, score double")
+    return map_texts(
+        texts(docs),
+        lambda batch: {"doc_id": batch.column("doc_id"), "score": [Trie(order).run(t, learn=True) for t in values(batch)]},
+        "doc_id long, score double"
+    )
 
 
 def brute_force(rows: list[tuple[int, bytes]], order: int = ORDER) -> dict[int, tuple]:

@@ -52,7 +52,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score, op7_token_ids, op8_passage_dedup, op9_media, op10_pieces)}
+    return {
+        f.__name__: f for f in (
+            op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontaminate, op5_near_dedup, op6_lm_score,
+            op7_token_ids, op8_passage_dedup, op9_media, op10_pieces
+        )
+    }
 
 
 OP4_SQL = r"""

@@ -120,13 +120,18 @@ class _Runs:
         self.begin = np.cumsum(self.size) - self.size
 
     def pick(self, which: np.ndarray) -> list[np.ndarray]:
-        return [self.key[which], self.doc_id[which], self.at[which], self.count[which].astype(np.uint8), self.offset[which], _gather(self.raw, self.begin[which], self.size[which])]
+        return [
+            self.key[which], self.doc_id[which], self.at[which], self.count[which].astype(np.uint8), self.offset[which],
+            _gather(self.raw, self.begin[which], self.size[which])
+        ]
 
     def earlier_order(self) -> np.ndarray:
         return np.lexsort((self.at, self.doc_id))
 
     def same(self, i: int, j: int) -> bool:
-        return bytes(self.raw[self.begin[i] : self.begin[i] + self.size[i]]) == bytes(self.raw[self.begin[j] : self.begin[j] + self.size[j]])
+        return bytes(
+            self.raw[self.begin[i] : self.begin[i] + self.size[i]]
+        ) == bytes(self.raw[self.begin[j] : self.begin[j] + self.size[j]])
 
     def repeated(self) -> np.ndarray:
         """Which runs have the bytes of an earlier one."""
@@ -303,7 +308,9 @@ def _sort_bucket(r: int, entries: list, out: Rows) -> None:
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+RESULT_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
+)
 
 
 def _apply(batch: Batch, given: dict) -> pa.Table:
@@ -335,7 +342,10 @@ def _apply(batch: Batch, given: dict) -> pa.Table:
         n_removed[i] = gone.sum()
         n_spans[i] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
         kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-    return pa.Table.from_arrays([batch.ids(), pa.array(batch.size), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.binary())], schema=RESULT_ARROW)
+    return pa.Table.from_arrays(
+        [batch.ids(), pa.array(batch.size), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.binary())],
+        schema=RESULT_ARROW
+    )
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

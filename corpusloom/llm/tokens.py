@@ -140,7 +140,12 @@ def decode_words(words: np.ndarray) -> np.ndarray:
 def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     words, offsets = encode_blocks(ids, block)
     head = HEAD.pack(MAGIC, 1, block, len(doc_ids), len(ids), len(offsets) - 1)
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
+    return b"".join(
+        [
+            head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), offsets.astype("<u8").tobytes(),
+            words.astype("<u8").tobytes()
+        ]
+    )
 
 
 def decode_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +296,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int =
         def shard():
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             data = encode_shard(*cols)
-            return pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (part, number, before, len(cols[2]))), pa.array([data], pa.binary())], ["part", "number", "before", "n_tokens", "data"])
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([x]) for x in (part, number, before, len(cols[2]))), pa.array([data], pa.binary())],
+                ["part", "number", "before", "n_tokens", "data"]
+            )
 
         for batch in sliced(batches):
             ids, lengths = encode(values(batch))
@@ -324,11 +332,16 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 doc_ids, lengths, ids = decode_shard(data.as_buffer())
                 ends = np.cumsum(lengths)
                 raw, ends_l = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-                cols = [pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(first + ends - lengths), pa.array(lengths), pa.array([raw[i:j] for i, j in zip([0, *ends_l[:-1]], ends_l, strict=True)], pa.binary())]
+                cols = [
+                    pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(first + ends - lengths), pa.array(lengths),
+                    pa.array([raw[i:j] for i, j in zip([0, *ends_l[:-1]], ends_l, strict=True)], pa.binary())
+                ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids"])
 
     joined = shards.select("part", "before", "data").join(F.broadcast(earlier), "part")
-    return joined.select("data", (F.col("earlier") + F.col("before")).alias("first")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return joined.select(
+        "data", (F.col("earlier") + F.col("before")).alias("first")
+    ).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:

@@ -40,7 +40,11 @@ def in_training(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[tuple[bytes, int]], float]:
     """(text, label) of the fitted rows, and the share of label 1 of all labelled rows."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(in_training(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("class"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(in_training(F.col("doc_id"))).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")
+    ).agg(
+        (F.max("toxic") > 0).cast("int").alias("class")
+    )
     counts = dict(known.groupBy("class").count().collect())
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     return [(text, label) for label, _, text in chosen_texts(docs, chosen_ids(known, max_rows, 5), "int", MAX_TEXT, MAX_BYTES)], share
@@ -89,7 +93,9 @@ def fit(rows: list[tuple[bytes, int]], share: float) -> Model:
     used, column = np.unique(feature, return_inverse=True)
     scale = ratio[used][column]
     w, bias = np.zeros(len(used)), 0.0
-    moment, square, sample_weight = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    moment, square, sample_weight = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.where(
+        y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())
+    )
     for step in range(1, STEPS + 1):
         part = np.bincount(owner, w[column] * scale, len(number))
         z = np.bincount(doc, part[word], len(own)) + bias

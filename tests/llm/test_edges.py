@@ -13,15 +13,23 @@ LONG = " ".join(f"ord{i % 977} och" for i in range(30_000))
 WORDS = " ".join(f"w{i}" for i in range(120))
 ROWS = [
     (1, WORDS, "en", "a", 1), (2, WORDS, "en", "a", 1), (3, None, "en", None, None), (4, "", "sv", "a", 0), (5, " \n\t ", None, "a", 3), (6, "kort text här", "sv", "b", 1), (None, WORDS, "en", "b", 1),
-    (None, None, None, None, None), (7, "dubbel rad " * 30, "sv", "b", 1), (7, "dubbel rad " * 30, "sv", "b", 1), (7, "annan text", "sv", "b", 1), (8, LONG, "sv", "c", 1), (9, "▁ \x00\x01 é é 🎉 <|endoftext|>", "en", "c", 1),
+    (None, None, None, None, None), (7, "dubbel rad " * 30, "sv", "b", 1), (7, "dubbel rad " * 30, "sv", "b", 1), (7, "annan text", "sv", "b", 1), (8, LONG, "sv", "c", 1), (
+        9, "▁ \x00\x01 é é 🎉 <|endoftext|>", "en", "c", 1
+    ),
     (10, "12 34 !!", "en", "c", 1), (11, "x" * 300, "en", "c", 1), (12, WORDS + " slut", "en", "c", 1),
 ]
 LABELS = [(1, 1), (6, 0), (7, 0), (7, 1), (None, 1), (8, None), (99, 1), (11, 0)]
-BENCH = [(1, " ".join(f"w{i}" for i in range(20, 30))), (2, "kort text"), (None, WORDS), (3, None), (4, ""), (5, "w50 W51 w52, w53 w54 w55 w56 w57")]
+BENCH = [
+    (1, " ".join(f"w{i}" for i in range(20, 30))), (2, "kort text"), (None, WORDS), (3, None), (4, ""),
+    (5, "w50 W51 w52, w53 w54 w55 w56 w57")
+]
 
 
 def tables(spark, docs):
-    return {"labels": spark.createDataFrame(LABELS, "doc_id long, toxic int"), "benchmark": spark.createDataFrame(BENCH, "item_id long, text string")} | {"documents": docs}
+    return {
+        "labels": spark.createDataFrame(LABELS, "doc_id long, toxic int"),
+        "benchmark": spark.createDataFrame(BENCH, "item_id long, text string")
+    } | {"documents": docs}
 
 
 OPERATORS = {
@@ -40,7 +48,12 @@ OPERATORS = {
 
 
 def crowded(spark):
-    extra = {c: F.lit(c) for c in ("b", "r", "kind", "data", "key", "sig", "hits", "score", "class_id", "text_id", "_kept", "ids", "part", "number", "salt", "h", "first")}
+    extra = {
+        c: F.lit(c) for c in (
+            "b", "r", "kind", "data", "key", "sig", "hits", "score", "class_id", "text_id", "_kept", "ids", "part",
+            "number", "salt", "h", "first"
+        )
+    }
     return spark.createDataFrame(ROWS, SCHEMA).withColumns(extra)
 
 
@@ -103,15 +116,21 @@ def test_stage(spark, folder, stage):
     assert stage is corpus_pipeline.token_ids or out.dtypes == docs.dtypes
     assert stage(spark, docs.limit(0), folder).collect() == []
     # clashing names
-    more = crowded(spark).withColumns({c: F.lit(1) for c in ("_doc_id", "_later", "_n", "_row", "_text_key", "n_removed", "text_sha256", "n_words", "items")})
-    assert sorted(((r["doc_id"], r["text"]) for r in stage(spark, more, folder).collect()), key=str) == sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    more = crowded(spark).withColumns(
+        {c: F.lit(1) for c in ("_doc_id", "_later", "_n", "_row", "_text_key", "n_removed", "text_sha256", "n_words", "items")}
+    )
+    assert sorted(
+        ((r["doc_id"], r["text"]) for r in stage(spark, more, folder).collect()), key=str
+    ) == sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
 
 
 def test_stages(spark, folder):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     near = corpus_pipeline.near_duplicates(spark, docs, folder).collect()
     assert sorted((r["doc_id"] for r in near if r["doc_id"]), key=str) == sorted([1, 3, 4, 5, 6, 7, 7, 8, 9, 10, 11], key=str)
-    assert sum(r["doc_id"] is None for r in near) == 2 and {r["text"] for r in near if r["doc_id"] == 7} == {"dubbel rad " * 30, "annan text"}
+    assert sum(r["doc_id"] is None for r in near) == 2 and {
+        r["text"] for r in near if r["doc_id"] == 7
+    } == {"dubbel rad " * 30, "annan text"}
     cut = sorted((tuple(r) for r in corpus_pipeline.repeated_passages(spark, docs, folder).collect()), key=str)
     want = {12: ("slut", 4), 2: ("", 0), 1: ("", 0)}  # the row without an id comes first
     assert cut == sorted(((d, *(want.get(d, (t, n))[:1]), lang, source, want.get(d, (t, n))[1]) for d, t, lang, source, n in ROWS), key=str)
@@ -122,7 +141,11 @@ def test_stages(spark, folder):
 
 
 def test_identified_documents_get_a_language(spark):
-    rows = [(i, f"{a} {a}{b} {b} {a}" * 20, k if i % 5 else None) for i in range(60) for a, b, k in [("ab", "ba", "x") if i % 2 else ("öå", "ål", "y")]]
+    rows = [
+        (
+            i, f"{a} {a}{b} {b} {a}" * 20, k if i % 5 else None
+        ) for i in range(60) for a, b, k in [("ab", "ba", "x") if i % 2 else ("öå", "ål", "y")]
+    ]
     got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
     assert {r["doc_id"]: r["lang"] for r in got} == {i: "x" if i % 2 else "y" for i, _, _ in rows}
 
@@ -130,8 +153,13 @@ def test_identified_documents_get_a_language(spark):
 def test_one_window_of_one_item_is_enough(spark, tmp_path):
     """A document with one window of 8 benchmark words goes, all others stay: also one with 7 of them."""
     item = "ett tva tre fyra fem sex sju atta nio tio elva"
-    rows = [(1, f"fore {' '.join(item.split()[2:10])} efter"), (2, f"fore {' '.join(item.split()[2:9])} efter"), (3, "rent"), (4, None), (None, "utan id")]
-    spark.createDataFrame([(1, item), (2, "nagot helt annat an det")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [
+        (1, f"fore {' '.join(item.split()[2:10])} efter"), (2, f"fore {' '.join(item.split()[2:9])} efter"),
+        (3, "rent"), (4, None), (None, "utan id")
+    ]
+    spark.createDataFrame(
+        [(1, item), (2, "nagot helt annat an det")], "item_id long, text string"
+    ).write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = corpus_pipeline.without_benchmark(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 3, 4, None], key=str)
 
@@ -139,5 +167,9 @@ def test_one_window_of_one_item_is_enough(spark, tmp_path):
 def test_rows_with_one_id_keep_their_own_texts(spark, tmp_path):
     shared = " ".join(f"s{i}" for i in range(60))
     rows = [(1, f"a {shared} b"), (7, f"c {shared} d"), (7, f"{shared} e"), (7, "z z"), (7, f"{shared} e")]
-    out = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0)), str(tmp_path))
-    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, f"a {shared} b"), (7, "c d"), (7, "e"), (7, "z z"), (7, "e")])
+    out = corpus_pipeline.repeated_passages(
+        spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0)), str(tmp_path)
+    )
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(
+        [(1, f"a {shared} b"), (7, "c d"), (7, "e"), (7, "z z"), (7, "e")]
+    )

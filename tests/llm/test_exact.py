@@ -47,7 +47,10 @@ def test_suffix_dedup(corpus, hot, monkeypatch):
     # buckets' answers are worked out in workers, so what counts as hot goes with the function
     own, df = corpus
     plain = suffix_dedup._repeated_grams
-    monkeypatch.setattr(suffix_dedup, "_repeated_grams", lambda r, entries, out: (setattr(suffix_dedup, "HOT", hot), plain(r, entries, out))[1])
+    monkeypatch.setattr(
+        suffix_dedup, "_repeated_grams",
+        lambda r, entries, out: (setattr(suffix_dedup, "HOT", hot), plain(r, entries, out))[1]
+    )
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup_digest(suffix_dedup.suffix_dedup(df)).collect()}
     assert got == suffix_dedup.brute_force([(d, t.encode()) for d, t in own])
 
@@ -67,7 +70,9 @@ def test_collisions_are_found_out(monkeypatch):
     weak = lambda prefix, begin, size: (prefix[begin + size] - prefix[begin]) * 0
     text = [b"%03d" % i * 40 for i in range(6)] + [b"000" * 40]
     raw = np.frombuffer(b"".join(t[:100] for t in text), np.uint8)
-    runs = suffix_dedup._Runs([np.zeros(7, np.uint64), np.arange(7), np.zeros(7, np.int64), np.ones(7, np.uint8), np.zeros(7, np.uint8), raw])
+    runs = suffix_dedup._Runs(
+        [np.zeros(7, np.uint64), np.arange(7), np.zeros(7, np.int64), np.ones(7, np.uint8), np.zeros(7, np.uint8), raw]
+    )
     monkeypatch.setattr(suffix_dedup, "hash_of", weak)
     assert suffix_dedup._mark(runs, np.arange(7)).tolist() == [0, 0, 0, 0, 0, 0, 1]
 
@@ -92,7 +97,10 @@ def test_narrow_values():
 
 
 def test_near_dedup(spark, rows):
-    own = [*rows, *((10_000 + i, " ".join(w if (i * 7 + j) % 41 else "ny" for j, w in enumerate(rows[k][1].split()))) for i, k in enumerate(range(0, 60, 2)))]
+    own = [
+        *rows,
+        *((10_000 + i, " ".join(w if (i * 7 + j) % 41 else "ny" for j, w in enumerate(rows[k][1].split()))) for i, k in enumerate(range(0, 60, 2)))
+    ]
     df = spark.createDataFrame(own, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(df).collect()}
     assert got == near_dedup.brute_force(own)
@@ -240,7 +248,10 @@ def test_decontaminate(spark, rows, block):
         for k in range(max(1, len(w) - 7) if w else 0):
             windows.setdefault(tuple(w[k : k + 8]), set()).add(str(i))
     own = [*rows, (900, "x å é x the the"), (901, rows[0][1] * 2), (902, rows[5][1]), (902, rows[5][1])]
-    found = decontaminate.decontaminate(spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_windows=block)
+    found = decontaminate.decontaminate(
+        spark.createDataFrame(own, "doc_id long, text string"),
+        spark.createDataFrame(bench, "item_id long, text string"), block_windows=block
+    )
     got = sorted(tuple(r) for r in decontaminate.decontaminate_digest(found).collect())
     assert got == sorted((d, *brute_hits(t, windows)) for d, t in own)
 
@@ -261,7 +272,10 @@ def test_simple_8b():
         tokens.decode_shard(b"x" * 100)
 
 
-ODD = ["<|endoftext|>a b", "á ́b", "it's. don't 3.5,a! é.b —.a a.— a'.b", "\x1c\x1d \x85 q", "ÉG 가 ΑΣ Σ İstanbul", "a\x0bb\x0cc", "", " ", "ﬁx ǅ ʼn ẞ क़a", "ABC!! <|ENDOFTEXT|>"]
+ODD = [
+    "<|endoftext|>a b", "á ́b", "it's. don't 3.5,a! é.b —.a a.— a'.b", "\x1c\x1d \x85 q", "ÉG 가 ΑΣ Σ İstanbul",
+    "a\x0bb\x0cc", "", " ", "ﬁx ǅ ʼn ẞ क़a", "ABC!! <|ENDOFTEXT|>"
+]
 
 
 @pytest.mark.parametrize("shard_ids", [tokens.SHARD_IDS, 300])
@@ -312,7 +326,9 @@ def test_all_png_filters():
 def test_picture_hashes():
     text = ("ett två tre fyra fem sex " * 40).encode()
     near = text[:300] + b"X" + text[301:]
-    a, b, c = (int(media.picture_hash(media.decode_png(media.encode_png(media.padded(t)))[0]), 16) for t in (text, near, bytes(range(256)) * 4))
+    a, b, c = (
+        int(media.picture_hash(media.decode_png(media.encode_png(media.padded(t)))[0]), 16) for t in (text, near, bytes(range(256)) * 4)
+    )
     assert (a ^ b).bit_count() < (a ^ c).bit_count()
 
 
@@ -350,7 +366,9 @@ def plain_picture(png: bytes) -> tuple[bytes, str]:
 
 def test_broken_pictures(spark):
     good = media.encode_png(media.padded(b"hej"), 3)
-    rows = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-20])), (3, None), (4, bytearray(b"x"))], "doc_id long, media binary")
+    rows = spark.createDataFrame(
+        [(1, bytearray(good)), (2, bytearray(good[:-20])), (3, None), (4, bytearray(b"x"))], "doc_id long, media binary"
+    )
     got = {r["doc_id"]: r for r in media.read_media(rows).collect()}
     assert bytes(got[1]["payload"]) == media.padded(b"hej") and got[1]["n_bytes"] == 3 and got[1]["error"] is None
     assert all(got[k]["payload"] is None and got[k]["feature"] is None and got[k]["error"] for k in (2, 3, 4))
@@ -371,7 +389,9 @@ def test_media_against_brute_force(spark, sf):
         payload = text + b"\0" * (64 - len(text) % 64 if len(text) % 64 or not text else 0)
         seen, feature = plain_picture(png)
         assert seen == payload and row["feature"] == feature
-        assert (row["n_bytes"], row["payload_bytes"], row["tail_crc32"], row["media_bytes"]) == (len(text), len(payload), zlib.crc32(payload[-64:]), len(png))
+        assert (
+            row["n_bytes"], row["payload_bytes"], row["tail_crc32"], row["media_bytes"]
+        ) == (len(text), len(payload), zlib.crc32(payload[-64:]), len(png))
         assert (row["payload_sha256"], row["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(png).hexdigest())
 
 
@@ -385,7 +405,9 @@ def test_segmentations_are_drawn_as_they_weigh(sampler):
     by_raw = {raw: i for i, raw in enumerate(p.raw) if raw and i not in set(p.byte.tolist())}
 
     def ways(x):
-        return [((), 0.0)] if not x else [((i, *rest), p.weight[i] + w) for n in range(1, len(x) + 1) if (i := by_raw.get(x[:n])) for rest, w in ways(x[n:])]
+        return [((), 0.0)] if not x else [
+            ((i, *rest), p.weight[i] + w) for n in range(1, len(x) + 1) if (i := by_raw.get(x[:n])) for rest, w in ways(x[n:])
+        ]
 
     all_ways = dict(ways(b" then"))
     n = 40_000
@@ -405,7 +427,9 @@ def test_units_leave_out_no_way(sampler):
     by_raw = {raw: i for i, raw in enumerate(p.raw) if raw and i not in set(p.byte.tolist())}
 
     def ways(x):
-        return [((), 0.0)] if not x else [((i, *rest), p.weight[i] + w) for n in range(1, len(x) + 1) if (i := by_raw.get(x[:n])) for rest, w in ways(x[n:])]
+        return [((), 0.0)] if not x else [
+            ((i, *rest), p.weight[i] + w) for n in range(1, len(x) + 1) if (i := by_raw.get(x[:n])) for rest, w in ways(x[n:])
+        ]
 
     n = 30_000
     for text in (b"of   it", b"a,  b", b"an.\"x"):
@@ -419,10 +443,15 @@ def test_units_leave_out_no_way(sampler):
 def test_pieces_against_brute_force(spark, rows):
     rng = random.Random(13)
     long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600))
-    own = [*rows[:40], *((5000 + i, t) for i, t in enumerate(ODD)), (6000, long), (6001, "x" * 400), (6002, " " * 300 + "slut  \n\n  ny"), (6003, "中文是世界上" * 60), (6004, None), (None, "utan id")]
+    own = [
+        *rows[:40], *((5000 + i, t) for i, t in enumerate(ODD)), (6000, long), (6001, "x" * 400),
+        (6002, " " * 300 + "slut  \n\n  ny"), (6003, "中文是世界上" * 60), (6004, None), (None, "utan id")
+    ]
     model = public_tokenizers.path("piece_bpe_32k.model")
     got = pieces.encode_pieces(spark.createDataFrame(own, "doc_id long, text string"), model, decoded=True).collect()
-    assert all(r["text"] == t for r, (_, t) in zip(sorted(got, key=lambda r: str(r["doc_id"])), sorted(own, key=lambda x: str(x[0])), strict=True))
+    assert all(
+        r["text"] == t for r, (_, t) in zip(sorted(got, key=lambda r: str(r["doc_id"])), sorted(own, key=lambda x: str(x[0])), strict=True)
+    )
     assert {r["doc_id"]: r["ids"] for r in got} == dict(pieces.brute_force(own, model))
 
 
@@ -451,7 +480,10 @@ def test_samples_follow_the_row_alone(sampler):
 def test_unit_collisions_are_found_out(monkeypatch):
     s = pieces.Sampler(public_tokenizers.path("piece_bpe_32k.model"))
     real = s.lattices.numbers
-    monkeypatch.setattr(s.lattices, "numbers", lambda raw, begin, size: real(raw, begin, size) if s.lattices.salt else np.zeros_like(real(raw, begin, size)))
+    monkeypatch.setattr(
+        s.lattices, "numbers",
+        lambda raw, begin, size: real(raw, begin, size) if s.lattices.salt else np.zeros_like(real(raw, begin, size))
+    )
     ids, _ = s(np.array([1]), [b"tva olika ord"])
     assert s.pieces.decode(ids) == b"tva olika ord" and s.lattices.salt == 1
 
@@ -472,18 +504,31 @@ def toxic_corpus(n=600):
 
 def test_toxicity(spark):
     docs, labels = toxic_corpus()
-    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    got = toxicity.toxicity(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    ).collect()
     truth = dict(labels)
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert all(
+        r["held_out"] == (
+            zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+        ) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got
+    )
     held = [r for r in got if r["held_out"]]
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.97
-    one = toxicity.toxicity(spark.createDataFrame(docs[:3], "doc_id long, text string"), spark.createDataFrame(labels[1:3], "doc_id long, toxic int")).collect()
+    one = toxicity.toxicity(
+        spark.createDataFrame(docs[:3], "doc_id long, text string"),
+        spark.createDataFrame(labels[1:3], "doc_id long, toxic int")
+    ).collect()
     assert len({r["score"] for r in one}) == 1
 
 
 def test_language(spark):
     rng = random.Random(8)
-    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(300)] for k, letters in (("aa", "aeionrst"), ("bb", "åäöklmvg"), ("cc", "xyzwquio"))}
+    words = {
+        k: [
+            "".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(300)
+        ] for k, letters in (("aa", "aeionrst"), ("bb", "åäöklmvg"), ("cc", "xyzwquio"))
+    }
     docs = [(i, " ".join(rng.choices(words[k], k=rng.randrange(3, 80))), k) for i in range(300) for k in [("aa", "bb", "cc")[i % 3]]]
     docs += [(900, "12 34 ...", "aa"), (901, None, "bb"), (902, "aeio nrst", None)]
     got = {r["doc_id"]: r for r in langid.language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
@@ -507,14 +552,19 @@ def test_rows_without_ids_are_spread_and_come_first(spark):
     deal = _exchange.dealing(df)
     dealt = _exchange.dealt(df, deal).where("no_id = 1").groupBy("b").count().collect()
     assert len(dealt) == deal.batches and max(r["count"] for r in dealt) < 20
-    for operator, brute, keys in ((suffix_dedup.suffix_dedup, suffix_dedup.brute_force, ("n_bytes", "n_removed")), (passage_dedup.passage_dedup, passage_dedup.brute_force, ("n_words", "n_removed"))):
+    for operator, brute, keys in (
+        (suffix_dedup.suffix_dedup, suffix_dedup.brute_force, ("n_bytes", "n_removed")),
+        (passage_dedup.passage_dedup, passage_dedup.brute_force, ("n_words", "n_removed"))
+    ):
         got = operator(df).collect()
         assert sum(r["doc_id"] is None for r in got) == 42
         # by definition, with ids for those without one: the least, in the order of a hash of the text
         h = {r["text"]: r["h"] for r in df.where("doc_id IS NULL").select("text", F.pmod(F.xxhash64(F.col("text").cast("binary")), F.lit(1 << 62)).alias("h")).collect()}
         want = brute([(-(1 << 63) + h[t] if d is None else d, (t or "").encode()) for d, t in own])
         assert sorted(tuple(r[k] for k in keys) for r in got) == sorted(w[:2] for w in want.values())
-        assert {r["doc_id"]: tuple(r[k] for k in keys) for r in got if r["doc_id"] is not None} == {d: w[:2] for d, w in want.items() if d > -1000}
+        assert {
+            r["doc_id"]: tuple(r[k] for k in keys) for r in got if r["doc_id"] is not None
+        } == {d: w[:2] for d, w in want.items() if d > -1000}
 
 
 def test_batches_follow_the_bytes(spark, docs, monkeypatch):
@@ -534,7 +584,9 @@ def test_fingerprints_of_two_parts():
     order, fresh = passage_dedup._first_of_each(h, check, np.array([9, 8, 7, 6, 5]))
     assert order.tolist() == [1, 3, 0, 2, 4] and fresh.tolist() == [True, True, False, True, True]
     known, checks = h[order[fresh]], check[order[fresh]]
-    assert passage_dedup._places(np.array([5, 5, 7, 7, 6], np.uint64), np.array([1, 2, 4, 9, 1], np.uint32), known, checks).tolist() == [0, 1, 3, -1, -1]
+    assert passage_dedup._places(
+        np.array([5, 5, 7, 7, 6], np.uint64), np.array([1, 2, 4, 9, 1], np.uint32), known, checks
+    ).tolist() == [0, 1, 3, -1, -1]
 
 
 def test_even_labels(spark):
@@ -544,7 +596,9 @@ def test_even_labels(spark):
 
 
 def test_every_language_has_a_share_of_the_sample(spark):
-    rows = [(i, "kort text", "sv") for i in range(20)] + [(100 + i, "lang text " * 30_000, "zz") for i in range(6)] + [(7, "b", "sv"), (7, "a", "sv")]
+    rows = [(i, "kort text", "sv") for i in range(20)] + [
+        (100 + i, "lang text " * 30_000, "zz") for i in range(6)
+    ] + [(7, "b", "sv"), (7, "a", "sv")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     some = langid.sample(df)
     assert {x for x, _ in some} == {"sv", "zz"} and sum(t == b"a" for _, t in some) <= 1
@@ -552,7 +606,10 @@ def test_every_language_has_a_share_of_the_sample(spark):
     ids = [(d, lang) for d, _, lang in rows[:26]]
     held = _ngrams.chosen_texts(df, ids, "string", 100, 400)
     assert {k: sum(len(t) for x, _, t in held if x == k) for k in ("sv", "zz")} == {"sv": 20 * 9 - 8, "zz": 200}  # doc 7 has "a"
-    many = spark.createDataFrame([(i, k) for i in range(3000) for k in ("x", "y") if k == "x" or i % 7 == 0] + [(5, "x")] * 50, "doc_id long, class string")
+    many = spark.createDataFrame(
+        [(i, k) for i in range(3000) for k in ("x", "y") if k == "x" or i % 7 == 0] + [(5, "x")] * 50,
+        "doc_id long, class string"
+    )
     chosen = _ngrams.chosen_ids(many, 100, 3)
     assert len(chosen) == len(set(chosen)) == 200 and sum(k == "x" for _, k in chosen) == 100
 
@@ -572,8 +629,14 @@ def test_strange_texts_are_rejected_and_known_ones_kept(spark):
     rows = docs.select("lang", "text", F.crc32(F.col("doc_id").cast("string")).alias("n")).collect()
     predict = langid.fit(sorted((r["lang"], r["text"].encode()) for r in rows if r["n"] % 3 != 1)).predictor()
     rng = random.Random(11)
-    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(rng.randrange(6, 80))) for _ in range(100)]
-    strange = [" ".join(w[i : i + n]) for t in STRANGE.values() for w in [t.split()] for n in (8, len(w)) for i in range(0, len(w) - n + 1, 4)]
+    noise = [
+        " ".join(
+            "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(rng.randrange(6, 80))
+        ) for _ in range(100)
+    ]
+    strange = [
+        " ".join(w[i : i + n]) for t in STRANGE.values() for w in [t.split()] for n in (8, len(w)) for i in range(0, len(w) - n + 1, 4)
+    ]
     for texts in (strange, noise):
         assert np.mean(predict([t.encode() for t in texts])[2]) >= 0.9
     held = [r["text"] for r in rows if r["n"] % 3 == 1]
