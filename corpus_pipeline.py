@@ -35,7 +35,9 @@ def whole(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the least doc_id. Of its rows, each different text once (the row that sorts first)."""
-    classes = near_dedup.near_dedup(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("class_id")).alias("later"), F.count("*").alias("n"))
+    classes = near_dedup.near_dedup(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("doc_id") != F.col("class_id")).alias("later"), F.count("*").alias("n")
+    )
     odd = written(classes.where("later OR n > 1"))
     kept = whole(docs).join(odd, "doc_id", "left").where("later IS NULL OR NOT later")
     order = F.struct(*(F.col(f"row.{c}").cast("string") for c in docs.columns if c not in ("doc_id", "text")))
@@ -49,7 +51,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     cut = cut.select("doc_id", "text_sha256", F.col("kept").cast("string").alias("kept")).dropDuplicates(["doc_id", "text_sha256"])
     # the hash tells rows with one doc_id apart
     both = whole(docs).withColumn("text_sha256", F.sha2(F.col("row.text").cast("binary"), 256)).join(cut, ["doc_id", "text_sha256"], "left")
-    new = {"text": F.coalesce("kept", "row.text"), "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    new = {
+        "text": F.coalesce("kept", "row.text"),
+        "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    }
     return both.select(*(new[c].alias(c) if c in new else F.col(f"row.{c}") for c in docs.columns))
 
 

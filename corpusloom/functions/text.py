@@ -12,7 +12,10 @@ EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PERSON_NUMBER = r"(?U)(?<!\d)(?:19|20)?\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]|[6-9]\d)[\-\+]?\d{4}(?!\d)"
 PHONE = r"(?U)(?<!\d)(?:(?:\+|00)46[\s\-]*\(?0\)?[\s\-]*[1-9]|0[\s\-]*\(?[1-9]\)?)[\s\-]*\d(?:[\s\-]*\d){4,8}\b"
 IP = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
-PII = {"remove_email": (EMAIL, "[E-POST]"), "remove_pnr": (PERSON_NUMBER, "[PERSONNUMMER]"), "remove_phone": (PHONE, "[TELEFON]"), "remove_ip": (IP, "[IP-ADRESS]")}
+PII = {
+    "remove_email": (EMAIL, "[E-POST]"), "remove_pnr": (PERSON_NUMBER, "[PERSONNUMMER]"),
+    "remove_phone": (PHONE, "[TELEFON]"), "remove_ip": (IP, "[IP-ADRESS]")
+}
 DEFAULT_HEADING = "Huvudinnehåll"
 MAX_WORDS, OVERLAP = 400, 50
 
@@ -57,7 +60,12 @@ def _section_chunks(heading: Column, text: Column, max_words: int, overlap: int)
 
     def cut(body: Column) -> Column:
         whole = F.array(F.struct(heading.alias("heading"), body.alias("content")))
-        return F.when(body == "", none).otherwise(bound(F.split(body, SPACE + "+"), lambda own: F.when(F.size(own) <= max_words, whole).otherwise(_windows(heading, own, max_words, overlap))))
+        return F.when(body == "", none).otherwise(
+            bound(
+                F.split(body, SPACE + "+"),
+                lambda own: F.when(F.size(own) <= max_words, whole).otherwise(_windows(heading, own, max_words, overlap))
+            )
+        )
 
     return bound(F.coalesce(strip(text), F.lit("")), cut)
 
@@ -67,8 +75,16 @@ def semantic_chunks(sections: Column, max_words: int = MAX_WORDS, overlap: int =
     overlap; array<struct<heading,content,chunk_index,total_chunks>>. No sections, no chunks."""
     if not 0 < overlap < max_words:
         raise ValueError("the overlap must be over 0 and under the window")
-    flat = F.flatten(F.transform(sections, lambda s: _section_chunks(F.coalesce(s["heading"], F.lit(DEFAULT_HEADING)), s["text"], max_words, overlap)))
-    number = lambda f: F.transform(f, lambda c, i: F.struct(c["heading"].alias("heading"), c["content"].alias("content"), (i + 1).alias("chunk_index"), F.size(f).alias("total_chunks")))
+    flat = F.flatten(
+        F.transform(sections, lambda s: _section_chunks(F.coalesce(s["heading"], F.lit(DEFAULT_HEADING)), s["text"], max_words, overlap))
+    )
+    number = lambda f: F.transform(
+        f,
+        lambda c, i: F.struct(
+            c["heading"].alias("heading"), c["content"].alias("content"), (i + 1).alias("chunk_index"),
+            F.size(f).alias("total_chunks")
+        )
+    )
     return bound(flat, number)
 
 

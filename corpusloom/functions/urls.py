@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source"]
-DENIED_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".bmp", ".tiff", ".zip", ".rar", ".exe", ".mp4", ".mp3", ".avi", ".mov", ".css", ".js", ".woff", ".woff2"]
+DENIED_EXTENSIONS = [
+    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".bmp", ".tiff", ".zip", ".rar", ".exe", ".mp4", ".mp3",
+    ".avi", ".mov", ".css", ".js", ".woff", ".woff2"
+]
 MEDIA_FOLDERS = ["/images/", "/media/", "/assets/"]
 PICTURE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".webp"]
 MAX_URL = 2000
@@ -68,7 +71,10 @@ def normal_query(query: Column, ignored: list[str] = TRACKING) -> Column:
     """Parameters without the ignored ones, sorted by key and value, encoded anew."""
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(F.contains(p, F.lit("=")), _decoded(F.regexp_replace(p, r"(?s)\A[^=]*=", ""))).otherwise("").alias("v")),
+        lambda p: F.struct(
+            _decoded(F.substring_index(p, "=", 1)).alias("k"),
+            F.when(F.contains(p, F.lit("=")), _decoded(F.regexp_replace(p, r"(?s)\A[^=]*=", ""))).otherwise("").alias("v")
+        ),
     )
     kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(ignored)) if ignored else pairs
     return F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
@@ -85,7 +91,10 @@ def normalize_url(url: Column, ignored: list[str] = TRACKING, of: Column | None
     path = F.regexp_replace(F.when(p["path"] == "", "/").otherwise(p["path"]), r"(?i)/index\.(?:html|htm|php)\z", "/")
     path = F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/+\z", ""))
     query = normal_query(p["query"], ignored)
-    whole = F.concat(F.when(p["scheme"] == "", "http").otherwise(p["scheme"]), F.lit("://"), F.lower(p["authority"]), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    whole = F.concat(
+        F.when(p["scheme"] == "", "http").otherwise(p["scheme"]), F.lit("://"), F.lower(p["authority"]), path,
+        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
+    )
     return F.when(well_formed(p["authority"]), whole).otherwise(bare)
 
 
@@ -114,7 +123,10 @@ def keywords_pass(url: Column, exclude: Column, require: Column) -> Column:
     return ~rejected & ((F.size(needed) == 0) | F.exists(needed, lambda k: F.contains(low, k)))
 
 
-def is_valid_url(url: Column, domain: Column | None = None, exclude: Column | None = None, require: Column | None = None, of: Column | None = None) -> Column:
+def is_valid_url(
+    url: Column, domain: Column | None = None, exclude: Column | None = None, require: Column | None = None,
+    of: Column | None = None
+) -> Column:
     """Whether a crawl of `domain` may take the URL, as it was found; domain None, or null: of any. Null is not valid.
 
     of: the URL's parts_struct, where it is a column already.
@@ -135,7 +147,9 @@ def frontier_score(url: Column, base: Column | int = LINK, depth: Column | int =
     """Smaller comes first. url: normalised."""
     low = F.lower(url)
     number = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return (number(base) - F.when(_any(low, BOOST), 3).otherwise(0) + F.when(_any(low, PENALTY), 5).otherwise(0) + number(depth)).cast("int")
+    return (
+        number(base) - F.when(_any(low, BOOST), 3).otherwise(0) + F.when(_any(low, PENALTY), 5).otherwise(0) + number(depth)
+    ).cast("int")
 
 
 def _without_dots(path: Column) -> Column:
@@ -144,9 +158,14 @@ def _without_dots(path: Column) -> Column:
     folded = F.aggregate(
         segments,
         F.array().cast("array<string>"),
-        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+        lambda done, s: F.when(s == ".", done).when(
+            s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        ).otherwise(F.concat(done, F.array(s))),
+    )
+    closed = F.array_join(
+        F.concat(folded, F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))),
+        "/"
     )
-    closed = F.array_join(F.concat(folded, F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
     return F.regexp_replace(closed, r"\A(?!/)", "/")
 
 
@@ -157,7 +176,10 @@ def reference_struct(href: Column, scheme: Column) -> Column:
     own = F.lower(F.regexp_extract(clean, r"\A([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     bare = F.when(own == scheme, F.regexp_replace(clean, r"\A[A-Za-z][A-Za-z0-9+.\-]*:", "")).otherwise(clean)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(bare, r"(?s)\A[^?#]*(.*)\z", 1), r"\A\?(?=#|\z)", ""), r"#\z", "")
-    return F.struct(((own != "") & (own != scheme)).alias("own"), F.regexp_extract(bare, r"(?s)\A([^?#]*)", 1).alias("path"), rest.alias("rest"))
+    return F.struct(
+        ((own != "") & (own != scheme)).alias("own"), F.regexp_extract(bare, r"(?s)\A([^?#]*)", 1).alias("path"),
+        rest.alias("rest")
+    )
 
 
 def resolve_parts(base: Column, href: Column, b: Column, r: Column) -> Column:
@@ -166,7 +188,12 @@ def resolve_parts(base: Column, href: Column, b: Column, r: Column) -> Column:
     folder = F.regexp_extract(F.when(b["path"] == "", "/").otherwise(b["path"]), r"(?s)\A(.*/)[^/]*\z", 1)
     # between a base and a relative path, empty segments don't count
     merged = F.regexp_replace(F.concat(folder, r["path"]), "/{2,}", "/")
-    same = F.concat(root, b["whole"], F.when(r["rest"].startswith("?"), r["rest"]).otherwise(F.concat(F.when(b["query"] == "", "").otherwise(F.concat(F.lit("?"), b["query"])), r["rest"])))
+    same = F.concat(
+        root, b["whole"],
+        F.when(r["rest"].startswith("?"), r["rest"]).otherwise(
+            F.concat(F.when(b["query"] == "", "").otherwise(F.concat(F.lit("?"), b["query"])), r["rest"])
+        )
+    )
     return (
         F.when(F.coalesce(href, F.lit("")) == "", base)
         .when(r["own"], href)

@@ -29,7 +29,10 @@ NO_TITLE = "Okänd"
 REMOVED = {"script", "style", "nav", "footer", "aside", "iframe", "svg", "button", "form"}
 NOISE = re.compile(r"cookie|banner|menu|nav|sidebar|footer|share|social", re.I)
 PUBLISHED = {"property": re.compile(r"article:published_time|og:pubdate", re.I), "name": re.compile(r"pubdate|date", re.I)}
-MODIFIED = {"property": re.compile(r"article:modified_time|og:updated_time", re.I), "name": re.compile(r"last-modified|revised", re.I), "itemprop": {"dateModified"}}
+MODIFIED = {
+    "property": re.compile(r"article:modified_time|og:updated_time", re.I),
+    "name": re.compile(r"last-modified|revised", re.I), "itemprop": {"dateModified"}
+}
 CHANGED_CLASS = re.compile("update|modify", re.I)
 KEYWORDS, DESCRIPTION, AUTHORS, KIND = re.compile("keywords", re.I), re.compile("description", re.I), {"author", "DC.creator"}, {"og:type"}
 COMPLETE = ("http://", "https://", "mailto:", "#", "javascript:")
@@ -40,7 +43,9 @@ LEAST_PARAGRAPH = 6
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSEEN = {"script", "style", "template"}
 #: An opening tag here ends an open paragraph.
-BLOCKS = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li td th tr dd dt".split())
+BLOCKS = set(
+    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li td th tr dd dt".split()
+)
 #: An opening tag ends open ones of these kinds, back to the nearest of those.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 PARSED = (
@@ -147,10 +152,14 @@ def _inline(element: Node) -> str:
 
 def _dates(top: Node, metas: list[Node]) -> tuple[str, str, str]:
     """(published, modified, visible text if one is still wanting)."""
-    pub, mod = (_content(next((m for k, v in places.items() if (m := _meta(metas, k, v))), None)).strip() for places in (PUBLISHED, MODIFIED))
+    pub, mod = (
+        _content(next((m for k, v in places.items() if (m := _meta(metas, k, v))), None)).strip() for places in (PUBLISHED, MODIFIED)
+    )
     if not mod:
         times = [n for n in top.walk() if n.tag == "time"]
-        tag = next((t for t in times if t.attrs.get("itemprop") == "dateModified"), None) or next((t for t in times if CHANGED_CLASS.search(t.attrs.get("class", ""))), None)
+        tag = next((t for t in times if t.attrs.get("itemprop") == "dateModified"), None) or next(
+            (t for t in times if CHANGED_CLASS.search(t.attrs.get("class", ""))), None
+        )
         if tag:
             mod = tag.attrs.get("datetime", tag.text())
     for script in top.walk() if not (pub and mod) else ():
@@ -242,7 +251,10 @@ def parse_page(html: str, url: str, extractor: Callable[[str, str], str | None]
     return out | {"markdown": markdown, "sections": [] if markdown else _sections(top)}
 
 
-def parse_pages(pages: DataFrame, *keep: str, html: str = "html", url: str = "url", extractor: Callable[[str, str], str | None] | None = None) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, *keep: str, html: str = "html", url: str = "url",
+    extractor: Callable[[str, str], str | None] | None = None
+) -> DataFrame:
     """The named columns of pages, url, and `page`, a PARSED struct (null where html is null)."""
     from pyspark.sql.types import StructType
 
@@ -277,7 +289,10 @@ def page_records(parsed: DataFrame, crawled_at: Column, pii: list[str] | dict[st
     p = lambda name: F.col(f"page.{name}")
     some = lambda c: F.coalesce(c, F.lit(""))
     pub, mod = page_dates(p("published"), p("modified"), some(p("visible")))
-    sections = F.transform(F.coalesce(p("sections"), F.expr("cast(array() as array<struct<heading:string,text:string>>)")), lambda s: F.struct(clean_pii(s["heading"], pii).alias("heading"), clean_pii(s["text"], pii).alias("text")))
+    sections = F.transform(
+        F.coalesce(p("sections"), F.expr("cast(array() as array<struct<heading:string,text:string>>)")),
+        lambda s: F.struct(clean_pii(s["heading"], pii).alias("heading"), clean_pii(s["text"], pii).alias("text"))
+    )
     others = [c for c in parsed.columns if c not in ("page", "url")]
     record = parsed.select(
         *others, some(clean_pii(p("title"), pii)).alias("title"), "url", crawled_at.alias("crawled_at"), some(clean_pii(p("author"), pii)).alias("author"),
@@ -286,9 +301,14 @@ def page_records(parsed: DataFrame, crawled_at: Column, pii: list[str] | dict[st
         F.coalesce(F.transform(p("keywords"), lambda k: clean_pii(k, pii)), F.expr("cast(array() as array<string>)")).alias("keywords"),
         sections.alias("sections"), F.nullif(p("markdown"), F.lit("")).alias("_markdown"), p("error").alias("error"),
     )
-    own = settled(record, _text=F.when(F.col("_markdown").isNotNull(), absolute_markdown_links(clean_pii(F.col("_markdown"), pii), F.col("url"))))
+    own = settled(
+        record,
+        _text=F.when(F.col("_markdown").isNotNull(), absolute_markdown_links(clean_pii(F.col("_markdown"), pii), F.col("url")))
+    )
     own = own.withColumn("sections", F.when(F.col("_text").isNotNull(), markdown_sections(F.col("_text"))).otherwise(F.col("sections")))
-    return own.withColumns({"plain_text": F.coalesce("_text", plain_text(F.col("sections"))), "chunks": semantic_chunks(F.col("sections"))}).drop("_markdown", "_text")
+    return own.withColumns(
+        {"plain_text": F.coalesce("_text", plain_text(F.col("sections"))), "chunks": semantic_chunks(F.col("sections"))}
+    ).drop("_markdown", "_text")
 
 
 def with_targets(links: DataFrame, base: str = "url", href: str = "href") -> DataFrame:
@@ -305,7 +325,10 @@ def page_links(parsed: DataFrame, *keep: str) -> DataFrame:
 
 def quick_links(html: Column) -> Column:
     """hrefs of well-formed pages (double quotes) by expression, without a parser."""
-    return F.transform(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)), lambda h: F.trim(F.replace(h, F.lit("&amp;"), F.lit("&"))))
+    return F.transform(
+        F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1)),
+        lambda h: F.trim(F.replace(h, F.lit("&amp;"), F.lit("&")))
+    )
 
 
 def quick_title(html: Column) -> Column:

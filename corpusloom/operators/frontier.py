@@ -24,12 +24,16 @@ ENTRY = ["url", "depth", "score", "seq"]
 def first_wins(candidates: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
     """One row for each key, the one that came first: a partial aggregate, so frequent keys are reduced before the shuffle."""
     rest = [c for c in candidates.columns if c != key]
-    return candidates.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("_first")).select(key, "_first.*").select(candidates.columns)
+    return candidates.groupBy(key).agg(
+        F.min_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("_first")
+    ).select(key, "_first.*").select(candidates.columns)
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("_last")).select(key, "_last.*").select(rows.columns)
+    return rows.groupBy(key).agg(
+        F.max_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("_last")
+    ).select(key, "_last.*").select(rows.columns)
 
 
 def normalized(rows: DataFrame, url: str = "url") -> DataFrame:
@@ -44,7 +48,9 @@ def accepted(
     """The rows whose URL may be taken, as it was found; domain, keywords and robots rules can be columns of rows."""
     known = settled(rows, _p=parts_struct(F.col(url)))
     kept = known.where(is_valid_url(F.col(url), domain, exclude, require, of=F.col("_p"))).drop("_p")
-    return kept if rules is None else kept.withColumn("_key", robots.match_key(F.col(url))).where(robots.is_allowed(rules, F.col("_key"))).drop("_key")
+    return kept if rules is None else kept.withColumn("_key", robots.match_key(F.col(url))).where(
+        robots.is_allowed(rules, F.col("_key"))
+    ).drop("_key")
 
 
 def candidates(
@@ -77,7 +83,10 @@ def expand(
     rows = links.where(is_followed(F.col("href")))
     if max_depth:
         rows = rows.where(F.col("depth") < max_depth)
-    return candidates(rows.select(F.col("target").alias("url"), "seq", F.col("depth").alias("_d")), LINK, F.col("_d") + 1, domain, exclude, require, rules)
+    return candidates(
+        rows.select(F.col("target").alias("url"), "seq", F.col("depth").alias("_d")), LINK, F.col("_d") + 1, domain,
+        exclude, require, rules
+    )
 
 
 def _words(keywords: list[str] | None) -> Column | None:
@@ -107,11 +116,19 @@ def crawl(
     checkpoint = checkpoint or written
     domain = F.lit(urlsplit(start[0].strip()).netloc.lower()) if strict_domain and start else None
     gates = domain, _words(exclude), _words(require), _rules(robots_txt)
-    order = lambda number, place, at: F.struct(number.cast("int").alias("round"), place.cast("long").alias("place"), at.cast("int").alias("at"))
+    order = lambda number, place, at: F.struct(
+        number.cast("int").alias("round"), place.cast("long").alias("place"), at.cast("int").alias("at")
+    )
     known = normalized(pages.select(F.col("url").alias("raw"), "url", "links"))
     known = known.groupBy("url").agg(F.min_by("links", F.struct("raw", F.xxhash64("links"))).alias("links"))
-    begin = spark.createDataFrame([(u, i) for i, u in enumerate(start)], "url string, seq long").withColumn("url", normalize_url(F.col("url")))
-    front = first_wins(begin.withColumns({"depth": F.lit(0), "score": frontier_score(F.col("url"), START, 0), "seq": order(F.lit(-2), F.col("seq"), F.lit(0))}).select(ENTRY))
+    begin = spark.createDataFrame(
+        [(u, i) for i, u in enumerate(start)], "url string, seq long"
+    ).withColumn("url", normalize_url(F.col("url")))
+    front = first_wins(
+        begin.withColumns(
+            {"depth": F.lit(0), "score": frontier_score(F.col("url"), START, 0), "seq": order(F.lit(-2), F.col("seq"), F.lit(0))}
+        ).select(ENTRY)
+    )
     if sitemap is not None:
         more = candidates(sitemap.select("url", order(F.lit(-1), F.col("seq"), F.lit(0)).alias("seq")), SITEMAP, 0, *gates)
         front = first_wins(front.unionByName(more))
@@ -133,7 +150,9 @@ def crawl(
         visited = got if visited is None else visited.unionByName(got)
         if max_pages and taken >= max_pages:
             break
-        links = here.select("depth", "place", F.posexplode("links").alias("at", "link")).select("depth", order(F.lit(number), F.col("place"), F.col("at")).alias("seq"), "link.href", "link.target")
+        links = here.select("depth", "place", F.posexplode("links").alias("at", "link")).select(
+            "depth", order(F.lit(number), F.col("place"), F.col("at")).alias("seq"), "link.href", "link.target"
+        )
         front = checkpoint(unseen(expand(links, max_depth, *gates), seen))
         seen = checkpoint(seen.unionByName(front))
     return visited if visited is not None else spark.createDataFrame([], "url string, depth int, score int, round int, place long")

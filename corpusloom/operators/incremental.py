@@ -51,4 +51,7 @@ def index_rows(cache: DataFrame, save_format: str = ".md") -> DataFrame:
     from ..functions.urls import page_file_name
 
     name = page_file_name(F.col("url"), F.col("content_hash"), save_format)
-    return cache.orderBy(F.desc("crawled_at"), "url").select(F.col("url").alias("URL"), F.col("title").alias("Titel"), F.col("crawled_at").cast("string").alias("Hämtad_Datum"), name.alias("Filnamn"))
+    return cache.orderBy(F.desc("crawled_at"), "url").select(
+        F.col("url").alias("URL"), F.col("title").alias("Titel"),
+        F.col("crawled_at").cast("string").alias("Hämtad_Datum"), name.alias("Filnamn")
+    )

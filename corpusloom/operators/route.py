@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 DROPPED_TYPES = ["image/", "video/", "audio/", "font/", "zip", "octet-stream"]
 DOCUMENT_TYPES = ["application/pdf", "application/vnd", "application/msword"]
 TEXT_TYPES = ["text", "html", "json", "xml"]
-SESSION_INDICATORS = ['name="password"', 'action="login"', 'id="loginform"', 'type="password"', "cas/login", "adfs/ls", "saml", "inloggning krävs", "du måste logga in"]
+SESSION_INDICATORS = [
+    'name="password"', 'action="login"', 'id="loginform"', 'type="password"', "cas/login", "adfs/ls", "saml",
+    "inloggning krävs", "du måste logga in"
+]
 NO_HEAD = [403, 405]
 LEAST_HTML = 1000
 NO_TEXT = ["Ingen text", "No text"]

@@ -46,4 +46,10 @@ def eta(visited: Column, seconds: Column, waiting: Column, max_pages: Column | i
 
 def summary_line(stats: DataFrame, name: str = "site") -> DataFrame:
     """One row for each site: `line`."""
-    return stats.select(name, F.concat(F.lit(" - "), F.col(name), F.lit(": "), F.col("visited").cast("string"), F.lit(" besökta, "), F.col("failed").cast("string"), F.lit(" fel.")).alias("line"))
+    return stats.select(
+        name,
+        F.concat(
+            F.lit(" - "), F.col(name), F.lit(": "), F.col("visited").cast("string"), F.lit(" besökta, "),
+            F.col("failed").cast("string"), F.lit(" fel.")
+        ).alias("line")
+    )

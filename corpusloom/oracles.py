@@ -114,7 +114,10 @@ PAGES = rf"""ar AS (
 
 def _plain(x: str) -> str:
     """Without tags, entities as what they stand for."""
-    for entity, plain in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+    for entity, plain in (
+        ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"),
+        ("&amp;", "'&'")
+    ):
         x = f"replace({x}, '{entity}', {plain})"
     return x
 
@@ -122,7 +125,9 @@ def _plain(x: str) -> str:
 TITLE = "replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 
 
-PAGES = PAGES.replace("{text}", _plain("regexp_replace(x, '<[^>]*>', '', 'g')")).replace("{heading}", _plain("h")).replace("{title}", f"trim({TITLE})")
+PAGES = PAGES.replace(
+    "{text}", _plain("regexp_replace(x, '<[^>]*>', '', 'g')")
+).replace("{heading}", _plain("h")).replace("{title}", f"trim({TITLE})")
 #: Of pr and rec, with the form of valid URLs: what a run takes.
 RUN = f"{NORMAL}, {PAGES}, taken AS (SELECT rec.*, n.norm, n.scheme, n.host, n.path, n.query, regexp_extract(n.norm, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS np FROM n JOIN rec USING (page_id) WHERE {VALID.replace('length(url)', 'length(n.url)')})"
 SLUG = r"lower(regexp_replace(regexp_replace(regexp_replace(translate({x}, 'åäöÅÄÖ', 'aaoAAO'), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[-\s]+', '-', 'g'), '^-+|-+$', '', 'g'))"
@@ -184,7 +189,12 @@ ORACLES = {
     "run_pages": f"WITH {RUN} SELECT {FILE} || '.md' AS file_name, {PAYLOAD} AS payload FROM taken WHERE length(plain_text) > 50",
     "sites_stats": f"WITH {RUN}, {SITE} SELECT site, count(*) AS visited, 0::BIGINT AS unchanged, 0::BIGINT AS failed, 0::BIGINT AS documents, count(*) AS saved FROM ruled GROUP BY site",
     "sites_saved": f"WITH {RUN}, {SITE} SELECT {FILE} || CASE site WHEN 'mobil' THEN '.txt' ELSE '.md' END AS file_name, sha256({PAYLOAD.replace('|| plain_text', '|| plain_text')}) AS payload_sha256 FROM ruled WHERE site <> 'fr' AND length(plain_text) > 50",
-    "responses_routed": _values("id, route, rendered, n_html", "(1::BIGINT, 'page', false, 1200::BIGINT)", "(2, 'page', true, 18)", "(3, 'page', false, 4)", "(4, 'document', false, NULL)", "(5, 'document', false, NULL)", "(6, 'document', false, NULL)", "(7, 'drop', false, NULL)", "(8, 'empty', false, NULL)", "(9, 'document', false, NULL)"),
+    "responses_routed": _values(
+        "id, route, rendered, n_html", "(1::BIGINT, 'page', false, 1200::BIGINT)", "(2, 'page', true, 18)",
+        "(3, 'page', false, 4)", "(4, 'document', false, NULL)", "(5, 'document', false, NULL)",
+        "(6, 'document', false, NULL)", "(7, 'drop', false, NULL)", "(8, 'empty', false, NULL)",
+        "(9, 'document', false, NULL)"
+    ),
     "responses_documents": "SELECT url, 'a_' || left(md5(url), 6) || '.pdf' AS file_name, 'P2' AS body FROM (VALUES ('https://a.se/f/a.pdf')) v(url)",
     "head_probes": _values("id, content_type", "(1::BIGINT, 'text/html')", "(2, NULL)", "(3, NULL)", "(4, '')", "(5, 'image/png')"),
     "cookie_headers": _values("id, header", "(1::BIGINT, 'a=1; b=x=y')", "(2, '')"),
@@ -225,7 +235,10 @@ ORACLES = {
     "crawl_stats": f"WITH {STATS} SELECT *, visited - unchanged AS saved FROM st",
     "crawl_rate": "SELECT user_id % 7 AS site, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS seconds, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000), 6) AS rate FROM events GROUP BY 1",
     "summary_lines": f"WITH {STATS} SELECT site, ' - ' || site || ': ' || visited || ' besökta, ' || failed || ' fel.' AS line FROM st",
-    "eta": _values("id, eta", "(1::BIGINT, 'Beräknar...')", "(2, 'Klar snart')", "(3, '10s')", "(4, '3m 20s')", "(5, '1h 40m')", "(6, '10s')", "(7, 'Klar snart')"),
+    "eta": _values(
+        "id, eta", "(1::BIGINT, 'Beräknar...')", "(2, 'Klar snart')", "(3, '10s')", "(4, '3m 20s')", "(5, '1h 40m')",
+        "(6, '10s')", "(7, 'Klar snart')"
+    ),
     "rate_limit_schedule": """WITH RECURSIVE r AS (SELECT event_id AS id, user_id, epoch_us(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
         s AS (SELECT id, user_id, a, k, a AS start_us FROM r WHERE k = 1 UNION ALL SELECT r.id, r.user_id, r.a, r.k, greatest(r.a, s.start_us + 600000000) FROM s JOIN r ON r.user_id = s.user_id AND r.k = s.k + 1)
         SELECT id, start_us, start_us - a AS wait_us FROM s""",
@@ -250,13 +263,26 @@ ORACLES = {
         "id, pnr, phone", "(0::BIGINT, '[PERSONNUMMER] och [PERSONNUMMER]', '19900101-1234 och 900161+1234')", "(1, 'ring 070-123 45 67 nu', 'ring [TELEFON] nu')", "(2, '+46 (0)8 123 45 67', '[TELEFON]')",
         "(3, '0046 70 1234567', '0046 70 1234567')", "(4, 'inget 123', 'inget 123')", "(5, '9913311234', '9913311234')", "(6, '12345678901234567890', '12345678901234567890')",
     ),
-    "md_sections": _values("id, position, heading, text", "(1::BIGINT, 0::BIGINT, 'Huvudinnehåll', 'inled')", "(1, 1, 'A', 'text a')", "(1, 2, 'C', 'c1' || chr(10) || 'c2')", "(2, 0, 'Huvudinnehåll', '#utan blank' || chr(10) || 'x')"),
-    "md_links": _values("id, md", "(1::BIGINT, 'se [a](https://a.se/x) och [b](https://a.se/dir/y.html) [c](https://o.se/) [d](#top) [e](mailto:a@b.se) [f](https://a.se/up?q=1)')", "(2, 'inga')"),
-    "page_date_cascade": _values("id, published, modified", "(1::BIGINT, '2020-01-01', '3 maj 2021')", "(2, '', '4 juni 2020')", "(3, '2019-02-03', '')", "(4, '', '2018-01-02')", "(5, '', 'x')"),
+    "md_sections": _values(
+        "id, position, heading, text", "(1::BIGINT, 0::BIGINT, 'Huvudinnehåll', 'inled')", "(1, 1, 'A', 'text a')",
+        "(1, 2, 'C', 'c1' || chr(10) || 'c2')", "(2, 0, 'Huvudinnehåll', '#utan blank' || chr(10) || 'x')"
+    ),
+    "md_links": _values(
+        "id, md",
+        "(1::BIGINT, 'se [a](https://a.se/x) och [b](https://a.se/dir/y.html) [c](https://o.se/) [d](#top) [e](mailto:a@b.se) [f](https://a.se/up?q=1)')",
+        "(2, 'inga')"
+    ),
+    "page_date_cascade": _values(
+        "id, published, modified", "(1::BIGINT, '2020-01-01', '3 maj 2021')", "(2, '', '4 juni 2020')",
+        "(3, '2019-02-03', '')", "(4, '', '2018-01-02')", "(5, '', 'x')"
+    ),
     "doc_filename": """SELECT id, stem || '_' || left(md5(url), 6) || ending AS file_name FROM (VALUES (1::BIGINT, 'https://a.se/f/Rapport%20två.PDF', 'rapport-tva', '.pdf'), (2, 'https://a.se/f/x', 'a-fil', '.docx'), (3, 'https://a.se/', 'dokument', '.pdf')) v(id, url, stem, ending)""",
     "robots_allow": _values("id, allowed", "(1::BIGINT, false)", "(2, true)", "(3, true)", "(4, true)"),
     "robots_pages": f"WITH {PARTS} SELECT page_id, starts_with(path, '/en/12') OR NOT (starts_with(path, '/en/1') OR starts_with(path, '/de/4') OR starts_with(path, '/fr/7')) AS allowed FROM u",
     "robots_sitemaps": _values("site, sitemap, crawl_delay", "('a', 'https://a.se/s1.xml', 7::INTEGER)", "('a', 'https://a.se/s2.xml', 7)"),
     "sitemap_urls": _values("sitemap, position, url", "('https://a.se/1.xml.gz', 0::BIGINT, 'https://a.se/p?x=1&y=2')"),
-    "site_settings": _values("name, domain, output_dir, delay, incremental, exclude", "('Min Sajt Å', 'www.a.se', 'server_data/min-sajt-a', 0.5::DOUBLE, true, 'spam')"),
+    "site_settings": _values(
+        "name, domain, output_dir, delay, incremental, exclude",
+        "('Min Sajt Å', 'www.a.se', 'server_data/min-sajt-a', 0.5::DOUBLE, true, 'spam')"
+    ),
 }

@@ -60,10 +60,17 @@ def run_site(
     done = seen.withColumn("status", status)
     good = done.where(~F.col("status").isin("failed", "expired"))
     links = good.select(*keep, "url", F.posexplode("found").alias("position", "href"))
-    return Run(done, payloads(to_save(good, save_format), save_format), upsert(cache, cache_rows(good, content_hash=F.col("content_hash"))), run_stats(done, *(k for k in keep if not k.startswith("_"))), links)
+    return Run(
+        done, payloads(to_save(good, save_format), save_format),
+        upsert(cache, cache_rows(good, content_hash=F.col("content_hash"))),
+        run_stats(done, *(k for k in keep if not k.startswith("_"))), links
+    )
 
 
-def run_sites(pages: DataFrame, sites: DataFrame, cache: DataFrame, crawled_at: Column, robots_txt: DataFrame | None = None, captured: DataFrame | None = None) -> Run:
+def run_sites(
+    pages: DataFrame, sites: DataFrame, cache: DataFrame, crawled_at: Column, robots_txt: DataFrame | None = None,
+    captured: DataFrame | None = None
+) -> Run:
     """All sites in one plan, each with its own settings (see sources.config): the domain and whether it is strict, keywords,
     robots rules (robots_txt: site, robots_txt), kinds of personal data, file format, incremental, kind of session, and
     documents (of captured: the responses, with site). max_pages and max_depth are for operators.frontier.crawl, delays for
@@ -75,13 +82,17 @@ def run_sites(pages: DataFrame, sites: DataFrame, cache: DataFrame, crawled_at:
     settings = sites.select(
         F.col("name").alias("site"), domain_core(F.col("domain")).alias("_domain"),
         F.struct(
-            F.when(F.col("strict_domain"), F.col("domain")).alias("domain"), "exclude_keywords", "require_keywords", "respect_robots", "save_format", "incremental", "headless_mode", "download_docs", *PII,
+            F.when(
+                F.col("strict_domain"), F.col("domain")
+            ).alias("domain"), "exclude_keywords", "require_keywords", "respect_robots", "save_format", "incremental", "headless_mode", "download_docs", *PII,
         ).alias("_set"),
     )
     if "site" in pages.columns:
         known = pages.join(settings.drop("_domain"), "site")
     else:
-        known = settled(pages, _p=parts_struct(F.col("url"))).withColumn("_domain", domain_core(F.col("_p.authority"))).drop("_p").join(settings, "_domain").drop("_domain")
+        known = settled(pages, _p=parts_struct(F.col("url"))).withColumn(
+            "_domain", domain_core(F.col("_p.authority"))
+        ).drop("_p").join(settings, "_domain").drop("_domain")
     none = F.expr("cast(array() as array<struct<allow:boolean,path:string>>)")
     rules = None
     if robots_txt is not None:

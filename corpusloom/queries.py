@@ -43,17 +43,25 @@ def url_distinct(spark, d):
 def url_valid(spark, d):
     url = F.col("url")
     host = F.lower(U.parts(url)["authority"])
-    return _pages(spark, d).select("page_id", U.is_valid_url(url).alias("valid"), U.is_valid_url(url, F.lit("www.ththen.example.com")).alias("valid_strict"), U.is_valid_url(url, host).alias("valid_own"))
+    return _pages(spark, d).select(
+        "page_id", U.is_valid_url(url).alias("valid"),
+        U.is_valid_url(url, F.lit("www.ththen.example.com")).alias("valid_strict"),
+        U.is_valid_url(url, host).alias("valid_own")
+    )
 
 
 def url_keywords(spark, d):
     words = lambda *w: F.array(*(F.lit(x) for x in w))
-    return _pages(spark, d).where(U.is_valid_url(F.col("url"), None, words("spam", "pills", ""), words("/en/", "/de/", "1"))).select("page_id", "url")
+    return _pages(spark, d).where(
+        U.is_valid_url(F.col("url"), None, words("spam", "pills", ""), words("/en/", "/de/", "1"))
+    ).select("page_id", "url")
 
 
 def frontier_score(spark, d):
     norm = U.normalize_url(F.col("url"))
-    return _pages(spark, d).select("page_id", U.frontier_score(norm).alias("score"), U.frontier_score(norm, U.SITEMAP, 2).alias("sitemap_score"))
+    return _pages(spark, d).select(
+        "page_id", U.frontier_score(norm).alias("score"), U.frontier_score(norm, U.SITEMAP, 2).alias("sitemap_score")
+    )
 
 
 def _entries(spark, d):
@@ -107,31 +115,44 @@ def _graph(spark, d):
     """Links between all pages: page k leads to pages 2k + 1 and 2k + 2, by the URLs as they are, and to an anchor."""
     pages = _pages(spark, d).select("page_id", "url")
     child = pages.select(F.col("page_id").alias("child"), F.col("url").alias("target"))
-    each = pages.select("page_id", "url", F.explode(F.array(*(F.col("page_id") * 2 + k for k in (1, 2)))).alias("child")).join(child, "child")
+    each = pages.select(
+        "page_id", "url", F.explode(F.array(*(F.col("page_id") * 2 + k for k in (1, 2)))).alias("child")
+    ).join(child, "child")
     made = each.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("child"), F.col("target")))).alias("found"))  # two at most
     links = F.transform("found", lambda x: F.struct(x["target"].alias("href"), x["target"].alias("target")))
     anchor = F.array(F.struct(F.lit("#top").alias("href"), F.concat("url", F.lit("#top")).alias("target")))
-    return pages.join(made, "page_id", "left").select("page_id", "url", F.concat(anchor, F.coalesce(links, F.expr("cast(array() as array<struct<href:string,target:string>>)"))).alias("links"))
+    return pages.join(made, "page_id", "left").select(
+        "page_id", "url",
+        F.concat(anchor, F.coalesce(links, F.expr("cast(array() as array<struct<href:string,target:string>>)"))).alias("links")
+    )
 
 
 def crawl_visits(spark, d):
     """A crawl of all pages from the first one on, of any domain but without some words and under a robots.txt, round by round."""
     graph = _graph(spark, d)
     start = graph.where("page_id = 0").select("url").first()["url"]
-    seen = frontier.crawl(spark, graph.select("url", "links"), [start], strict_domain=False, exclude=["/de/1", "spam"], robots_txt="User-agent: *\nDisallow: /es/2\n")
+    seen = frontier.crawl(
+        spark, graph.select("url", "links"), [start], strict_domain=False, exclude=["/de/1", "spam"],
+        robots_txt="User-agent: *\nDisallow: /es/2\n"
+    )
     return seen.select("url", "depth", "score", "round")
 
 
 def expand_gate(spark, d):
     """Links of pages at depths of 0 to 2, where 2 is the limit."""
-    links = _targets(spark, d).select((F.col("page_id") % 3).cast("int").alias("depth"), (F.col("page_id") * 100000 + F.col("position")).alias("seq"), "href", "target")
+    links = _targets(spark, d).select(
+        (F.col("page_id") % 3).cast("int").alias("depth"), (F.col("page_id") * 100000 + F.col("position")).alias("seq"),
+        "href", "target"
+    )
     return frontier.expand(links, 2).select("url", "depth", "score")
 
 
 def frontier_expand(spark, d):
     """Seeds at depth 0 and what they link to at depth 1, each URL once."""
     seeds = _entries(spark, d).select("url", "depth")
-    links = _targets(spark, d).select(F.lit(0).alias("depth"), (F.col("page_id") * 100000 + F.col("position")).alias("seq"), "href", "target")
+    links = _targets(spark, d).select(
+        F.lit(0).alias("depth"), (F.col("page_id") * 100000 + F.col("position")).alias("seq"), "href", "target"
+    )
     found = frontier.expand(links).select("url", "depth")
     return seeds.unionByName(found).groupBy("url").agg(F.min("depth").alias("depth"))
 
@@ -153,14 +174,18 @@ def page_title_parsed(spark, d):
 
 def page_sections(spark, d):
     records = extract.page_records(extract.parse_pages(_pages(spark, d), "page_id"), F.lit(FETCHED))
-    return records.select("page_id", F.posexplode("sections").alias("position", "s")).select("page_id", _long(F.col("position")).alias("position"), "s.heading", "s.text")
+    return records.select("page_id", F.posexplode("sections").alias("position", "s")).select(
+        "page_id", _long(F.col("position")).alias("position"), "s.heading", "s.text"
+    )
 
 
 def page_record(spark, d):
     records = extract.page_records(extract.parse_pages(_pages(spark, d), "page_id"), F.lit(FETCHED))
     n = {"n_keywords": F.size("keywords"), "n_chunks": F.size("chunks"), "n_chars": F.length("plain_text")}
     return records.select(
-        "page_id", "title", "url", "author", "published_date", "modified_date", "language", "og_type", "description", *(_long(c).alias(k) for k, c in n.items()), F.sha2("plain_text", 256).alias("text_sha256")
+        "page_id", "title", "url", "author", "published_date", "modified_date", "language", "og_type", "description", *(
+            _long(c).alias(k) for k, c in n.items()
+        ), F.sha2("plain_text", 256).alias("text_sha256")
     )
 
 
@@ -179,18 +204,29 @@ def run_pages(spark, d):
 
 
 #: name, start_url, strict_domain, exclude_keywords, respect_robots, save_format
-SITES = [("mobil", "https://m.site.example/", False, ["/de/"], False, ".txt"), ("fr", "https://fr.example/", False, None, True, "Ingen text"), ("rest", "https://rest.example/", False, None, True, ".md"), ("ingen", "https://x.example/", True, None, True, ".md")]
+SITES = [
+    ("mobil", "https://m.site.example/", False, ["/de/"], False, ".txt"),
+    ("fr", "https://fr.example/", False, None, True, "Ingen text"),
+    ("rest", "https://rest.example/", False, None, True, ".md"),
+    ("ingen", "https://x.example/", True, None, True, ".md")
+]
 
 
 def _run_sites(spark, d):
     """Pages dealt to sites of different settings: mobile hosts, French ones, and the rest, each twice over: also to a strict site that none belongs to."""
-    given = spark.createDataFrame(SITES, "name string, start_url string, strict_domain boolean, exclude_keywords array<string>, respect_robots boolean, save_format string")
+    given = spark.createDataFrame(
+        SITES,
+        "name string, start_url string, strict_domain boolean, exclude_keywords array<string>, respect_robots boolean, save_format string"
+    )
     types = dict(x.strip().split(" ") for x in config.SCHEMA.split(", "))
     given = given.withColumns({k: F.lit(True) for k in T.PII})
     sites = config.with_defaults(given.select("*", *(F.lit(None).cast(t).alias(c) for c, t in types.items() if c not in given.columns)))
     site = F.when(F.col("url").rlike("://m\\."), "mobil").when(F.contains("url", F.lit("/fr/")), "fr").otherwise("rest")
     pages = _pages(spark, d).select("url", "html", F.explode(F.array(site, F.lit("ingen"))).alias("site"))
-    rules = spark.createDataFrame([("rest", "User-agent: *\nDisallow: /en/1\n"), ("mobil", "User-agent: *\nDisallow: /\n")], "site string, robots_txt string")
+    rules = spark.createDataFrame(
+        [("rest", "User-agent: *\nDisallow: /en/1\n"), ("mobil", "User-agent: *\nDisallow: /\n")],
+        "site string, robots_txt string"
+    )
     return run_sites(pages, sites, spark.createDataFrame([], NO_CACHE), F.lit(FETCHED), rules)
 
 
@@ -207,7 +243,10 @@ def js_render_needed(spark, d):
 
 
 def session_expired(spark, d):
-    return _pages(spark, d).select("page_id", route.session_expired(F.col("html")).alias("expired"), route.session_expired(F.concat("html", F.lit('<input TYPE="password">')), F.lit("login_then_headless")).alias("with_form"))
+    return _pages(spark, d).select(
+        "page_id", route.session_expired(F.col("html")).alias("expired"),
+        route.session_expired(F.concat("html", F.lit('<input TYPE="password">')), F.lit("login_then_headless")).alias("with_form")
+    )
 
 
 # --- texts ---
@@ -242,15 +281,24 @@ def _chunks(spark, d):
 
 
 def chunks(spark, d):
-    return _chunks(spark, d).select("doc_id", _long(F.col("c.chunk_index")).alias("chunk_index"), _long(F.col("c.total_chunks")).alias("total_chunks"), F.sha2("c.content", 256).alias("content_sha256"))
+    return _chunks(spark, d).select(
+        "doc_id", _long(F.col("c.chunk_index")).alias("chunk_index"),
+        _long(F.col("c.total_chunks")).alias("total_chunks"), F.sha2("c.content", 256).alias("content_sha256")
+    )
 
 
 def chunk_stats(spark, d):
     """A document's chunks are an array: nothing is shuffled."""
     own = settled(_docs(spark, d).select("doc_id", "text"), c=T.text_chunks(F.col("text"))).where(F.size("c") > 0)
-    sizes = settled(own.select("doc_id", "c"), n=F.transform("c", lambda c: F.struct(F.length(c["content"]).alias("chars"), F.size(T.words(c["content"])).alias("words"))))
+    sizes = settled(
+        own.select("doc_id", "c"),
+        n=F.transform("c", lambda c: F.struct(F.length(c["content"]).alias("chars"), F.size(T.words(c["content"])).alias("words")))
+    )
     total = F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
-    return sizes.select("doc_id", _long(F.size("c")).alias("n_chunks"), total.alias("n_chars"), _long(F.array_max("n.words")).alias("most_words"))
+    return sizes.select(
+        "doc_id", _long(F.size("c")).alias("n_chunks"), total.alias("n_chars"),
+        _long(F.array_max("n.words")).alias("most_words")
+    )
 
 
 def chunk_headings(spark, d):
@@ -260,12 +308,20 @@ def chunk_headings(spark, d):
 def masked_chunks(spark, d):
     """Flagship: documents without personal data of any kind, hashed and chunked."""
     clean = settled(_docs(spark, d).select("doc_id", "text"), text=T.clean_pii(F.col("text")))
-    return clean.select("doc_id", T.clean_hash(F.col("text")).alias("content_hash"), F.explode(T.text_chunks(F.col("text"))).alias("c")).select("doc_id", "content_hash", _long(F.col("c.chunk_index")).alias("chunk_index"), F.col("c.heading").alias("heading"), F.col("c.content").alias("content"))
+    return clean.select(
+        "doc_id", T.clean_hash(F.col("text")).alias("content_hash"), F.explode(T.text_chunks(F.col("text"))).alias("c")
+    ).select(
+        "doc_id", "content_hash", _long(F.col("c.chunk_index")).alias("chunk_index"),
+        F.col("c.heading").alias("heading"), F.col("c.content").alias("content")
+    )
 
 
 def slug_filename(spark, d):
     h = T.clean_hash(F.col("html"))
-    return _pages(spark, d).select("page_id", U.slugify(U.parts(F.col("url"))["path"]).alias("slug"), U.page_file_name(U.normalize_url(F.col("url")), h, ".md").alias("file_name"))
+    return _pages(spark, d).select(
+        "page_id", U.slugify(U.parts(F.col("url"))["path"]).alias("slug"),
+        U.page_file_name(U.normalize_url(F.col("url")), h, ".md").alias("file_name")
+    )
 
 
 # --- cache, index, statistics ---
@@ -279,7 +335,9 @@ def _cache(spark, d):
     """Documents as pages, and an old cache of them all: some under another address, some with another hash, some from later than now."""
     base = F.lit("https://site.example/")
     docs = _docs(spark, d).select(
-        F.concat(base, F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), "doc_id", T.clean_hash(F.col("text")).alias("content_hash"), F.col("source").alias("title"),
+        F.concat(
+            base, F.lit("doc/"), F.col("doc_id").cast("string")
+        ).alias("url"), "doc_id", T.clean_hash(F.col("text")).alias("content_hash"), F.col("source").alias("title"),
         _at(F.col("doc_id")).alias("crawled_at"), _long(F.length("text")).alias("content_length"), "lang",
     )
     old = docs.withColumns(
@@ -310,17 +368,29 @@ def incremental_status(spark, d):
 
 def index_csv(spark, d):
     docs, _ = _cache(spark, d)
-    return incremental.index_rows(docs, ".md").select(F.col("URL").alias("page"), F.col("Titel").alias("titel"), F.col("Hämtad_Datum").alias("fetched"), F.col("Filnamn").alias("filnamn"))
+    return incremental.index_rows(docs, ".md").select(
+        F.col("URL").alias("page"), F.col("Titel").alias("titel"), F.col("Hämtad_Datum").alias("fetched"),
+        F.col("Filnamn").alias("filnamn")
+    )
 
 
 def crawl_stats(spark, d):
     """Events as outcomes of pages."""
-    events = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("site"), (F.col("user_id") % 7).cast("string")).alias("site"), F.element_at(F.array(*(F.lit(x) for x in ("new", "changed", "unchanged", "failed", "expired", "document", "skipped"))), (F.pmod("event_id", F.lit(7)) + 1).cast("int")).alias("status"), (F.col("value") > 50).alias("rendered"))
+    events = spark.read.parquet(f"{d}/events.parquet").select(
+        F.concat(F.lit("site"), (F.col("user_id") % 7).cast("string")).alias("site"),
+        F.element_at(
+            F.array(*(F.lit(x) for x in ("new", "changed", "unchanged", "failed", "expired", "document", "skipped"))),
+            (F.pmod("event_id", F.lit(7)) + 1).cast("int")
+        ).alias("status"),
+        (F.col("value") > 50).alias("rendered")
+    )
     return stats.run_stats(events, "site")
 
 
 def crawl_rate(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").groupBy((F.col("user_id") % 7).alias("site")).agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("visited"))
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy((F.col("user_id") % 7).alias("site")).agg(
+        F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("visited")
+    )
     s = stats.duration_seconds(F.col("a"), F.col("z"), F.col("z"))
     return rows.select("site", s.alias("seconds"), F.round(stats.pages_per_second(F.col("visited"), s), 6).alias("rate"))
 
@@ -330,22 +400,39 @@ def summary_lines(spark, d):
 
 
 def eta(spark, d):
-    rows = spark.createDataFrame([(1, 2, 5.0, 10, 0), (2, 3, 30.0, 0, 0), (3, 10, 20.0, 5, 0), (4, 10, 500.0, 4, 0), (5, 10, 5000.0, 12, 0), (6, 10, 50.0, 100, 12), (7, 10, 50.0, 100, 10)], "id long, visited long, seconds double, waiting long, max_pages long")
+    rows = spark.createDataFrame(
+        [
+            (1, 2, 5.0, 10, 0), (2, 3, 30.0, 0, 0), (3, 10, 20.0, 5, 0), (4, 10, 500.0, 4, 0), (5, 10, 5000.0, 12, 0),
+            (6, 10, 50.0, 100, 12), (7, 10, 50.0, 100, 10)
+        ],
+        "id long, visited long, seconds double, waiting long, max_pages long"
+    )
     return rows.select("id", stats.eta(F.col("visited"), F.col("seconds"), F.col("waiting"), F.col("max_pages")).alias("eta"))
 
 
 def rate_limit_schedule(spark, d):
-    req = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("user_id").alias("domain"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrive_us"))
+    req = spark.read.parquet(f"{d}/events.parquet").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("domain"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("arrive_us")
+    )
     return schedule.schedule(req, F.lit(600.0)).select("id", "start_us", "wait_us")
 
 
 def delay_resolution(spark, d):
-    rows = spark.createDataFrame([(1, 0.5, None), (2, 0.01, None), (3, 2.0, 1), (4, 0.5, 10), (5, 0.5, 0)], "id long, configured double, robots int")
+    rows = spark.createDataFrame(
+        [(1, 0.5, None), (2, 0.01, None), (3, 2.0, 1), (4, 0.5, 10), (5, 0.5, 0)],
+        "id long, configured double, robots int"
+    )
     return rows.select("id", schedule.effective_delay(F.col("configured"), F.col("robots")).alias("delay"))
 
 
 def backoff_schedule(spark, d):
-    return spark.range(0, 5).select(F.col("id").alias("attempts"), F.array_join(F.transform(schedule.backoff_seconds(F.col("id").cast("int")), lambda x: x.cast("int").cast("string")), ",").alias("seconds"))
+    return spark.range(0, 5).select(
+        F.col("id").alias("attempts"),
+        F.array_join(
+            F.transform(schedule.backoff_seconds(F.col("id").cast("int")), lambda x: x.cast("int").cast("string")), ","
+        ).alias("seconds")
+    )
 
 
 def _events(spark, d):
@@ -371,12 +458,18 @@ def route_events(spark, d):
 
 # --- routing and sinks ---
 
-TYPES = ["text/html; charset=utf-8", "IMAGE/png", "application/pdf", "application/vnd.ms-excel", "application/zip", "application/json", "application/octet-stream", "application/x-unknown", None, "font/woff2", "application/xml"]
+TYPES = [
+    "text/html; charset=utf-8", "IMAGE/png", "application/pdf", "application/vnd.ms-excel", "application/zip",
+    "application/json", "application/octet-stream", "application/x-unknown", None, "font/woff2", "application/xml"
+]
 
 
 def content_route(spark, d):
     rows = spark.createDataFrame(list(enumerate(TYPES)), "id long, content_type string")
-    return rows.select("id", route.content_route(F.col("content_type")).alias("route"), route.content_route(F.col("content_type"), True).alias("route_documents"))
+    return rows.select(
+        "id", route.content_route(F.col("content_type")).alias("route"),
+        route.content_route(F.col("content_type"), True).alias("route_documents")
+    )
 
 
 def status_label(spark, d):
@@ -386,12 +479,19 @@ def status_label(spark, d):
 
 
 def save_gate(spark, d):
-    return _docs(spark, d).select("doc_id", route.save_gate(F.col("text")).alias("saved"), route.save_gate(F.col("text"), "Ingen text").alias("saved_no_text"))
+    return _docs(spark, d).select(
+        "doc_id", route.save_gate(F.col("text")).alias("saved"),
+        route.save_gate(F.col("text"), "Ingen text").alias("saved_no_text")
+    )
 
 
 def _records(spark, d):
     docs = _docs(spark, d).where(route.save_gate(F.col("text")))
-    return docs.select("doc_id", F.col("source").alias("title"), F.concat(F.lit("https://site.example/doc/"), F.col("doc_id").cast("string")).alias("url"), F.lit("").alias("author"), F.col("text").alias("plain_text"))
+    return docs.select(
+        "doc_id", F.col("source").alias("title"),
+        F.concat(F.lit("https://site.example/doc/"), F.col("doc_id").cast("string")).alias("url"),
+        F.lit("").alias("author"), F.col("text").alias("plain_text")
+    )
 
 
 def sink_json(spark, d):
@@ -399,12 +499,18 @@ def sink_json(spark, d):
 
 
 def sink_md(spark, d):
-    return _records(spark, d).select("doc_id", F.sha2(sinks.markdown_payload(F.col("title"), F.col("url"), F.col("plain_text")), 256).alias("payload_sha256"))
+    return _records(spark, d).select(
+        "doc_id",
+        F.sha2(sinks.markdown_payload(F.col("title"), F.col("url"), F.col("plain_text")), 256).alias("payload_sha256")
+    )
 
 
 # --- inline vectors ---
 
-PII_TEXTS = ["19900101-1234 och 900161+1234", "ring 070-123 45 67 nu", "+46 (0)8 123 45 67", "0046 70 1234567", "inget 123", "9913311234", "12345678901234567890"]
+PII_TEXTS = [
+    "19900101-1234 och 900161+1234", "ring 070-123 45 67 nu", "+46 (0)8 123 45 67", "0046 70 1234567", "inget 123",
+    "9913311234", "12345678901234567890"
+]
 
 
 def pii_texts(spark, d):
@@ -416,7 +522,10 @@ def pii_texts(spark, d):
 METADATA = [
     (1, '<html lang="sv"><head><title> T1 </title><meta name="Keywords" content="a, b,,c"><meta name="DESCRIPTION" content=" d "><meta name="author" content="A"><meta property="og:type" content="article">'
         '<meta property="article:published_time" content="2020-01-01"><meta itemprop="dateModified" content="2020-02-02"></head></html>'),
-    (2, '<title>T2</title><meta name="DC.creator" content="B"><meta name="pubdate" content="2019"><p>x</p><time class="last-update" datetime="2021-03-04">mars</time>'),
+    (
+        2,
+        '<title>T2</title><meta name="DC.creator" content="B"><meta name="pubdate" content="2019"><p>x</p><time class="last-update" datetime="2021-03-04">mars</time>'
+    ),
     (3, '<title>T3</title><script type="application/ld+json">{"datePublished": "2018-05-06", "dateModified" : "2018-07-08"}</script>'),
     (4, '<title>T4</title><p>Senast uppdaterad: 3 maj 2021</p>'),
     (5, '<title>T5</title><p>Publicerad 2019-02-03</p><time itemprop="dateModified">i dag</time>'),
@@ -429,13 +538,25 @@ METADATA = [
 def page_metadata(spark, d):
     pages = spark.createDataFrame([(i, f"https://a.se/{i}", h) for i, h in METADATA], "id long, url string, html string")
     records = extract.page_records(extract.parse_pages(pages, "id"), F.lit(FETCHED))
-    return records.select("id", "title", F.array_join("keywords", "|").alias("keywords"), "description", "author", "published_date", "modified_date", "language", "og_type", F.col("error").isNotNull().alias("failed"))
+    return records.select(
+        "id", "title", F.array_join("keywords", "|").alias("keywords"), "description", "author", "published_date",
+        "modified_date", "language", "og_type", F.col("error").isNotNull().alias("failed")
+    )
 
 
 SECTIONS = [
-    (1, '<title>t</title><p>foto</p><p>inledning har</p><h2>Lista</h2><ul><li>ett <a href="/x">lank</a></li><li>tva<ul><li>inre</li></ul></li></ul><h5>ej rubrik</h5>'),
-    (2, '<title>t</title><h1>Tabell</h1><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><div class="cookie-bar"><p>bort med detta</p></div>'),
-    (3, '<title>t</title><h1>R</h1><nav><p>meny meny</p></nav><p>text med <b>fet</b> och <a href="y?z=1">mer</a></p><form><p>formular</p></form>'),
+    (
+        1,
+        '<title>t</title><p>foto</p><p>inledning har</p><h2>Lista</h2><ul><li>ett <a href="/x">lank</a></li><li>tva<ul><li>inre</li></ul></li></ul><h5>ej rubrik</h5>'
+    ),
+    (
+        2,
+        '<title>t</title><h1>Tabell</h1><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><div class="cookie-bar"><p>bort med detta</p></div>'
+    ),
+    (
+        3,
+        '<title>t</title><h1>R</h1><nav><p>meny meny</p></nav><p>text med <b>fet</b> och <a href="y?z=1">mer</a></p><form><p>formular</p></form>'
+    ),
 ]
 
 
@@ -443,18 +564,33 @@ def page_shapes(spark, d):
     """Sections of pages of other shapes than the tables have."""
     pages = spark.createDataFrame([(i, "https://a.se/d/s", h) for i, h in SECTIONS], "id long, url string, html string")
     records = extract.page_records(extract.parse_pages(pages, "id"), F.lit(FETCHED))
-    return records.select("id", F.posexplode("sections").alias("position", "s")).select("id", _long(F.col("position")).alias("position"), "s.heading", "s.text")
+    return records.select("id", F.posexplode("sections").alias("position", "s")).select(
+        "id", _long(F.col("position")).alias("position"), "s.heading", "s.text"
+    )
 
 
 CAPTURED = [
-    (1, "https://a.se/sida", "text/html; charset=utf-8", 200, None, "x" * 1200, None, 1), (2, "https://a.se/kort", "text/html", 200, None, "kort", "<html>ritad</html>", 2), (3, "https://a.se/kort2", "text/html", 200, None, "kort", None, 3),
-    (4, "https://a.se/f/a.pdf", "application/pdf", 200, 'attachment; filename="Bil aga.PDF"', "P1", None, 5), (5, "https://a.se/f/a.pdf", "application/pdf", 200, None, "P2", None, 4), (6, "https://a.se/f/b.doc", "application/msword", 404, None, "D", None, 6),
-    (7, "https://a.se/bild", "image/png", 200, None, "B", None, 7), (8, "https://a.se/okand", "x/y", 200, None, "", None, 8), (9, "https://a.se/klar", "application/vnd.ms-excel", 200, None, "K", None, 9),
+    (
+        1, "https://a.se/sida", "text/html; charset=utf-8", 200, None, "x" * 1200, None, 1
+    ), (
+        2, "https://a.se/kort", "text/html", 200, None, "kort", "<html>ritad</html>", 2
+    ), (3, "https://a.se/kort2", "text/html", 200, None, "kort", None, 3),
+    (
+        4, "https://a.se/f/a.pdf", "application/pdf", 200, 'attachment; filename="Bil aga.PDF"', "P1", None, 5
+    ), (5, "https://a.se/f/a.pdf", "application/pdf", 200, None, "P2", None, 4), (
+        6, "https://a.se/f/b.doc", "application/msword", 404, None, "D", None, 6
+    ),
+    (7, "https://a.se/bild", "image/png", 200, None, "B", None, 7), (8, "https://a.se/okand", "x/y", 200, None, "", None, 8), (
+        9, "https://a.se/klar", "application/vnd.ms-excel", 200, None, "K", None, 9
+    ),
 ]
 
 
 def _captured(spark):
-    rows = spark.createDataFrame(CAPTURED, "id long, url string, content_type string, status int, disposition string, body string, rendered_html string, fetched_at long")
+    rows = spark.createDataFrame(
+        CAPTURED,
+        "id long, url string, content_type string, status int, disposition string, body string, rendered_html string, fetched_at long"
+    )
     return rows.withColumn("body", F.col("body").cast("binary"))
 
 
@@ -468,7 +604,10 @@ def responses_documents(spark, d):
 
 
 def head_probes(spark, d):
-    rows = spark.createDataFrame([(1, 200, "Text/HTML"), (2, 403, "text/html"), (3, 405, None), (4, 200, None), (5, 404, "image/PNG")], "id long, status int, content_type string")
+    rows = spark.createDataFrame(
+        [(1, 200, "Text/HTML"), (2, 403, "text/html"), (3, 405, None), (4, 200, None), (5, 404, "image/PNG")],
+        "id long, status int, content_type string"
+    )
     return rows.select("id", route.probed_type(F.col("status"), F.col("content_type")).alias("content_type"))
 
 
@@ -493,28 +632,49 @@ def keyword_lists(spark, d):
 
 
 def json_files(spark, d):
-    rows = spark.createDataFrame([("T \"x\"", ["a", "b\\"], [("H", "rad 1\nrad 2", 1, 1)]), ("tom", [], [])], "title string, keywords array<string>, chunks array<struct<heading:string,content:string,chunk_index:int,total_chunks:int>>")
+    rows = spark.createDataFrame(
+        [("T \"x\"", ["a", "b\\"], [("H", "rad 1\nrad 2", 1, 1)]), ("tom", [], [])],
+        "title string, keywords array<string>, chunks array<struct<heading:string,content:string,chunk_index:int,total_chunks:int>>"
+    )
     return rows.select(sinks.pretty_json_payload(["title", "keywords", "chunks"]).alias("payload"))
 
 
 def md_sections(spark, d):
     rows = spark.createDataFrame([(1, "inled\n# A\ntext a\n## B\n### C  \nc1\nc2"), (2, "#utan blank\nx"), (3, "")], "id long, md string")
-    return rows.select("id", F.posexplode(T.markdown_sections(F.col("md"))).alias("position", "s")).select("id", _long(F.col("position")).alias("position"), "s.heading", "s.text")
+    return rows.select(
+        "id", F.posexplode(T.markdown_sections(F.col("md"))).alias("position", "s")
+    ).select("id", _long(F.col("position")).alias("position"), "s.heading", "s.text")
 
 
 def md_links(spark, d):
-    rows = spark.createDataFrame([(1, "se [a](/x) och [b](y.html) [c](https://o.se/) [d](#top) [e](mailto:a@b.se) [f](../up?q=1)"), (2, "inga")], "id long, md string")
+    rows = spark.createDataFrame(
+        [(1, "se [a](/x) och [b](y.html) [c](https://o.se/) [d](#top) [e](mailto:a@b.se) [f](../up?q=1)"), (2, "inga")],
+        "id long, md string"
+    )
     return rows.select("id", T.absolute_markdown_links(F.col("md"), F.lit("https://a.se/dir/page")).alias("md"))
 
 
 def page_date_cascade(spark, d):
-    rows = spark.createDataFrame([(1, "2020-01-01", "", "Senast uppdaterad: 3 maj 2021"), (2, "", "", "Publicerad 2019-02-03 text Uppdaterad 4 juni 2020"), (3, "", "", "Publicerad 2019-02-03"), (4, "", "", "Ändrad 2018-01-02"), (5, None, "x", "inget")], "id long, p string, m string, v string")
+    rows = spark.createDataFrame(
+        [
+            (1, "2020-01-01", "", "Senast uppdaterad: 3 maj 2021"),
+            (2, "", "", "Publicerad 2019-02-03 text Uppdaterad 4 juni 2020"), (3, "", "", "Publicerad 2019-02-03"),
+            (4, "", "", "Ändrad 2018-01-02"), (5, None, "x", "inget")
+        ],
+        "id long, p string, m string, v string"
+    )
     pub, mod = page_dates(F.col("p"), F.col("m"), F.col("v"))
     return rows.select("id", pub.alias("published"), mod.alias("modified"))
 
 
 def doc_filename(spark, d):
-    rows = spark.createDataFrame([(1, "https://a.se/f/Rapport%20två.PDF", None), (2, "https://a.se/f/x", 'attachment; filename="Å-fil.v2.docx"'), (3, "https://a.se/", None)], "id long, url string, disposition string")
+    rows = spark.createDataFrame(
+        [
+            (1, "https://a.se/f/Rapport%20två.PDF", None),
+            (2, "https://a.se/f/x", 'attachment; filename="Å-fil.v2.docx"'), (3, "https://a.se/", None)
+        ],
+        "id long, url string, disposition string"
+    )
     return rows.select("id", U.document_file_name(F.col("url"), F.col("disposition")).alias("file_name"))
 
 
@@ -522,7 +682,10 @@ ROBOTS = "User-agent: *\nDisallow: /privat\nAllow: /privat/ok\nDisallow:\nCrawl-
 
 
 def robots_allow(spark, d):
-    urls = spark.createDataFrame([(1, "a", "https://a.se/privat/ok"), (2, "a", "https://a.se/"), (3, "a", "https://a.se/x?privat"), (4, "b", "https://b.se/privat")], "id long, site string, url string")
+    urls = spark.createDataFrame(
+        [(1, "a", "https://a.se/privat/ok"), (2, "a", "https://a.se/"), (3, "a", "https://a.se/x?privat"), (4, "b", "https://b.se/privat")],
+        "id long, site string, url string"
+    )
     files = spark.createDataFrame([("a", ROBOTS)], "site string, robots_txt string")
     return robots.allowed(urls, files).select("id", "allowed")
 
@@ -536,14 +699,20 @@ def robots_pages(spark, d):
 
 def robots_sitemaps(spark, d):
     files = spark.createDataFrame([("a", ROBOTS)], "site string, robots_txt string")
-    return files.select("site", F.explode(robots.sitemap_urls(F.col("robots_txt"))).alias("sitemap"), robots.policy(F.col("robots_txt"))["crawl_delay"].alias("crawl_delay"))
+    return files.select(
+        "site", F.explode(robots.sitemap_urls(F.col("robots_txt"))).alias("sitemap"),
+        robots.policy(F.col("robots_txt"))["crawl_delay"].alias("crawl_delay")
+    )
 
 
 def sitemap_urls(spark, d):
     import gzip
 
     index = b'<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc> https://a.se/1.xml.gz </loc></sitemap><sitemap><loc>https://a.se/i.xml</loc></sitemap></sitemapindex>'
-    leaf = gzip.compress(b"<urlset><url><loc>https://a.se/p?x=1&amp;y=2</loc><lastmod>2020</lastmod></url><url><loc>https://a.se/q.css</loc></url></urlset>", mtime=0)
+    leaf = gzip.compress(
+        b"<urlset><url><loc>https://a.se/p?x=1&amp;y=2</loc><lastmod>2020</lastmod></url><url><loc>https://a.se/q.css</loc></url></urlset>",
+        mtime=0
+    )
     files = spark.createDataFrame([("https://a.se/i.xml", index), ("https://a.se/1.xml.gz", leaf)], "url string, body binary")
     found = sitemap.sitemap_pages(files, spark.createDataFrame([("https://a.se/i.xml",)], "url string"))
     return found.where(U.is_valid_url(F.col("url"), F.lit("a.se"))).select("sitemap", _long(F.col("position")).alias("position"), "url")
@@ -551,15 +720,26 @@ def sitemap_urls(spark, d):
 
 def sitemap_accepted(spark, d):
     """All pages' URLs as those of two sitemaps: how many a crawl takes over from each."""
-    pages = _pages(spark, d).select(F.when(F.contains("url", F.lit("/en/")), "b").otherwise("a").alias("sitemap"), F.col("page_id").alias("position"), "url")
+    pages = _pages(spark, d).select(
+        F.when(F.contains("url", F.lit("/en/")), "b").otherwise("a").alias("sitemap"),
+        F.col("page_id").alias("position"), "url"
+    )
     seen = frontier.normalized(_pages(spark, d).where(F.contains("url", F.lit("/fr/"))).select("url"))
     return sitemap.accepted_counts(pages, exclude=F.array(F.lit("/de/")), seen=seen)
 
 
 def site_settings(spark, d):
-    rows = spark.createDataFrame([("Min Sajt Å", "https://WWW.a.se/x", ["SPAM"])], "name string, start_url string, exclude_keywords array<string>")
-    full = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (x.strip().split(" ") for x in config.SCHEMA.split(", ")) if c not in rows.columns))
-    return config.with_defaults(full).select("name", "domain", "output_dir", "delay", "incremental", F.element_at("exclude_keywords", 1).alias("exclude"))
+    rows = spark.createDataFrame(
+        [("Min Sajt Å", "https://WWW.a.se/x", ["SPAM"])],
+        "name string, start_url string, exclude_keywords array<string>"
+    )
+    full = rows.select(
+        "*",
+        *(F.lit(None).cast(t).alias(c) for c, t in (x.strip().split(" ") for x in config.SCHEMA.split(", ")) if c not in rows.columns)
+    )
+    return config.with_defaults(full).select(
+        "name", "domain", "output_dir", "delay", "incremental", F.element_at("exclude_keywords", 1).alias("exclude")
+    )
 
 
 def queries() -> dict:

@@ -39,7 +39,9 @@ def run_log(folder: str, name: str) -> logging.Logger:
     log = logging.getLogger(f"corpusloom.{name}")
     log.setLevel(logging.DEBUG)
     if not log.handlers:
-        handler = logging.handlers.RotatingFileHandler(f"{folder}/logs/{name}.log", maxBytes=LOG_BYTES, backupCount=LOG_BACKUPS, encoding="utf-8")
+        handler = logging.handlers.RotatingFileHandler(
+            f"{folder}/logs/{name}.log", maxBytes=LOG_BYTES, backupCount=LOG_BACKUPS, encoding="utf-8"
+        )
         handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
         log.addHandler(handler)
     return log

@@ -29,7 +29,10 @@ def routed(responses: DataFrame, download_documents: bool = False, hybrid: bool
     need = js_render_needed(html) if hybrid else F.lit(True)
     page = F.col("route") == "page"
     return responses.withColumn("route", content_route(F.col("content_type"), download_documents)).withColumns(
-        {"rendered": page & need & F.col("rendered_html").isNotNull(), "html": F.when(page, F.when(need, F.coalesce("rendered_html", html)).otherwise(html))}
+        {
+            "rendered": page & need & F.col("rendered_html").isNotNull(),
+            "html": F.when(page, F.when(need, F.coalesce("rendered_html", html)).otherwise(html))
+        }
     )
 
 

@@ -62,4 +62,7 @@ def allowed(urls: DataFrame, robots: DataFrame, on: str = "site") -> DataFrame:
     """urls (site, url) and `allowed`; robots: one row a site (site, robots_txt)."""
     rules = robots.select(on, policy(F.col("robots_txt")).alias("_policy"))
     joined = urls.withColumn("_key", match_key(F.col("url"))).join(rules, on, "left")
-    return joined.withColumn("allowed", is_allowed(F.coalesce(F.col("_policy.rules"), F.expr("cast(array() as array<struct<allow:boolean,path:string>>)")), F.col("_key"))).drop("_key", "_policy")
+    return joined.withColumn(
+        "allowed",
+        is_allowed(F.coalesce(F.col("_policy.rules"), F.expr("cast(array() as array<struct<allow:boolean,path:string>>)")), F.col("_key"))
+    ).drop("_key", "_policy")

@@ -11,7 +11,10 @@ from ..functions.urls import page_file_name
 from ..operators.incremental import CACHE, index_rows
 
 #: The keys of a page's JSON file, in order: the plain text isn't among them.
-JSON_FIELDS = ["title", "url", "crawled_at", "author", "published_date", "modified_date", "language", "og_type", "description", "keywords", "chunks"]
+JSON_FIELDS = [
+    "title", "url", "crawled_at", "author", "published_date", "modified_date", "language", "og_type", "description",
+    "keywords", "chunks"
+]
 
 
 def json_payload(fields: list[str] = JSON_FIELDS) -> Column:
@@ -22,7 +25,9 @@ def _indented(depth: int, lines: list[Column] | Column, opening: str, closing: s
     """A JSON array or object over several lines; lines: its parts, or a column with an array of them."""
     parts = lines if isinstance(lines, Column) else F.array(*lines)
     inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
-    return F.when(F.size(parts) == 0, opening + closing).otherwise(F.concat(F.lit(opening + inner), F.array_join(parts, "," + inner), F.lit(outer + closing)))
+    return F.when(F.size(parts) == 0, opening + closing).otherwise(
+        F.concat(F.lit(opening + inner), F.array_join(parts, "," + inner), F.lit(outer + closing))
+    )
 
 
 def _json_string(x: Column) -> Column:

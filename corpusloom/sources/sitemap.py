@@ -36,7 +36,15 @@ def _replacing(old: str, new: str):
 
 def _locations(xml: Column, kind: str) -> Column:
     each = F.regexp_extract_all(xml, F.lit(rf"(?is)<(?:\w+:)?{kind}\b[^>]*>(.*?)</(?:\w+:)?{kind}\s*>"), F.lit(1))
-    loc = F.transform(each, lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, r"(?is)<(?:\w+:)?loc\b[^>]*>\s*(.*?)\s*</(?:\w+:)?loc\s*>", 1), r"(?s)\A<!\[CDATA\[(.*)\]\]>\z", "$1")))
+    loc = F.transform(
+        each,
+        lambda x: F.trim(
+            F.regexp_replace(
+                F.regexp_extract(x, r"(?is)<(?:\w+:)?loc\b[^>]*>\s*(.*?)\s*</(?:\w+:)?loc\s*>", 1),
+                r"(?s)\A<!\[CDATA\[(.*)\]\]>\z", "$1"
+            )
+        )
+    )
     for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         loc = F.transform(loc, _replacing(entity, plain))
     return F.filter(loc, lambda u: u != "")
@@ -74,7 +82,10 @@ def sitemap_pages(files: DataFrame, start: DataFrame, max_rounds: int = 0) -> Da
     return out if out is not None else files.sparkSession.createDataFrame([], "sitemap string, position int, url string")
 
 
-def accepted_counts(pages: DataFrame, domain: Column | None = None, exclude: Column | None = None, require: Column | None = None, seen: DataFrame | None = None) -> DataFrame:
+def accepted_counts(
+    pages: DataFrame, domain: Column | None = None, exclude: Column | None = None, require: Column | None = None,
+    seen: DataFrame | None = None
+) -> DataFrame:
     """(sitemap, n): how many URLs of (sitemap, position, url) a crawl takes over: valid, not seen (url, normalised) before, each
     once, for the sitemap that sorts first."""
     from ..operators.frontier import accepted, first_wins, normalized

@@ -17,7 +17,9 @@ from ..operators.incremental import CACHE, cache_rows
 STORED = "url string, content_hash string, title string, crawled_at string, content_length long, batch long"
 
 
-def arriving_pages(spark: SparkSession, folder: str, schema: str = "page_id long, url string, html string", files_per_trigger: int = 8) -> DataFrame:
+def arriving_pages(
+    spark: SparkSession, folder: str, schema: str = "page_id long, url string, html string", files_per_trigger: int = 8
+) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
@@ -28,7 +30,9 @@ def valid_pages(pages: DataFrame) -> DataFrame:
 
 def batch_rows(pages: DataFrame, crawled_at: Column) -> DataFrame:
     """The cache's rows of one batch, a row for each URL; of versions alike in time, the one with the larger hash."""
-    rows = cache_rows(page_records(parse_pages(valid_pages(pages)), crawled_at).where("error IS NULL")).withColumn("crawled_at", F.col("crawled_at").cast("string"))
+    rows = cache_rows(
+        page_records(parse_pages(valid_pages(pages)), crawled_at).where("error IS NULL")
+    ).withColumn("crawled_at", F.col("crawled_at").cast("string"))
     return last_wins(rows.withColumn("_order", F.struct("crawled_at", "content_hash")), "url", "_order").select(CACHE)
 
 

@@ -5,7 +5,10 @@ from corpusloom.operators import frontier, incremental, route, schedule, settle,
 
 
 def site(spark):
-    links = {"/": ["/om-oss", "/nyheter", "#x"], "/om-oss": ["/", "/djup"], "/nyheter": ["/djup", "/saknas"], "/djup": ["/slut", "/bild.png"], "/slut": [], "/ensam": ["/"]}
+    links = {
+        "/": ["/om-oss", "/nyheter", "#x"], "/om-oss": ["/", "/djup"], "/nyheter": ["/djup", "/saknas"],
+        "/djup": ["/slut", "/bild.png"], "/slut": [], "/ensam": ["/"]
+    }
     rows = [(f"https://a.se{u}", [(h, f"https://a.se{h}") for h in own]) for u, own in links.items()]
     return spark.createDataFrame(rows, "url string, links array<struct<href:string,target:string>>")
 
@@ -24,9 +27,16 @@ def test_crawl_limits_and_sitemap(spark):
 
 
 def test_crawl_keeps_to_its_site_words_and_robots(spark):
-    links = {"https://a.se/": ["https://b.se/", "https://www.a.se/ok", "/spam/1", "/privat/x", "/utan"], "https://b.se/": [], "https://www.a.se/ok": ["/djup"], "https://a.se/spam/1": [], "https://a.se/privat/x": [], "https://a.se/utan": []}
+    links = {
+        "https://a.se/": ["https://b.se/", "https://www.a.se/ok", "/spam/1", "/privat/x", "/utan"], "https://b.se/": [],
+        "https://www.a.se/ok": ["/djup"], "https://a.se/spam/1": [], "https://a.se/privat/x": [],
+        "https://a.se/utan": []
+    }
     full = lambda h: h if h.startswith("https") else f"https://a.se{h}"
-    pages = spark.createDataFrame([(u, [(h, full(h)) for h in own]) for u, own in links.items()], "url string, links array<struct<href:string,target:string>>")
+    pages = spark.createDataFrame(
+        [(u, [(h, full(h)) for h in own]) for u, own in links.items()],
+        "url string, links array<struct<href:string,target:string>>"
+    )
     seen = lambda **k: {r["url"].removeprefix("https://") for r in frontier.crawl(spark, pages, ["https://a.se/"], **k).collect()}
     everywhere = {"a.se/", "b.se/", "www.a.se/ok", "a.se/spam/1", "a.se/privat/x", "a.se/utan"}
     assert seen(strict_domain=False) == everywhere and seen() == everywhere - {"b.se/"}
@@ -37,7 +47,10 @@ def test_crawl_keeps_to_its_site_words_and_robots(spark):
 def test_crawl_takes_links_of_equal_score_as_they_were_met(spark):
     order = [f"/p{(7 * i) % 20:02d}" for i in range(20)]
     rows = [("https://a.se/", [(h, f"https://a.se{h}") for h in order])] + [(f"https://a.se{h}", []) for h in sorted(order)]
-    got = frontier.crawl(spark, spark.createDataFrame(rows, "url string, links array<struct<href:string,target:string>>"), ["https://a.se/"], max_pages=9)
+    got = frontier.crawl(
+        spark, spark.createDataFrame(rows, "url string, links array<struct<href:string,target:string>>"),
+        ["https://a.se/"], max_pages=9
+    )
     assert [r["url"].removeprefix("https://a.se") for r in got.orderBy("round", "place").collect()] == ["/", *order[:8]]
 
 
@@ -79,7 +92,10 @@ def test_change_detection(spark):
 
 
 def test_save_gate(spark):
-    rows = spark.createDataFrame([("x" * 50, "new"), ("x" * 51, "new"), ("x" * 51, "unchanged"), (None, "new")], "plain_text string, status string")
+    rows = spark.createDataFrame(
+        [("x" * 50, "new"), ("x" * 51, "new"), ("x" * 51, "unchanged"), (None, "new")],
+        "plain_text string, status string"
+    )
     assert incremental.to_save(rows).count() == 1 and incremental.to_save(rows, "No text").count() == 0
 
 
@@ -108,7 +124,9 @@ def test_schedule_keeps_distance(spark):
 
     rng = random.Random(1)
     rows = [(rng.choice("abc"), rng.randrange(10_000_000), i) for i in range(300)]
-    got = schedule.schedule(spark.createDataFrame(rows, "domain string, arrive_us long, id long"), F.lit(0.25)).orderBy("domain", "start_us").collect()
+    got = schedule.schedule(
+        spark.createDataFrame(rows, "domain string, arrive_us long, id long"), F.lit(0.25)
+    ).orderBy("domain", "start_us").collect()
     for x, y in zip(got, got[1:], strict=False):
         assert y["start_us"] >= y["arrive_us"] and (x["domain"] != y["domain"] or y["start_us"] - x["start_us"] >= 250_000)
 
@@ -121,7 +139,10 @@ def test_routes_and_labels(spark):
 
 
 def test_stats(spark):
-    rows = spark.createDataFrame([("s", x, x == "new") for x in ("new", "new", "unchanged", "failed", "expired", "document", "skipped")], "site string, status string, rendered boolean")
+    rows = spark.createDataFrame(
+        [("s", x, x == "new") for x in ("new", "new", "unchanged", "failed", "expired", "document", "skipped")],
+        "site string, status string, rendered boolean"
+    )
     got = stats.run_stats(rows, "site").first().asDict()
     assert got == {"site": "s", "visited": 3, "unchanged": 1, "failed": 2, "documents": 1, "playwright_fallbacks": 2, "saved": 2}
     assert stats.summary_line(stats.run_stats(rows, "site")).first()["line"] == " - s: 3 besökta, 2 fel."

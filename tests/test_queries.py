@@ -38,7 +38,9 @@ def test_query(spark, duck, sf, name):
 def test_pruning_and_pushdown(spark, sf):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan(engine.url_normalize(spark, sf))
-    assert "PushedFilters: [IsNotNull(url), StringStartsWith(url,https)]" in plan(spark.read.parquet(f"{sf}/pages.parquet").where("url LIKE 'https%'").select("page_id"))
+    assert "PushedFilters: [IsNotNull(url), StringStartsWith(url,https)]" in plan(
+        spark.read.parquet(f"{sf}/pages.parquet").where("url LIKE 'https%'").select("page_id")
+    )
 
 
 def test_entry(spark):

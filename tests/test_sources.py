@@ -11,7 +11,14 @@ CACHE = "url string, content_hash string, title string, crawled_at string, conte
 
 def test_sites(spark, tmp_path):
     path = tmp_path / "sites.json"
-    path.write_text(json.dumps([{"name": "Å b", "start_url": "https://WWW.a.se/", "exclude_keywords": ["X"], "remove_email": True}, {"start_url": "http://b.se", "max_pages": 3, "incremental": False}]))
+    path.write_text(
+        json.dumps(
+            [
+                {"name": "Å b", "start_url": "https://WWW.a.se/", "exclude_keywords": ["X"], "remove_email": True},
+                {"start_url": "http://b.se", "max_pages": 3, "incremental": False}
+            ]
+        )
+    )
     rows = {r["name"]: r for r in config.read_sites(spark, str(path)).collect()}
     assert rows["Å b"]["domain"] == "www.a.se" and rows["Å b"]["exclude_keywords"] == ["x"] and rows["Å b"]["output_dir"] == "server_data/a-b" and rows["Å b"]["incremental"]
     assert rows["Unknown"]["max_pages"] == 3 and not rows["Unknown"]["incremental"] and rows["Unknown"]["require_keywords"] == []
@@ -28,19 +35,31 @@ def test_robots(spark):
 
 def test_sitemap_loop_and_damage(spark):
     index = b'<s:sitemapindex xmlns:s="x"><s:sitemap><s:loc>i</s:loc></s:sitemap><s:sitemap><s:loc>p</s:loc></s:sitemap><s:sitemap><s:loc>bad.gz</s:loc></s:sitemap></s:sitemapindex>'
-    files = [("i", index), ("p", b"<urlset><url><loc><![CDATA[https://a/x]]></loc></url><url><loc></loc></url></urlset>"), ("bad.gz", b"no gzip")]
+    files = [
+        ("i", index), ("p", b"<urlset><url><loc><![CDATA[https://a/x]]></loc></url><url><loc></loc></url></urlset>"),
+        ("bad.gz", b"no gzip")
+    ]
     got = sitemap.sitemap_pages(spark.createDataFrame(files, "url string, body binary"), spark.createDataFrame([("i",)], "url string"))
     assert [tuple(r) for r in got.collect()] == [("p", 0, "https://a/x")]
 
 
 def test_responses(spark):
     rows = [
-        ("u1", "GET", 200, "text/html", None, b"<p>kort</p>", "<html>ritad</html>"), ("u2", "GET", 200, "application/pdf", 'filename="A b.pdf"', b"%PDF", None), ("u2", "GET", 200, "application/pdf", None, b"%PDF2", None),
+        (
+            "u1", "GET", 200, "text/html", None, b"<p>kort</p>", "<html>ritad</html>"
+        ), (
+            "u2", "GET", 200, "application/pdf", 'filename="A b.pdf"', b"%PDF", None
+        ), ("u2", "GET", 200, "application/pdf", None, b"%PDF2", None),
         ("u3", "GET", 404, "application/pdf", None, b"x", None), ("u4", "GET", 200, "image/png", None, b"x", None),
     ]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "url string, method string, status int, content_type string, disposition string, body binary, rendered_html string, fetched_at long")
+    df = spark.createDataFrame(
+        [(*r, i) for i, r in enumerate(rows)],
+        "url string, method string, status int, content_type string, disposition string, body binary, rendered_html string, fetched_at long"
+    )
     routed = {(r["url"], r["route"], r["rendered"], r["html"]) for r in responses.routed(df).collect()}
-    assert ("u1", "page", True, "<html>ritad</html>") in routed and ("u2", "skip_document", False, None) in routed and ("u4", "drop", False, None) in routed
+    assert (
+        "u1", "page", True, "<html>ritad</html>"
+    ) in routed and ("u2", "skip_document", False, None) in routed and ("u4", "drop", False, None) in routed
     got = responses.documents(df).collect()
     assert [(r["url"], bytes(r["body"])) for r in got] == [("u2", b"%PDF")] and got[0]["file_name"].startswith("a-b_")
     assert responses.documents(df, spark.createDataFrame([("u2",)], "url string")).count() == 0
@@ -51,16 +70,26 @@ def page(title, text):
 
 
 def test_run_and_second_run(spark, tmp_path):
-    pages = spark.createDataFrame([("https://a.se/x/", page("X", "ord " * 30)), ("https://a.se/kort", page("K", "för kort")), ("https://a.se/fel", "<title></title>"), ("https://a.se/b.png", "x")], "url string, html string")
+    pages = spark.createDataFrame(
+        [
+            ("https://a.se/x/", page("X", "ord " * 30)), ("https://a.se/kort", page("K", "för kort")),
+            ("https://a.se/fel", "<title></title>"), ("https://a.se/b.png", "x")
+        ],
+        "url string, html string"
+    )
     first = run_site(pages, spark.createDataFrame([], CACHE), F.lit("2026-01-01"))
-    assert {r["url"]: r["status"] for r in first.records.collect()} == {"https://a.se/x": "new", "https://a.se/kort": "new", "https://a.se/fel": "failed"}
+    assert {r["url"]: r["status"] for r in first.records.collect()} == {
+        "https://a.se/x": "new", "https://a.se/kort": "new", "https://a.se/fel": "failed"
+    }
     saved = first.saved.collect()
     assert len(saved) == 1 and saved[0]["payload"].startswith("# X\nKälla: https://a.se/x\n\n## X\nord ord")
     sinks.write_files(first.saved, str(tmp_path / "texter"))
     assert (tmp_path / "texter" / saved[0]["file_name"]).read_text() == saved[0]["payload"]
     cache = spark.read.parquet(sinks.write_cache(first.cache, str(tmp_path / "cache")))
     second = run_site(pages, cache, F.lit("2026-01-02"))
-    assert second.saved.count() == 0 and second.stats.first().asDict() == {"visited": 2, "unchanged": 2, "failed": 1, "documents": 0, "playwright_fallbacks": 0, "saved": 0}
+    assert second.saved.count() == 0 and second.stats.first().asDict() == {
+        "visited": 2, "unchanged": 2, "failed": 1, "documents": 0, "playwright_fallbacks": 0, "saved": 0
+    }
     assert {r["crawled_at"] for r in second.cache.collect()} == {"2026-01-02"}
     sinks.write_index(cache, str(tmp_path / "index"))
     head = [p.read_text().splitlines()[0] for p in (tmp_path / "index").glob("*.csv")]
@@ -74,9 +103,23 @@ def test_json_sink(spark):
 
 
 def test_many_sites(spark):
-    sites = config.with_defaults(spark.createDataFrame([("A", "https://www.a.se/", ["hemlig"], True), ("B", "https://b.se/", None, False)], "name string, start_url string, exclude_keywords array<string>, remove_email boolean").select("*", *(F.lit(None).cast(t).alias(c) for c, t in (x.strip().split(" ") for x in config.SCHEMA.split(", ")) if c not in ("name", "start_url", "exclude_keywords", "remove_email"))))
+    sites = config.with_defaults(
+        spark.createDataFrame(
+            [("A", "https://www.a.se/", ["hemlig"], True), ("B", "https://b.se/", None, False)],
+            "name string, start_url string, exclude_keywords array<string>, remove_email boolean"
+        ).select(
+            "*",
+            *(F.lit(None).cast(t).alias(c) for c, t in (x.strip().split(" ") for x in config.SCHEMA.split(", ")) if c not in ("name", "start_url", "exclude_keywords", "remove_email"))
+        )
+    )
     mail = "skriv till a@b.se " * 5
-    pages = spark.createDataFrame([("https://a.se/1", page("T", mail)), ("https://a.se/hemlig", page("T", mail)), ("https://b.se/1", page("T", mail)), ("https://c.se/1", page("T", mail))], "url string, html string")
+    pages = spark.createDataFrame(
+        [
+            ("https://a.se/1", page("T", mail)), ("https://a.se/hemlig", page("T", mail)),
+            ("https://b.se/1", page("T", mail)), ("https://c.se/1", page("T", mail))
+        ],
+        "url string, html string"
+    )
     run = run_sites(pages, sites, spark.createDataFrame([], CACHE), F.lit("nu"))
     assert {(r["site"], r["visited"]) for r in run.stats.collect()} == {("A", 1), ("B", 1)}
     assert {r["site"]: "a@b.se" in r["plain_text"] for r in run.records.collect()} == {"A": False, "B": True}
@@ -90,17 +133,31 @@ def settings(spark, rows, schema):
 
 def test_each_site_has_its_own_settings(spark):
     sites = settings(
-        spark, [("A", "https://a.se/", False, False, ".json", False, "headless", True), ("B", "https://b.se/", True, True, ".txt", True, "login_then_headless", False)],
+        spark, [
+            ("A", "https://a.se/", False, False, ".json", False, "headless", True),
+            ("B", "https://b.se/", True, True, ".txt", True, "login_then_headless", False)
+        ],
         "name string, start_url string, strict_domain boolean, respect_robots boolean, save_format string, incremental boolean, headless_mode string, download_docs boolean",
     )
     text = "ord " * 30
     login = "<html><title>in</title><input type='password' name=\"password\"></html>"
     pages = spark.createDataFrame(
-        [("A", "https://a.se/1", page("T", text)), ("A", "https://x.se/privat", page("T", text)), ("A", "https://a.se/in", login), ("B", "https://b.se/1", page("T", text)), ("B", "https://x.se/1", page("T", text)), ("B", "https://b.se/privat", page("T", text)), ("B", "https://b.se/in", login)],
+        [
+            ("A", "https://a.se/1", page("T", text)), ("A", "https://x.se/privat", page("T", text)),
+            ("A", "https://a.se/in", login), ("B", "https://b.se/1", page("T", text)),
+            ("B", "https://x.se/1", page("T", text)), ("B", "https://b.se/privat", page("T", text)),
+            ("B", "https://b.se/in", login)
+        ],
         "site string, url string, html string",
     )
-    robots_txt = spark.createDataFrame([("A", "User-agent: *\nDisallow: /privat"), ("B", "User-agent: *\nDisallow: /privat")], "site string, robots_txt string")
-    captured = spark.createDataFrame([(s, f"https://{s}.se/d.pdf", 200, "application/pdf", None, b"P", 1) for s in "AB"], "site string, url string, status int, content_type string, disposition string, body binary, fetched_at long")
+    robots_txt = spark.createDataFrame(
+        [("A", "User-agent: *\nDisallow: /privat"), ("B", "User-agent: *\nDisallow: /privat")],
+        "site string, robots_txt string"
+    )
+    captured = spark.createDataFrame(
+        [(s, f"https://{s}.se/d.pdf", 200, "application/pdf", None, b"P", 1) for s in "AB"],
+        "site string, url string, status int, content_type string, disposition string, body binary, fetched_at long"
+    )
     first = run_sites(pages, sites, spark.createDataFrame([], CACHE), F.lit("2026-01-01"), robots_txt, captured).keep()
     assert {(r["site"], r["url"].removeprefix("https://"), r["status"]) for r in first.records.collect()} == {
         ("A", "a.se/1", "new"), ("A", "x.se/privat", "new"), ("A", "a.se/in", "new"), ("B", "b.se/1", "new"), ("B", "b.se/in", "expired"),
@@ -127,7 +184,9 @@ def test_no_folder_of_its_own_on_a_cluster(monkeypatch):
 
     from corpusloom.sources.shared import shared_folder
 
-    context = lambda master: SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None)
+    context = lambda master: SimpleNamespace(
+        master=master, getConf=lambda: {}, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None
+    )
     with pytest.raises(RuntimeError):
         shared_folder(SimpleNamespace(sparkContext=context("spark://host:7077")))
     with pytest.raises(RuntimeError):
@@ -154,7 +213,9 @@ def test_reports(spark, tmp_path):
     threading.Thread(target=server.handle_request, daemon=True).start()
     stats = spark.createDataFrame([("b", 3, 1), ("a", 2, 0)], "site string, visited long, failed long")
     text = report.summary(stats)
-    assert report.post(f"http://127.0.0.1:{server.server_port}/x", text) and got == [{"text": " - a: 2 besökta, 0 fel.\n - b: 3 besökta, 1 fel."}]
+    assert report.post(f"http://127.0.0.1:{server.server_port}/x", text) and got == [
+        {"text": " - a: 2 besökta, 0 fel.\n - b: 3 besökta, 1 fel."}
+    ]
     server.server_close()
     assert not report.post("http://127.0.0.1:9/x", text, 1) and not report.post("ingen adress", text)
     log = report.run_log(str(tmp_path), "en")

@@ -13,7 +13,9 @@ def one(spark, value, make):
 @pytest.mark.parametrize(
     ("before", "after"),
     [
-        ("skriv till a.b+c@ex-1.se.", "skriv till [E-POST]."), ("19850312-1234", "[PERSONNUMMER]"), ("850372+1234 x", "[PERSONNUMMER] x"), ("851312-1234", "851312-1234"),
+        (
+            "skriv till a.b+c@ex-1.se.", "skriv till [E-POST]."
+        ), ("19850312-1234", "[PERSONNUMMER]"), ("850372+1234 x", "[PERSONNUMMER] x"), ("851312-1234", "851312-1234"),
         ("070-123 45 67", "[TELEFON]"), ("+46 (0)8 123 45 67", "[TELEFON]"), ("ip 999.1.1.1!", "ip [IP-ADRESS]!"), ("", ""), ("1.2.3", "1.2.3"),
     ],
 )
@@ -51,9 +53,13 @@ def test_chunk_counts(spark, n, count):
 
 
 def test_sections(spark):
-    sections = F.array(*(F.struct(F.lit(h).alias("heading"), t.alias("text")) for h, t in (("A", F.lit(" a ")), ("B", F.lit("  ")), ("C", F.repeat(F.lit("c "), 401)))))
+    sections = F.array(
+        *(F.struct(F.lit(h).alias("heading"), t.alias("text")) for h, t in (("A", F.lit(" a ")), ("B", F.lit("  ")), ("C", F.repeat(F.lit("c "), 401))))
+    )
     chunks = one(spark, "", lambda _: T.semantic_chunks(sections))
-    assert [(c["heading"], c["chunk_index"], c["total_chunks"], len(c["content"].split())) for c in chunks] == [("A", 1, 3, 1), ("C", 2, 3, 400), ("C (del 2)", 3, 3, 51)]
+    assert [
+        (c["heading"], c["chunk_index"], c["total_chunks"], len(c["content"].split())) for c in chunks
+    ] == [("A", 1, 3, 1), ("C", 2, 3, 400), ("C (del 2)", 3, 3, 51)]
     with pytest.raises(ValueError, match="overlap"):
         T.semantic_chunks(sections, 400, 0)
 
@@ -63,9 +69,13 @@ def test_markdown(spark):
     got = [(s["heading"], s["text"]) for s in one(spark, md, T.markdown_sections)]
     assert got == [("Huvudinnehåll", "före"), ("A", "text\n####### sju"), ("B", "x")]
     links = lambda t: T.absolute_markdown_links(t, F.lit("https://a.se/d/p"))
-    assert one(spark, "[x](y) /z [](q) [m](mailto:a) [h](#h) [](", links) == "[x](https://a.se/d/y) /z [](https://a.se/d/q) [m](mailto:a) [h](#h) []("
+    assert one(
+        spark, "[x](y) /z [](q) [m](mailto:a) [h](#h) [](", links
+    ) == "[x](https://a.se/d/y) /z [](https://a.se/d/q) [m](mailto:a) [h](#h) []("
 
 
 def test_no_python_in_plans(spark):
-    df = spark.createDataFrame([("x",)], "t string").select(T.text_chunks(T.clean_pii(F.col("t"))), T.clean_hash(F.col("t")), T.markdown_sections(F.col("t")))
+    df = spark.createDataFrame([("x",)], "t string").select(
+        T.text_chunks(T.clean_pii(F.col("t"))), T.clean_hash(F.col("t")), T.markdown_sections(F.col("t"))
+    )
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
