@@ -33,6 +33,8 @@ from ._arrow import let_go, sliced, slices, texts
 from ._exchange import hash_of, mix, prefix_hashes
 
 SHARPNESS = 1.0
+#: Hashes of units that are tried before it counts as an error that pieces don't give back their text.
+TRIES = 8
 SEED = 20
 #: Fixed value: SentencePiece's mark for a space.
 SPACE = "▁"
@@ -322,11 +324,12 @@ class Sampler:
         place = np.arange(len(begin)) - first[doc]
         row = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(self.seed * 0xD1342543DE82EF95 % (1 << 64)))
         key = mix(row[doc] ^ mix(place.astype(np.uint64) + np.uint64(1)))
-        while True:
+        for _ in range(TRIES):
             ids, count = self.lattices.sample(self.lattices.numbers(data, begin, length), key)
             if self.pieces.decode(ids) == joined:
                 return ids, np.append(0, np.cumsum(np.bincount(doc, count, len(raw)).astype(np.int64)))
             self.lattices.collided()  # two units with one hash: with another one, they differ
+        raise ValueError("the texts can't be put together from their pieces")
 
 
 def encode_pieces(docs: DataFrame, model: str, seed: int = SEED, sharpness: float = SHARPNESS, decoded: bool = False) -> DataFrame:
