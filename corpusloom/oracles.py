@@ -187,6 +187,17 @@ ORACLES = {
         "(2, 0, 'Tabell', '| A | B |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |')", "(3, 0, 'R', 'text med fet och [mer](https://a.se/d/y?z=1)')",
     ),
     "run_pages": f"WITH {RUN} SELECT {FILE} || '.md' AS file_name, {PAYLOAD} AS payload FROM taken WHERE length(plain_text) > 50",
+    "run_pages_json": f"""WITH {RUN}, w AS (
+            SELECT *, regexp_split_to_array(text, '\\s+') AS ws, CASE WHEN text = '' THEN 0 WHEN n <= 400 THEN 1 ELSE CAST(ceil((n - 50) / 350.0) AS BIGINT) END AS total FROM taken WHERE length(plain_text) > 50
+        ), c AS (
+            SELECT *, list_transform(range(0, total), lambda k: '    {{' || chr(10) || '      "heading": ' || to_json(heading || CASE WHEN k = 0 THEN '' ELSE ' (del ' || (k + 1) || ')' END) || ',' || chr(10)
+                || '      "content": ' || to_json(CASE WHEN n <= 400 THEN text ELSE array_to_string(ws[350 * k + 1 : 350 * k + 400], ' ') END) || ',' || chr(10)
+                || '      "chunk_index": ' || (k + 1) || ',' || chr(10) || '      "total_chunks": ' || total || chr(10) || '    }}') AS chunks FROM w
+        )
+        SELECT {FILE} || '.json' AS file_name, '{{' || chr(10) || '  "title": ' || to_json(title) || ',' || chr(10) || '  "url": ' || to_json(norm) || ',' || chr(10)
+            || '  "crawled_at": "2026-01-01T00:00:00",' || chr(10) || '  "author": "",' || chr(10) || '  "published_date": "",' || chr(10) || '  "modified_date": "",' || chr(10)
+            || '  "language": ' || to_json(language) || ',' || chr(10) || '  "og_type": "",' || chr(10) || '  "description": "",' || chr(10) || '  "keywords": [],' || chr(10)
+            || '  "chunks": [' || chr(10) || array_to_string(chunks, ',' || chr(10)) || chr(10) || '  ]' || chr(10) || '}}' AS payload FROM c""",
     "sites_stats": f"WITH {RUN}, {SITE} SELECT site, count(*) AS visited, 0::BIGINT AS unchanged, 0::BIGINT AS failed, 0::BIGINT AS documents, count(*) AS saved FROM ruled GROUP BY site",
     "sites_saved": f"WITH {RUN}, {SITE} SELECT {FILE} || CASE site WHEN 'mobil' THEN '.txt' ELSE '.md' END AS file_name, sha256({PAYLOAD.replace('|| plain_text', '|| plain_text')}) AS payload_sha256 FROM ruled WHERE site <> 'fr' AND length(plain_text) > 50",
     "responses_routed": _values(
@@ -231,7 +242,7 @@ ORACLES = {
     "cache_upsert": f"WITH {DOCS} SELECT * FROM upserted",
     "cache_scan": f"WITH {DOCS} SELECT url, title, crawled_at, content_hash, row_number() OVER (ORDER BY crawled_at DESC, url) AS place FROM upserted",
     "incremental_status": f"WITH {DOCS} SELECT d.url, d.content_hash, CASE WHEN o.url IS NULL THEN 'new' WHEN o.content_hash = d.content_hash THEN 'unchanged' ELSE 'changed' END AS status FROM docs d LEFT JOIN old o USING (url)",
-    "index_csv": f"WITH {DOCS} SELECT url AS page, title AS titel, strftime(crawled_at, '%Y-%m-%d %H:%M:%S') AS fetched, 'doc' || doc_id || '_' || left(content_hash, 6) || '.md' AS filnamn FROM docs",
+    "index_csv": f"WITH {DOCS} SELECT url AS page, title AS titel, strftime(crawled_at, '%Y-%m-%d %H:%M:%S') AS fetched, 'doc' || doc_id || '_' || left(content_hash, 6) || '.md' AS filnamn, row_number() OVER (ORDER BY crawled_at DESC, url) AS place FROM docs",
     "crawl_stats": f"WITH {STATS} SELECT *, visited - unchanged AS saved FROM st",
     "crawl_rate": "SELECT user_id % 7 AS site, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS seconds, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000), 6) AS rate FROM events GROUP BY 1",
     "summary_lines": f"WITH {STATS} SELECT site, ' - ' || site || ': ' || visited || ' besökta, ' || failed || ' fel.' AS line FROM st",

@@ -9,7 +9,7 @@ from .functions import text as T
 from .functions import urls as U
 from .functions.dates import page_dates
 from .operators import extract, frontier, incremental, maintext, route, schedule, stats
-from .operators.settle import settled
+from .operators.settle import placed, settled
 from .plans.runs import run_site, run_sites
 from .sources import config, report, responses, robots, sinks, sitemap
 
@@ -203,6 +203,11 @@ def run_pages(spark, d):
     return run_site(_pages(spark, d), spark.createDataFrame([], NO_CACHE), F.lit(FETCHED)).saved
 
 
+def run_pages_json(spark, d):
+    """The same as JSON files, with all fields."""
+    return run_site(_pages(spark, d), spark.createDataFrame([], NO_CACHE), F.lit(FETCHED), ".json").saved
+
+
 #: name, start_url, strict_domain, exclude_keywords, respect_robots, save_format
 SITES = [
     ("mobil", "https://m.site.example/", False, ["/de/"], False, ".txt"),
@@ -367,11 +372,11 @@ def incremental_status(spark, d):
 
 
 def index_csv(spark, d):
+    """The index, and each line's place in it."""
     docs, _ = _cache(spark, d)
-    return incremental.index_rows(docs, ".md").select(
-        F.col("URL").alias("page"), F.col("Titel").alias("titel"), F.col("Hämtad_Datum").alias("fetched"),
-        F.col("Filnamn").alias("filnamn")
-    )
+    names = {"page": "URL", "titel": "Titel", "fetched": "Hämtad_Datum", "filnamn": "Filnamn"}
+    lines = incremental.index_rows(docs, ".md").select(*(F.col(old).alias(new) for new, old in names.items()))
+    return placed(lines, F.desc("fetched"), "page")
 
 
 def crawl_stats(spark, d):
@@ -744,7 +749,7 @@ def site_settings(spark, d):
 
 def queries() -> dict:
     names = """url_normalize url_distinct url_valid url_keywords frontier_score frontier_topk frontier_dedup links_extracted links_resolved links_parsed links_new
-        frontier_expand expand_gate crawl_visits page_title page_lang page_title_parsed page_sections page_record page_main_text page_metadata page_shapes run_pages sites_stats
+        frontier_expand expand_gate crawl_visits page_title page_lang page_title_parsed page_sections page_record page_main_text page_metadata page_shapes run_pages run_pages_json sites_stats
         sites_saved js_render_needed session_expired content_hash pii_email pii_pnr pii_phone pii_ip pii_masked pii_texts chunks chunk_stats chunk_headings masked_chunks slug_filename
         cache_upsert cache_scan incremental_status index_csv crawl_stats crawl_rate summary_lines eta eta_events rate_limit_schedule delay_resolution delay_events route_events backoff_schedule content_route status_label
         save_gate sink_json sink_md json_files responses_routed responses_documents head_probes cookie_headers newest_events table_titles keyword_lists md_sections md_links page_date_cascade doc_filename robots_allow robots_pages

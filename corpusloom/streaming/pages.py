@@ -6,6 +6,7 @@ writes the same part anew. Reading takes the latest row of each URL; `compact` p
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,14 +47,21 @@ def start(pages: DataFrame, cache_folder: str, checkpoint: str, crawled_at: Colu
     return pages.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _parts(spark: SparkSession, cache_folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(STORED).parquet(cache_folder)
+    except AnalysisException:  # before the first batch there is no folder
+        return spark.createDataFrame([], STORED)
+
+
 def current_cache(spark: SparkSession, cache_folder: str) -> DataFrame:
-    """The latest row of each URL: by time, then by batch."""
-    rows = spark.read.schema(STORED).parquet(cache_folder)
-    return last_wins(rows.withColumn("_order", F.struct("crawled_at", "batch", "content_hash")), "url", "_order").select(CACHE)
+    """The latest row of each URL: by time, then by batch. Empty before the first batch."""
+    order = F.struct("crawled_at", "batch", "content_hash")
+    return last_wins(_parts(spark, cache_folder).withColumn("_order", order), "url", "_order").select(CACHE)
 
 
 def compact(spark: SparkSession, cache_folder: str, into: str) -> None:
     """The current cache as the one part of a new folder, as of the latest batch: later parts can be written beside it."""
-    latest = spark.read.schema(STORED).parquet(cache_folder).agg(F.max("batch")).first()[0]
+    latest = _parts(spark, cache_folder).agg(F.max("batch")).first()[0]
     if latest is not None:
         current_cache(spark, cache_folder).write.mode("overwrite").parquet(f"{into}/batch={latest}")

@@ -18,6 +18,11 @@ def test_stream_gives_what_a_batch_gives(spark, sf, tmp_path):
     assert set(got) == {r[0] for r in want} and len(got) > 10 and sum(got[r[0]] == r for r in want) > 0.9 * len(want)
 
 
+def test_no_batch_yet(spark, tmp_path):
+    assert S.current_cache(spark, str(tmp_path / "ingen")).collect() == []
+    S.compact(spark, str(tmp_path / "ingen"), str(tmp_path / "liten"))
+
+
 def test_later_versions_replace_earlier_ones(spark, tmp_path):
     html = lambda t: f"<html><title>{t}</title><p>{t * 20}</p></html>"
     take = lambda at: S.start(
