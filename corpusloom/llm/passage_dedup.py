@@ -9,14 +9,15 @@ without doc_id count as earliest, in the order of a hash of their texts, equal o
 2. Probe. Every rolling window of BLOCK words, of every document, is looked up in the index. Probes travel as sorted
    32-bit fingerprints by bucket (the bucket holds the rest of the hash), distinct in their batch; a bucket answers each
    batch with the blocks that another batch probes too. Repeats inside a batch are found there.
-3. Extend. A hit is grown to both sides, word by word, to every window around it: for all windows that hold a hit block,
-   batches send the fingerprint and their least doc_id; a bucket answers with those that start in a smaller document
-   elsewhere. Consecutive windows are one maximal repeat; where two batches share no window, nothing is removed. (Growing
-   pairs of occurrences against each other would give the same, at the cost of a pair for each two documents that share a
-   passage.)
-
-Blocks are looked up by 64-bit polynomial hashes of word hashes; a false hit only costs a candidate. Windows are compared by
-96 bits: that hash, and 32 bits of one over independent word hashes. Words are runs of bytes other than space and \\t\\n\\v\\f\\r, unchanged.
+3. Extend. Every window around a hit takes, of the hits in it, the one with the least hash as its anchor: equal windows
+   take the same one at the same place. Neighbouring windows with one anchor are a run of at most SPAN - BLOCK + 1, and
+   travel as the run's words to the anchor's bucket (runs alike in a batch once, with their least doc_id). There each run
+   is held against the runs of smaller documents at the same anchor that it may have windows in common with: the match is
+   grown from the anchor to the left and to the right, word by word, as far as both agree, and all windows inside it are
+   repeats. Runs' repeats that touch are one maximal repeat of the document.
+
+Hashes are 64-bit polynomial hashes of word hashes. They find hits, anchors and partners; whether two occurrences agree is
+seen by their words (64 bits each), inside a batch by two hashes of all of a run's words. Words are runs of bytes other than space and \\t\\n\\v\\f\\r, unchanged.
 Null and empty texts have no words; a text of under SPAN words keeps all. Whole copies of an earlier text of SPAN words
 or more lose all words. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
@@ -31,13 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import slices
-from ._exchange import PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealing, dealt, distinct, hash_of, is_copy, mix, pack, prefix_hashes
+from ._exchange import ODD, PACKED, Batch, Rows, buckets, by_batch, by_bucket, copies, dealing, dealt, distinct, hash_of, is_copy, mix, pack, prefix_hashes
 
 SPAN = 50
 BLOCK = SPAN // 2
 CHUNK = 2 << 20
-#: Kinds of entries: blocks of the index and probes, hits; windows, repeats.
-PROBES, HITS, WINDOWS, REPEATS = 0, 1, 2, 3
+#: Windows around a hit.
+AROUND = SPAN - BLOCK + 1
+#: Kinds of entries: blocks of the index and probes, hits; runs, repeats.
+PROBES, HITS, RUNS, REPEATS = 0, 1, 2, 3
+#: Pairs of runs that are compared at once.
+PAIRS = 1 << 13
 #: The bytes that separate words.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -63,7 +68,7 @@ class Words:
         self.count = np.diff(self.first)
         self.ids = mix(hash_of(prefix_hashes(raw), self.begin, self.end - self.begin) ^ (self.end - self.begin).astype(np.uint64))
         self.prefix = prefix_hashes(self.ids)
-        self.second: np.ndarray | None = None
+        self.begins = begins
 
     def starts(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, document) of each window."""
@@ -74,12 +79,6 @@ class Words:
     def hashes(self, start: np.ndarray, span: int) -> np.ndarray:
         return mix(hash_of(self.prefix, start, span) ^ np.uint64(span))
 
-    def checks(self, start: np.ndarray, span: int) -> np.ndarray:
-        """32 bits more, over other hashes of the words."""
-        if self.second is None:
-            self.second = prefix_hashes(mix(self.ids + np.uint64(0xA0761D6478BD642F)))
-        return (mix(hash_of(self.second, start, span)) >> np.uint64(32)).astype(np.uint32)
-
 
 def _chunks(batch: Batch, skip: np.ndarray):
     rows = np.flatnonzero(~skip & (batch.size >= 2 * SPAN - 1))
@@ -149,94 +148,166 @@ def _hits(given: dict) -> dict[int, np.ndarray]:
     return {int(r[0]): _widen(planes) for r, *planes in given.get(HITS, ())}
 
 
-def _candidates(batch: Batch, given: dict, n: int):
-    """(rows, words, start, doc, hash, check) of the windows that hold a hit block, a chunk at a time."""
-    skip = is_copy(batch, given)
+def _known_hits(batch: Batch, given: dict, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints with buckets that were answered, hashes of the batch's own blocks that two of its documents have)."""
     answered = _hits(given)
-    keys = np.sort(
-        np.concatenate([(f.astype(np.uint64) << np.uint64(32)) | np.uint64(r) for r, f in answered.items()])
-    ) if answered else np.zeros(0, np.uint64)
-    blocks, probes = [], []
-    for _, words in _chunks(batch, skip):
-        start, doc = words.starts(BLOCK)
-        h = words.hashes(start, BLOCK)
-        probes.append(distinct(h))
-        blocks.append(distinct(h[(start - words.first[doc]) % BLOCK == 0]))
-    local = np.zeros(0, np.uint64)
-    if probes:
-        # a block of one chunk that another probes, or two documents of one chunk
-        h, count = np.unique(np.concatenate(probes), return_counts=True)
-        local = np.intersect1d(h[count > 1], distinct(np.concatenate(blocks)))
+    keys = [(f.astype(np.uint64) << np.uint64(32)) | np.uint64(r) for r, f in answered.items()]
+    blocks, found = [], []
     for rows, words in _chunks(batch, skip):
         start, doc = words.starts(BLOCK)
         h = words.hashes(start, BLOCK)
-        finger = (_fingers(h, n).astype(np.uint64) << np.uint64(32)) | (h % np.uint64(n))
-        hit = np.isin(finger, keys) | np.isin(h, local)
-        order = np.lexsort((doc, h))  # blocks of one document that another document of the chunk has
+        order = np.argsort(h, kind="stable")  # documents of one block stay in order
+        edge = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else np.zeros(0, np.int64)
+        last = np.append(edge[1:], len(h)) - 1 if len(h) else edge
+        found.append((h[order[edge]], rows[doc[order[edge]]], rows[doc[order[last]]]))
+        blocks.append(distinct(h[(start - words.first[doc]) % BLOCK == 0]))
+    own = np.zeros(0, np.uint64)
+    if found:
+        h, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(h, kind="stable")
+        h, edge = h[order], np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if len(h):
+            several = np.minimum.reduceat(low[order], edge) < np.maximum.reduceat(high[order], edge)
+            own = np.intersect1d(h[edge][several], distinct(np.concatenate(blocks)), assume_unique=True)
+    return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), own
+
+
+def _anchors(words: Words, at: np.ndarray, h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The hit with the least hash, of equal ones the first, in each window that begins at `start`; -1: none. at, h: hits."""
+    least = np.full(len(words.begin) + AROUND, np.iinfo(np.uint64).max)
+    least[at] = np.minimum(h, np.iinfo(np.uint64).max - np.uint64(1))
+    place, width = np.arange(len(least)), 1
+
+    def later(by: int) -> None:
+        nonlocal least, place
+        ahead = np.append(least[by:], np.full(by, np.iinfo(np.uint64).max))
+        take = ahead < least
+        least, place = np.where(take, ahead, least), np.where(take, np.append(place[by:], place[:by]), place)
+
+    while 2 * width <= AROUND:
+        later(width)
+        width *= 2
+    later(AROUND - width)
+    return np.where(least[start] < np.iinfo(np.uint64).max, place[start], -1)
+
+
+class _Runs:
+    """All runs of a batch: row, first word, windows, anchor's offset, hashes of the anchor and (two) of all words, bytes in the row's text."""
+
+    NAMES = ("row", "first", "count", "offset", "anchor", "content", "check", "begin", "end")
+
+    def __init__(self, batch: Batch, given: dict, n: int):
+        skip = is_copy(batch, given)
+        keys, own = _known_hits(batch, given, skip)
+        parts: list[list[np.ndarray]] = []
+        for rows, words in _chunks(batch, skip):
+            at, _ = words.starts(BLOCK)
+            h = words.hashes(at, BLOCK)
+            hit = np.isin((_fingers(h, n).astype(np.uint64) << np.uint64(32)) | (h % np.uint64(n)), keys) | np.isin(h, own)
+            start, doc = words.starts(SPAN)
+            anchor = _anchors(words, at[hit], h[hit], start)
+            start, doc, anchor = (x[anchor >= 0] for x in (start, doc, anchor))
+            opens = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(anchor) != 0))) if len(start) else np.zeros(0, np.int64)
+            count = np.diff(np.append(opens, len(start)))
+            first, doc, anchor = start[opens], doc[opens], anchor[opens]
+            content, check = (hash_of(x, first, count + SPAN - 1) for x in (words.prefix, prefix_hashes(mix(words.ids + ODD))))
+            shift = words.begins[doc]
+            whole = words.begin[first] - shift, words.end[first + count + SPAN - 2] - shift
+            parts.append([rows[doc], first - words.first[doc], count, anchor - first, words.hashes(anchor, BLOCK), content, check, *whole])
+        for name, x in zip(self.NAMES, zip(*parts, strict=True) if parts else [[np.zeros(0, np.int64)]] * len(self.NAMES), strict=True):
+            setattr(self, name, np.concatenate(x))
+        self.doc_id = batch.doc_id[self.row]
+        # of runs alike, the one with the least doc_id speaks for all; in order of bucket
+        r = self.anchor.astype(np.uint64) % np.uint64(n)
+        order = np.lexsort((self.doc_id, self.check, self.content, self.offset, self.count, self.anchor, r))
         x, y = order[:-1], order[1:]
-        more = distinct(h[x[(h[x] == h[y]) & (doc[x] != doc[y])]])
-        hit |= np.isin(h, more)
-        held = np.zeros(len(words.begin) + 1, np.int64)
-        np.cumsum(np.bincount(start[hit], minlength=len(words.begin)), out=held[1:])
-        start, doc = words.starts(SPAN)
-        whole = held[start + SPAN - BLOCK + 1] > held[start]
-        start, doc = start[whole], doc[whole]
-        yield rows, words, start, doc, words.hashes(start, SPAN), words.checks(start, SPAN)
-
-
-def _first_of_each(h: np.ndarray, check: np.ndarray, *last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an order by fingerprint and then by `last`, whether an element of it is the first of its fingerprint)."""
-    order = np.lexsort((*last[::-1], check, h))
-    x, y = order[:-1], order[1:]
-    return order, np.append(True, (h[x] != h[y]) | (check[x] != check[y])) if len(order) else np.zeros(0, bool)
-
-
-def _places(h: np.ndarray, check: np.ndarray, known: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """Where each fingerprint is among those that are known, distinct and in order; -1: it isn't."""
-    low, high = np.searchsorted(known, h), np.searchsorted(known, h, "right")
-    at = np.full(len(h), -1)
-    while (open_ := np.flatnonzero((at < 0) & (low < high))).size:
-        same = checks[low[open_]] == check[open_]
-        at[open_[same]] = low[open_[same]]
-        low[open_] += 1
-    return at
-
-
-def _firsts(batch: Batch, found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, check, least doc_id) of a batch's distinct windows, in order."""
-    rows, h, check = (np.concatenate(x) for x in zip(*((rows[doc], h, check) for rows, _, _, doc, h, check in found), strict=True))
-    ids = batch.doc_id[rows]
-    order, fresh = _first_of_each(h, check, ids)
-    return h[order[fresh]], check[order[fresh]], ids[order[fresh]]
-
-
-def _ship_windows(n: int):
+        fresh = np.append(
+            True,
+            np.any([getattr(self, k)[x] != getattr(self, k)[y] for k in ("anchor", "count", "offset", "content", "check")], axis=0)
+        ) if len(order) else np.zeros(0, bool)
+        self.leaders = order[fresh]
+        self.leader = np.zeros(len(order), np.int64)  # place of each run's leader among the leaders
+        self.leader[order] = np.cumsum(fresh) - 1
+        self.edges = np.searchsorted(r[self.leaders], np.arange(n + 1, dtype=np.uint64))
+
+
+def _ship_runs(n: int):
     def fn(batch: Batch, given: dict) -> pa.Table:
-        out, found = Rows(), [(rows, None, None, doc, h, check) for rows, _, _, doc, h, check in _candidates(batch, given, n)]
-        if found:
-            h, check, doc_id = _firsts(batch, found)
-            order, edges = buckets(h, n)
-            for r in np.flatnonzero(np.diff(edges)).tolist():
-                own = order[edges[r] : edges[r + 1]]
-                ids, which = np.unique(doc_id[own], return_inverse=True)
-                out.add(r, batch.b, WINDOWS, pack(h[own], check[own], ids, which.astype(np.uint32)))
+        out, runs = Rows(), _Runs(batch, given, n)
+        for r in np.flatnonzero(np.diff(runs.edges)).tolist():
+            own = runs.leaders[runs.edges[r] : runs.edges[r + 1]]
+            ids, which = np.unique(runs.doc_id[own], return_inverse=True)
+            said = b" ".join(
+                batch.texts[row][a:b] for row, a, b in zip(
+                    runs.row[own].tolist(), runs.begin[own].tolist(), runs.end[own].tolist(), strict=True
+                )
+            )
+            out.add(
+                r, batch.b, RUNS,
+                pack(
+                    runs.count[own].astype(np.uint8), runs.offset[own].astype(np.uint8), ids, which.astype(np.uint32),
+                    np.frombuffer(said, np.uint8)
+                )
+            )
         return out.table()
 
     return fn
 
 
-def _answer_windows(r: int, entries: list, out: Rows) -> None:
-    h, check = (np.concatenate([x[2][i] for x in entries]) for i in (0, 1))
-    doc = np.concatenate([ids[which] for _, _, (_, _, ids, which) in entries])
-    order, fresh = _first_of_each(h, check, doc)
-    later = np.zeros(len(h), bool)
-    later[order] = doc[order] > doc[order[np.flatnonzero(fresh)]][np.cumsum(fresh) - 1]
+def _grown(ids: np.ndarray, x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words agree to the left of the words x and y, at most `left`, and from them on to the right, at most `right`."""
+    out = []
+    for most, sign, shift in ((left, -1, 1), (right, 1, 0)):
+        step = np.arange(int(most.max(initial=0)))
+        inside = step < most[:, None]
+        near = [np.where(inside, at[:, None] + sign * (step + shift), 0) for at in (x, y)]
+        agree = inside & (ids[near[0]] == ids[near[1]])
+        out.append(np.where(agree.all(axis=1), len(step), np.argmin(agree, axis=1)) if len(step) else np.zeros(len(x), np.int64))
+    return np.minimum(out[0], left), np.minimum(out[1], right)
+
+
+def _extend(r: int, entries: list, out: Rows) -> None:
+    count, offset = (np.concatenate([x[2][i] for x in entries]).astype(np.int64) for i in (0, 1))
+    doc = np.concatenate([ids[which] for _, _, (_, _, ids, which, _) in entries])
+    ids = np.concatenate([Words([raw.tobytes()]).ids for _, _, (*_, raw) in entries])
+    size = count + SPAN - 1
+    first = np.cumsum(size) - size
+    prefix = prefix_hashes(ids)
+    # windows of all runs; those of one hash, with the least document first
+    run = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    h = hash_of(prefix, first[run] + step, SPAN)
+    order = np.lexsort((doc[run], h))
+    fresh = np.append(True, h[order[1:]] != h[order[:-1]]) if len(order) else np.zeros(0, bool)
+    partner = np.zeros(len(run), np.int64)
+    partner[order] = run[order[np.flatnonzero(fresh)]][np.cumsum(fresh) - 1]
+    some = np.flatnonzero(doc[run] > doc[partner])
+    mask = np.zeros(len(count), np.uint32)
+    # each run with each of its partners: the match around their anchors
+    pair, where = np.unique(run[some] * np.int64(len(count)) + partner[some], return_inverse=True)
+    i, j = pair // max(len(count), 1), pair % max(len(count), 1)
+    left, right = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+    for a in range(0, len(pair), PAIRS):
+        x, y = i[a : a + PAIRS], j[a : a + PAIRS]
+        left[a : a + PAIRS], right[a : a + PAIRS] = _grown(
+            ids, first[x] + offset[x], first[y] + offset[y], np.minimum(offset[x], offset[y]),
+            np.minimum(size[x] - offset[x], size[y] - offset[y])
+        )
+    back = offset[run[some]] - step[some]  # words of the window before the anchor
+    good = (back <= left[where]) & (SPAN - back <= right[where])
+    np.bitwise_or.at(mask, run[some[good]], np.uint32(1) << step[some[good]].astype(np.uint32))
+    for k in np.unique(h[some[~good]]).tolist():  # equal hashes of other words: by the words themselves
+        seen: dict[bytes, int] = {}
+        for w in order[np.searchsorted(h[order], k) : np.searchsorted(h[order], k, "right")].tolist():
+            words = ids[first[run[w]] + step[w] :][:SPAN].tobytes()
+            if seen.setdefault(words, doc[run[w]]) < doc[run[w]]:
+                mask[run[w]] |= np.uint32(1 << int(step[w]))
     at = 0
-    for b, _, (own, own_check, _, _) in entries:
-        mine = later[at : at + len(own)]
+    for b, _, (own, *_) in entries:
+        mine = mask[at : at + len(own)]
         at += len(own)
         if mine.any():
-            out.add(r, b, REPEATS, pack(own[mine], own_check[mine]))
+            out.add(r, b, REPEATS, pack(np.array([r], np.int32), mine))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, text_sha256 string"
@@ -247,24 +318,24 @@ RESULT_ARROW = pa.schema(
 
 def _apply(n: int, keep_space: bool):
     def fn(batch: Batch, given: dict) -> pa.Table:
-        skip = is_copy(batch, given)
-        answers = given.get(REPEATS, ())
-        later = [np.concatenate(x) for x in zip(*answers, strict=True)] if answers else [np.zeros(0, np.uint64), np.zeros(0, np.uint32)]
-        order, _ = _first_of_each(*later)
-        later = [x[order] for x in later]
+        skip, runs = is_copy(batch, given), _Runs(batch, given, n)
+        told = np.zeros(len(runs.leaders), np.uint32)
+        for (r,), mask in given.get(REPEATS, ()):
+            told[runs.edges[r] : runs.edges[r + 1]] = mask
+        # what a smaller document of the batch has too is a repeat as a whole
+        again = runs.doc_id > runs.doc_id[runs.leaders[runs.leader]]
+        mask = np.where(again, (np.uint32(1) << runs.count.astype(np.uint32)) - np.uint32(1), told[runs.leader])
+        run, step = np.nonzero(np.unpackbits(mask.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
+        row, start = runs.row[run], runs.first[run] + step
+        order = np.argsort(row, kind="stable")
+        row, start = row[order], start[order]
         gone: dict[int, np.ndarray] = {}
-        parts = [(rows, words.first, start, doc, h, check) for rows, words, start, doc, h, check in _candidates(batch, given, n)]
-        # of this batch's own windows the first document is known here
-        firsts = _firsts(batch, parts) if parts else None
-        for rows, word0, start, doc, h, check in parts:
-            least = firsts[2][_places(h, check, *firsts[:2])]
-            repeat = (_places(h, check, *later) >= 0) | (batch.doc_id[rows[doc]] > least)
-            edge = np.zeros(word0[-1] + 1, np.int64)
-            np.add.at(edge, start[repeat], 1)
-            np.add.at(edge, start[repeat] + SPAN, -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            for i in np.unique(doc[repeat]).tolist():
-                gone[int(rows[i])] = covered[word0[i] : word0[i + 1]]
+        edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(row)], strict=False):
+            own = start[a:b]
+            edge = np.bincount(own, minlength=own.max() + SPAN + 1)
+            edge[SPAN:] -= edge[:-SPAN].copy()
+            gone[int(row[a])] = np.cumsum(edge) > 0
         count, removed, kept = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), []
         for i, text in enumerate(batch.texts):
             begin, end = word_spans(np.frombuffer(text, np.uint8)) if i in gone else (None, None)
@@ -276,7 +347,8 @@ def _apply(n: int, keep_space: bool):
                     words = []
                 kept.append(text if keep_space and not removed[i] else b" ".join(words))
                 continue
-            out = gone[i]
+            out = np.zeros(len(begin), bool)
+            out[: len(gone[i])] = gone[i][: len(out)]
             count[i], removed[i] = len(begin), out.sum()
             if not keep_space:
                 kept.append(b" ".join(text[a:b] for a, b in zip(begin[~out].tolist(), end[~out].tolist(), strict=True)))
@@ -307,7 +379,7 @@ def passage_dedup(docs: DataFrame, keep_space: bool = False) -> DataFrame:
     n, batches = deal.buckets, dealt(docs, deal)
     same = copies(batches, deal)
     hits = by_bucket(by_batch(batches, same, _index_and_probe(n), PACKED), _answer_probes, deal).unionAll(same)
-    found = by_bucket(by_batch(batches, hits, _ship_windows(n), PACKED), _answer_windows, deal)
+    found = by_bucket(by_batch(batches, hits, _ship_runs(n), PACKED), _extend, deal)
     return by_batch(batches, found.unionAll(hits), _apply(n, keep_space), RESULT)
 
 

@@ -579,14 +579,53 @@ def test_batches_follow_the_bytes(spark, docs, monkeypatch):
     assert got == passage_dedup.brute_force(rows)
 
 
-def test_fingerprints_of_two_parts():
-    h, check = np.array([5, 5, 7, 5, 7], np.uint64), np.array([2, 1, 3, 2, 4], np.uint32)
-    order, fresh = passage_dedup._first_of_each(h, check, np.array([9, 8, 7, 6, 5]))
-    assert order.tolist() == [1, 3, 0, 2, 4] and fresh.tolist() == [True, True, False, True, True]
-    known, checks = h[order[fresh]], check[order[fresh]]
-    assert passage_dedup._places(
-        np.array([5, 5, 7, 7, 6], np.uint64), np.array([1, 2, 4, 9, 1], np.uint32), known, checks
-    ).tolist() == [0, 1, 3, -1, -1]
+def test_anchors_of_equal_windows_agree():
+    rng = np.random.default_rng(16)
+    shared = " ".join(f"s{i}" for i in rng.integers(0, 1000, 80))
+    words = passage_dedup.Words([f"a b c {shared} d".encode(), f"{shared} x y".encode(), " ".join(f"u{i}" for i in range(120)).encode()])
+    at, _ = words.starts(passage_dedup.BLOCK)
+    h = words.hashes(at, passage_dedup.BLOCK)
+    hit = h % np.uint64(5) == 0
+    start, doc = words.starts(passage_dedup.SPAN)
+    anchor = passage_dedup._anchors(words, at[hit], h[hit], start)
+    for s, p in zip(start.tolist(), anchor.tolist(), strict=True):
+        near = [(h[k], at[k]) for k in np.flatnonzero(hit) if s <= at[k] <= s + passage_dedup.SPAN - passage_dedup.BLOCK]
+        assert p == (min(near)[1] if near else -1)
+    one, two = (anchor[doc == d] - start[doc == d] for d in (0, 1))
+    assert (one[3:34] == two[:31]).all()
+
+
+def test_matches_are_grown_from_anchors():
+    ids = np.array([1, 2, 3, 4, 5, 6, 9, 2, 3, 4, 5, 7], np.uint64)
+    x, y, three = np.array([2, 2, 2]), np.array([8, 8, 8]), np.array([2, 1, 0])
+    left, right = passage_dedup._grown(ids, x, y, three, np.array([4, 2, 3]))
+    assert left.tolist() == [1, 1, 0] and right.tolist() == [3, 2, 3]
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that is the same for all windows, what runs have in common is still seen."""
+    words = [f"w{i}" for i in range(75)]
+    said = [words, words, [*words[:70], *"abcde"], ["x", *words[1:]]]
+    pack = lambda d, w: (
+        0, passage_dedup.RUNS,
+        [
+            np.array([26], np.uint8), np.array([25], np.uint8), np.array([d]), np.array([0], np.uint32),
+            np.frombuffer(" ".join(w).encode(), np.uint8)
+        ]
+    )
+    for weak in (False, True):
+        if weak:
+            plain = passage_dedup.hash_of
+            monkeypatch.setattr(
+                passage_dedup, "hash_of",
+                lambda p, b, n: plain(p, b, n) * np.uint64(0) if isinstance(n, int) and n == passage_dedup.SPAN else plain(p, b, n)
+            )
+        out = _exchange.Rows()
+        entries = [(b, kind, arrays) for b, (_, kind, arrays) in enumerate(pack(10 + i, w) for i, w in enumerate(said))]
+        passage_dedup._extend(0, entries, out)
+        got = {b: int(_exchange.unpack(data)[1][0]) for _, b, _, data in out.rows}
+        full = (1 << 26) - 1
+        assert got == {1: full, 2: full >> 5, 3: full & ~1}
 
 
 def test_even_labels(spark):
