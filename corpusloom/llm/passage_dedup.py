@@ -14,7 +14,9 @@ without doc_id count as earliest, in the order of a hash of their texts, equal o
    travel as the run's words to the anchor's bucket (runs alike in a batch once, with their least doc_id). There each run
    is held against the runs of smaller documents at the same anchor that it may have windows in common with: the match is
    grown from the anchor to the left and to the right, word by word, as far as both agree, and all windows inside it are
-   repeats. Runs' repeats that touch are one maximal repeat of the document.
+   repeats. Runs' repeats that touch are one maximal repeat of the document. Windows whose anchor over HOT batches have are
+   dealt by themselves, by two hashes (96 bits), so that the many different surroundings of a frequent passage don't meet in
+   one bucket.
 
 Hashes are 64-bit polynomial hashes of word hashes. They find hits, anchors and partners; whether two occurrences agree is
 seen by their words (64 bits each), inside a batch by two hashes of all of a run's words. Words are runs of bytes other than space and \\t\\n\\v\\f\\r, unchanged.
@@ -39,8 +41,10 @@ BLOCK = SPAN // 2
 CHUNK = 2 << 20
 #: Windows around a hit.
 AROUND = SPAN - BLOCK + 1
-#: Kinds of entries: blocks of the index and probes, hits; runs, repeats.
-PROBES, HITS, RUNS, REPEATS = 0, 1, 2, 3
+#: Kinds of entries: blocks of the index and probes, hits; runs, windows of frequent anchors, repeats.
+PROBES, HITS, RUNS, WINDOWS, REPEATS = 0, 1, 2, 3, 4
+#: Batches that have an anchor, beyond which it is frequent.
+HOT = 32
 #: Pairs of runs that are compared at once.
 PAIRS = 1 << 13
 #: The bytes that separate words.
@@ -139,19 +143,30 @@ def _answer_probes(r: int, entries: list, out: Rows) -> None:
         hits.append((b, at[index[at] == probe]))
         asked[hits[-1][1]] += 1
     for b, at in hits:
-        shared = index[at[asked[at] > 1]]
-        if len(shared):
-            out.add(r, b, HITS, pack(np.array([r], np.int32), *_narrow(shared)))
+        shared = _narrow(index[at[asked[at] > 1]])
+        if len(shared[0]):
+            out.add(r, b, HITS, pack(np.array([r, len(shared)], np.int32), *shared, *_narrow(index[at[asked[at] > HOT]])))
 
 
-def _hits(given: dict) -> dict[int, np.ndarray]:
-    return {int(r[0]): _widen(planes) for r, *planes in given.get(HITS, ())}
+def _hits(given: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and buckets (32 bits each) of what was answered, and of what is frequent; sorted."""
+    out = []
+    for frequent in (False, True):
+        found = [
+            (
+                _widen(planes[k:] if frequent else planes[:k]).astype(np.uint64) << np.uint64(32)
+            ) | np.uint64(r) for (r, k), *planes in given.get(HITS, ())
+        ]
+        out.append(np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64))
+    return out[0], out[1]
+
+
+def _key(h: np.ndarray, n: int) -> np.ndarray:
+    return (_fingers(h, n).astype(np.uint64) << np.uint64(32)) | (h % np.uint64(n))
 
 
-def _known_hits(batch: Batch, given: dict, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints with buckets that were answered, hashes of the batch's own blocks that two of its documents have)."""
-    answered = _hits(given)
-    keys = [(f.astype(np.uint64) << np.uint64(32)) | np.uint64(r) for r, f in answered.items()]
+def _own_hits(batch: Batch, skip: np.ndarray) -> np.ndarray:
+    """Hashes of the batch's own blocks that two of its documents have."""
     blocks, found = [], []
     for rows, words in _chunks(batch, skip):
         start, doc = words.starts(BLOCK)
@@ -169,7 +184,7 @@ def _known_hits(batch: Batch, given: dict, skip: np.ndarray) -> tuple[np.ndarray
         if len(h):
             several = np.minimum.reduceat(low[order], edge) < np.maximum.reduceat(high[order], edge)
             own = np.intersect1d(h[edge][several], distinct(np.concatenate(blocks)), assume_unique=True)
-    return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), own
+    return own
 
 
 def _anchors(words: Words, at: np.ndarray, h: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -192,38 +207,44 @@ def _anchors(words: Words, at: np.ndarray, h: np.ndarray, start: np.ndarray) ->
 
 
 class _Runs:
-    """All runs of a batch: row, first word, windows, anchor's offset, hashes of the anchor and (two) of all words, bytes in the row's text."""
+    """All runs of a batch: row, first word, windows, anchor's offset, hashes of the anchor and (two) of all words, bytes in the row's text.
 
-    NAMES = ("row", "first", "count", "offset", "anchor", "content", "check", "begin", "end")
+    A window of a frequent anchor is a run of its own, and its own anchor.
+    """
+
+    NAMES = ("hot", "row", "first", "count", "offset", "anchor", "content", "check", "begin", "end")
 
     def __init__(self, batch: Batch, given: dict, n: int):
         skip = is_copy(batch, given)
-        keys, own = _known_hits(batch, given, skip)
+        (keys, frequent), own = _hits(given), _own_hits(batch, skip)
         parts: list[list[np.ndarray]] = []
         for rows, words in _chunks(batch, skip):
             at, _ = words.starts(BLOCK)
             h = words.hashes(at, BLOCK)
-            hit = np.isin((_fingers(h, n).astype(np.uint64) << np.uint64(32)) | (h % np.uint64(n)), keys) | np.isin(h, own)
+            hit = np.isin(_key(h, n), keys) | np.isin(h, own)
             start, doc = words.starts(SPAN)
             anchor = _anchors(words, at[hit], h[hit], start)
             start, doc, anchor = (x[anchor >= 0] for x in (start, doc, anchor))
+            hot = np.isin(_key(words.hashes(anchor, BLOCK), n), frequent)
+            anchor = np.where(hot, start, anchor)
             opens = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(anchor) != 0))) if len(start) else np.zeros(0, np.int64)
             count = np.diff(np.append(opens, len(start)))
-            first, doc, anchor = start[opens], doc[opens], anchor[opens]
+            hot, first, doc, anchor = hot[opens], start[opens], doc[opens], anchor[opens]
             content, check = (hash_of(x, first, count + SPAN - 1) for x in (words.prefix, prefix_hashes(mix(words.ids + ODD))))
+            key = np.where(hot, words.hashes(first, SPAN), words.hashes(anchor, BLOCK))
             shift = words.begins[doc]
             whole = words.begin[first] - shift, words.end[first + count + SPAN - 2] - shift
-            parts.append([rows[doc], first - words.first[doc], count, anchor - first, words.hashes(anchor, BLOCK), content, check, *whole])
+            parts.append([hot, rows[doc], first - words.first[doc], count, anchor - first, key, content, check, *whole])
         for name, x in zip(self.NAMES, zip(*parts, strict=True) if parts else [[np.zeros(0, np.int64)]] * len(self.NAMES), strict=True):
             setattr(self, name, np.concatenate(x))
         self.doc_id = batch.doc_id[self.row]
         # of runs alike, the one with the least doc_id speaks for all; in order of bucket
         r = self.anchor.astype(np.uint64) % np.uint64(n)
-        order = np.lexsort((self.doc_id, self.check, self.content, self.offset, self.count, self.anchor, r))
+        order = np.lexsort((self.doc_id, self.check, self.content, self.offset, self.count, self.anchor, self.hot, r))
         x, y = order[:-1], order[1:]
         fresh = np.append(
             True,
-            np.any([getattr(self, k)[x] != getattr(self, k)[y] for k in ("anchor", "count", "offset", "content", "check")], axis=0)
+            np.any([getattr(self, k)[x] != getattr(self, k)[y] for k in ("hot", "anchor", "count", "offset", "content", "check")], axis=0)
         ) if len(order) else np.zeros(0, bool)
         self.leaders = order[fresh]
         self.leader = np.zeros(len(order), np.int64)  # place of each run's leader among the leaders
@@ -235,20 +256,20 @@ def _ship_runs(n: int):
     def fn(batch: Batch, given: dict) -> pa.Table:
         out, runs = Rows(), _Runs(batch, given, n)
         for r in np.flatnonzero(np.diff(runs.edges)).tolist():
-            own = runs.leaders[runs.edges[r] : runs.edges[r + 1]]
-            ids, which = np.unique(runs.doc_id[own], return_inverse=True)
-            said = b" ".join(
-                batch.texts[row][a:b] for row, a, b in zip(
-                    runs.row[own].tolist(), runs.begin[own].tolist(), runs.end[own].tolist(), strict=True
-                )
-            )
-            out.add(
-                r, batch.b, RUNS,
-                pack(
-                    runs.count[own].astype(np.uint8), runs.offset[own].astype(np.uint8), ids, which.astype(np.uint32),
-                    np.frombuffer(said, np.uint8)
+            both = runs.leaders[runs.edges[r] : runs.edges[r + 1]]
+            own, alone = both[runs.hot[both] == 0], both[runs.hot[both] != 0]
+            if len(alone):
+                ids, which = np.unique(runs.doc_id[alone], return_inverse=True)
+                out.add(
+                    r, batch.b, WINDOWS,
+                    pack(runs.anchor[alone], (runs.check[alone] >> np.uint64(32)).astype(np.uint32), ids, which.astype(np.uint32))
                 )
-            )
+            if len(own):
+                ids, which = np.unique(runs.doc_id[own], return_inverse=True)
+                places = zip(runs.row[own].tolist(), runs.begin[own].tolist(), runs.end[own].tolist(), strict=True)
+                said = np.frombuffer(b" ".join(batch.texts[row][a:b] for row, a, b in places), np.uint8)
+                shape = runs.count[own].astype(np.uint8), runs.offset[own].astype(np.uint8)
+                out.add(r, batch.b, RUNS, pack(*shape, ids, which.astype(np.uint32), said))
         return out.table()
 
     return fn
@@ -266,10 +287,38 @@ def _grown(ids: np.ndarray, x: np.ndarray, y: np.ndarray, left: np.ndarray, righ
     return np.minimum(out[0], left), np.minimum(out[1], right)
 
 
-def _extend(r: int, entries: list, out: Rows) -> None:
-    count, offset = (np.concatenate([x[2][i] for x in entries]).astype(np.int64) for i in (0, 1))
-    doc = np.concatenate([ids[which] for _, _, (_, _, ids, which, _) in entries])
-    ids = np.concatenate([Words([raw.tobytes()]).ids for _, _, (*_, raw) in entries])
+def _later_windows(entries: list) -> np.ndarray:
+    """Which windows of all entries, end to end, a smaller document has too."""
+    h, check = (np.concatenate([x[i] for x in entries]) for i in (0, 1))
+    doc = np.concatenate([ids[which] for _, _, ids, which in entries])
+    order = np.lexsort((doc, check, h))
+    x, y = order[:-1], order[1:]
+    fresh = np.append(True, (h[x] != h[y]) | (check[x] != check[y])) if len(order) else np.zeros(0, bool)
+    later = np.zeros(len(h), bool)
+    later[order] = doc[order] > doc[order[np.flatnonzero(fresh)]][np.cumsum(fresh) - 1]
+    return later
+
+
+def _answer_runs(r: int, entries: list, out: Rows) -> None:
+    """A mask for each run, and then for each window, of a batch's entry."""
+    told: dict[int, list[np.ndarray]] = {}
+    for kind, fn in ((RUNS, _extend), (WINDOWS, _later_windows)):
+        own = [(b, x) for b, k, x in entries if k == kind]
+        if own:
+            mask, at = fn([x for _, x in own]).astype(np.uint32), 0
+            for b, x in own:
+                told.setdefault(b, [np.zeros(0, np.uint32)]).append(mask[at : at + len(x[0])])
+                at += len(x[0])
+    for b, masks in told.items():
+        if any(m.any() for m in masks):
+            out.add(r, b, REPEATS, pack(np.array([r], np.int32), np.concatenate(masks)))
+
+
+def _extend(entries: list) -> np.ndarray:
+    """A mask of windows that a smaller document has too, for each run of all entries, end to end."""
+    count, offset = (np.concatenate([x[i] for x in entries]).astype(np.int64) for i in (0, 1))
+    doc = np.concatenate([ids[which] for _, _, ids, which, _ in entries])
+    ids = np.concatenate([Words([raw.tobytes()]).ids for *_, raw in entries])
     size = count + SPAN - 1
     first = np.cumsum(size) - size
     prefix = prefix_hashes(ids)
@@ -302,12 +351,7 @@ def _extend(r: int, entries: list, out: Rows) -> None:
             words = ids[first[run[w]] + step[w] :][:SPAN].tobytes()
             if seen.setdefault(words, doc[run[w]]) < doc[run[w]]:
                 mask[run[w]] |= np.uint32(1 << int(step[w]))
-    at = 0
-    for b, _, (own, *_) in entries:
-        mine = mask[at : at + len(own)]
-        at += len(own)
-        if mine.any():
-            out.add(r, b, REPEATS, pack(np.array([r], np.int32), mine))
+    return mask
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, text_sha256 string"
@@ -379,7 +423,7 @@ def passage_dedup(docs: DataFrame, keep_space: bool = False) -> DataFrame:
     n, batches = deal.buckets, dealt(docs, deal)
     same = copies(batches, deal)
     hits = by_bucket(by_batch(batches, same, _index_and_probe(n), PACKED), _answer_probes, deal).unionAll(same)
-    found = by_bucket(by_batch(batches, hits, _ship_runs(n), PACKED), _extend, deal)
+    found = by_bucket(by_batch(batches, hits, _ship_runs(n), PACKED), _answer_runs, deal)
     return by_batch(batches, found.unionAll(hits), _apply(n, keep_space), RESULT)
 
 

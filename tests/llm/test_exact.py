@@ -42,15 +42,24 @@ def corpus(request, spark, rows):
     return own, spark.createDataFrame(own, "doc_id long, text string")
 
 
+def with_hot(module, plain, hot):
+    """A bucket's function with another bound for what is frequent, wherever it runs."""
+
+    def answer(r, entries, out):
+        old, module.HOT = module.HOT, hot
+        try:
+            plain(r, entries, out)
+        finally:
+            module.HOT = old
+
+    return answer
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
 def test_suffix_dedup(corpus, hot, monkeypatch):
     # buckets' answers are worked out in workers, so what counts as hot goes with the function
     own, df = corpus
-    plain = suffix_dedup._repeated_grams
-    monkeypatch.setattr(
-        suffix_dedup, "_repeated_grams",
-        lambda r, entries, out: (setattr(suffix_dedup, "HOT", hot), plain(r, entries, out))[1]
-    )
+    monkeypatch.setattr(suffix_dedup, "_repeated_grams", with_hot(suffix_dedup, suffix_dedup._repeated_grams, hot))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_dedup_digest(suffix_dedup.suffix_dedup(df)).collect()}
     assert got == suffix_dedup.brute_force([(d, t.encode()) for d, t in own])
 
@@ -77,8 +86,11 @@ def test_collisions_are_found_out(monkeypatch):
     assert suffix_dedup._mark(runs, np.arange(7)).tolist() == [0, 0, 0, 0, 0, 0, 1]
 
 
-def test_passage_dedup(corpus):
+@pytest.mark.parametrize("hot", [passage_dedup.HOT, 1])
+def test_passage_dedup(corpus, hot, monkeypatch):
     own, df = corpus
+    # buckets' answers are worked out in workers, so what counts as frequent goes with the function
+    monkeypatch.setattr(passage_dedup, "_answer_probes", with_hot(passage_dedup, passage_dedup._answer_probes, hot))
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in passage_dedup.passage_dedup_digest(passage_dedup.passage_dedup(df)).collect()}
     assert got == passage_dedup.brute_force([(d, t.encode()) for d, t in own])
 
@@ -606,13 +618,13 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
     """With a hash that is the same for all windows, what runs have in common is still seen."""
     words = [f"w{i}" for i in range(75)]
     said = [words, words, [*words[:70], *"abcde"], ["x", *words[1:]]]
-    pack = lambda d, w: (
-        0, passage_dedup.RUNS,
+    entries = [
         [
-            np.array([26], np.uint8), np.array([25], np.uint8), np.array([d]), np.array([0], np.uint32),
+            np.array([26], np.uint8), np.array([25], np.uint8), np.array([10 + i]), np.array([0], np.uint32),
             np.frombuffer(" ".join(w).encode(), np.uint8)
         ]
-    )
+        for i, w in enumerate(said)
+    ]
     for weak in (False, True):
         if weak:
             plain = passage_dedup.hash_of
@@ -620,12 +632,8 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
                 passage_dedup, "hash_of",
                 lambda p, b, n: plain(p, b, n) * np.uint64(0) if isinstance(n, int) and n == passage_dedup.SPAN else plain(p, b, n)
             )
-        out = _exchange.Rows()
-        entries = [(b, kind, arrays) for b, (_, kind, arrays) in enumerate(pack(10 + i, w) for i, w in enumerate(said))]
-        passage_dedup._extend(0, entries, out)
-        got = {b: int(_exchange.unpack(data)[1][0]) for _, b, _, data in out.rows}
         full = (1 << 26) - 1
-        assert got == {1: full, 2: full >> 5, 3: full & ~1}
+        assert passage_dedup._extend(entries).tolist() == [0, full, full >> 5, full & ~1]
 
 
 def test_even_labels(spark):
