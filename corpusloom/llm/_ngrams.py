@@ -73,19 +73,22 @@ class Vocabulary:
 
 
 HASHES = 1 << 20
+#: Classes that are learned at most: the most frequent ones.
+MOST_CLASSES = 200
 
 
 def chosen_ids(rows: DataFrame, max_rows: int, seed: int) -> list[tuple[int, object]]:
     """(doc_id, class) of at most max_rows different doc_ids a class, those with the least hashes, from (doc_id, class).
 
-    Classes are counted first, so that only ids with hashes under a bound, about 1.3 * max_rows + 100 a class, come to the driver.
+    Classes are counted first, so that only ids with hashes under a bound, about 1.3 * max_rows + 100 a class, come to the
+    driver. Of more than MOST_CLASSES classes the most frequent are taken, of equal ones those that sort first.
     """
-    counts = rows.groupBy("class").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(MOST_CLASSES)
     bound = counts.select(
         "class",
         F.least(F.lit(HASHES), F.ceil(F.lit(HASHES) * (1.3 * max_rows + 100) / F.col("n"))).cast("long").alias("bound")
     )
-    near = rows.join(F.broadcast(bound), "class").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASHES)) < F.col("bound"))  # a row a class
+    near = rows.join(F.broadcast(bound), "class").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASHES)) < F.col("bound"))  # MOST_CLASSES rows
     held: dict[object, list[tuple[int, int]]] = {}
     for r in near.select("class", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASHES)).alias("hash"), "doc_id").distinct().collect():
         held.setdefault(r["class"], []).append((r["hash"], r["doc_id"]))

@@ -19,7 +19,7 @@ A text is rejected if it falls under either.
 
 Trained on at most MAX_ROWS texts a language, those with the least hash of their doc_id (of rows with one doc_id the text
 that sorts first), on the first MAX_TEXT bytes of each, and MAX_BYTES together: each language has an equal share of them,
-filled in order of the hashes.
+filled in order of the hashes. Of more than MOST_CLASSES languages the most frequent are learned.
 Null languages and rows without doc_id are not learned. Null texts and texts without a letter are `und` with score 0 and
 rejected; so is all if nothing can be learned. Ties go to the language that sorts first. Repeated rows give repeated
 results, an empty table an empty one. Only the text is an input of a prediction.

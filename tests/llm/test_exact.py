@@ -642,7 +642,7 @@ def test_even_labels(spark):
     assert len(rows) == 7 and {r["count"] for r in rows} == {2}
 
 
-def test_every_language_has_a_share_of_the_sample(spark):
+def test_every_language_has_a_share_of_the_sample(spark, monkeypatch):
     rows = [(i, "kort text", "sv") for i in range(20)] + [
         (100 + i, "lang text " * 30_000, "zz") for i in range(6)
     ] + [(7, "b", "sv"), (7, "a", "sv")]
@@ -657,6 +657,9 @@ def test_every_language_has_a_share_of_the_sample(spark):
         [(i, k) for i in range(3000) for k in ("x", "y") if k == "x" or i % 7 == 0] + [(5, "x")] * 50,
         "doc_id long, class string"
     )
+    monkeypatch.setattr(_ngrams, "MOST_CLASSES", 1)
+    assert {k for _, k in _ngrams.chosen_ids(many, 100, 3)} == {"x"}
+    monkeypatch.undo()
     chosen = _ngrams.chosen_ids(many, 100, 3)
     assert len(chosen) == len(set(chosen)) == 200 and sum(k == "x" for _, k in chosen) == 100
 
