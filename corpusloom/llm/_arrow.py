@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,22 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers: both sides hold some at a time.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches at most BATCH_BYTES large; smaller ones stay as they are set."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([bkmgt]?)b?\s*", str(spark.conf.get(BATCH_SETTING, "-1")).lower()).groups()
+    size = int(number) << 10 * ("bkmgt".index(unit) if unit else 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text as UTF-8 bytes, and the named columns: whatever else docs holds is never read."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 

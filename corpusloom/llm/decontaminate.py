@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import let_go, sliced, texts, values
+from ._arrow import let_go, sliced, small_batches, texts, values
 
 SPAN = 8
 #: Windows in one block: about 16 MB of patterns, 60 MB of tables in a worker.
@@ -184,6 +184,7 @@ def _opened(shared) -> _Block:
 
 def _searcher(docs: DataFrame, benchmark: DataFrame, span: int, block_windows: int):
     """A function for tasks: (batch, its texts' numbers of words, hits and items) of all batches, a few MB at a time."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(([*block], [sorted(x) for x in block.values()])) for block in _blocks(benchmark, span, block_windows)]
 

@@ -120,7 +120,7 @@ def vocabulary(path: str, sharpness: float = SHARPNESS) -> Pieces:
 class Lattices:
     """The filtered lattices of units met so far: nodes are positions in units, edges lead back from each."""
 
-    def __init__(self, pieces: Pieces, limit: int = 100_000, at_once: int = 1 << 17):
+    def __init__(self, pieces: Pieces, limit: int = 70_000, at_once: int = 1 << 17):
         self.pieces, self.limit, self.at_once, self.salt = pieces, limit, at_once, 0
         self._clear()
 

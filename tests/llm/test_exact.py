@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import _exchange, _ngrams, components, decontaminate, langid, media, near_dedup, passage_dedup, pieces, ppm, suffix_dedup, tokens, toxicity
+from corpusloom.llm import _arrow, _exchange, _ngrams, components, decontaminate, langid, media, near_dedup, passage_dedup, pieces, ppm, suffix_dedup, tokens, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -703,3 +703,14 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     table = spark.createDataFrame([(b"hot", 7, 2000), (b"rare", 8, 20)], "key binary, v long, n long")
     both = _exchange.told(rows, table, "key", len(own))
     assert sorted((r["doc_id"], r["v"]) for r in both.collect()) == sorted((i, {b"hot": 7, b"rare": 8}.get(k)) for i, k in own)
+
+
+def test_arrow_batches_are_small(spark):
+    old = spark.conf.get(_arrow.BATCH_SETTING)
+    try:
+        for given, want in (("64m", _arrow.BATCH_BYTES), ("67108864b", _arrow.BATCH_BYTES), ("1m", "1m"), ("4096", "4096")):
+            spark.conf.set(_arrow.BATCH_SETTING, given)
+            _arrow.small_batches(spark)
+            assert spark.conf.get(_arrow.BATCH_SETTING) == (f"{want}b" if isinstance(want, int) else spark.conf.get(_arrow.BATCH_SETTING))
+    finally:
+        spark.conf.set(_arrow.BATCH_SETTING, old)
