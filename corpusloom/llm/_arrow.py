@@ -40,7 +40,7 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(spark: SparkSession) -> None:
     """Makes the session's Arrow batches at most BATCH_BYTES large; smaller ones stay as they are set."""
-    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([bkmgt]?)b?\s*", str(spark.conf.get(BATCH_SETTING, "-1")).lower()).groups()
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([bkmgt]?)b?\s*", str(spark.conf.get(BATCH_SETTING, "64m")).lower()).groups()
     size = int(number) << 10 * ("bkmgt".index(unit) if unit else 0)
     if not 0 < size <= BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
