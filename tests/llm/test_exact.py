@@ -706,11 +706,15 @@ def test_hot_keys_are_spread(spark, monkeypatch):
 
 
 def test_arrow_batches_are_small(spark):
-    old = spark.conf.get(_arrow.BATCH_SETTING)
+    old, full = spark.conf.get(_arrow.BATCH_SETTING), f"{_arrow.BATCH_BYTES}b"
     try:
-        for given, want in (("64m", _arrow.BATCH_BYTES), ("67108864b", _arrow.BATCH_BYTES), ("1m", "1m"), ("4096", "4096")):
+        spark.conf.unset(_arrow.BATCH_SETTING)
+        _arrow.small_batches(spark)
+        assert spark.conf.get(_arrow.BATCH_SETTING) == full
+        for given, changed in (("64m", True), ("67108864b", True), ("1m", False), ("4096", False)):
             spark.conf.set(_arrow.BATCH_SETTING, given)
+            before = spark.conf.get(_arrow.BATCH_SETTING)
             _arrow.small_batches(spark)
-            assert spark.conf.get(_arrow.BATCH_SETTING) == (f"{want}b" if isinstance(want, int) else spark.conf.get(_arrow.BATCH_SETTING))
+            assert spark.conf.get(_arrow.BATCH_SETTING) == (full if changed else before)
     finally:
         spark.conf.set(_arrow.BATCH_SETTING, old)
