@@ -40,9 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     )
     odd = written(classes.where("later OR n > 1"))
     kept = whole(docs).join(odd, "doc_id", "left").where("later IS NULL OR NOT later")
+    once = kept.where("n IS NULL OR n = 1").select("row.*")
+    if odd.where("n > 1 AND NOT later").isEmpty():
+        return once
     order = F.struct(*(F.col(f"row.{c}").cast("string") for c in docs.columns if c not in ("doc_id", "text")))
     several = kept.where("n > 1").groupBy("doc_id", "row.text").agg(F.min_by("row", order).alias("row"))
-    return kept.where("n IS NULL OR n = 1").select("row.*").unionAll(several.select("row.*"))
+    # written by itself: in one plan with the others, all documents would be shuffled twice at a time
+    return once.unionAll(written(several.select("row.*")))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

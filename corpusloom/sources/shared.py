@@ -21,6 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its lineage ends there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder; its lineage ends there, and the shuffle files it took are removed."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    own = df.select("*")  # a plan that nothing else runs, so nothing else reads its shuffles
+    out = own.checkpoint()
+    plan = own._jdf.queryExecution().executedPlan()
+    # they would stay until the driver happens to collect its garbage; without adaptive execution they still do
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        parts = spark.sparkContext._jsc.sc().shuffleDriverComponents()
+        for shuffle in list(plan.context().shuffleIds().keySet()):
+            parts.removeShuffle(shuffle, False)
+    return out

@@ -50,3 +50,18 @@ def test_end_to_end(spark, sf):
     assert {d: r["text"] for d, r in got.items()} == clean
     some = sorted(clean.items())[::7]
     assert {d: got[d]["ids"] for d, _ in some} == dict(pieces.brute_force(some, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def test_near_duplicates_shuffles_documents_once(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = corpus_pipeline.near_duplicates(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    # a second version of one document: both texts stay, and no row is lost
+    own = docs.where("doc_id % 20 = 0")
+    least = own.agg({"doc_id": "min"}).first()[0]
+    again = own.where(f"doc_id = {least}").selectExpr(*("reverse(text) AS text" if c == "text" else c for c in docs.columns))
+    once = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, own, sf).collect()}
+    both = own.unionAll(again)
+    both.unionAll(again).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == once | {(r["doc_id"], r["text"]) for r in again.collect()}

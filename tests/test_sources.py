@@ -1,10 +1,11 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.plans.runs import run_site, run_sites
-from corpusloom.sources import config, report, responses, robots, sinks, sitemap
+from corpusloom.sources import config, report, responses, robots, shared, sinks, sitemap
 
 CACHE = "url string, content_hash string, title string, crawled_at string, content_length long"
 
@@ -229,3 +230,25 @@ def test_deep_sitemaps(spark):
     files = spark.createDataFrame([(f"https://a.se/{i}.xml", xml(i)) for i in range(22)], "url string, body binary")
     got = sitemap.sitemap_pages(files, spark.createDataFrame([("https://a.se/0.xml",)], "url string"))
     assert {r["url"] for r in got.collect()} == {f"https://a.se/p{i}" for i in range(22)}
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    sc = spark.sparkContext
+
+    def shuffles() -> set[str]:
+        files = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before = shuffles()
+    df = spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    kept = shared.written(df)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    # the frame itself, still held, and what was written can both be read again
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect())) == [(k, sum(range(k, 1000, 7))) for k in range(7)]
+    assert sorted(map(tuple, shared.written(df).collect())) == sorted(map(tuple, kept.collect()))
