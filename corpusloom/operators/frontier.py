@@ -111,7 +111,8 @@ def crawl(
 
     Links and sitemaps' URLs, though not the start, must be of the first start URL's domain (strict_domain), hold none of the
     excluded and one of the required words, and be allowed by robots_txt. `place` is a page's order in its round, from 0 on
-    with gaps. Of captured pages with one normal form the one whose URL sorts first counts.
+    with gaps. Of captured pages with one normal form the one whose URL sorts first counts; of equal URLs the one with the least
+    `seq`, if pages have that column.
     """
     checkpoint = checkpoint or written
     domain = F.lit(urlsplit(start[0].strip()).netloc.lower()) if strict_domain and start else None
@@ -119,8 +120,9 @@ def crawl(
     order = lambda number, place, at: F.struct(
         number.cast("int").alias("round"), place.cast("long").alias("place"), at.cast("int").alias("at")
     )
-    known = normalized(pages.select(F.col("url").alias("raw"), "url", "links"))
-    known = known.groupBy("url").agg(F.min_by("links", F.struct("raw", F.xxhash64("links"))).alias("links"))
+    own = ["seq"] if "seq" in pages.columns else []
+    known = normalized(pages.select(F.col("url").alias("raw"), "url", "links", *own))
+    known = known.groupBy("url").agg(F.min_by("links", F.struct("raw", *own, F.xxhash64("links"))).alias("links"))
     begin = spark.createDataFrame(
         [(u, i) for i, u in enumerate(start)], "url string, seq long"
     ).withColumn("url", normalize_url(F.col("url")))

@@ -132,7 +132,7 @@ def crawl_visits(spark, d):
     graph = _graph(spark, d)
     start = graph.where("page_id = 0").select("url").first()["url"]
     seen = frontier.crawl(
-        spark, graph.select("url", "links"), [start], strict_domain=False, exclude=["/de/1", "spam"],
+        spark, graph.select("url", "links", F.col("page_id").alias("seq")), [start], strict_domain=False, exclude=["/de/1", "spam"],
         robots_txt="User-agent: *\nDisallow: /es/2\n"
     )
     return seen.select("url", "depth", "score", "round")
