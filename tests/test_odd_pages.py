@@ -22,7 +22,7 @@ def test_crawl_of_pages_with_equal_urls(spark, tmp_path):
     against_sql(spark, tmp_path, "crawl_visits", [(i, f"https://a.se/en/{3 if i == 4 else i}", "") for i in range(15)])
 
 
-@pytest.mark.parametrize("name", ["page_main_text", "page_record", "page_sections", "page_title_parsed", "run_pages", "run_pages_json"])
+@pytest.mark.parametrize("name", ["page_main_text", "page_record", "page_sections", "page_title_parsed", "run_pages", "run_pages_json", "sites_saved"])
 def test_titles_cut_within_a_reference(spark, tmp_path, name):
     """What is left of a reference without its semicolon is text."""
     page = '<html lang="en"><head><title>{0}</title></head><body><article><h1>{0}</h1><p>' + "A long sentence. " * 9 + "</p></article></body></html>"
